@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F  # noqa:
 
 from oracles import ORACLES  # noqa: E402
 from starling.functions import clip, risk_tier  # noqa: E402
-from starling.operators import evaluation, levels, ordered, orders as order_ops, rates, sentiment, significance  # noqa: E402
+from starling.operators import evaluation, ordered, orders as order_ops, rates, sentiment, significance  # noqa: E402
 from starling.plans import dashboard, master as mart, review_text, risk_model  # noqa: E402
+from starling.session import settled  # noqa: E402
 from starling.sources.trade_view import TradeFolder, sample_lexicon  # noqa: E402
 
 SMOKE_FOLDER = "/root/testdata/sf0.001"
@@ -31,12 +32,25 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+_plans: dict[tuple[str, str], tuple] = {}
+
+
+def _plan(spark, folder):
+    """The tables and the mart of a folder as lazy frames. Only their definition is kept, never data: each
+    query still reads the files."""
+    name = (spark.sparkContext.applicationId, folder)
+    if name not in _plans:
+        tables = TradeFolder(spark, folder).tables()
+        _plans[name] = (tables, mart.order_master(tables))
+    return _plans[name]
+
+
 def _tables(spark, folder):
-    return TradeFolder(spark, folder).tables()
+    return _plan(spark, folder)[0]
 
 
 def _master(spark: SparkSession, folder: str) -> DataFrame:
-    return mart.order_master(_tables(spark, folder))
+    return _plan(spark, folder)[1]
 
 
 def _texts(spark, folder):
@@ -93,11 +107,11 @@ def table_preview(spark, folder):
 
 
 def delivered_orders(spark, folder):
-    return order_ops.delivered_orders(TradeFolder(spark, folder).orders())
+    return order_ops.delivered_orders(_tables(spark, folder).orders)
 
 
 def delivery_features(spark, folder):
-    featured = order_ops.delivery_features(order_ops.delivered_orders(TradeFolder(spark, folder).orders()))
+    featured = order_ops.delivery_features(order_ops.delivered_orders(_tables(spark, folder).orders))
     return featured.select("order_id", "delivery_time_days", "delivery_delay_days")
 
 
@@ -107,12 +121,12 @@ def delivery_buckets(spark, folder):
 
 
 def items_rollup(spark, folder):
-    rolled = order_ops.items_rollup(TradeFolder(spark, folder).items())
+    rolled = order_ops.items_rollup(_tables(spark, folder).items)
     return rounded(rolled, "total_price", "total_freight", "freight_pct")
 
 
 def reviews_rollup(spark, folder):
-    return rounded(order_ops.reviews_rollup(TradeFolder(spark, folder).reviews()), "review_score")
+    return rounded(order_ops.reviews_rollup(_tables(spark, folder).reviews), "review_score")
 
 
 def order_master(spark, folder):
@@ -180,11 +194,11 @@ def state_rates_dense(spark, folder):
 
 
 def score_distribution(spark, folder):
-    return dashboard.score_distribution(TradeFolder(spark, folder).reviews())
+    return dashboard.score_distribution(_tables(spark, folder).reviews)
 
 
 def raw_bad_share(spark, folder):
-    return rounded(dashboard.raw_bad_share(TradeFolder(spark, folder).reviews()), "bad_pct")
+    return rounded(dashboard.raw_bad_share(_tables(spark, folder).reviews), "bad_pct")
 
 
 def delay_histogram(spark, folder):
@@ -209,12 +223,7 @@ def late_effect_pvalue(spark, folder):
 # ---------------------------------------------------------------- model inputs
 
 def top_n_levels(spark, folder):
-    found = _master(spark, folder)
-    kinds = (("category", dashboard.CATEGORY, risk_model.N_CATEGORIES),
-             ("state", dashboard.STATE, risk_model.N_STATES))
-    parts = [levels.top_levels(found, column, n).select(F.lit(kind).alias("kind"), F.col(column).alias("level"), "n")
-             for kind, column, n in kinds]
-    return parts[0].unionByName(parts[1])
+    return risk_model.frequent_levels(_master(spark, folder))
 
 
 def rare_level_grouping(spark, folder):
@@ -227,12 +236,12 @@ def model_features(spark, folder):
 
 
 def train_test_split(spark, folder):
-    return ordered.hash_split(TradeFolder(spark, folder).orders(), "order_id").select("order_id", "is_test")
+    return ordered.hash_split(_tables(spark, folder).orders, "order_id").select("order_id", "is_test")
 
 
 def stratified_split(spark, folder):
-    return ordered.stratified_split(_master(spark, folder).select("order_id", "is_bad_review"),
-                                    "order_id", "is_bad_review")
+    outcomes = settled(_master(spark, folder).select("order_id", "is_bad_review"))
+    return ordered.stratified_split(outcomes, "order_id", "is_bad_review")
 
 
 def class_weights(spark, folder):

@@ -7,24 +7,25 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-MICROS_PER_DAY = 24 * 60 * 60 * 1_000_000
+MICROS_PER_DAY = 24 * 60 * 60 * 1e6
 
 
 def whole_days(start: str, end: str) -> Column:
     """Days from ``start`` to ``end``, rounded towards minus infinity (nine hours early is -1)."""
-    micros = F.timestamp_diff("MICROSECOND", F.col(start), F.col(end))
-    # Taking the positive remainder off first leaves an exact multiple, so the division cannot round.
-    return ((micros - F.pmod(micros, F.lit(MICROS_PER_DAY))) / F.lit(MICROS_PER_DAY)).cast("long")
-
-
-def in_any_bin(value: Column, edges: Sequence[float], names: Sequence) -> Column:
-    """Name of the right-closed bin ``(edges[i], edges[i+1]]`` holding ``value``; NULL outside."""
-    if len(names) != len(edges) - 1:
-        raise ValueError("need one name per pair of neighbouring edges")
-    chain = F
-    for low, high, name in zip(edges, edges[1:], names):
-        chain = chain.when((value > low) & (value <= high), F.lit(name))
-    return chain
+    return F.floor(F.timestamp_diff("MICROSECOND", F.col(start), F.col(end)) / MICROS_PER_DAY)
+
+
+def bin_number(value: Column, edges: Sequence[float]) -> Column:
+    """Number, from 0, of the right-closed bin ``(edges[i], edges[i+1]]`` holding ``value``; NULL outside."""
+    found = F.when(value > edges[-1], F.lit(None).cast("int"))
+    for number in reversed(range(len(edges) - 1)):
+        found = found.when(value > edges[number], F.lit(number))
+    return found
+
+
+def name_of(number: Column, names: Sequence[str]) -> Column:
+    """The name at a position counted from 0; NULL for NULL."""
+    return F.array(*[F.lit(n) for n in names])[number]
 
 
 def half_even(value: Column) -> Column:

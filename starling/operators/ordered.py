@@ -159,19 +159,38 @@ def hash_split(df: DataFrame, key: str, seed: int = 42, parts: int = 5) -> DataF
     return df.withColumn("is_test", flag(F.pmod(row_hash(key, seed), F.lit(parts)) == 0))
 
 
-def stratified_split(df: DataFrame, key: str, label: str, seed: int = 42, test_share: float = 0.2,
-                     fan: int = FAN) -> DataFrame:
+def stratified_split(df: DataFrame, key: str, label: str, seed: int = 42, test_share: float = 0.2) -> DataFrame:
     """Adds ``is_test`` to exactly ``round(test_share * n)`` rows of every class (halves to even), those
-    with the smallest hashes. Rows are not moved: each class's cut-off hash comes back as one figure."""
+    with the smallest hashes.
+
+    Rows are neither moved nor sorted. The cut-off hash of each class is narrowed down by counting: over the
+    leading 12 of 60 bits, then over the next 12 inside the range found, then over the few hashes left there.
+    That takes three passes over ``df``, so settle it first if it is dear; one row per class comes back.
+    """
     hashed = df.withColumn("_hash", row_hash(key, seed, digits=15))
-    counts = _per_value(hashed.where(F.col(label).isNotNull()), "_hash", [label], n=F.count(F.lit(1)))
-    ranked = running_totals(counts, "_hash", ["n"], 0.0, 2.0 ** 60, by=[label], fan=fan)
-    taken = F.col("n_upto") <= F.bround(F.col("n_all") * test_share)
-    cuts = ranked.where(taken).groupBy(label).agg(F.max("_hash").alias("_cut"))
-    by_class = cuts.agg(F.map_from_entries(F.collect_list(F.struct(label, "_cut")))).scalar()
-    return (hashed.withColumn("_cut", F.try_element_at(by_class, F.col(label)))
-            .withColumn("is_test", F.coalesce(flag(F.col("_hash") <= F.col("_cut")), F.lit(0)))
-            .drop("_hash", "_cut"))
+    inside, found = hashed.where(F.col(label).isNotNull()), {}
+    for bits_left in (48, 36, 0):
+        cell = F.shiftright("_hash", bits_left)
+        counts = inside.groupBy(label, cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+        whole, ordered = Window.partitionBy(label), Window.partitionBy(label).orderBy("cell")
+        left = _by_class(label, {c: F.lit(at["left"]) for c, at in found.items()})
+        wanted = left if found else F.bround(F.sum("n").over(whole) * test_share).cast("long")
+        before = F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+        hit = (counts.withColumns({"wanted": wanted, "before": before})
+               .where((F.col("before") < F.col("wanted")) & (F.col("before") + F.col("n") >= F.col("wanted"))))
+        found = {row[label]: {"cell": row["cell"], "left": row["wanted"] - row["before"]}
+                 for row in hit.collect()}
+        inside = inside.where(cell == _by_class(label, {c: F.lit(at["cell"]) for c, at in found.items()}))
+    cut = _by_class(label, {c: F.lit(at["cell"]) for c, at in found.items()})
+    return hashed.withColumn("is_test", F.coalesce(flag(F.col("_hash") <= cut), F.lit(0))).drop("_hash")
+
+
+def _by_class(label: str, values: dict) -> Column:
+    """The value given for the row's class, NULL for a class that has none."""
+    picked = F.when(F.lit(False), F.lit(None).cast("long"))
+    for name, value in values.items():
+        picked = picked.when(F.col(label) == F.lit(name), value)
+    return picked
 
 
 def sample_by_hash(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

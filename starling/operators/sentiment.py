@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -34,19 +36,19 @@ def review_sentiment(reviews: DataFrame, lexicon: DataFrame, keys: Sequence[str]
     """
     carried = [*keys, STARS]
     words = F.split(F.lower(TEXT), word_break)
-    # Each word beside the ones up to NEGATION_REACH places before it: the same array, shifted.
-    shifted = [F.concat(F.array_repeat(F.lit(""), k), words).alias(f"back{k}")
-               for k in range(1, NEGATION_REACH + 1)] if negators else []
-    rows = reviews.where(F.col(TEXT).isNotNull()).select(
-        *carried, F.inline(F.arrays_zip(words.alias("token"), *shifted)))
-    # Padding the shifted arrays leaves places past the last word.
-    rows = rows.where(F.col("token").isNotNull())
+    texts = reviews.where(F.col(TEXT).isNotNull())
     valence = F.coalesce(F.col("valence"), F.lit(0.0))
     if negators:
-        negated = F.lit(False)
-        for k in range(1, NEGATION_REACH + 1):
-            negated = negated | F.col(f"back{k}").isin(*negators)
-        valence = valence * F.when(negated, NEGATION).otherwise(1.0)
+        # Each word beside marks for the places before it: the array of marks, shifted.
+        marks = F.transform(words, lambda word: word.isin(*negators))
+        behind = {f"back{k}": F.concat(F.array_repeat(F.lit(False), k), marks)
+                  for k in range(1, NEGATION_REACH + 1)}
+        rows = (texts.select(*carried, F.inline(F.arrays_zip(
+            words.alias("token"), *[shifted.alias(name) for name, shifted in behind.items()])))
+            .where(F.col("token").isNotNull()))      # shifting adds places past the last word
+        valence = valence * F.when(reduce(or_, map(F.col, behind)), NEGATION).otherwise(1.0)
+    else:
+        rows = texts.select(*carried, F.explode(words).alias("token"))
     total = F.col("_sum")
     return (rows.join(lexicon.select("token", "valence"), "token", "left")
             .groupBy(*carried).agg(F.sum(valence).alias("_sum"))

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from starling.functions import month_of
-from starling.operators.lookups import fill_groups, overall
+from starling.functions import month_of, name_of, percent, safe_ratio
+from starling.operators.lookups import fill_groups
 from starling.operators.rates import (
     BAD, distinct_values, grouped_rates, highest, histogram, keep_listed, lowest, overall_figures,
     share, value_counts,
 )
+from starling.plans.master import DELAY_NAMES
 
 CATEGORY, STATE = "product_category_name_english", "seller_state"
 
@@ -34,10 +35,11 @@ def key_figures(master: DataFrame) -> DataFrame:
     return overall_figures(master)
 
 
-def rate_by_delivery(master: DataFrame) -> DataFrame:
-    """Bins in their own order; bins without orders are absent."""
-    return (grouped_rates(master, "delivery_bucket", delivery_bucket_ord=F.min("delivery_bucket_ord"))
-            .orderBy("delivery_bucket_ord"))
+def rate_by_delivery(master: DataFrame, names: Sequence[str] = DELAY_NAMES) -> DataFrame:
+    """Bins in their own order; bins without orders are absent. Bins are grouped by number and named after."""
+    position = "delivery_bucket_ord"
+    return (grouped_rates(master, position).withColumn("delivery_bucket", name_of(F.col(position), names))
+            .orderBy(position))
 
 
 def _avg_delivery() -> Column:
@@ -57,9 +59,21 @@ def best_categories(master: DataFrame, min_orders: int = 500, n: int = 5) -> Dat
 
 
 def elevated_categories(master: DataFrame, min_orders: int = 500, n: int = 15, factor: float = 1.5) -> DataFrame:
-    """The worst categories beside the overall rate; flagged where theirs is above ``factor`` times it."""
-    return (worst_categories(master, min_orders, n)
-            .withColumn("overall_rate", overall(master, F.avg(BAD)))
+    """The worst categories beside the overall rate; flagged where theirs is above ``factor`` times it.
+
+    The overall rate is summed from the category counts, so the orders are read once. The window without keys
+    sees one row per category, not orders.
+    """
+    per_category = master.groupBy(CATEGORY).agg(
+        F.avg(BAD).alias("bad_rate"), F.count(BAD).alias("n_orders"), _avg_delivery().alias("avg_delivery"),
+        F.sum(BAD).alias("_bad"))
+    everything = Window.partitionBy()
+    ranked = (per_category
+              .withColumn("overall_rate", safe_ratio(F.sum("_bad").over(everything),
+                                                     F.sum("n_orders").over(everything)))
+              .where(F.col(CATEGORY).isNotNull() & (F.col("n_orders") >= min_orders))
+              .withColumn("bad_rate_pct", percent(F.col("bad_rate"))).drop("_bad"))
+    return (highest(ranked, "bad_rate", CATEGORY, n)
             .withColumn("is_elevated", F.col("bad_rate") > F.col("overall_rate") * factor))
 
 

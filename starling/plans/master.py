@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from starling.functions import flag, in_any_bin, month_of, not_null
+from starling.functions import bin_number, flag, month_of, name_of, not_null
 from starling.operators.lookups import look_up
 from starling.operators.orders import delivered_orders, delivery_features, items_rollup, reviews_rollup
 from starling.sources.tables import Tables
@@ -20,9 +20,8 @@ BAD_UP_TO = 2
 def with_delay_bucket(df: DataFrame, edges: Sequence[float] = DELAY_EDGES,
                       names: Sequence[str] = DELAY_NAMES) -> DataFrame:
     """Adds the delay bin's name, and its position for sorting."""
-    delay = F.col("delivery_delay_days")
-    return df.withColumns({"delivery_bucket": in_any_bin(delay, edges, names),
-                           "delivery_bucket_ord": in_any_bin(delay, edges, range(len(names)))})
+    return (df.withColumn("delivery_bucket_ord", bin_number(F.col("delivery_delay_days"), edges))
+            .withColumn("delivery_bucket", name_of(F.col("delivery_bucket_ord"), names)))
 
 
 def order_master(tables: Tables, salts: int = 1) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from starling.functions import risk_tier, safe_ratio
-from starling.operators.levels import group_rare, top_levels
+from starling.operators.levels import group_rare, level_counts, top_levels
 from starling.operators.ordered import auc, stratified_split
 from starling.operators.rates import BAD
 from starling.plans.dashboard import CATEGORY, STATE
@@ -26,8 +26,17 @@ SCORE = "probability_bad"
 
 def grouped_levels(master: DataFrame, n_categories: int = N_CATEGORIES, n_states: int = N_STATES) -> DataFrame:
     """Adds ``cat_grouped`` and ``state_grouped``: frequent categories and states by name, the rest as one."""
-    named = group_rare(master, CATEGORY, n_categories, OTHER_CATEGORY, "cat_grouped")
-    return group_rare(named, STATE, n_states, OTHER_STATE, "state_grouped")
+    counts = level_counts(master, CATEGORY, STATE)
+    named = group_rare(master, counts, CATEGORY, n_categories, OTHER_CATEGORY, "cat_grouped")
+    return group_rare(named, counts, STATE, n_states, OTHER_STATE, "state_grouped")
+
+
+def frequent_levels(master: DataFrame, n_categories: int = N_CATEGORIES, n_states: int = N_STATES) -> DataFrame:
+    """The top categories and states with their counts, both from one pass over the orders."""
+    counts = level_counts(master, CATEGORY, STATE)
+    parts = [top_levels(counts, column, n).select(F.lit(kind).alias("kind"), F.col(column).alias("level"), "n")
+             for kind, column, n in (("category", CATEGORY, n_categories), ("state", STATE, n_states))]
+    return parts[0].unionByName(parts[1])
 
 
 def _number(column: str) -> Column:
@@ -69,12 +78,16 @@ class Levels:
 
 def find_levels(master: DataFrame, n_categories: int = N_CATEGORIES, n_states: int = N_STATES) -> Levels:
     """Names that get a column. Only these few come to the driver; the catch-all is listed if it occurs."""
-    found = []
-    for column, n, other in ((CATEGORY, n_categories, OTHER_CATEGORY), (STATE, n_states, OTHER_STATE)):
-        kept = [r[0] for r in top_levels(master, column, n).collect()]
-        rest = F.col(column).isNull() | ~F.col(column).isin(*kept)
-        found.append(tuple(sorted({*kept, *([] if master.where(rest).isEmpty() else [other])})))
-    return Levels(*found)
+    found = {"category": set(), "state": set()}
+    for row in frequent_levels(master, n_categories, n_states).collect():
+        found[row["kind"]].add(row["level"])
+    rest = [F.count_if(F.col(column).isNull() | ~F.col(column).isin(*found[kind])).alias(kind)
+            for kind, column in (("category", CATEGORY), ("state", STATE))]
+    beyond = master.agg(*rest).first()
+    for kind, other in (("category", OTHER_CATEGORY), ("state", OTHER_STATE)):
+        if beyond[kind]:
+            found[kind].add(other)
+    return Levels(tuple(sorted(found["category"])), tuple(sorted(found["state"])))
 
 
 # ---------------------------------------------------------------- the fitted model

@@ -21,6 +21,7 @@ def local_session(cpus: int | str = 8, name: str = "starling", memory: str = "12
     builder = (SparkSession.builder.master(f"local[{cpus}]").appName(name)
                .config("spark.driver.memory", memory)
                .config("spark.ui.enabled", "false")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
                .config("spark.sql.shuffle.partitions", str(cpus)))
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)

@@ -94,7 +94,12 @@ def write_tables(tables: Tables, folder: str) -> None:
 
 
 def parquet_tables(spark: SparkSession, folder: str) -> Tables:
-    return Tables(**{name: spark.read.parquet(str(PurePosixPath(folder) / name)) for name in CSV_COLUMNS})
+    """The landed tables, narrowed to the columns the operators use."""
+    found = {}
+    for name, columns in CSV_COLUMNS.items():
+        schema = ", ".join(f"{c} {'timestamp_ntz' if c in ORDER_MOMENTS else t}" for c, t in columns.items())
+        found[name] = spark.read.schema(schema).parquet(str(PurePosixPath(folder) / name))
+    return Tables(**found)
 
 
 def region_codes(spark: SparkSession, path: str) -> DataFrame:

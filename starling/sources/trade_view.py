@@ -14,6 +14,19 @@ SAMPLE_LEXICON = (("and", 0.7), ("is", 0.4), ("la", 1.1), ("le", -0.9),
                   ("of", -1.2), ("that", -2.0), ("the", 1.5), ("un", -1.4))
 
 
+# Only the columns in use. Stated, so that opening a table reads no file.
+SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_tax double",
+    "part": "p_partkey bigint, p_brand string",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "nation": "n_nationkey int, n_name string",
+    "documents": "doc_id bigint, text string",
+    "events": "event_id bigint, props string",
+}
+
+
 class TradeFolder:
     """A folder with one Parquet file per trade table."""
 
@@ -21,59 +34,52 @@ class TradeFolder:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
     def orders(self) -> DataFrame:
-        ordered, key = F.col("o_orderdate"), F.col("o_orderkey")
-        hours = 24 * (10 + F.col("o_custkey") % 41) + key % 24
-        return self.table("orders").select(
-            key.alias("order_id"),
-            F.when(F.col("o_orderstatus") == "P", "canceled").otherwise("delivered").alias("order_status"),
-            ordered.alias("order_purchase_timestamp"),
-            F.when(key % 97 != 0, F.timestamp_add("HOUR", hours.cast("int"), ordered))
-             .alias("order_delivered_customer_date"),
-            F.timestamp_add("HOUR", F.lit(720), ordered).alias("order_estimated_delivery_date"))
+        return self.table("orders").selectExpr(
+            "o_orderkey AS order_id",
+            "CASE WHEN o_orderstatus = 'P' THEN 'canceled' ELSE 'delivered' END AS order_status",
+            "o_orderdate AS order_purchase_timestamp",
+            """CASE WHEN o_orderkey % 97 <> 0 THEN
+                 timestampadd(HOUR, CAST(24 * (10 + o_custkey % 41) + o_orderkey % 24 AS INT), o_orderdate)
+               END AS order_delivered_customer_date""",
+            "timestampadd(HOUR, 720, o_orderdate) AS order_estimated_delivery_date")
 
     def items(self) -> DataFrame:
-        price = F.col("l_extendedprice")
-        return self.table("lineitem").select(
-            F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("order_item_id"),
-            F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("seller_id"),
-            price.alias("price"), (price * F.col("l_tax") + 0.0).alias("freight_value"))
+        # A product of zeros may be -0.0; adding 0 makes it 0.0.
+        return self.table("lineitem").selectExpr(
+            "l_orderkey AS order_id", "l_linenumber AS order_item_id", "l_partkey AS product_id",
+            "l_suppkey AS seller_id", "l_extendedprice AS price", "l_extendedprice * l_tax + 0D AS freight_value")
 
     def reviews(self) -> DataFrame:
-        late = F.when(F.col("o_custkey") % 41 > 20, 2).otherwise(0)
-        stars = F.greatest(F.lit(1), 1 + F.col("l_quantity").cast("int") % 5 - late)
         buyers = self.table("orders").select("o_orderkey", "o_custkey")
         return (self.table("lineitem").where("l_linenumber <= 2")
                 .join(buyers, F.col("l_orderkey") == F.col("o_orderkey"))
-                .select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("review_id"),
-                        F.col("l_orderkey").alias("order_id"), stars.cast("int").alias("review_score")))
+                .selectExpr("l_orderkey * 8 + l_linenumber AS review_id", "l_orderkey AS order_id",
+                            """greatest(1, 1 + CAST(l_quantity AS INT) % 5
+                                 - CASE WHEN o_custkey % 41 > 20 THEN 2 ELSE 0 END) AS review_score"""))
 
     def products(self) -> DataFrame:
-        return self.table("part").select(F.col("p_partkey").alias("product_id"),
-                                         F.col("p_brand").alias("product_category_name"))
+        return self.table("part").selectExpr("p_partkey AS product_id", "p_brand AS product_category_name")
 
     def translation(self) -> DataFrame:
-        brand = F.col("p_brand")
-        return (self.table("part").where(brand != "Brand#13").select(brand).distinct()
-                .select(brand.alias("product_category_name"),
-                        F.lower(brand).alias("product_category_name_english")))
+        return (self.table("part").where("p_brand <> 'Brand#13'").select("p_brand").distinct()
+                .selectExpr("p_brand AS product_category_name",
+                            "lower(p_brand) AS product_category_name_english"))
 
     def sellers(self) -> DataFrame:
-        nations = self.table("nation")
         return (self.table("supplier").where("s_suppkey % 29 <> 0")
-                .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-                .select(F.col("s_suppkey").alias("seller_id"), F.col("n_name").alias("seller_state")))
+                .join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+                .selectExpr("s_suppkey AS seller_id", "n_name AS seller_state"))
 
     def region_codes(self) -> DataFrame:
-        return self.table("nation").select(F.col("n_name").alias("seller_state"))
+        return self.table("nation").selectExpr("n_name AS seller_state")
 
     def review_texts(self) -> DataFrame:
-        doc = F.col("doc_id")
-        return self.table("documents").select(
-            doc.alias("review_id"), doc.alias("order_id"), (1 + doc % 5).cast("int").alias("review_score"),
-            F.col("text").alias("review_comment_message"))
+        return self.table("documents").selectExpr(
+            "doc_id AS review_id", "doc_id AS order_id", "CAST(1 + doc_id % 5 AS INT) AS review_score",
+            "text AS review_comment_message")
 
     def tables(self) -> Tables:
         return Tables(self.orders(), self.items(), self.reviews(), self.products(),
