@@ -25,7 +25,7 @@ def bin_number(value: Column, edges: Sequence[float]) -> Column:
 
 def name_of(number: Column, names: Sequence[str]) -> Column:
     """The name at a position counted from 0; NULL for NULL."""
-    return F.array(*[F.lit(n) for n in names])[number]
+    return F.get(F.array(*[F.lit(n) for n in names]), number)
 
 
 def half_even(value: Column) -> Column:
