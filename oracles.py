@@ -126,9 +126,11 @@ WORDS = """WITH lexicon AS (
 texts AS (
   SELECT doc_id, CAST(1 + doc_id % 5 AS INTEGER) AS review_score, text,
          regexp_split_to_array(lower(text), '[^\\p{L}'']+') AS words FROM documents),
+placed AS (
+  SELECT doc_id, unnest(words) AS token, unnest(range(1, len(words) + 1)) AS i FROM texts),
 tokens AS (
-  SELECT doc_id, words[i] AS token, words[greatest(1, i - 3):i - 1] AS earlier
-  FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM texts)),
+  SELECT doc_id, token, lag(token, 1) OVER w AS back1, lag(token, 2) OVER w AS back2, lag(token, 3) OVER w AS back3
+  FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 """
 
 
@@ -143,7 +145,8 @@ scored AS (
 """
 
 
-NEGATED = "CASE WHEN list_has_any(earlier, ['to', 'in', 'de', 'un']) THEN -0.74 ELSE 1.0 END"
+NEGATED = """CASE WHEN back1 IN ('to', 'in', 'de', 'un') OR back2 IN ('to', 'in', 'de', 'un')
+  OR back3 IN ('to', 'in', 'de', 'un') THEN -0.74 ELSE 1.0 END"""
 
 
 def _boxes(quartiles):
