@@ -227,7 +227,8 @@ def top_n_levels(spark, folder):
 
 
 def rare_level_grouping(spark, folder):
-    return risk_model.grouped_levels(_master(spark, folder)).select("order_id", "cat_grouped", "state_grouped")
+    named = settled(_master(spark, folder).select("order_id", dashboard.CATEGORY, dashboard.STATE))
+    return risk_model.grouped_levels(named).select("order_id", "cat_grouped", "state_grouped")
 
 
 def model_features(spark, folder):

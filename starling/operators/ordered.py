@@ -1,7 +1,8 @@
 """Figures that depend on the order of values - running totals, quantiles, ROC, AUC, exact splits -
 without ever sorting raw rows in one task.
 
-Raw rows are first counted per distinct value. The value range is cut into ``fan`` coarse cells of ``fan``
+Raw rows are first counted per distinct value, and the counts settled, since they are read several times and
+the rows behind them may be dear. The value range is cut into ``fan`` coarse cells of ``fan``
 fine cells each. Totals run over coarse cells, over the fine cells of one coarse cell, and over the
 distinct values of one fine cell; the three are added up. Every sort therefore sees at most ``fan`` cells or
 the distinct values of one fine cell (one part in ``fan`` squared of the range), and the totals are exact.
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from starling.functions import flag, safe_ratio
 from starling.operators.lookups import look_up
+from starling.session import settled
 
 FAN = 10_000
 SPREAD = 32
@@ -65,8 +67,8 @@ def running_totals(counts: DataFrame, value: str, measures: Sequence[str], low:
 
 
 def _per_value(df: DataFrame, value: str, by: Sequence[str], **measures: Column) -> DataFrame:
-    return (df.where(F.col(value).isNotNull()).groupBy(*by, value)
-            .agg(*[m.alias(name) for name, m in measures.items()]))
+    return settled(df.where(F.col(value).isNotNull()).groupBy(*by, value)
+                   .agg(*[m.alias(name) for name, m in measures.items()]))
 
 
 # ---------------------------------------------------------------- quantiles and box plots
@@ -112,17 +114,20 @@ def five_numbers(df: DataFrame, by: str, value: str, low: float, high: float,
 
 # ---------------------------------------------------------------- ROC and AUC
 
-def _score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
-    return _per_value(df.where(F.col(label).isNotNull()), score, [],
-                      pos=F.sum(F.col(label).cast("long")), neg=F.sum(1 - F.col(label).cast("long")))
+def _score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    bad = F.col(label).cast("long")
+    return _per_value(df.where(bad.isNotNull()), score, by, pos=F.sum(bad), neg=F.sum(1 - bad),
+                      step=F.max(F.lit(1).cast("long")))
 
 
-def auc(df: DataFrame, label: str, score: str, fan: int = FAN) -> DataFrame:
-    """One row: chance that a bad order scores above a good one, ties counting half. NULL with one class."""
-    counts = running_totals(_score_counts(df, label, score), score, ["neg"], 0.0, 1.0, fan=fan)
+def auc(df: DataFrame, label: str, score: str, by: Sequence[str] = (), fan: int = FAN) -> DataFrame:
+    """Per group, or in one row: the chance that a bad order scores above a good one, ties counting half.
+    NULL with one class."""
+    counts = running_totals(_score_counts(df, label, score, by), score, ["neg"], 0.0, 1.0, by=by, fan=fan)
     wins = F.col("pos") * ((F.col("neg_upto") - F.col("neg")) + F.col("neg") / 2)
-    return (counts.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(wins).alias("_wins"))
-            .select("n_pos", "n_neg",
+    return (counts.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
+                                    F.sum(wins).alias("_wins"))
+            .select(*by, "n_pos", "n_neg",
                     safe_ratio(F.col("_wins"), F.col("n_pos").cast("double") * F.col("n_neg")).alias("auc")))
 
 
@@ -131,7 +136,7 @@ def roc_curve(df: DataFrame, label: str, score: str, corners_only: bool = False,
 
     ``corners_only`` leaves out inner points on a straight piece: those whose step equals the next one's.
     """
-    counts = _score_counts(df, label, score).withColumn("step", F.lit(1).cast("long"))
+    counts = _score_counts(df, label, score)
     points = running_totals(counts, score, ["pos", "neg", "step"], 0.0, 1.0, descending=True, fan=fan)
     if corners_only:
         following = points.select((F.col("step_upto") - 1).alias("step_upto"),

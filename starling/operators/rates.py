@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from starling.functions import clip, flag, percent
 from starling.operators.lookups import look_up
+from starling.session import settled
 
 BAD = "is_bad_review"
 
@@ -67,6 +68,7 @@ def histogram(df: DataFrame, value: str, split: str, low: float, high: float, bi
     clipped = df.select(F.col(split), clip(F.col(value), low, high).cast("double").alias("_v")).dropna()
     counts = clipped.groupBy(split, "_v").agg(F.count(F.lit(1)).alias("_n"))
     if own_range:
+        counts = settled(counts)          # read twice: for the ranges and for the bins
         ends = (counts.groupBy(F.col(split).alias("_class"))
                 .agg(F.min("_v").alias("_low"), F.max("_v").alias("_high")))
         # A class with a single value gets a range of width one around it.

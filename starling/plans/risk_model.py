@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from starling.functions import risk_tier, safe_ratio
 from starling.operators.levels import group_rare, level_counts, top_levels
@@ -25,7 +25,8 @@ SCORE = "probability_bad"
 # ---------------------------------------------------------------- inputs
 
 def grouped_levels(master: DataFrame, n_categories: int = N_CATEGORIES, n_states: int = N_STATES) -> DataFrame:
-    """Adds ``cat_grouped`` and ``state_grouped``: frequent categories and states by name, the rest as one."""
+    """Adds ``cat_grouped`` and ``state_grouped``: frequent categories and states by name, the rest as one.
+    Reads ``master`` twice, so give it the stored mart or a settled frame."""
     counts = level_counts(master, CATEGORY, STATE)
     named = group_rare(master, counts, CATEGORY, n_categories, OTHER_CATEGORY, "cat_grouped")
     return group_rare(named, counts, STATE, n_states, OTHER_STATE, "state_grouped")
@@ -52,8 +53,8 @@ def model_numbers(df: DataFrame) -> DataFrame:
 def class_weights(df: DataFrame, label: str = BAD) -> DataFrame:
     """Per class: rows, and the weight N / (classes * n) under which all classes count alike."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.agg(F.struct(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes"))).scalar()
-    return counts.withColumn("weight", totals["rows"] / (totals["classes"] * F.col("n")))
+    classes = Window.partitionBy()        # over one row per class
+    return counts.withColumn("weight", F.sum("n").over(classes) / (F.count("n").over(classes) * F.col("n")))
 
 
 @dataclass(frozen=True)
@@ -148,13 +149,12 @@ def train(master: DataFrame, key: str = "order_id", trees: int = 150, depth: int
 
 def train_and_test_auc(scored: DataFrame) -> DataFrame:
     """One row: AUC on training and test orders, and how much lower the test one is (a negative gap)."""
-    sides = [auc(scored.where(F.col("is_test") == side), BAD, SCORE) for side in (0, 1)]
-    figures = [side.agg(F.struct(F.max("auc").alias("auc"), F.max(F.col("n_pos") + F.col("n_neg")).alias("n")))
-               .scalar() for side in sides]
-    return (scored.sparkSession.range(1)
-            .select(figures[0].alias("train"), figures[1].alias("test"))
-            .select(F.col("train.n").alias("n_train"), F.col("test.n").alias("n_test"),
-                    F.col("train.auc").alias("train_auc"), F.col("test.auc").alias("test_auc"))
+    sides = auc(scored, BAD, SCORE, by=["is_test"])
+    def of(side, figure):
+        return F.max(F.when(F.col("is_test") == side, figure))
+    return (sides.agg(of(0, F.col("n_pos") + F.col("n_neg")).alias("n_train"),
+                      of(1, F.col("n_pos") + F.col("n_neg")).alias("n_test"),
+                      of(0, F.col("auc")).alias("train_auc"), of(1, F.col("auc")).alias("test_auc"))
             .withColumn("gap", F.col("test_auc") - F.col("train_auc")))
 
 
