@@ -29,7 +29,7 @@ TREES, DEPTH = 20, 5
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    return rates.rounded(df, 6, *columns)
 
 
 _plans: dict[tuple[str, str], tuple] = {}
@@ -288,6 +288,10 @@ def feature_importance(spark, folder):
     return _fit(spark, folder)[0].importance()
 
 
+def split_importance(spark, folder):
+    return _fit(spark, folder)[0].importance(kind="splits")
+
+
 def model_confusion(spark, folder):
     tested = _fit(spark, folder)[1].where("is_test = 1")
     return evaluation.precision_recall(tested, "is_bad_review", risk_model.SCORE)
@@ -348,7 +352,7 @@ REGISTERED = (
     raw_bad_share, delay_histogram, delay_histogram_own_range, late_effect_ztest, late_effect_pvalue,
     top_n_levels, rare_level_grouping, model_features, train_test_split, stratified_split, class_weights,
     auc_rank_sum, roc_curve, roc_curve_corners, confusion_matrix, precision_recall, risk_tiers, risk_model_auc,
-    feature_importance, model_confusion, model_roc, score_scenarios, review_sentiment, review_sentiment_negated,
+    feature_importance, split_importance, model_confusion, model_roc, score_scenarios, review_sentiment, review_sentiment_negated,
     sentiment_by_star, sentiment_by_star_midpoint, sentiment_mismatch, mismatched_reviews, sample_by_hash,
 )
 

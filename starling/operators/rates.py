@@ -48,6 +48,11 @@ def lowest(df: DataFrame, by: str, name: str, n: int) -> DataFrame:
     return df.orderBy(F.asc(by), F.asc(name)).limit(n)
 
 
+def ascending(top: DataFrame, by: str, name: str) -> DataFrame:
+    """A finished ranking turned round, as a bar chart that grows upwards wants it."""
+    return top.orderBy(F.asc(by), F.asc(name))
+
+
 def value_counts(df: DataFrame, column: str, name: str = "n") -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias(name))
 
@@ -66,9 +71,9 @@ def histogram(df: DataFrame, value: str, split: str, low: float, high: float, bi
     """Rows per class and equal-width bin of ``value`` clipped to ``[low, high]``; the top edge falls in the
     last bin. ``own_range`` spans each class's bins over its own clipped range instead. Empty bins are absent."""
     clipped = df.select(F.col(split), clip(F.col(value), low, high).cast("double").alias("_v")).dropna()
-    counts = clipped.groupBy(split, "_v").agg(F.count(F.lit(1)).alias("_n"))
     if own_range:
-        counts = settled(counts)          # read twice: for the ranges and for the bins
+        # Read twice, for the ranges and for the bins, so counted per value and settled first.
+        counts = settled(clipped.groupBy(split, "_v").agg(F.count(F.lit(1)).alias("_n")))
         ends = (counts.groupBy(F.col(split).alias("_class"))
                 .agg(F.min("_v").alias("_low"), F.max("_v").alias("_high")))
         # A class with a single value gets a range of width one around it.
@@ -77,13 +82,18 @@ def histogram(df: DataFrame, value: str, split: str, low: float, high: float, bi
                   .withColumns({"_low": F.when(flat, F.col("_low") - 0.5).otherwise(F.col("_low")),
                                 "_high": F.when(flat, F.col("_high") + 0.5).otherwise(F.col("_high"))}))
     else:
-        counts = counts.withColumns({"_low": F.lit(float(low)), "_high": F.lit(float(high))})
+        counts = clipped.withColumns({"_low": F.lit(float(low)), "_high": F.lit(float(high)), "_n": F.lit(1)})
     place = F.least(F.width_bucket("_v", "_low", "_high", F.lit(bins)), F.lit(bins).cast("long")).cast("int")
     start = F.col("_low") + (F.col("bin") - 1) * (F.col("_high") - F.col("_low")) / bins
     return (counts.withColumn("bin", place).withColumn("bin_start", start)
             .groupBy(split, "bin").agg(F.min("bin_start").alias("bin_start"), F.sum("_n").alias("n")))
 
 
+def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    """The columns rounded for display, halves away from zero."""
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
 def profile(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows and columns of each table."""
     sizes = [df.agg(F.count(F.lit(1)).alias("n_rows"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -104,10 +106,17 @@ class RiskModel:
         probability = vector_to_array("probability")[1].alias(SCORE)
         return scored.select(*orders.columns, probability).withColumn("risk", risk_tier(F.col(SCORE)))
 
-    def importance(self, n: int = 15) -> DataFrame:
-        """The ``n`` largest gain-based importances; over all features they sum to 1."""
-        shares = map(float, self.trees.featureImportances.toArray())
-        rows = sorted(zip(self.levels.names(), shares), key=lambda r: (-r[1], r[0]))[:n]
+    def importance(self, n: int = 15, kind: str = "gain") -> DataFrame:
+        """The ``n`` most important inputs: by ``gain``, shares that sum to 1 over all inputs, or by
+        ``splits``, the number of times the trees ask for them. Works on the model, not on data."""
+        if kind == "gain":
+            figures = map(float, self.trees.featureImportances.toArray())
+        elif kind == "splits":
+            asked = Counter(re.findall(r"If \(feature (\d+) ", self.trees.toDebugString))
+            figures = (float(asked[str(i)]) for i in range(self.trees.numFeatures))
+        else:
+            raise ValueError(f"unknown kind of importance {kind}")
+        rows = sorted(zip(self.levels.names(), figures), key=lambda r: (-r[1], r[0]))[:n]
         return SparkSession.active().createDataFrame(rows, "feature string, importance double")
 
     def save(self, path: str) -> None:

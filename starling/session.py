@@ -31,16 +31,19 @@ def local_session(cpus: int | str = 8, name: str = "starling", memory: str = "12
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; made up only on a local master that names none."""
+    """The folder named in ``spark.checkpoint.dir``, made the one in use. Where the setting is absent, the
+    folder already in use; where there is none either, a new one, but only on a local master."""
+    context = spark.sparkContext
+    in_use = context.getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and in_use is not None:
+        return in_use
     if named is None:
-        named = spark.sparkContext.getCheckpointDir()
-    if named is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="starling-checkpoint-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
+    if in_use is None or named.rstrip("/") not in in_use:
+        context.setCheckpointDir(named)
     return named
 
 

@@ -1,6 +1,8 @@
 import small
 from starling.operators.lookups import fill_groups
-from starling.operators.rates import highest, histogram, keep_listed, lowest, overall_figures, profile, share
+from starling.operators.rates import (
+    ascending, highest, histogram, keep_listed, lowest, overall_figures, preview, profile, rounded, share,
+)
 from starling.plans import dashboard
 from starling.plans.master import order_master
 from pyspark.sql import functions as F
@@ -63,3 +65,12 @@ def test_profile(spark):
 def test_list_filter_on_one_column(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
     assert keep_listed(df, k=["a"]).count() == 1 and keep_listed(df, k=[]).count() == 3
+
+
+def test_ranking_turned_round_rounding_and_preview(spark):
+    df = spark.createDataFrame([("a", 0.12345), ("b", 0.5), ("c", 0.5)], "k string, r double")
+    top = highest(df, "r", "k", 3)
+    assert [r.k for r in top.collect()] == ["b", "c", "a"]
+    assert [r.k for r in ascending(top, "r", "k").collect()] == ["a", "b", "c"]
+    assert rounded(df, 3, "r").first().r == 0.123
+    assert [tuple(r) for r in preview(df, ["k"], "k", 2).collect()] == [("a",), ("b",)]

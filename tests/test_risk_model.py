@@ -67,6 +67,10 @@ def test_model_separates(fitted):
     assert importance[0].feature in ("delivery_delay_days", "delivery_time_days")
     assert sum(r.importance for r in importance) == pytest.approx(1.0)
     assert len(fitted[0].importance().collect()) == 15
+    asked = fitted[0].importance(100, kind="splits").collect()
+    nodes = sum(tree.numNodes for tree in fitted[0].trees.trees)
+    assert sum(r.importance for r in asked) == (nodes - len(fitted[0].trees.trees)) / 2
+    assert {r.feature for r in asked if r.importance} == {r.feature for r in importance if r.importance}
 
 
 def test_saved_model_scores_alike_and_streams(spark, fitted, tmp_path):
