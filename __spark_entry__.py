@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -14,7 +15,8 @@ from oracles import ORACLES  # noqa: E402
 from starling.functions import clip, risk_tier  # noqa: E402
 from starling.operators import evaluation, ordered, orders as order_ops, rates, sentiment, significance  # noqa: E402
 from starling.plans import dashboard, master as mart, review_text, risk_model  # noqa: E402
-from starling.session import settled  # noqa: E402
+from starling.session import checkpoint_folder, settled  # noqa: E402
+from starling.sources.tables import CSV_COLUMNS, csv_tables  # noqa: E402
 from starling.sources.trade_view import TradeFolder, sample_lexicon  # noqa: E402
 
 SMOKE_FOLDER = "/root/testdata/sf0.001"
@@ -85,6 +87,34 @@ def scan_profile(spark, folder):
     return rates.profile(_tables(spark, folder).named())
 
 
+def _new_folder(spark, kind):
+    """A folder of its own for one run, where all executors can reach it."""
+    return f"{checkpoint_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def csv_ingest(spark, folder):
+    """The six tables written as CSV, read back with their schemas, and profiled."""
+    out, files = _new_folder(spark, "csv"), {}
+    for name, df in _tables(spark, folder).named().items():
+        absent = [c for c in CSV_COLUMNS[name] if c not in df.columns]
+        files[name] = f"{out}/{name}"
+        df.withColumns({c: F.lit(None).cast("string") for c in absent}).write.csv(files[name], header=True)
+    back = csv_tables(spark, files)
+    delivered = order_ops.delivery_features(order_ops.delivered_orders(back.orders))
+    return (rates.profile(back.named())
+            .unionByName(delivered.agg(F.sum("delivery_time_days").alias("n_rows"))
+                         .selectExpr("'delivery days' AS table_name", "n_rows", "0 AS n_columns")))
+
+
+def mart_by_month(spark, folder):
+    """The mart stored by month and read back; later months only, so whole folders are skipped."""
+    out = _new_folder(spark, "mart")
+    mart.write_mart(_master(spark, folder), out)
+    late = mart.read_mart(spark, out).where("purchase_month >= DATE'1998-01-01'")
+    return rounded(late.groupBy("purchase_month").agg(
+        F.count(F.lit(1)).alias("n_orders"), F.avg("review_score").alias("avg_review")), "avg_review")
+
+
 def json_dimension(spark, folder):
     field = F.get_json_object("props", "$.k").cast("int").alias("k")
     events = TradeFolder(spark, folder).table("events").select(field)
@@ -220,6 +250,11 @@ def late_effect_pvalue(spark, folder):
     return significance.late_effect_p(_master(spark, folder))
 
 
+def late_effect_verdict(spark, folder):
+    tested = significance.late_effect_p(_master(spark, folder))
+    return tested.select(F.round("chi2", 4).alias("chi2"), "verdict")
+
+
 # ---------------------------------------------------------------- model inputs
 
 def top_n_levels(spark, folder):
@@ -345,11 +380,11 @@ def sample_by_hash(spark, folder):
 
 
 REGISTERED = (
-    scan_profile, json_dimension, distinct_categories, distinct_states, table_preview, delivered_orders,
-    delivery_features, delivery_buckets, items_rollup, reviews_rollup, order_master, kpis, filtered_kpis,
+    scan_profile, csv_ingest, json_dimension, distinct_categories, distinct_states, table_preview, delivered_orders,
+    delivery_features, delivery_buckets, items_rollup, reviews_rollup, order_master, mart_by_month, kpis, filtered_kpis,
     bad_rate_by_delivery_bucket, filtered_bad_rate_by_delivery_bucket, worst_categories, best_categories,
     elevated_categories, monthly_trend, state_rates, state_summary, state_rates_dense, score_distribution,
-    raw_bad_share, delay_histogram, delay_histogram_own_range, late_effect_ztest, late_effect_pvalue,
+    raw_bad_share, delay_histogram, delay_histogram_own_range, late_effect_ztest, late_effect_pvalue, late_effect_verdict,
     top_n_levels, rare_level_grouping, model_features, train_test_split, stratified_split, class_weights,
     auc_rank_sum, roc_curve, roc_curve_corners, confusion_matrix, precision_recall, risk_tiers, risk_model_auc,
     feature_importance, split_importance, model_confusion, model_roc, score_scenarios, review_sentiment, review_sentiment_negated,

@@ -204,6 +204,21 @@ TOP_STATES = """(SELECT seller_state AS level, count(*) AS n FROM v_master WHERE
 ORACLES = {
     "scan_profile": VIEWS + _profile({"orders": 5, "items": 6, "reviews": 3, "products": 2,
                                       "translation": 2, "sellers": 2}),
+    "csv_ingest": VIEWS + _profile({"orders": 7, "items": 6, "reviews": 4, "products": 2, "translation": 2,
+                                    "sellers": 2}) + """
+UNION ALL SELECT 'delivery days', CAST(sum(delivery_time_days) AS BIGINT), 0 FROM v_delivered""",
+    "mart_by_month": VIEWS + """SELECT CAST(date_trunc('month', order_purchase_timestamp) AS DATE) AS purchase_month,
+  count(*) AS n_orders, round(avg(review_score), 6) AS avg_review FROM v_master
+WHERE order_purchase_timestamp >= TIMESTAMP '1998-01-01' GROUP BY 1""",
+    "late_effect_verdict": VIEWS + """, c AS (
+  SELECT count(*) FILTER (delivery_delay_days <= 0) AS n1, sum(is_bad_review) FILTER (delivery_delay_days <= 0) AS b1,
+         count(*) FILTER (delivery_delay_days > 0) AS n2, sum(is_bad_review) FILTER (delivery_delay_days > 0) AS b2
+  FROM v_master),
+z AS (SELECT (b2 / n2 - b1 / n1) / sqrt((b1 + b2) / (n1 + n2) * (1 - (b1 + b2) / (n1 + n2)) * (1.0 / n1 + 1.0 / n2))
+        AS z FROM c)
+-- The two-sided p is under 0.001 where z is beyond 3.290527.
+SELECT round(z * z, 4) AS chi2, CASE WHEN abs(z) > 3.290527 THEN 'p < 0.001 (extremely significant)' END AS verdict
+FROM z""",
     "json_dimension": """SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS n_events
 FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1""",
     "distinct_categories": VIEWS + "SELECT DISTINCT product_category_name_english FROM v_master",

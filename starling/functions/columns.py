@@ -7,12 +7,16 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-MICROS_PER_DAY = 24 * 60 * 60 * 1e6
-
 
 def whole_days(start: str, end: str) -> Column:
-    """Days from ``start`` to ``end``, rounded towards minus infinity (nine hours early is -1)."""
-    return F.floor(F.timestamp_diff("MICROSECOND", F.col(start), F.col(end)) / MICROS_PER_DAY)
+    """Days from ``start`` to ``end``, rounded towards minus infinity (nine hours early is -1).
+
+    Subtracting gives an interval that knows no time zone; its day part is cut towards zero, so one more day
+    comes off where something negative is left over.
+    """
+    gap = F.col(end) - F.col(start)
+    days = F.extract(F.lit("DAY"), gap)
+    return (days - flag(gap < F.make_dt_interval(days))).cast("long")
 
 
 def bin_number(value: Column, edges: Sequence[float]) -> Column:

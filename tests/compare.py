@@ -44,7 +44,7 @@ def sql_result(con, sql):
 def kinds(df, con, sql):
     """Spark and SQL column types under common names, for those that differ."""
     names = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
-             "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+             "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
     ours = {c: names.get(t, t) for c, t in df.dtypes}
     theirs = {r[0]: r[1] for r in con.execute("DESCRIBE " + sql).fetchall()}
     return {c: (ours[c], theirs.get(c)) for c in ours if ours[c] != theirs.get(c)}

@@ -21,6 +21,14 @@ def test_days_round_down(spark):
     assert [r[0] for r in df.select(whole_days("due", "came")).collect()] == [-1, 0, -1, 7, 6, None]
 
 
+def test_days_ignore_the_session_zone(spark, settings):
+    settings(spark__sql__session__timeZone="America/Sao_Paulo")      # clocks went forward on 4 November 2018
+    pairs = [(datetime(2018, 11, 3, 12), datetime(2018, 11, 4, 12)), (datetime(2018, 11, 4, 12), datetime(2018, 11, 3, 12)),
+             (datetime(2018, 11, 3, 12), datetime(2018, 11, 4, 11, 59, 59, 999999))]
+    df = spark.createDataFrame(pairs, "a timestamp_ntz, b timestamp_ntz")
+    assert [r[0] for r in df.select(whole_days("a", "b")).collect()] == [1, -1, 0]
+
+
 def test_bin_edges_close_on_the_right(spark):
     delays = [-101, -100, -99, -7, -6, -1, 0, 1, 7, 8, 100, 101, None]
     expected = [None, None, 0, 0, 1, 1, 2, 3, 3, 4, 4, None, None]
