@@ -35,20 +35,23 @@ def review_sentiment(reviews: DataFrame, lexicon: DataFrame, keys: Sequence[str]
     words are summed per review where they are read, and one row per review is shuffled, never the words.
     """
     carried = [*keys, STARS]
-    words = F.split(F.lower(TEXT), word_break)
-    texts = reviews.where(F.col(TEXT).isNotNull())
+    texts = (reviews.where(F.col(TEXT).isNotNull())
+             .select(*carried, F.split(F.lower(TEXT), word_break).alias("token")))
+    behind = [f"back{k}" for k in range(1, NEGATION_REACH + 1)] if negators else []
+    if negators:
+        # Marks of negators, moved one to three places on, so that each word meets those before it. A text
+        # without any gets none. Words and marks are columns of their own, so that each is computed once.
+        texts = texts.withColumn("marks", F.when(
+            F.arrays_overlap("token", F.array(*[F.lit(n) for n in negators])),
+            F.transform("token", lambda word: word.isin(*negators))).otherwise(F.array().cast("array<boolean>")))
+        texts = texts.withColumns({name: F.when(F.size("marks") > 0, F.concat(
+            F.array_repeat(F.lit(False), k), "marks")).otherwise(F.col("marks"))
+            for k, name in enumerate(behind, 1)})
+    # The moved marks reach past the last word, where there is no token.
+    rows = texts.select(*carried, F.inline(F.arrays_zip("token", *behind))).where(F.col("token").isNotNull())
     valence = F.coalesce(F.col("valence"), F.lit(0.0))
     if negators:
-        # Each word beside marks for the places before it: the array of marks, shifted.
-        marks = F.transform(words, lambda word: word.isin(*negators))
-        behind = {f"back{k}": F.concat(F.array_repeat(F.lit(False), k), marks)
-                  for k in range(1, NEGATION_REACH + 1)}
-        rows = (texts.select(*carried, F.inline(F.arrays_zip(
-            words.alias("token"), *[shifted.alias(name) for name, shifted in behind.items()])))
-            .where(F.col("token").isNotNull()))      # shifting adds places past the last word
         valence = valence * F.when(reduce(or_, map(F.col, behind)), NEGATION).otherwise(1.0)
-    else:
-        rows = texts.select(*carried, F.explode(words).alias("token"))
     total = F.col("_sum")
     return (rows.join(lexicon.select("token", "valence"), "token", "left")
             .groupBy(*carried).agg(F.sum(valence).alias("_sum"))
