@@ -23,11 +23,15 @@ def keep_listed(df: DataFrame, **chosen: Sequence) -> DataFrame:
 
 
 def grouped_rates(df: DataFrame, key: str, min_orders: int = 0, **extra: Column) -> DataFrame:
-    """Bad-review rate and order count per non-null ``key``, for groups of at least ``min_orders``."""
-    columns = [F.avg(BAD).alias("bad_rate"), F.count(BAD).alias("n_orders")]
+    """Bad-review rate and order count per non-null ``key``, for groups of at least ``min_orders``.
+
+    The NULL group is dropped after the counting: as a condition on rows, a computed key would be worked out
+    again in the scan's filter.
+    """
+    columns = [F.avg(BAD).alias("bad_rate"), F.count(BAD).alias("n_orders"), F.count(key).alias("_keyed")]
     columns += [measure.alias(name) for name, measure in extra.items()]
-    return (df.where(F.col(key).isNotNull()).groupBy(key).agg(*columns)
-            .where(F.col("n_orders") >= min_orders)
+    return (df.groupBy(key).agg(*columns)
+            .where((F.col("n_orders") >= min_orders) & (F.col("_keyed") > 0)).drop("_keyed")
             .withColumn("bad_rate_pct", percent(F.col("bad_rate"))))
 
 
@@ -54,7 +58,8 @@ def ascending(top: DataFrame, by: str, name: str) -> DataFrame:
 
 
 def value_counts(df: DataFrame, column: str, name: str = "n") -> DataFrame:
-    return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias(name))
+    """Rows per non-null value. Values are counted rather than rows, so the NULL group comes out as 0."""
+    return df.groupBy(column).agg(F.count(column).alias(name)).where(F.col(name) > 0)
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
