@@ -349,11 +349,11 @@ def score_scenarios(spark, folder):
 # ---------------------------------------------------------------- review texts
 
 def review_sentiment(spark, folder):
-    return _scored_texts(spark, folder)
+    return _scored_texts(spark, folder).drop("text_hash")
 
 
 def review_sentiment_negated(spark, folder):
-    return _scored_texts(spark, folder, SAMPLE_NEGATORS)
+    return _scored_texts(spark, folder, SAMPLE_NEGATORS).drop("text_hash")
 
 
 def sentiment_by_star(spark, folder):

@@ -311,9 +311,11 @@ UNION ALL SELECT 0, 1, fp FROM c UNION ALL SELECT 1, 0, fn FROM c UNION ALL SELE
   CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 6) ELSE 0.0 END AS recall FROM c""",
     "risk_tiers": VIEWS + """SELECT CASE WHEN score > 0.5 THEN 'Likely bad review'
   WHEN score > 0.3 THEN 'Elevated risk' ELSE 'Low risk' END AS risk, count(*) AS n_orders FROM v_score GROUP BY 1""",
-    "review_sentiment": _sentiment() + "SELECT review_id, order_id, review_score, sentiment FROM scored",
+    "review_sentiment": _sentiment() + """SELECT review_id, order_id, review_score, sentiment,
+  count(*) OVER (PARTITION BY review_id, review_comment_message) AS n_copies FROM scored""",
     "review_sentiment_negated":
-        _sentiment(NEGATED) + "SELECT review_id, order_id, review_score, sentiment FROM scored",
+        _sentiment(NEGATED) + """SELECT review_id, order_id, review_score, sentiment,
+  count(*) OVER (PARTITION BY review_id, review_comment_message) AS n_copies FROM scored""",
     "sentiment_by_star": _boxes(LINEAR),
     "sentiment_by_star_midpoint": _boxes(MIDPOINT),
     "sentiment_mismatch": _sentiment() + """SELECT

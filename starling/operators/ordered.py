@@ -83,10 +83,12 @@ def _rank(share: float, method: str) -> Column:
 
 
 def five_numbers(df: DataFrame, by: str, value: str, low: float, high: float,
-                 method: str = "linear", fan: int = FAN) -> DataFrame:
+                 method: str = "linear", copies: str | None = None, fan: int = FAN) -> DataFrame:
     """Box-plot figures per group: size, quartiles, whiskers (the furthest values within 1.5 times the
-    quartile distance) and the number of values beyond them. Exact for any group size."""
-    counts = _per_value(df.where(F.col(by).isNotNull()), value, [by], n=F.count(F.lit(1)))
+    quartile distance) and the number of values beyond them. Exact for any group size. ``copies`` names a
+    column that says how many rows each row stands for."""
+    size = F.sum(copies) if copies else F.count(F.lit(1))
+    counts = _per_value(df.where(F.col(by).isNotNull()), value, [by], n=size)
     ranked = running_totals(counts, value, ["n"], low, high, by=[by], fan=fan)
     # The value at position r is the smallest one whose running count exceeds r.
     cuts = {"q1": 0.25, "median": 0.5, "q3": 0.75}

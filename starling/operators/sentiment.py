@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed values of the published VADER method: normalisation and negation factor, and its negators.
 NORMALISER = 15.0
@@ -27,16 +27,22 @@ WORD_BREAK = r"[^\p{L}']+"
 TEXT, STARS = "review_comment_message", "review_score"
 
 
+def text_hash(text: str = TEXT) -> Column:
+    return F.xxhash64(text)
+
+
 def review_sentiment(reviews: DataFrame, lexicon: DataFrame, keys: Sequence[str] = ("review_id", "order_id"),
                      negators: Sequence[str] = NEGATORS, word_break: str = WORD_BREAK) -> DataFrame:
-    """Sentiment in [-1, 1] per review with a text; ``keys`` together are unique per review.
+    """Sentiment in [-1, 1] per review with a text. Reviews alike in keys, stars and text come as one row with
+    their number in ``n_copies``; ``text_hash`` tells the texts of one key apart.
 
     Every word of every text is looked up. The word list (token, valence) is small, so Spark broadcasts it;
     words are summed per review where they are read, and one row per review is shuffled, never the words.
     """
-    carried = [*keys, STARS]
-    texts = (reviews.where(F.col(TEXT).isNotNull())
-             .select(*carried, F.split(F.lower(TEXT), word_break).alias("token")))
+    carried = [*keys, STARS, "text_hash"]
+    texts = (reviews.where(F.col(TEXT).isNotNull()).withColumn("text_hash", text_hash())
+             .select(*carried, F.split(F.lower(TEXT), word_break).alias("token"),
+                     F.array(F.lit(True)).alias("is_first")))
     behind = [f"back{k}" for k in range(1, NEGATION_REACH + 1)] if negators else []
     if negators:
         # Marks of negators, moved one to three places on, so that each word meets those before it. A text
@@ -48,14 +54,15 @@ def review_sentiment(reviews: DataFrame, lexicon: DataFrame, keys: Sequence[str]
             F.array_repeat(F.lit(False), k), "marks")).otherwise(F.col("marks"))
             for k, name in enumerate(behind, 1)})
     # The moved marks reach past the last word, where there is no token.
-    rows = texts.select(*carried, F.inline(F.arrays_zip("token", *behind))).where(F.col("token").isNotNull())
+    rows = (texts.select(*carried, F.inline(F.arrays_zip("token", "is_first", *behind)))
+            .where(F.col("token").isNotNull()))
     valence = F.coalesce(F.col("valence"), F.lit(0.0))
     if negators:
         valence = valence * F.when(reduce(or_, map(F.col, behind)), NEGATION).otherwise(1.0)
-    total = F.col("_sum")
+    total = F.col("_sum") / F.col("n_copies")
     return (rows.join(lexicon.select("token", "valence"), "token", "left")
-            .groupBy(*carried).agg(F.sum(valence).alias("_sum"))
-            .select(*carried, (total / F.sqrt(total * total + NORMALISER)).alias("sentiment")))
+            .groupBy(*carried).agg(F.sum(valence).alias("_sum"), F.count("is_first").alias("n_copies"))
+            .select(*carried, "n_copies", (total / F.sqrt(total * total + NORMALISER)).alias("sentiment")))
 
 
 def mismatch_flags(scored: DataFrame, limit: float = 0.3) -> DataFrame:
@@ -66,7 +73,9 @@ def mismatch_flags(scored: DataFrame, limit: float = 0.3) -> DataFrame:
 
 
 def mismatch_counts(scored: DataFrame, limit: float = 0.3) -> DataFrame:
+    def copies(condition):
+        return F.coalesce(F.sum(F.when(condition, F.col("n_copies"))), F.lit(0))
     return mismatch_flags(scored, limit).agg(
-        F.count_if("five_star_negative").alias("n_five_star_negative"),
-        F.count_if("one_star_positive").alias("n_one_star_positive"),
-        F.count(F.lit(1)).alias("n_scored"))
+        copies(F.col("five_star_negative")).alias("n_five_star_negative"),
+        copies(F.col("one_star_positive")).alias("n_one_star_positive"),
+        copies(F.lit(True)).alias("n_scored"))

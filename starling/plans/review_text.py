@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from starling.operators.ordered import five_numbers, sample_by_hash
-from starling.operators.sentiment import STARS, TEXT, mismatch_flags, review_sentiment
+from starling.operators.sentiment import STARS, TEXT, mismatch_flags, review_sentiment, text_hash
 
 SAMPLE_SIZE = 5000
 
@@ -16,12 +16,13 @@ def text_sample(reviews: DataFrame, key: str = "review_id", n: int = SAMPLE_SIZE
 
 
 def sentiment_by_star(scored: DataFrame, method: str = "linear") -> DataFrame:
-    return five_numbers(scored, STARS, "sentiment", -1.0, 1.0, method)
+    return five_numbers(scored, STARS, "sentiment", -1.0, 1.0, method, copies="n_copies")
 
 
 def mismatched_reviews(reviews: DataFrame, lexicon: DataFrame, **options) -> DataFrame:
-    """The disagreeing reviews with their texts. Texts join the mismatches only."""
-    keys = list(options.get("keys", ("review_id", "order_id")))
+    """The disagreeing reviews with their texts, copies each on a row. Texts join the mismatches only."""
+    keys = [*options.get("keys", ("review_id", "order_id")), STARS, "text_hash"]
     scored = mismatch_flags(review_sentiment(reviews, lexicon, **options))
-    return (scored.where("five_star_negative OR one_star_positive")
-            .join(reviews.select(*keys, TEXT), keys))
+    texts = reviews.withColumn("text_hash", text_hash()).select(*keys, TEXT)
+    return (scored.where("five_star_negative OR one_star_positive").drop("n_copies")
+            .join(texts, keys).drop("text_hash"))

@@ -56,6 +56,21 @@ def test_mismatches(spark):
     assert [(r.review_id, r.review_comment_message) for r in found] == [("a", "bad"), ("b", "good good")]
 
 
+def test_copies_and_shared_keys_count_in_full(spark):
+    """A third of the rows are copies of one review, another third share its key with other texts."""
+    rows = ([("r", "o", 5, "bad")] * 20 + [("r", "o", 5, f"good {i}") for i in range(20)]
+            + [(f"x{i}", "o", 1, "good") for i in range(20)])
+    reviews = small.reviews(spark, rows).repartition(7)
+    scored = review_sentiment(reviews, lexicon(spark))
+    assert {(r.review_score, round(r.sentiment, 6)): r.n for r in scored.groupBy(
+        "review_score", F.round("sentiment", 6).alias("sentiment")).agg(F.sum("n_copies").alias("n")).collect()} == {
+        (5, round(norm(-2.5), 6)): 20, (5, round(norm(1.9), 6)): 20, (1, round(norm(1.9), 6)): 20}
+    assert tuple(mismatch_counts(scored).first()) == (20, 20, 60)
+    assert review_text.mismatched_reviews(reviews, lexicon(spark)).count() == 40
+    five = review_text.sentiment_by_star(scored).where("review_score = 5").first()
+    assert five.n == 40 and five.median == pytest.approx((norm(-2.5) + norm(1.9)) / 2)
+
+
 def test_sample_texts_give_the_known_sum(spark):
     texts = TradeFolder(spark, "/root/testdata/sf0.01").review_texts()
     scored = review_sentiment(texts, sample_lexicon(spark), negators=(), word_break="[^a-z]+")
