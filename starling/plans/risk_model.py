@@ -135,8 +135,9 @@ class RiskModel:
 # ---------------------------------------------------------------- training and evaluation
 
 def train(master: DataFrame, key: str = "order_id", trees: int = 150, depth: int = 8, rate: float = 0.05,
-          seed: int = 42, test_share: float = 0.2) -> tuple[RiskModel, DataFrame]:
+          seed: int = 42, test_share: float = 0.2, min_leaf: int = 20) -> tuple[RiskModel, DataFrame]:
     """Fits the model on a stratified part of the mart; returns it and all orders scored, with ``is_test``.
+    A leaf holds at least ``min_leaf`` orders.
 
     The inputs are settled first: boosting passes over them some trees-times-depth times, and must not redo
     the joins when an executor is lost.
@@ -149,7 +150,7 @@ def train(master: DataFrame, key: str = "order_id", trees: int = 150, depth: int
     weights = {r[BAD]: r["weight"] for r in class_weights(training).collect()}
     weight = F.when(F.col(BAD) == 1, weights.get(1, 1.0)).otherwise(weights.get(0, 1.0))
     booster = GBTClassifier(labelCol=BAD, weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate,
-                            seed=seed, maxMemoryInMB=512, checkpointInterval=10)
+                            seed=seed, minInstancesPerNode=min_leaf, maxMemoryInMB=512, checkpointInterval=10)
     fitted = booster.fit(training.select(F.col(BAD).cast("double").alias(BAD), weight.alias("weight"),
                                          levels.vector().alias("features")))
     model = RiskModel(fitted, levels)
