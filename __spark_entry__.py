@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import sys
 import uuid
 from collections.abc import Callable
@@ -19,6 +21,13 @@ from starling.session import checkpoint_folder, settled  # noqa: E402
 from starling.sources.tables import CSV_COLUMNS, csv_tables  # noqa: E402
 from starling.sources.trade_view import TradeFolder, sample_lexicon  # noqa: E402
 
+# The only place that knows whether the subpackage for training data and its pipeline are there.
+try:
+    import corpus_pipeline  # noqa: E402
+    from starling.llm import queries as training_data  # noqa: E402
+except ImportError:
+    corpus_pipeline = training_data = None
+
 SMOKE_FOLDER = "/root/testdata/sf0.001"
 
 # Minimum orders per group, fitted to the size of the supplied tables.
@@ -397,9 +406,29 @@ def entry(spark: SparkSession) -> DataFrame:
     return bad_rate_by_delivery_bucket(spark, SMOKE_FOLDER)
 
 
+def _with_workers(query):
+    """Python workers import this package from where it lies; on a cluster it comes with ``--py-files``."""
+    @functools.wraps(query)
+    def run(spark, folder):
+        environment = spark.sparkContext.environment
+        environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys(
+            [str(Path(__file__).resolve().parent), *filter(None, environment.get("PYTHONPATH", "").split(os.pathsep))]))
+        return query(spark, folder)
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__.replace("risk_model_auc", "risk_model"): query for query in REGISTERED}
+    found = {query.__name__.replace("risk_model_auc", "risk_model"): query for query in REGISTERED}
+    if training_data:
+        found |= {name: _with_workers(query) for name, query in training_data.QUERIES.items()}
+        found["pipeline"] = _with_workers(corpus_pipeline.run)
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    found = dict(ORACLES)
+    if training_data:
+        found |= training_data.ORACLES
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
