@@ -1,4 +1,92 @@
-"""placeholder"""
-STAGES, ORACLE_SQL = [], None
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""A corpus from raw documents to training sequences, in five stages.
+
+Each stage is a function of (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last
+return the columns of ``documents``; the last returns the pieces of the sequences. NULL ids and texts, empty
+texts, repeated rows and empty tables pass as the stages' operators define.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from starling.llm import jaccard, language, line_dedup, packing, secrets
+from starling.session import checkpoint_folder
+
+#: A text whose best language scores below this resembles none of them.
+LEAST_LANGUAGE_SCORE = 0.3
+WORD_FILE = "word_bpe_49k.json"
+
+
+def _same_columns(docs: DataFrame, changed: DataFrame) -> DataFrame:
+    """``changed`` with the columns of ``docs`` and the number of characters as it is now."""
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return changed.select(*docs.columns)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages that ``docs`` itself labels. Those without a letter and those that resemble no
+    language go."""
+    model = language.fit(docs)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    found = rows.withColumn("_found", language.predict(spark, model, F.col("_row")["text"]))
+    kept = found.where((F.col("_found.lang") != language.UNDETERMINED) & (F.col("_found.score") >= LEAST_LANGUAGE_SCORE))
+    return kept.select("_row.*")
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of repeated windows go; so does a document of which nothing is left, being all copied."""
+    count = "_removed"
+    while count in docs.columns:
+        count += "_"
+    cut = line_dedup.remove_repeats(docs, removed=count)
+    return _same_columns(docs, cut.where(F.col("text").isNull() | (F.col("text") != "") | (F.col(count) == 0)))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by similarity, the one with the smallest id stays; of several rows with one id, one."""
+    found = jaccard.link(docs)
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    rows = (docs.select(F.struct(*docs.columns).alias("_row"))
+            .join(gone, F.col("_row")["doc_id"] == F.col("_gone"), "left_anti"))
+    number = F.row_number().over(Window.partitionBy(F.coalesce(F.col("_row")["doc_id"], F.xxhash64(F.col("_row")["text"])))
+                                 .orderBy(F.col("_row")["doc_id"].asc_nulls_last(), F.xxhash64(F.col("_row")["text"])))
+    return (rows.withColumn("_number", number).where(F.col("_row")["doc_id"].isNull() | (F.col("_number") == 1))
+            .select("_row.*"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; every document stays."""
+    found = secrets.scan(docs, path="source" if "source" in docs.columns else None)
+    return _same_columns(docs, secrets.mask(docs, found))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and their places in sequences of 4096 tokens."""
+    return packing.pack(docs, public_tokenizers.path(WORD_FILE))
+
+
+STAGES = [
+    ("language", known_language),
+    ("line_dedup", without_repeated_lines),
+    ("ngram_jaccard", one_of_each_group),
+    ("secrets", without_secrets),
+    ("packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``. Between stages the documents are written to the shared checkpoint folder."""
+    folder = f"{checkpoint_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: The stages learn their models from the data, which SQL cannot express; the tests hold them to plain versions.
+ORACLE_SQL = None

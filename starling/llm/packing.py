@@ -31,6 +31,7 @@ SIZE, END_ID = 4096, 1
 #: Numbers within a length are given out in this many parts each, so that a length which a third of the pieces
 #: have is sorted in as many tasks.
 PARTS = 256
+SLICE_CHARS = 2_000_000
 
 
 # ---------------------------------------------------------------- ids
@@ -121,7 +122,7 @@ def document_ids(text: Column, path: str, end_id: int = END_ID) -> Column:
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         words, last = word_tokenizer(path), end_id.to_bytes(4, "little")
         for texts in batches:
-            yield pd.Series([x + last for some in slices(texts) for x in words.encode(some)], dtype=object)
+            yield pd.Series([x + last for some in slices(texts, SLICE_CHARS) for x in words.encode(some)], dtype=object)
 
     return ids(text)
 

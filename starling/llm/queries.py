@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from starling.llm import byte_bpe, packing
+from starling.llm import (
+    byte_bpe, chat, cover_tree, hnsw, jaccard, language, line_dedup, packing, secrets, toxicity,
+)
 
 BYTE_RANKS, WORD_FILE = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
 
@@ -26,13 +28,78 @@ def op1_byte_bpe(spark, folder):
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_cover_tree(spark, folder):
+    """The 10 largest integer inner products for every hundredth vector."""
+    return cover_tree.search_all(table(spark, folder, "embeddings"), F.col("id") % 100 == 0, 10)
+
+
+def op3_secret_scan(spark, folder):
+    """Every candidate in the texts, where it stands, and what the forest says of it."""
+    found = secrets.scan(table(spark, folder, "documents"), path="source")
+    return found.select(F.col("_key").alias("doc_id"), "start", F.length("candidate").cast("bigint").alias("length"),
+                        F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
+
+
+def op4_hnsw(spark, folder):
+    """20 near neighbours of every twentieth vector."""
+    return hnsw.search_all(table(spark, folder, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
+def op5_toxicity(spark, folder):
+    """A toxicity score for every text, from the labels of two thirds of the documents."""
+    documents = table(spark, folder, "documents")
+    held_out = language.fold(F.col("doc_id"), 3) == 1
+    labels = table(spark, folder, "labels").where(~held_out).select("doc_id", "toxic")
+    training = documents.where(~held_out).select("doc_id", "text").join(labels, "doc_id")
+    model = toxicity.fit(training)
+    scored = documents.select("doc_id", held_out.alias("held_out"),
+                              toxicity.score(spark, model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+def op6_line_dedup(spark, folder):
+    """Every document without the lines of windows that occur earlier."""
+    return line_dedup.remove_repeats(table(spark, folder, "documents")).select("doc_id", "text", "lines_removed")
+
+
+def op7_language(spark, folder):
+    """The language of every text, learned from four fifths of the documents."""
+    documents = table(spark, folder, "documents")
+    held_out = language.fold(F.col("doc_id"), 5) == 0
+    model = language.fit(documents.where(~held_out))
+    return (documents.select("doc_id", held_out.alias("held_out"),
+                             language.predict(spark, model, F.col("text")).alias("found"))
+            .select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score"))
+
+
+def op8_chat(spark, folder):
+    """Every conversation as a transcript, parsed again: the roles found, and the turns in one form. The model learns
+    from four fifths of the conversations."""
+    said = chat.transcripts(table(spark, folder, "conversations"))
+    held_out = language.fold(F.col("conv_id"), 5) == 0
+    model = chat.fit(said.where(~held_out))
+    parsed = said.select("conv_id", "part", held_out.alias("held_out"), "roles",
+                         chat.parse(spark, model, F.col("transcript")).alias("p"))
+    roles = F.transform("p.turns", lambda t: t["role"])
+    return parsed.select("conv_id", F.col("part._part").alias("part"), F.col("part._sub").alias("sub_part"), "held_out",
+                         F.size("roles").alias("n_turns"), F.size(roles).alias("n_found"),
+                         (F.col("roles") == roles).alias("all_right"), F.col("p.rendered").alias("rendered"))
+
+
+def op9_ngram_jaccard(spark, folder):
+    """Groups of documents whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    return jaccard.link(table(spark, folder, "documents"))
+
+
 def op10_packing(spark, folder):
     """Packs every document into sequences of 4096 tokens."""
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(WORD_FILE))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op1_byte_bpe, op10_packing)
+    query.__name__: query for query in (
+        op1_byte_bpe, op2_cover_tree, op3_secret_scan, op4_hnsw, op5_toxicity, op6_line_dedup, op7_language, op8_chat,
+        op9_ngram_jaccard, op10_packing)
 }
 
 ORACLES: dict[str, str] = {}
