@@ -1,17 +1,21 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
-sys.path.insert(0, str(Path(__file__).resolve().parent))
+HERE = Path(__file__).resolve().parent
+sys.path.insert(0, str(HERE.parent))
+sys.path.insert(0, str(HERE))
+# Python workers import the package too.
+os.environ["PYTHONPATH"] = os.pathsep.join([str(HERE.parent), *filter(None, [os.environ.get("PYTHONPATH")])])
 
 from starling.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, "starling-tests", memory="8g")
+def spark(tmp_path_factory):
+    session = local_session(8, "starling-tests", memory="8g", checkpoints=str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()
 
