@@ -1,0 +1,95 @@
+import random
+import zlib
+from collections import Counter, defaultdict
+from itertools import combinations as subsets
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings as rounds, strategies as st
+
+import cases
+from starling.llm import packing, queries
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+def library_ids(texts):
+    words = packing.word_tokenizer(PATH)
+    return [e.ids for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+@rounds(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aAbst'  \n\t dlevrm09é日€…²ǅİΣσ\x85\xa0 \x1c^<|>"), max_size=40), max_size=6))
+def test_ids_are_those_of_the_library(texts):
+    found = [np.frombuffer(x, "<u4").tolist() for x in packing.word_tokenizer(PATH).encode(texts)]
+    assert found == library_ids(texts)
+
+
+def test_fullest_is_the_best_there_is():
+    pick = random.Random(3)
+    for _ in range(200):
+        lengths = [pick.randint(1, 25) for _ in range(pick.randint(0, 9))]
+        room = pick.randint(0, 60)
+        best = max((sum(s) for k in range(len(lengths) + 1) for s in subsets(lengths, k) if sum(s) <= room))
+        taken = packing.fullest(Counter(lengths), room)
+        assert sum(x * n for x, n in taken.items()) == best
+        assert not taken - Counter(lengths)
+
+
+def test_combinations_use_every_piece_once():
+    pick = random.Random(4)
+    counts = Counter(pick.choice([1, 2, 3, 50, 700, 999, 2048, 4095, 4096]) for _ in range(5000))
+    used, sequences = Counter(), 0
+    for taken, times in packing.combinations(counts):
+        assert times > 0 and sum(x * n for x, n in taken.items()) <= 4096
+        used += Counter({x: n * times for x, n in taken.items()})
+        sequences += times
+    assert used == counts
+    assert sequences <= 1.02 * sum(x * n for x, n in counts.items()) / 4096 + 1
+
+
+def check(rows, texts):
+    """Pieces cover every document's ids, and sequences are gapless and not over-full."""
+    by_sequence, by_document = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+        by_document[r["doc_id"]].append(r)
+    for places in by_sequence.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    for key, text in texts:
+        ids = np.array(library_ids([text or ""])[0] + [1], "<u4")
+        want = [(k, s, min(4096, len(ids) - s), zlib.crc32(ids[s:s + 4096].tobytes()))
+                for k, s in enumerate(range(0, len(ids), 4096))]
+        found = [(r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in by_document[key]]
+        copies = len([1 for k, t in texts if (k, t) == (key, text)])
+        assert all(found.count(w) >= copies for w in want)
+    return len(by_sequence)
+
+
+@pytest.mark.parametrize("clashing", [False, True])
+def test_odd_rows(spark, clashing):
+    rows = packing.pack(cases.documents(spark, clashing=clashing), PATH).collect()
+    texts = [(r[0], r[1]) for r in cases.ROWS]
+    check(rows, texts)
+    assert len(rows) == sum(-(-(len(x) + 1) // 4096) for x in library_ids([t or "" for _, t in texts]))
+
+
+def test_empty_table_and_hot_length(spark):
+    assert packing.pack(cases.documents(spark, []), PATH).collect() == []
+    same = cases.texts(spark, *[(i, "one two three") for i in range(3000)])
+    rows = packing.pack(same, PATH).collect()
+    assert check(rows, [(i, "one two three") for i in range(5)]) == -(-3000 * 4 // 4096)
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == 3000
+
+
+def test_query(spark):
+    folder = "/root/testdata/sf0.001"
+    texts = [(r["doc_id"], r["text"]) for r in queries.table(spark, folder, "documents").collect()]
+    rows = queries.op10_packing(spark, folder).collect()
+    n = check(rows, texts)
+    assert n <= 1.01 * sum(r["length"] for r in rows) / 4096 + 1
