@@ -112,7 +112,8 @@ def fit(labelled: DataFrame, lines: str = "lines", states: str = "states") -> Ch
                 found.update(("step", a, b) for a, b in zip(named, named[1:]))
                 for values, state in zip(observed(list(some)), named):
                     found.update((str(k), state, v) for k, v in enumerate(values))
-            yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["kind", "state", "value", "n"])
+            if found:
+                yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["kind", "state", "value", "n"])
 
     rows = (labelled.where(F.size(lines) > 0).select(F.col(lines).alias("l"), F.col(states).alias("s"))
             .mapInPandas(count, "kind string, state string, value string, n bigint")

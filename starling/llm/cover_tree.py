@@ -57,17 +57,14 @@ def build(ids: np.ndarray, points: np.ndarray, leaf_size: int = LEAF) -> CoverTr
     """A tree over rows of ``points``, breadth first, so that a node's children follow one another."""
     points = np.asarray(points, float)
     nodes: list[dict] = [{"centre": 0, "rows": np.arange(len(ids))}]
-    order, at = [], 0
-    placed = 0
+    at = 0
     while at < len(nodes):
         node = nodes[at]
         rows, centre = node["rows"], node["centre"]
         far = _distances(points[rows], points[centre])
         node["radius"] = float(far.max(initial=0.0))
         if len(rows) <= leaf_size or node["radius"] == 0:
-            node |= {"leaf": True, "first": placed, "beyond": placed + len(rows)}
-            order.append(rows)
-            placed += len(rows)
+            node["leaf"] = True
         else:
             parts = _children(points, rows, centre, node["radius"] / 2)
             small = [p for p in parts if len(p[1]) <= leaf_size // 2]
@@ -81,13 +78,23 @@ def build(ids: np.ndarray, points: np.ndarray, leaf_size: int = LEAF) -> CoverTr
             node |= {"leaf": False, "first": len(nodes), "beyond": len(nodes) + len(below)}
             nodes += below
         at += 1
-    order = np.concatenate(order) if order else np.zeros(0, int)
+    order, placed, visits = [], 0, [0]
+    while visits:                                           # depth first, so that the points below a node follow one another
+        node = nodes[visits.pop()]
+        node["under"] = placed
+        if node["leaf"]:
+            order.append(node["rows"])
+            placed += len(node["rows"])
+            node |= {"first": node["under"], "beyond": placed}
+        else:
+            visits += range(node["beyond"] - 1, node["first"] - 1, -1)
+    order = np.concatenate(order)
     column = lambda name, kind: np.array([n[name] for n in nodes], kind)
     leaf, first, beyond = column("leaf", bool), column("first", int), column("beyond", int)
-    under = np.stack([first, beyond], 1)
+    under = np.stack([column("under", int), beyond], 1)
     for i in range(len(nodes) - 1, -1, -1):                 # children come after their parent
         if not leaf[i]:
-            under[i] = under[first[i]:beyond[i], 0].min(), under[first[i]:beyond[i], 1].max()
+            under[i, 1] = under[beyond[i] - 1, 1]
     return CoverTree(ids[order], points[order], points[column("centre", int)], column("radius", float), first,
                      beyond, leaf, under)
 

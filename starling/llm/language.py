@@ -1,9 +1,10 @@
 """Language identification by string kernels.
 
-The kernel of two texts counts the n-grams of one to three characters that both hold (presence, not frequency),
-divided by the geometric mean of their own counts. Some labelled texts serve as Nystroem landmarks; one-versus-rest
+The kernel of two passages counts the n-grams of one to three characters that both hold (presence, not frequency),
+divided by the geometric mean of their own counts. Some labelled passages serve as Nystroem landmarks; one-versus-rest
 kernel ridge regression on the landmark features gives each language a weight per landmark. Scoring a batch is two
-matrix products: texts by n-grams times n-grams by landmarks, then times landmarks by languages.
+matrix products: passages by n-grams times n-grams by landmarks, then times landmarks by languages. A text's margins are
+the mean of those of its passages, which cover it whole: in one piece, a long text would hold every n-gram.
 
 NULL texts and texts without a letter are ``und`` with score 0. So is every text if there is nothing to learn from.
 Labels are read from the training rows only. Of equal scores the first language by name wins.
@@ -11,6 +12,7 @@ Labels are read from the training rows only. Of equal scores the first language
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,10 +26,12 @@ from starling.llm.pieces import LETTER, Slice, character_classes
 
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
-#: Bounds of what is fitted on: labelled texts and landmarks over all languages, and letters told apart.
+#: Bounds of what is fitted on: labelled texts (a passage of each) and landmarks over all languages, and letters told
+#: apart.
 SAMPLE_TEXTS, LANDMARKS, LETTERS = 2000, 192, 40
 RIDGE = 1e-2
-BATCH_TEXTS, BATCH_CHARS = 512, 2_000_000
+PASSAGE_CHARS = 1500
+BATCH_PASSAGES, SLICE_CHARS = 512, 700_000
 
 
 @dataclass
@@ -65,10 +69,8 @@ class Grams:
         return flags
 
 
-def texts_of(batch: pd.Series) -> Iterator[list[str]]:
-    for some in slices(batch, BATCH_CHARS):
-        for at in range(0, len(some), BATCH_TEXTS):
-            yield some[at:at + BATCH_TEXTS]
+def passages(text: str) -> list[str]:
+    return [text[at:at + PASSAGE_CHARS] for at in range(0, len(text), PASSAGE_CHARS)] or [""]
 
 
 @dataclass
@@ -88,9 +90,15 @@ class LanguageModel:
         found = [any(letter[ord(c)] == LETTER for c in t) for t in texts]
         if not self.languages:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        margins = self.kernel(self.grams.present(texts)) @ self.weights
+        cut = [passages(t) for t in texts]
+        every, size = [p for some in cut for p in some], [len(p) + 1e-9 for some in cut for p in some]
+        margins = np.concatenate([self.kernel(self.grams.present(every[at:at + BATCH_PASSAGES])) @ self.weights
+                                  for at in range(0, len(every), BATCH_PASSAGES)]).astype(float)
+        start = np.cumsum([0, *map(len, cut)])[:-1]
+        margins = (np.add.reduceat(margins * np.array(size)[:, None], start)
+                   / np.add.reduceat(np.array(size), start)[:, None])
         best = margins.argmax(1)
-        score = np.clip((margins[np.arange(len(texts)), best] + 1) / 2, 0, 1).astype(float)
+        score = np.clip((margins[np.arange(len(texts)), best] + 1) / 2, 0, 1)
         return ([self.languages[i] if ok else UNDETERMINED for i, ok in zip(best, found)],
                 np.where(found, score, 0.0))
 
@@ -125,7 +133,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
                 found.update(t.lower())
             kinds = character_classes()
             kept = {c: n for c, n in found.items() if kinds[ord(c)] == LETTER}
-            yield pd.DataFrame({"c": list(kept), "n": list(kept.values())})
+            if kept:
+                yield pd.DataFrame({"c": list(kept), "n": list(kept.values())})
 
     top = (rows.mapInPandas(count, "c string, n bigint").groupBy("c").agg(F.sum("n").alias("n"))
            .orderBy(F.desc("n"), "c").limit(letters).collect())
@@ -133,11 +142,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            at = 0
-            for some in texts_of(batch["t"]):
-                bits = [x.tobytes() for x in np.packbits(grams.present(some), axis=1)]
-                yield pd.DataFrame({"l": batch["l"].iloc[at:at + len(some)], "bits": bits})
-                at += len(some)
+            cut = [passages(t) for t in batch["t"]]
+            some = [c[zlib.crc32(t.encode()) % len(c)] for c, t in zip(cut, batch["t"])]
+            bits = [grams.present(some[at:at + BATCH_PASSAGES]) for at in range(0, len(some), BATCH_PASSAGES)]
+            yield pd.DataFrame({"l": batch["l"], "bits": [x.tobytes() for part in bits for x in np.packbits(part, axis=1)]})
 
     found = sorted((r["l"], r["bits"]) for r in rows.mapInPandas(pack, "l string, bits binary").collect())
     languages = sorted({name for name, _ in found})
@@ -172,7 +180,7 @@ def predict(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
     @F.pandas_udf("lang string, score double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [shared.value.predict(some) for some in texts_of(batch)]
+            parts = [shared.value.predict(some) for some in slices(batch, SLICE_CHARS)]
             yield pd.DataFrame({"lang": [x for names, _ in parts for x in names],
                                 "score": np.concatenate([s for _, s in parts]) if parts else np.zeros(0)})
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from starling.llm import (
     byte_bpe, chat, cover_tree, hnsw, jaccard, language, line_dedup, packing, secrets, toxicity,
 )
+from starling.llm.oracles import ORACLES  # noqa: F401
 
 BYTE_RANKS, WORD_FILE = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
 
@@ -101,5 +102,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_byte_bpe, op2_cover_tree, op3_secret_scan, op4_hnsw, op5_toxicity, op6_line_dedup, op7_language, op8_chat,
         op9_ngram_jaccard, op10_packing)
 }
-
-ORACLES: dict[str, str] = {}

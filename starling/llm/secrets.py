@@ -1,7 +1,7 @@
 """Secrets in texts: candidates by form, and a random forest that removes the false ones.
 
-A candidate is a run of 16 or more characters of keys and hashes that holds a digit or is assigned to a name such as
-``password``. The forest judges it by length, by how often the kind of character changes, by how much of it the
+A candidate is a run of 16 or more characters of keys and hashes that holds a digit, is in capitals, or is assigned to a
+name such as ``password``. The forest judges it by length, by how often the kind of character changes, by how much of it the
 corpus's common words cover, by the path it stands in (slashes and dots around it, and the path of its document)
 and by neighbouring words. It learns from labelled findings; ``label_by_form`` labels those whose form leaves no doubt,
 for a corpus without labels of its own.
@@ -58,7 +58,7 @@ def candidates(df: DataFrame, key: str = "doc_id", text: str = "text", path: str
     rows = rows.select(
         "_key", "_hash", "_path", "_word", "candidate", (F.col("_offset") + inner).cast("bigint").alias("start"),
         before.alias("_before"), F.coalesce("_next", F.lit("")).alias("_after"))
-    return rows.where(F.col("candidate").rlike("[0-9]") | (
+    return rows.where(F.col("candidate").rlike("[0-9]") | F.col("candidate").rlike("^[A-Z]+$") | (
         F.col("_before").rlike(NAMES) & F.col("_before").rlike(r"[=:]\s*[\"']?$")))
 
 

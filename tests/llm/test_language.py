@@ -1,0 +1,94 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import cases
+from starling.llm import language, queries
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    documents = queries.table(spark, FOLDER, "documents")
+    return language.fit(documents.where(language.fold(F.col("doc_id"), 5) != 0))
+
+
+def test_fold_is_crc32_of_the_text(spark):
+    import zlib
+    rows = spark.range(50).select("id", language.fold(F.col("id"), 5).alias("f")).collect()
+    assert [r["f"] for r in rows] == [zlib.crc32(str(r["id"]).encode()) % 5 for r in rows]
+
+
+def test_flags_are_the_grams_of_the_text():
+    grams = language.Grams("abc")
+
+    def plain(text):
+        symbols, out = [], set()
+        for c in text.lower():
+            code = "abc".index(c) + 2 if c in "abc" else 1 if c.isalpha() else 0
+            if code or not symbols or symbols[-1]:
+                symbols.append(code)
+        for n in (1, 2, 3):
+            for i in range(len(symbols) - n + 1):
+                number = 0
+                for s in symbols[i:i + n]:
+                    number = number * grams.base + s
+                out.add(int(grams.offsets[n - 1]) + number)
+        return out
+
+    texts = ["abc cab", "", "--", "Ab, zz. c", "a", "b  b", "日本 a"]
+    assert [set(np.flatnonzero(row).tolist()) for row in grams.present(texts)] == [plain(t) for t in texts]
+
+
+def test_kernel_and_margins_are_those_of_single_texts(model):
+    texts = ["the thing was here", "der eine und das", "la une des", ""]
+    flags = model.grams.present(texts)
+    landmarks = model.landmarks > 0
+    for flag, row in zip(flags, model.kernel(flags)):
+        own = max(1, flag.sum())
+        both = (flag[model.columns][:, None] & landmarks).sum(0)
+        assert np.allclose(row, both * model.landmarks.max(0) / np.sqrt(own), atol=1e-5)
+    names, scores = model.predict(texts)
+    for text, name, score in zip(texts, names, scores):
+        alone = model.predict([text])
+        assert alone[0] == [name] and np.isclose(alone[1][0], score, atol=1e-5)
+
+
+def test_held_out_accuracy(spark):
+    found = queries.op7_language(spark, FOLDER).join(
+        queries.table(spark, FOLDER, "documents").select("doc_id", "lang"), "doc_id")
+    held = found.where("held_out")
+    assert held.where("lang_pred = lang").count() >= 0.98 * held.count() > 0
+    assert found.where("score < 0 OR score > 1 OR score IS NULL").count() == 0
+
+
+def test_long_text_is_judged_whole(model):
+    german, english = "der die und eine keit schen " * 40, "the thing with and of that was " * 400
+    names, scores = model.predict([german + english, english, german])
+    assert names == ["en", "en", "de"] and scores[0] < scores[1]
+
+
+def test_odd_rows(spark, model):
+    df = cases.documents(spark, clashing=True)
+    rows = df.withColumn("found", language.predict(spark, model, F.col("text"))).collect()
+    assert len(rows) == len(cases.ROWS)
+    for r in rows:
+        letters = any(c.isalpha() for c in r["text"] or "")
+        assert (r["found"]["lang"] in ("de", "en", "es", "fr")) == letters
+        assert letters or tuple(r["found"]) == ("und", 0.0)
+
+
+def test_nothing_or_one_language_to_learn(spark):
+    nothing = language.fit(cases.documents(spark, [r for r in cases.ROWS if r[2] is None]))
+    assert nothing.predict(["a text", ""])[0] == ["und", "und"]
+    assert language.fit(cases.documents(spark, [])).languages == []
+    one = language.fit(cases.documents(spark, [r for r in cases.ROWS if r[2] == "de"]))
+    assert one.predict(["ein Text", "123"])[0] == ["de", "und"]
+    assert language.fit(cases.documents(spark, clashing=True)).languages == ["de", "en"]
+
+
+def test_sample_is_bounded_and_even(spark):
+    rows = [(i, f"text {i}", "en" if i % 10 else "de", None, None) for i in range(400)]
+    picked = language.training_sample(cases.documents(spark, rows), "text", "lang", "doc_id", 40)
+    assert {r["l"]: r["count"] for r in picked.groupBy("l").count().collect()} == {"en": 20, "de": 20}
