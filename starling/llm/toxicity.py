@@ -121,13 +121,14 @@ def log_ratios(code: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> np.
     one = _continuations(two)
     shared = _interpolated(one, np.full((1, SYMBOLS), 1 / SYMBOLS, np.float32), _discount(one))
     shared = _interpolated(two, shared, _discount(two))
-    found = np.zeros((SYMBOLS, SYMBOLS ** (ORDER - 1)), np.float32)
-    for sign, (full, four, three) in zip((-1, 1), by_class):
-        below = _interpolated(four, _interpolated(three, shared, _discount(three)), _discount(four))
-        discount = _discount(full)
-        for first, part in enumerate(np.split(full, SYMBOLS)):
-            found[first] += sign * np.log(_interpolated(part, below, discount)).reshape(-1)
-    return found.reshape(-1).astype(np.float16)
+    sides = [(full, _interpolated(four, _interpolated(three, shared, _discount(three)), _discount(four)), _discount(full))
+             for full, four, three in by_class]
+    found = np.zeros((SYMBOLS, SYMBOLS ** (ORDER - 1)), np.float16)
+    for first in range(SYMBOLS):                            # a part at a time: the driver holds few whole tables
+        part = slice(first * SYMBOLS ** 3, (first + 1) * SYMBOLS ** 3)
+        logs = [np.log(_interpolated(full[part], below, discount)).reshape(-1) for full, below, discount in sides]
+        found[first] = logs[1] - logs[0]
+    return found.reshape(-1)
 
 
 def features(ratios: np.ndarray, texts: list[str]) -> np.ndarray:
@@ -171,8 +172,9 @@ def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: str
     """A model from all rows of ``labelled``, which must hold training rows only."""
     spark = labelled.sparkSession
     part = F.pmod(F.xxhash64(F.col(key)), F.lit(CALIBRATION_PARTS))
-    rows = settled(labelled.select(F.col(text).alias("t"), F.col(toxic).cast("int").alias("y"), part.alias("part"))
-                   .where("y IN (0, 1)"))
+    # Read once for the models and once for the regression, each its own part: cheaper than a copy of all texts.
+    rows = (labelled.select(F.col(text).alias("t"), F.col(toxic).cast("int").alias("y"), part.alias("part"))
+            .where("y IN (0, 1)"))
     found = counts(rows.where("part != 0"), "t", "y")
     if not found["ordinary"].sum() or not found["toxic"].sum():
         return ToxicityModel(None)
