@@ -24,7 +24,7 @@ from starling.llm.pieces import MATRIX_ROWS, PairTable, Slice, merge_matrix, mer
 #: Fixed value: the pattern that ``pieces.spaced_pieces`` cuts by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters worked on at a time. A longer text is worked on alone, whole.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 500_000
 
 
 class Vocabulary:

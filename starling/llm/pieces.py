@@ -30,11 +30,12 @@ FREE = np.int64(-1)
 @functools.cache
 def character_classes() -> np.ndarray:
     import regex
-    points = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000]
-    every, table = "".join(map(chr, points)), np.zeros(0x110000, np.uint8)
+    points = np.arange(0x110000, dtype="<u4")
+    points = points[(points < 0xD800) | (points >= 0xE000)]
+    every, table = points.tobytes().decode("utf-32-le"), np.zeros(0x110000, np.uint8)
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
         for run in regex.finditer(pattern, every):
-            table[points[run.start()]:points[run.end() - 1] + 1] = kind
+            table[points[run.start():run.end()]] = kind
     for first, last in WHITE_SPACE:
         table[first:last + 1] = SPACE
     return table
@@ -129,7 +130,7 @@ _SPREAD = np.random.default_rng(7).integers(1, 2**63, 256, np.int64).astype(np.u
 
 def distinct(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each piece the number of its text among the distinct ones; for each of those, its first piece."""
-    size = (len(raw) + 1 | 0xFFFFF) + 1
+    size = (len(raw) + 1 | 0x3FFFF) + 1
     up, down = _powers(size)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_SPREAD[raw] * up[:len(raw)])))
     hashes = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)
