@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 import os
 import sys
-import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -17,8 +16,8 @@ from oracles import ORACLES  # noqa: E402
 from starling.functions import clip, risk_tier  # noqa: E402
 from starling.operators import evaluation, ordered, orders as order_ops, rates, sentiment, significance  # noqa: E402
 from starling.plans import dashboard, master as mart, review_text, risk_model  # noqa: E402
-from starling.session import checkpoint_folder, settled  # noqa: E402
-from starling.sources.tables import CSV_COLUMNS, csv_tables  # noqa: E402
+from starling.session import checkpoint_folder, run_folder, settled  # noqa: E402
+from starling.sources.tables import csv_tables, region_codes  # noqa: E402
 from starling.sources.trade_view import TradeFolder, sample_lexicon  # noqa: E402
 
 # The only place that knows whether the subpackage for training data and its pipeline are there.
@@ -36,41 +35,52 @@ CHOSEN_CATEGORIES = ["brand#1", "brand#2", "brand#25"]
 CHOSEN_STATES = ["NATION_6", "NATION_9", "NATION_14"]
 # The supplied texts are invented prose without English negators; these words of theirs stand in.
 SAMPLE_NEGATORS = ("to", "in", "de", "un")
-TREES, DEPTH = 20, 5
+# A model is fit for use from this area under its curve on, and with at most this gap to training orders.
+LEAST_AUC, MOST_GAP = 0.7, 0.3
+# What-if values: delays, prices, and a category that no order has.
+SCENARIO_DELAYS = (0, 14)
+SCENARIO_GRID = {"delivery_delay_days": (-5, 10), "total_price": (20.0, 500.0), "n_items": (1, 4),
+                 "product_category_name_english": ("brand#25", "unseen")}
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return rates.rounded(df, 6, *columns)
 
 
-_plans: dict[tuple[str, str], tuple] = {}
-
-
-def _plan(spark, folder):
-    """The tables and the mart of a folder as lazy frames. Only their definition is kept, never data: each
-    query still reads the files."""
-    name = (spark.sparkContext.applicationId, folder)
-    if name not in _plans:
-        tables = TradeFolder(spark, folder).tables()
-        _plans[name] = (tables, mart.order_master(tables))
-    return _plans[name]
-
-
 def _tables(spark, folder):
-    return _plan(spark, folder)[0]
+    return TradeFolder(spark, folder).tables()
 
 
 def _master(spark: SparkSession, folder: str) -> DataFrame:
-    return _plan(spark, folder)[1]
+    return mart.order_master(_tables(spark, folder))
 
 
 def _texts(spark, folder):
     return TradeFolder(spark, folder).review_texts()
 
 
+def _stored(spark, folder, name, tables, make):
+    """Where ``make(path)`` has written something derived from ``tables`` of the folder as they are now. Its place
+    is named after their files, sizes and times, so that a later query finds it and replaced files are noticed."""
+    files = spark.read.format("binaryFile").load([f"{folder}/{t}.parquet" for t in tables])
+    stamp = files.agg(F.hex(F.bit_xor(F.xxhash64("path", "length", "modificationTime")))).first()[0]
+    path = f"{checkpoint_folder(spark).rstrip('/')}/{name}-{stamp}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(path + "/done")
+    there = done.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not there.exists(done):
+        make(path)
+        there.create(done).close()
+    return path
+
+
 def _scored_texts(spark, folder, negators=()):
-    scored = sentiment.review_sentiment(_texts(spark, folder), sample_lexicon(spark), negators=negators)
-    return rounded(scored, "sentiment")
+    """Scores of all texts, worked out once for all reports on them."""
+    def write(path):
+        scored = sentiment.review_sentiment(_texts(spark, folder), sample_lexicon(spark), negators=negators)
+        rounded(scored, "sentiment").write.mode("overwrite").parquet(f"{path}/scores")
+
+    kind = "scores-negated" if negators else "scores"
+    return spark.read.parquet(_stored(spark, folder, kind, ["documents"], write) + "/scores")
 
 
 def fixed_score(master: DataFrame) -> DataFrame:
@@ -79,15 +89,13 @@ def fixed_score(master: DataFrame) -> DataFrame:
     return master.select("order_id", "is_bad_review", score.alias("score"))
 
 
-_fitted: dict[tuple[str, str], tuple] = {}
-
-
 def _fit(spark, folder):
-    """One training per session and folder, shared by the queries that look at the model."""
-    name = (spark.sparkContext.applicationId, folder)
-    if name not in _fitted:
-        _fitted[name] = risk_model.train(_master(spark, folder), trees=TREES, depth=DEPTH)
-    return _fitted[name]
+    """The model and all orders scored. Trained and saved by the first query that needs it."""
+    split = risk_model.split_orders(_master(spark, folder))
+    tables = ["orders", "lineitem", "part", "supplier", "nation"]
+    path = _stored(spark, folder, "risk-model", tables, lambda path: risk_model.train(split).save(path))
+    model = risk_model.RiskModel.load(spark, path)
+    return model, model.score(split)
 
 
 # ---------------------------------------------------------------- sources and order grain
@@ -96,31 +104,54 @@ def scan_profile(spark, folder):
     return rates.profile(_tables(spark, folder).named())
 
 
-def _new_folder(spark, kind):
-    """A folder of its own for one run, where all executors can reach it."""
-    return f"{checkpoint_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+def _write_crlf(df: DataFrame, path: str) -> None:
+    """A small table as spreadsheets write it: byte-order mark, CRLF."""
+    lines = df.select(F.lit(1).alias("o"), F.concat_ws(",", *df.columns).alias("line"))
+    head = df.sparkSession.range(1).select(F.lit(0).alias("o"), F.lit("\ufeff" + ",".join(df.columns)).alias("line"))
+    (head.unionByName(lines).repartition(1).sortWithinPartitions("o", "line").select("line")
+     .write.option("lineSep", "\r\n").text(path))
 
 
 def csv_ingest(spark, folder):
-    """The six tables written as CSV, read back with their schemas, and profiled."""
-    out, files = _new_folder(spark, "csv"), {}
-    for name, df in _tables(spark, folder).named().items():
-        absent = [c for c in CSV_COLUMNS[name] if c not in df.columns]
+    """The six tables written as CSV, read back with their schemas, and profiled. The reviews carry the texts of
+    ``documents``, every third with quotes and a line break; the translation has a byte-order mark and CRLF."""
+    out, tables = run_folder(spark, "csv"), _tables(spark, folder)
+    said = F.when(F.col("review_id") % 3 == 0, F.concat("review_comment_message", F.lit(' "so", they\nsaid')))
+    reviews = tables.reviews.withColumn("review_comment_message", F.lit(None).cast("string")).unionByName(
+        _texts(spark, folder).withColumn("review_comment_message", F.coalesce(said, "review_comment_message")))
+    approved = F.col("order_purchase_timestamp") + F.expr("INTERVAL 2 HOURS")
+    carried = F.col("order_delivered_customer_date") - F.expr("INTERVAL 30 HOURS")
+    orders = tables.orders.withColumns({"order_approved_at": approved, "order_delivered_carrier_date": carried})
+    files = {}
+    for name, df in tables.with_table(orders=orders, reviews=reviews).named().items():
         files[name] = f"{out}/{name}"
-        df.withColumns({c: F.lit(None).cast("string") for c in absent}).write.csv(files[name], header=True)
+        if name == "translation":
+            _write_crlf(df, files[name])
+        else:
+            df.write.options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False,
+                             ignoreTrailingWhiteSpace=False).csv(files[name])
     back = csv_tables(spark, files)
     delivered = order_ops.delivery_features(order_ops.delivered_orders(back.orders))
-    return (rates.profile(back.named())
-            .unionByName(delivered.agg(F.sum("delivery_time_days").alias("n_rows"))
-                         .selectExpr("'delivery days' AS table_name", "n_rows", "0 AS n_columns")))
+    message = F.col("review_comment_message")
+
+    def row(df, name, figure):
+        return df.agg(figure.cast("long").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows",
+                                                                  F.lit(0).alias("n_columns"))
+
+    parts = [row(delivered, "delivery days", F.sum("delivery_time_days")),
+             row(back.orders, "approved hours", F.sum(F.hour("order_approved_at"))),
+             row(back.orders, "carried hours", F.sum(F.hour("order_delivered_carrier_date"))),
+             row(back.reviews, "texts", F.count(message)),
+             row(back.reviews, "text characters", F.sum(F.length(message))),
+             row(back.reviews, "text hashes", F.sum(F.conv(F.substring(F.md5(message), 1, 8), 16, 10).cast("long")))]
+    return functools.reduce(DataFrame.unionByName, parts, rates.profile(back.named()))
 
 
 def mart_by_month(spark, folder):
-    """The mart stored by month and read back; later months only, so whole folders are skipped."""
-    out = _new_folder(spark, "mart")
+    """The mart stored by month and read back."""
+    out = run_folder(spark, "mart")
     mart.write_mart(_master(spark, folder), out)
-    late = mart.read_mart(spark, out).where("purchase_month >= DATE'1998-01-01'")
-    return rounded(late.groupBy("purchase_month").agg(
+    return rounded(mart.read_mart(spark, out).groupBy("purchase_month").agg(
         F.count(F.lit(1)).alias("n_orders"), F.avg("review_score").alias("avg_review")), "avg_review")
 
 
@@ -227,7 +258,13 @@ def state_summary(spark, folder):
 
 
 def state_rates_dense(spark, folder):
-    regions = TradeFolder(spark, folder).region_codes()
+    """Regions as a GeoJSON file gives them."""
+    out = run_folder(spark, "regions")
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("seller_state").alias("sigla")).alias("properties"))
+    codes = TradeFolder(spark, folder).region_codes()         # one row per region of the country
+    (codes.agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))))
+     .write.text(f"{out}/regions"))
+    regions = region_codes(spark, f"{out}/regions")
     return rounded(dashboard.state_map(_master(spark, folder), regions, MIN_STATE),
                    "bad_rate", "bad_rate_pct", "avg_delivery")
 
@@ -256,7 +293,20 @@ def late_effect_ztest(spark, folder):
 
 
 def late_effect_pvalue(spark, folder):
-    return significance.late_effect_p(_master(spark, folder))
+    return rounded(significance.late_effect_p(_master(spark, folder)), "chi2", "p_value")
+
+
+def late_effect_by_state(spark, folder):
+    """The same test for each state."""
+    known = _master(spark, folder).where(F.col(dashboard.STATE).isNotNull())
+    return rounded(significance.late_effect_p(known, [dashboard.STATE]), "chi2", "p_value")
+
+
+def month_effect_by_category(spark, folder):
+    """Orders of the second half of a month against the others, by category: hardly an effect, so other verdicts occur."""
+    late_in_month = F.dayofmonth("order_purchase_timestamp") - 15
+    shifted = _master(spark, folder).withColumn("delivery_delay_days", late_in_month.cast("long"))
+    return rounded(significance.late_effect_p(shifted, [dashboard.CATEGORY]), "chi2", "p_value")
 
 
 def late_effect_verdict(spark, folder):
@@ -280,6 +330,13 @@ def model_features(spark, folder):
     return rounded(inputs, "total_price", "total_freight", "freight_pct")
 
 
+def model_indicators(spark, folder):
+    """The indicator columns of each order's input vector that are not 0."""
+    named = settled(_master(spark, folder).select("order_id", dashboard.CATEGORY, dashboard.STATE, *risk_model.NUMBERS))
+    levels = risk_model.find_levels(named)
+    return named.select("order_id", F.array_join(levels.indicators(), " ").alias("indicators"))
+
+
 def train_test_split(spark, folder):
     return ordered.hash_split(_tables(spark, folder).orders, "order_id").select("order_id", "is_test")
 
@@ -323,36 +380,76 @@ def risk_tiers(spark, folder):
 
 
 # ---------------------------------------------------------------- the model itself
+# What SQL can say of a trained model: how many rows it saw, and whether it has the properties it must have.
 
 def risk_model_auc(spark, folder):
-    return rounded(risk_model.train_and_test_auc(_fit(spark, folder)[1]), "train_auc", "test_auc", "gap")
+    both = risk_model.train_and_test_auc(_fit(spark, folder)[1])
+    return both.select("n_train", "n_test", (F.col("test_auc") >= LEAST_AUC).alias("tells_apart"),
+                       (F.abs("gap") <= MOST_GAP).alias("holds_on_test_orders"))
+
+
+def _importance_facts(shown, whole, total):
+    delivery = F.col("feature").isin("delivery_delay_days", "delivery_time_days")
+    first = shown.agg(F.count(F.lit(1)).alias("n_rows"), F.max_by(delivery, "importance").alias("first_is_delivery"))
+    return first.crossJoin(whole.agg((F.abs(F.sum("importance") - total) < 1e-6).alias("adds_up")))    # one row each
 
 
 def feature_importance(spark, folder):
-    return _fit(spark, folder)[0].importance()
+    model = _fit(spark, folder)[0]
+    return _importance_facts(model.importance(), model.importance(1000), 1.0)
 
 
 def split_importance(spark, folder):
-    return _fit(spark, folder)[0].importance(kind="splits")
+    model = _fit(spark, folder)[0]
+    inner = sum((tree.numNodes - 1) // 2 for tree in model.trees.trees)
+    facts = _importance_facts(model.importance(kind="splits"), model.importance(1000, kind="splits"), float(inner))
+    return facts.drop("first_is_delivery").withColumn("n_trees", F.lit(model.trees.getNumTrees))
 
 
 def model_confusion(spark, folder):
     tested = _fit(spark, folder)[1].where("is_test = 1")
-    return evaluation.precision_recall(tested, "is_bad_review", risk_model.SCORE)
+    found = evaluation.precision_recall(tested, "is_bad_review", risk_model.SCORE)
+
+    def share(c):
+        return F.col(c).between(0.5, 1.0)
+
+    return found.select((F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_test"),
+                        (F.col("tp") + F.col("fn")).alias("n_bad"), share("precision").alias("precise"),
+                        share("recall").alias("complete"))
 
 
 def model_roc(spark, folder):
     tested = _fit(spark, folder)[1].where("is_test = 1")
-    return ordered.roc_curve(tested, "is_bad_review", risk_model.SCORE, corners_only=True)
+    points = settled(ordered.roc_curve(tested, "is_bad_review", risk_model.SCORE, numbered=True))
+    area = ordered.auc(tested, "is_bad_review", risk_model.SCORE).select("auc")
+    facts = ordered.curve_facts(points).crossJoin(area)                                               # one row each
+    return facts.select("fpr", "tpr", "last_fpr", "last_tpr", "never_falls",
+                        (F.abs(F.col("area") - F.col("auc")) < 1e-9).alias("area_is_auc"))
 
 
 def score_scenarios(spark, folder):
-    """Mean risk if every order came on time, or two weeks late."""
+    """Every order on time, or two weeks late."""
+    model, scored = _fit(spark, folder)
+    orders = scored.drop(risk_model.SCORE, "risk")
+    what_if = model.score(risk_model.with_scenarios(orders, "delivery_delay_days", SCENARIO_DELAYS))
+    means = what_if.groupBy("delivery_delay_days").agg(
+        F.count(F.lit(1)).alias("n_orders"), F.avg(risk_model.SCORE).alias("mean"))
+    on_time = what_if.where(F.col("delivery_delay_days") == SCENARIO_DELAYS[0]).agg(F.avg(risk_model.SCORE).alias("base"))
+    return means.crossJoin(on_time).select(                                       # a row per scenario, and one
+        F.col("delivery_delay_days").cast("long").alias("delay"), "n_orders",
+        (F.col("mean") > F.col("base") + 0.05).alias("riskier"))
+
+
+def scenario_grid(spark, folder):
+    """Every order under each combination of delay, price, number of items and category, one of them unseen."""
     model, scored = _fit(spark, folder)
     orders = scored.drop(risk_model.SCORE, "risk")
-    what_if = model.score(risk_model.with_scenarios(orders, "delivery_delay_days", [0, 14]))
-    return (what_if.groupBy("delivery_delay_days", "risk")
-            .agg(F.count(F.lit(1)).alias("n_orders"), F.avg(risk_model.SCORE).alias("avg_probability")))
+    what_if = model.score(risk_model.with_grid(orders, SCENARIO_GRID))
+    keys = [F.col("delivery_delay_days").cast("long").alias("delay"), F.col("total_price").alias("price"),
+            F.col("n_items").cast("long").alias("items"), F.col("product_category_name_english").alias("category")]
+    return what_if.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_orders"), F.count_if(F.col("risk").isNotNull()).alias("n_rated"),
+        (F.count_if(~F.col(risk_model.SCORE).between(0, 1)) == 0).alias("all_shares"))
 
 
 # ---------------------------------------------------------------- review texts
@@ -393,10 +490,10 @@ REGISTERED = (
     delivery_features, delivery_buckets, items_rollup, reviews_rollup, order_master, mart_by_month, kpis, filtered_kpis,
     bad_rate_by_delivery_bucket, filtered_bad_rate_by_delivery_bucket, worst_categories, best_categories,
     elevated_categories, monthly_trend, state_rates, state_summary, state_rates_dense, score_distribution,
-    raw_bad_share, delay_histogram, delay_histogram_own_range, late_effect_ztest, late_effect_pvalue, late_effect_verdict,
-    top_n_levels, rare_level_grouping, model_features, train_test_split, stratified_split, class_weights,
+    raw_bad_share, delay_histogram, delay_histogram_own_range, late_effect_ztest, late_effect_pvalue, late_effect_by_state,
+    month_effect_by_category, late_effect_verdict, top_n_levels, rare_level_grouping, model_features, model_indicators, train_test_split, stratified_split, class_weights,
     auc_rank_sum, roc_curve, roc_curve_corners, confusion_matrix, precision_recall, risk_tiers, risk_model_auc,
-    feature_importance, split_importance, model_confusion, model_roc, score_scenarios, review_sentiment, review_sentiment_negated,
+    feature_importance, split_importance, model_confusion, model_roc, score_scenarios, scenario_grid, review_sentiment, review_sentiment_negated,
     sentiment_by_star, sentiment_by_star_midpoint, sentiment_mismatch, mismatched_reviews, sample_by_hash,
 )
 

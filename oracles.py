@@ -125,7 +125,8 @@ WORDS = """WITH lexicon AS (
                         ('the', 1.5), ('un', -1.4)) AS l(token, valence)),
 texts AS (
   SELECT doc_id, CAST(1 + doc_id % 5 AS INTEGER) AS review_score, text,
-         regexp_split_to_array(lower(text), '[^\\p{L}'']+') AS words FROM documents),
+         [trim(w, '''') FOR w IN regexp_split_to_array(translate(lower(text), '\u2019\u2018', ''''''), '[^\\p{L}'']+')]
+           AS words FROM documents),
 placed AS (
   SELECT doc_id, unnest(words) AS token, unnest(range(1, len(words) + 1)) AS i FROM texts),
 tokens AS (
@@ -201,15 +202,78 @@ TOP_CATEGORIES = """(SELECT product_category_name_english AS level, count(*) AS
 TOP_STATES = """(SELECT seller_state AS level, count(*) AS n FROM v_master WHERE seller_state IS NOT NULL
    GROUP BY 1 ORDER BY n DESC, level LIMIT 10)"""
 
+# Two-sided p by the published Chebyshev fit to erfc.
+ERFC = ("-1.26551223", "1.00002368", "0.37409196", "0.09678418", "-0.18628806", "0.27886807", "-1.13520398", "1.48851587",
+        "-0.82215223", "0.17087277")
+
+
+def _p_tests(groups, late):
+    """z squared, p and verdict of late against on time for each group."""
+    keys = f"{groups}, " if groups else ""
+    series = ERFC[-1]
+    for coefficient in reversed(ERFC[:-1]):
+        series = f"{coefficient} + t * ({series})"
+    return VIEWS + f""", c AS (
+  SELECT {keys}count(*) FILTER ({late} <= 0) AS n1, sum(is_bad_review) FILTER ({late} <= 0) AS b1,
+         count(*) FILTER ({late} > 0) AS n2, sum(is_bad_review) FILTER ({late} > 0) AS b2
+  FROM v_master {f"WHERE {groups} IS NOT NULL GROUP BY {groups}" if groups else ""}),
+r AS (SELECT *, CAST(coalesce(b1, 0) + coalesce(b2, 0) AS DOUBLE) / nullif(n1 + n2, 0) AS pooled FROM c),
+s AS (
+  SELECT *, CASE WHEN n1 > 0 AND n2 > 0 AND pooled > 0 AND pooled < 1
+    THEN (b2 / n2 - b1 / n1) / sqrt(pooled * (1 - pooled) * (1.0 / n1 + 1.0 / n2)) END AS z FROM r),
+x AS (SELECT *, CAST(1 / (1 + abs(z) / sqrt(2.0) / 2) AS DOUBLE) AS t FROM s),
+p AS (SELECT *, t * exp(-z * z / 2 + {series}) AS p FROM x)
+SELECT {keys}round(z * z, 6) AS chi2, round(p, 6) AS p_value,
+  CASE WHEN p < 0.001 THEN 'p < 0.001 (extremely significant)'
+       WHEN p < 0.01 THEN printf('p = %.4f (highly significant)', p)
+       WHEN p < 0.05 THEN printf('p = %.4f (significant)', p)
+       WHEN p IS NOT NULL THEN printf('p = %.4f (NOT significant)', p) END AS verdict FROM p"""
+
+
+TEST_SIZES = """, sizes AS (
+  SELECT is_bad_review, count(*) AS n, CAST(round_even(count(*) * 0.2, 0) AS BIGINT) AS test
+  FROM v_master GROUP BY is_bad_review)
+"""
+
 ORACLES = {
+    "late_effect_pvalue": _p_tests("", "delivery_delay_days"),
+    "late_effect_by_state": _p_tests("seller_state", "delivery_delay_days"),
+    "month_effect_by_category": _p_tests("product_category_name_english", "(day(order_purchase_timestamp) - 15)"),
+    "risk_model": VIEWS + TEST_SIZES + """SELECT CAST(sum(n - test) AS BIGINT) AS n_train,
+  CAST(sum(test) AS BIGINT) AS n_test, true AS tells_apart, true AS holds_on_test_orders FROM sizes""",
+    "feature_importance": "SELECT CAST(15 AS BIGINT) AS n_rows, true AS first_is_delivery, true AS adds_up",
+    "split_importance": "SELECT CAST(15 AS BIGINT) AS n_rows, true AS adds_up, 150 AS n_trees",
+    "model_confusion": VIEWS + TEST_SIZES + """SELECT CAST(sum(test) AS BIGINT) AS n_test,
+  CAST(sum(test) FILTER (is_bad_review = 1) AS BIGINT) AS n_bad, true AS precise, true AS complete FROM sizes""",
+    "model_roc": """SELECT CAST(0 AS DOUBLE) AS fpr, CAST(0 AS DOUBLE) AS tpr, CAST(1 AS DOUBLE) AS last_fpr,
+  CAST(1 AS DOUBLE) AS last_tpr, true AS never_falls, true AS area_is_auc""",
+    "score_scenarios": VIEWS + """SELECT CAST(delay AS BIGINT) AS delay, (SELECT count(*) FROM v_master) AS n_orders, riskier
+FROM (VALUES (0, false), (14, true)) AS s(delay, riskier)""",
+    "scenario_grid": VIEWS + """SELECT CAST(delay AS BIGINT) AS delay, CAST(price AS DOUBLE) AS price,
+  CAST(items AS BIGINT) AS items, category, (SELECT count(*) FROM v_master) AS n_orders,
+  (SELECT count(*) FROM v_master) AS n_rated, true AS all_shares
+FROM (VALUES (-5), (10)) AS d(delay), (VALUES (20.0), (500.0)) AS p(price), (VALUES (1), (4)) AS i(items),
+  (VALUES ('brand#25'), ('unseen')) AS c(category)""",
+    "model_indicators": VIEWS + f"""SELECT order_id,
+  'cat_' || CASE WHEN product_category_name_english IN (SELECT level FROM {TOP_CATEGORIES})
+                 THEN product_category_name_english ELSE 'other' END
+  || ' state_' || CASE WHEN seller_state IN (SELECT level FROM {TOP_STATES}) THEN seller_state ELSE 'other_state' END
+    AS indicators FROM v_master""",
     "scan_profile": VIEWS + _profile({"orders": 5, "items": 6, "reviews": 3, "products": 2,
                                       "translation": 2, "sellers": 2}),
-    "csv_ingest": VIEWS + _profile({"orders": 7, "items": 6, "reviews": 4, "products": 2, "translation": 2,
-                                    "sellers": 2}) + """
-UNION ALL SELECT 'delivery days', CAST(sum(delivery_time_days) AS BIGINT), 0 FROM v_delivered""",
+    "csv_ingest": VIEWS + """, v_texts AS (
+  SELECT text || CASE WHEN doc_id % 3 = 0 THEN ' "so", they' || chr(10) || 'said' ELSE '' END AS message FROM documents)
+""" + _profile({"orders": 7, "items": 6, "products": 2, "translation": 2, "sellers": 2}) + """
+UNION ALL SELECT 'reviews', (SELECT count(*) FROM v_reviews) + (SELECT count(*) FROM documents), 4
+UNION ALL SELECT 'delivery days', CAST(sum(delivery_time_days) AS BIGINT), 0 FROM v_delivered
+UNION ALL SELECT 'approved hours', CAST(sum(hour(order_purchase_timestamp + to_hours(2))) AS BIGINT), 0 FROM v_orders
+UNION ALL SELECT 'carried hours', CAST(sum(hour(order_delivered_customer_date - to_hours(30))) AS BIGINT), 0 FROM v_orders
+UNION ALL SELECT 'texts', count(message), 0 FROM v_texts
+UNION ALL SELECT 'text characters', CAST(sum(length(message)) AS BIGINT), 0 FROM v_texts
+UNION ALL SELECT 'text hashes', CAST(sum(CAST('0x' || substr(md5(message), 1, 8) AS BIGINT)) AS BIGINT), 0 FROM v_texts""",
     "mart_by_month": VIEWS + """SELECT CAST(date_trunc('month', order_purchase_timestamp) AS DATE) AS purchase_month,
   count(*) AS n_orders, round(avg(review_score), 6) AS avg_review FROM v_master
-WHERE order_purchase_timestamp >= TIMESTAMP '1998-01-01' GROUP BY 1""",
+GROUP BY 1""",
     "late_effect_verdict": VIEWS + """, c AS (
   SELECT count(*) FILTER (delivery_delay_days <= 0) AS n1, sum(is_bad_review) FILTER (delivery_delay_days <= 0) AS b1,
          count(*) FILTER (delivery_delay_days > 0) AS n2, sum(is_bad_review) FILTER (delivery_delay_days > 0) AS b2

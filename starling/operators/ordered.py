@@ -1,11 +1,9 @@
 """Figures that depend on the order of values - running totals, quantiles, ROC, AUC, exact splits -
 without ever sorting raw rows in one task.
 
-Raw rows are first counted per distinct value, and the counts settled, since they are read several times and
-the rows behind them may be dear. The value range is cut into ``fan`` coarse cells of ``fan``
-fine cells each. Totals run over coarse cells, over the fine cells of one coarse cell, and over the
-distinct values of one fine cell; the three are added up. Every sort therefore sees at most ``fan`` cells or
-the distinct values of one fine cell (one part in ``fan`` squared of the range), and the totals are exact.
+Raw rows are first counted per distinct value. The counts are range-partitioned by value, which Spark balances by
+sampling however the values lie, and settled with the number of their part. Totals run inside a part and over the
+parts, and the two are added: every sort sees one part, or one row per part, and the totals are exact.
 """
 
 from __future__ import annotations
@@ -18,7 +16,6 @@ from starling.functions import flag, safe_ratio
 from starling.operators.lookups import look_up
 from starling.session import settled
 
-FAN = 10_000
 SPREAD = 32
 
 
@@ -26,43 +23,28 @@ def _running(measures: Sequence[str], window, suffix: str) -> dict[str, Column]:
     return {m + suffix: F.coalesce(F.sum(m).over(window), F.lit(0)) for m in measures}
 
 
-def running_totals(counts: DataFrame, value: str, measures: Sequence[str], low: float, high: float,
-                   by: Sequence[str] = (), descending: bool = False, fan: int = FAN) -> DataFrame:
+def running_totals(counts: DataFrame, value: str, measures: Sequence[str], by: Sequence[str] = (),
+                   descending: bool = False) -> DataFrame:
     """Adds ``<measure>_upto``, the measure summed over all values up to and including this row's, and
     ``<measure>_all``, its sum over the whole group.
 
-    ``counts`` has one row per (``by``, ``value``), none of them NULL. ``low`` and ``high`` only balance the
-    work: values outside are still placed rightly.
+    ``counts`` has one row per (``by``, ``value``), none of them NULL.
     """
     by, measures = list(by), list(measures)
-    cells = fan * fan
-    place = F.floor((F.col(value) - low) / (high - low) * cells)
-    fine = F.greatest(F.lit(0), F.least(F.lit(cells - 1), place)).cast("long")
-    if descending:
-        fine = F.lit(cells - 1) - fine
-    placed = counts.withColumn("_fine", fine).withColumn("_coarse", F.floor(F.col("_fine") / fan))
-
-    before = (Window.unboundedPreceding, -1)
-    sums = [F.sum(m).alias(m) for m in measures]
-    fine_cells = placed.groupBy(*by, "_coarse", "_fine").agg(*sums)
-    coarse_cells = fine_cells.groupBy(*by, "_coarse").agg(*sums)
-    fine_start = fine_cells.select(*by, "_coarse", "_fine", *[c.alias(n) for n, c in _running(
-        measures, Window.partitionBy(*by, "_coarse").orderBy("_fine").rowsBetween(*before), "_f").items()])
-    whole = Window.partitionBy(*by).orderBy("_coarse")
-    coarse_start = coarse_cells.select(
-        *by, "_coarse",
-        *[c.alias(n) for n, c in _running(measures, whole.rowsBetween(*before), "_c").items()],
+    order = F.desc if descending else F.asc
+    # Settled with the part's number: a part must hold the same rows for its own totals and for those of others.
+    placed = settled(counts.repartitionByRange(*by, order(value)).withColumn("_part", F.spark_partition_id()))
+    parts = placed.groupBy(*by, "_part").agg(*[F.sum(m).alias(m) for m in measures])
+    whole = Window.partitionBy(*by).orderBy("_part")         # one row per part
+    starts = parts.select(
+        *by, "_part",
+        *[c.alias(n) for n, c in _running(measures, whole.rowsBetween(Window.unboundedPreceding, -1), "_p").items()],
         *[c.alias(n) for n, c in _running(measures, whole.rowsBetween(
             Window.unboundedPreceding, Window.unboundedFollowing), "_all").items()])
-
-    order = F.desc(value) if descending else F.asc(value)
     inside = placed.withColumns(_running(
-        measures, Window.partitionBy(*by, "_coarse", "_fine").orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, 0), "_v"))
-    return (inside.join(fine_start, [*by, "_coarse", "_fine"]).join(coarse_start, [*by, "_coarse"])
-            .select(*counts.columns,
-                    *[(F.col(m + "_v") + F.col(m + "_f") + F.col(m + "_c")).alias(m + "_upto")
-                      for m in measures],
+        measures, Window.partitionBy(*by, "_part").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0), "_v"))
+    return (inside.join(starts, [*by, "_part"])
+            .select(*counts.columns, *[(F.col(m + "_v") + F.col(m + "_p")).alias(m + "_upto") for m in measures],
                     *[m + "_all" for m in measures]))
 
 
@@ -82,14 +64,13 @@ def _rank(share: float, method: str) -> Column:
     raise ValueError(f"unknown quantile method {method}")
 
 
-def five_numbers(df: DataFrame, by: str, value: str, low: float, high: float,
-                 method: str = "linear", copies: str | None = None, fan: int = FAN) -> DataFrame:
+def five_numbers(df: DataFrame, by: str, value: str, method: str = "linear", copies: str | None = None) -> DataFrame:
     """Box-plot figures per group: size, quartiles, whiskers (the furthest values within 1.5 times the
     quartile distance) and the number of values beyond them. Exact for any group size. ``copies`` names a
     column that says how many rows each row stands for."""
     size = F.sum(copies) if copies else F.count(F.lit(1))
     counts = _per_value(df.where(F.col(by).isNotNull()), value, [by], n=size)
-    ranked = running_totals(counts, value, ["n"], low, high, by=[by], fan=fan)
+    ranked = running_totals(counts, value, ["n"], by=[by])
     # The value at position r is the smallest one whose running count exceeds r.
     cuts = {"q1": 0.25, "median": 0.5, "q3": 0.75}
     picks, quartiles = [F.max("n_all").alias("n_all")], {}
@@ -122,10 +103,10 @@ def _score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = ())
                       step=F.max(F.lit(1).cast("long")))
 
 
-def auc(df: DataFrame, label: str, score: str, by: Sequence[str] = (), fan: int = FAN) -> DataFrame:
+def auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Per group, or in one row: the chance that a bad order scores above a good one, ties counting half.
     NULL with one class."""
-    counts = running_totals(_score_counts(df, label, score, by), score, ["neg"], 0.0, 1.0, by=by, fan=fan)
+    counts = running_totals(_score_counts(df, label, score, by), score, ["neg"], by=by)
     wins = F.col("pos") * ((F.col("neg_upto") - F.col("neg")) + F.col("neg") / 2)
     return (counts.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
                                     F.sum(wins).alias("_wins"))
@@ -133,13 +114,14 @@ def auc(df: DataFrame, label: str, score: str, by: Sequence[str] = (), fan: int
                     safe_ratio(F.col("_wins"), F.col("n_pos").cast("double") * F.col("n_neg")).alias("auc")))
 
 
-def roc_curve(df: DataFrame, label: str, score: str, corners_only: bool = False, fan: int = FAN) -> DataFrame:
+def roc_curve(df: DataFrame, label: str, score: str, corners_only: bool = False, numbered: bool = False) -> DataFrame:
     """One point per distinct score, from (0, 0) with a NULL threshold to (1, 1).
 
     ``corners_only`` leaves out inner points on a straight piece: those whose step equals the next one's.
+    ``numbered`` adds the place of each point on the whole curve.
     """
     counts = _score_counts(df, label, score)
-    points = running_totals(counts, score, ["pos", "neg", "step"], 0.0, 1.0, descending=True, fan=fan)
+    points = running_totals(counts, score, ["pos", "neg", "step"], descending=True)
     if corners_only:
         following = points.select((F.col("step_upto") - 1).alias("step_upto"),
                                   F.col("pos").alias("_pos"), F.col("neg").alias("_neg"))
@@ -147,10 +129,23 @@ def roc_curve(df: DataFrame, label: str, score: str, corners_only: bool = False,
         points = points.join(following, "step_upto", "left").where(~F.coalesce(straight, F.lit(False)))
     curve = points.select(
         F.col(score).alias("threshold"), safe_ratio(F.col("neg_upto"), F.col("neg_all")).alias("fpr"),
-        safe_ratio(F.col("pos_upto"), F.col("pos_all")).alias("tpr"))
-    start = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"),
-                                            F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    return start.unionByName(curve)
+        safe_ratio(F.col("pos_upto"), F.col("pos_all")).alias("tpr"), F.col("step_upto").alias("point"))
+    start = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"),
+                                            F.lit(0.0).alias("tpr"), F.lit(0).cast("long").alias("point"))
+    whole = start.unionByName(curve)
+    return whole if numbered else whole.drop("point")
+
+
+def curve_facts(points: DataFrame) -> DataFrame:
+    """One row on a numbered whole curve: its ends, whether it ever falls, and the area under it."""
+    before = points.select((F.col("point") + 1).alias("point"), F.col("fpr").alias("_fpr"), F.col("tpr").alias("_tpr"))
+    steps = points.join(before, "point", "left")
+    width, height = F.col("fpr") - F.col("_fpr"), (F.col("tpr") + F.col("_tpr")) / 2
+    return steps.agg(
+        F.min(F.struct("point", "fpr", "tpr")).alias("first"), F.max(F.struct("point", "fpr", "tpr")).alias("last"),
+        (F.count_if((width < 0) | (F.col("tpr") < F.col("_tpr"))) == 0).alias("never_falls"),
+        F.sum(width * height).alias("area")).select("first.fpr", "first.tpr", F.col("last.fpr").alias("last_fpr"),
+                                                     F.col("last.tpr").alias("last_tpr"), "never_falls", "area")
 
 
 # ---------------------------------------------------------------- splits and samples
@@ -201,7 +196,14 @@ def _by_class(label: str, values: dict) -> Column:
 
 
 def sample_by_hash(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows with the smallest hashes, or all if fewer. Only keys are ranked; their rows are picked
-    out by a semi-join, so long texts are not carried through the sort."""
-    picked = df.select(key).orderBy(row_hash(key, seed, digits=15), key).limit(n)
-    return df.join(picked, key, "left_semi")
+    """``n`` rows, or all if fewer, those with the smallest hashes of their keys; rows of one key in the order of a hash
+    of the whole row. Only keys and hashes are ranked: the rows up to the last are picked out where they lie, and
+    of those that tie with it the few that exceed ``n`` are left out."""
+    hashed = df.withColumns({"_key_hash": row_hash(key, seed, digits=15), "_row_hash": F.xxhash64(*df.columns)})
+    last = hashed.select("_key_hash", "_row_hash").orderBy("_key_hash", "_row_hash").limit(n).agg(
+        F.max(F.struct("_key_hash", "_row_hash")).alias("m")).first()["m"]
+    if last is None:
+        return df.limit(0)
+    place = F.struct("_key_hash", "_row_hash")
+    end = F.struct(F.lit(last["_key_hash"]).alias("_key_hash"), F.lit(last["_row_hash"]).alias("_row_hash"))
+    return hashed.where(place <= end).orderBy("_key_hash", "_row_hash").limit(n).drop("_key_hash", "_row_hash")

@@ -24,6 +24,11 @@ NEGATION_REACH = 3
 # Anything but a letter or an apostrophe parts words, so accented words and contractions stay whole.
 WORD_BREAK = r"[^\p{L}']+"
 
+#: Curly apostrophes, written as straight ones; at the ends of a word they are quotes.
+CURLY = "\u2019\u2018"
+#: Words that a list may have at most: such a list is broadcast, a longer one refused.
+MOST_WORDS = 200_000
+
 TEXT, STARS = "review_comment_message", "review_score"
 
 
@@ -31,17 +36,31 @@ def text_hash(text: str = TEXT) -> Column:
     return F.xxhash64(text)
 
 
+def words_of(text: str = TEXT, word_break: str = WORD_BREAK) -> Column:
+    straight = F.translate(F.lower(text), CURLY, "'" * len(CURLY))
+    return F.transform(F.split(straight, word_break), lambda word: F.btrim(word, F.lit("'")))
+
+
+def checked_words(lexicon: DataFrame, most: int = MOST_WORDS) -> DataFrame:
+    """The list, marked for broadcast once its size is known to allow it."""
+    words = lexicon.select("token", "valence")
+    if words.limit(most + 1).count() > most:
+        raise ValueError(f"a word list of more than {most} words is not broadcast")
+    return F.broadcast(words)
+
+
 def review_sentiment(reviews: DataFrame, lexicon: DataFrame, keys: Sequence[str] = ("review_id", "order_id"),
                      negators: Sequence[str] = NEGATORS, word_break: str = WORD_BREAK) -> DataFrame:
     """Sentiment in [-1, 1] per review with a text. Reviews alike in keys, stars and text come as one row with
     their number in ``n_copies``; ``text_hash`` tells the texts of one key apart.
 
-    Every word of every text is looked up. The word list (token, valence) is small, so Spark broadcasts it;
-    words are summed per review where they are read, and one row per review is shuffled, never the words.
+    Every word of every text is looked up. The word list (token, valence) is broadcast after a check of its size;
+    words are summed per review where they are read, and one row per review is shuffled, never the words. Several
+    negators in reach of a word count once, where the published rule turns it anew for each.
     """
     carried = [*keys, STARS, "text_hash"]
     texts = (reviews.where(F.col(TEXT).isNotNull()).withColumn("text_hash", text_hash())
-             .select(*carried, F.split(F.lower(TEXT), word_break).alias("token"),
+             .select(*carried, words_of(TEXT, word_break).alias("token"),
                      F.array(F.lit(True)).alias("is_first")))
     behind = [f"back{k}" for k in range(1, NEGATION_REACH + 1)] if negators else []
     if negators:
@@ -60,7 +79,7 @@ def review_sentiment(reviews: DataFrame, lexicon: DataFrame, keys: Sequence[str]
     if negators:
         valence = valence * F.when(reduce(or_, map(F.col, behind)), NEGATION).otherwise(1.0)
     total = F.col("_sum") / F.col("n_copies")
-    return (rows.join(lexicon.select("token", "valence"), "token", "left")
+    return (rows.join(checked_words(lexicon), "token", "left")
             .groupBy(*carried).agg(F.sum(valence).alias("_sum"), F.count("is_first").alias("n_copies"))
             .select(*carried, "n_copies", (total / F.sqrt(total * total + NORMALISER)).alias("sentiment")))
 

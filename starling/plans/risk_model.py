@@ -18,6 +18,7 @@ from starling.operators.rates import BAD
 from starling.plans.dashboard import CATEGORY, STATE
 from starling.session import checkpoint_folder, settled
 
+# The model's inputs, how many levels keep a name, and the names of the rest.
 NUMBERS = ("delivery_delay_days", "delivery_time_days", "total_price", "total_freight", "freight_pct", "n_items")
 N_CATEGORIES, N_STATES = 15, 10
 OTHER_CATEGORY, OTHER_STATE = "other", "other_state"
@@ -78,6 +79,13 @@ class Levels:
             inputs += [(shown == F.lit(v)).cast("double") for v in known]
         return array_to_vector(F.array(*inputs))
 
+    def indicators(self) -> Column:
+        """Names of the category and state columns that are not 0 for an order, out of its input vector."""
+        first = len(NUMBERS)
+        names = F.array(*[F.lit(name) for name in self.names()[first:]])
+        shown = F.slice(vector_to_array(self.vector()), first + 1, len(self.names()) - first)
+        return F.filter(F.transform(shown, lambda x, i: F.when(x != 0, F.get(names, i))), lambda name: name.isNotNull())
+
 
 def find_levels(master: DataFrame, n_categories: int = N_CATEGORIES, n_states: int = N_STATES) -> Levels:
     """Names that get a column. Only these few come to the driver; the catch-all is listed if it occurs."""
@@ -113,6 +121,9 @@ class RiskModel:
             figures = map(float, self.trees.featureImportances.toArray())
         elif kind == "splits":
             asked = Counter(re.findall(r"If \(feature (\d+) ", self.trees.toDebugString))
+            inner = sum((tree.numNodes - 1) // 2 for tree in self.trees.trees)
+            if sum(asked.values()) != inner:
+                raise RuntimeError(f"{inner} splits, but {sum(asked.values())} found in the printed trees")
             figures = (float(asked[str(i)]) for i in range(self.trees.numFeatures))
         else:
             raise ValueError(f"unknown kind of importance {kind}")
@@ -134,27 +145,32 @@ class RiskModel:
 
 # ---------------------------------------------------------------- training and evaluation
 
-def train(master: DataFrame, key: str = "order_id", trees: int = 150, depth: int = 8, rate: float = 0.05,
-          seed: int = 42, test_share: float = 0.2, min_leaf: int = 20) -> tuple[RiskModel, DataFrame]:
-    """Fits the model on a stratified part of the mart; returns it and all orders scored, with ``is_test``.
-    A leaf holds at least ``min_leaf`` orders.
+# The number, depth and rate of the trees, the seed, and the share of test orders.
+TREES, DEPTH, RATE, SEED, TEST_SHARE = 150, 8, 0.05, 42, 0.2
+
 
-    The inputs are settled first: boosting passes over them some trees-times-depth times, and must not redo
-    the joins when an executor is lost.
-    """
-    checkpoint_folder(master.sparkSession)
+def split_orders(master: DataFrame, key: str = "order_id", seed: int = SEED, test_share: float = TEST_SHARE) -> DataFrame:
+    """The model's inputs and outcome of all orders, with ``is_test`` for a stratified part. The inputs are settled once:
+    boosting passes over them some trees-times-depth times, and must not redo the joins when an executor is lost."""
     inputs = settled(master.select(key, CATEGORY, STATE, BAD, *NUMBERS))
-    levels = find_levels(inputs)
-    split = settled(stratified_split(inputs, key, BAD, seed, test_share))
+    return stratified_split(inputs, key, BAD, seed, test_share)
+
+
+def train(split: DataFrame, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, seed: int = SEED,
+          min_leaf: int = 20, bins: int = 32) -> RiskModel:
+    """Fits the model on the training part of ``split``. A leaf holds at least ``min_leaf`` orders; splits are looked for
+    among ``bins`` ranges of an input."""
+    checkpoint_folder(split.sparkSession)
+    levels = find_levels(split)
     training = split.where("is_test = 0")
     weights = {r[BAD]: r["weight"] for r in class_weights(training).collect()}
     weight = F.when(F.col(BAD) == 1, weights.get(1, 1.0)).otherwise(weights.get(0, 1.0))
-    booster = GBTClassifier(labelCol=BAD, weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate,
-                            seed=seed, minInstancesPerNode=min_leaf, maxMemoryInMB=512, checkpointInterval=10)
+    booster = GBTClassifier(labelCol=BAD, weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, maxBins=bins,
+                            seed=seed, minInstancesPerNode=min_leaf, maxMemoryInMB=512, checkpointInterval=25)
+    # A job for each level of each tree: full partitions keep their number, and so the cost of a job, down.
     fitted = booster.fit(training.select(F.col(BAD).cast("double").alias(BAD), weight.alias("weight"),
-                                         levels.vector().alias("features")))
-    model = RiskModel(fitted, levels)
-    return model, model.score(split)
+                                         levels.vector().alias("features")).hint("rebalance"))
+    return RiskModel(fitted, levels)
 
 
 def train_and_test_auc(scored: DataFrame) -> DataFrame:
@@ -176,8 +192,15 @@ def with_freight_share(orders: DataFrame) -> DataFrame:
     return orders.withColumn("freight_pct", F.when(F.col("total_price") > 0, ratio).otherwise(F.lit(0.0)))
 
 
-def with_scenarios(orders: DataFrame, column: str, values: Sequence[float]) -> DataFrame:
+def with_scenarios(orders: DataFrame, column: str, values: Sequence) -> DataFrame:
     """Every order once per given value of ``column``, its own value replaced. Freight share follows."""
     kind = orders.schema[column].dataType
     options = F.array(*[F.lit(v).cast(kind) for v in values])
     return with_freight_share(orders.drop(column).withColumn(column, F.explode(options)).select(*orders.columns))
+
+
+def with_grid(orders: DataFrame, values: dict[str, Sequence]) -> DataFrame:
+    """Every order once per combination of the given values."""
+    for column, options in values.items():
+        orders = with_scenarios(orders, column, options)
+    return orders

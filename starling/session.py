@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +61,16 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return named
 
 
+def run_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder for one run beside the checkpoints, where all executors reach it; it goes when the driver ends."""
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so a lost executor does not redo what led to it."""
     checkpoint_folder(df.sparkSession)

@@ -54,19 +54,32 @@ def missing_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.col(c).isin(*MISSING_SPELLINGS), F.col(c)) for c in texts})
 
 
-def read_csv(spark: SparkSession, path: str, columns: dict[str, str], multi_line: bool = False) -> DataFrame:
-    """A CSV file with a header and doubled quotes inside quoted fields, columns found by name.
-
-    Only the header line is read ahead, never the data: types come from ``columns``. ``multi_line`` lets
-    quoted text span lines; such a file cannot be split, so only the reviews use it.
+def read_csv(spark: SparkSession, path: str, columns: dict[str, str], multi_line: bool = False,
+             strict: bool = True) -> DataFrame:
+    """CSV files with a header and doubled quotes inside quoted fields, columns found by name.
+
+    Only a header line is read ahead, never the data: types come from ``columns``. Every file must have that header.
+    ``multi_line`` lets quoted text span lines; such a file cannot be split, so only the reviews use it, and a large
+    delivery of them must come as many files. All fields are read as text, so that a missing value's spelling is not
+    taken for a bad number. Strict: a bad number or a row with too few or too many fields stops the job.
+    Otherwise ``bad_fields`` lists the columns that became NULL, with ``row`` where the number of fields is off.
     """
-    header = spark.read.options(header=True, quote='"', escape='"').csv(path).columns
+    layout = {"header": True, "quote": '"', "escape": '"'}
+    header = spark.read.options(**layout).csv(path).columns
     absent = sorted(set(columns) - set(header))
     if absent:
         raise ValueError(f"{path} has no column {', '.join(absent)}")
-    schema = ", ".join(f"`{c}` {columns.get(c, 'string')}" for c in header)
-    return missing_to_null(spark.read.schema(schema)
-                           .options(header=True, multiLine=multi_line, quote='"', escape='"').csv(path))
+    schema = ", ".join(f"`{c}` string" for c in header)
+    reader = spark.read.options(**layout, multiLine=multi_line, enforceSchema=False, columnPruning=False)
+    if strict:
+        rows = missing_to_null(reader.schema(schema).option("mode", "FAILFAST").csv(path))
+        return rows.withColumns({c: F.col(c).cast(t) for c, t in columns.items() if t != "string"})
+    rows = missing_to_null(reader.schema(f"{schema}, _bad_row string")
+                           .option("columnNameOfCorruptRecord", "_bad_row").csv(path))
+    numbers = {c: F.col(c).try_cast(t) for c, t in columns.items() if t != "string"}
+    bad = [F.when(F.col(c).isNotNull() & number.isNull(), F.lit(c)) for c, number in numbers.items()]
+    return (rows.withColumn("bad_fields", F.array_compact(F.array(*bad, F.when(F.col("_bad_row").isNotNull(), "row"))))
+            .withColumns(numbers).drop("_bad_row"))
 
 
 def parse_moments(df: DataFrame, columns=ORDER_MOMENTS, strict: bool = True) -> DataFrame:
@@ -79,11 +92,11 @@ def parse_moments(df: DataFrame, columns=ORDER_MOMENTS, strict: bool = True) ->
     return df.withColumn("bad_moments", F.array_compact(F.array(*bad))).withColumns(parsed)
 
 
-def csv_tables(spark: SparkSession, files: dict[str, str]) -> Tables:
+def csv_tables(spark: SparkSession, files: dict[str, str], strict: bool = True) -> Tables:
     """The tables from CSV files; ``files`` gives a path (file, folder or glob) for each table name."""
-    found = {name: read_csv(spark, files[name], columns, multi_line=name == "reviews")
+    found = {name: read_csv(spark, files[name], columns, multi_line=name == "reviews", strict=strict)
              for name, columns in CSV_COLUMNS.items()}
-    found["orders"] = parse_moments(found["orders"])
+    found["orders"] = parse_moments(found["orders"], strict=strict)
     return Tables(**found)
 
 

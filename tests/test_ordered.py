@@ -6,7 +6,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from starling.operators.ordered import (
-    auc, five_numbers, hash_split, roc_curve, running_totals, sample_by_hash, stratified_split,
+    auc, curve_facts, five_numbers, hash_split, roc_curve, running_totals, sample_by_hash, stratified_split,
 )
 
 
@@ -15,15 +15,16 @@ def scored(spark, rows):
 
 
 @pytest.mark.parametrize("descending", [False, True])
-@pytest.mark.parametrize("fan", [2, 7, 10_000])
-def test_running_totals_match_a_plain_sum(spark, descending, fan):
-    rng = random.Random(fan)
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_running_totals_match_a_plain_sum(spark, settings, descending, parts):
+    settings(spark__sql__shuffle__partitions=str(parts), spark__sql__adaptive__coalescePartitions__enabled="false")
+    rng = random.Random(parts)
     # Crowded, spread, negative and out-of-range values.
     values = {round(rng.choice([rng.random(), rng.gauss(0.5, 0.001), rng.uniform(-3, 3)]), 9) for _ in range(300)}
     rows = [(g, v, rng.randrange(9)) for g in "ab" for v in values]
     df = spark.createDataFrame(rows, "g string, v double, n long")
     found = {(r.g, r.v): (r.n_upto, r.n_all)
-             for r in running_totals(df, "v", ["n"], 0.0, 1.0, by=["g"], descending=descending, fan=fan).collect()}
+             for r in running_totals(df, "v", ["n"], by=["g"], descending=descending).collect()}
     assert len(found) == len(rows)
     for group in "ab":
         upto, total = 0, sum(n for g, _, n in rows if g == group)
@@ -32,6 +33,23 @@ def test_running_totals_match_a_plain_sum(spark, descending, fan):
             assert found[(group, v)] == (upto, total)
 
 
+def test_crowded_values_are_spread_over_parts(spark, settings):
+    """200,000 distinct values within 1e-9: no part holds more than a few times its share."""
+    settings(spark__sql__shuffle__partitions="20", spark__sql__adaptive__coalescePartitions__enabled="false")
+    df = spark.range(200_000).select((0.5 + F.col("id") * 5e-15).alias("v"), F.lit(1).cast("long").alias("n"))
+    n = df.select("v").distinct().count()
+    found = running_totals(df.groupBy("v").agg(F.sum("n").alias("n")), "v", ["n"])
+    assert found.agg(F.max("n_upto"), F.min("n_all")).first() == (200_000, 200_000)
+    placed = df.repartitionByRange(F.asc("v")).groupBy(F.spark_partition_id().alias("p")).count()
+    assert placed.agg(F.max("count")).first()[0] < 4 * 200_000 / 20 and n > 10_000
+
+
+def test_facts_of_a_curve(spark):
+    df = scored(spark, [(1, 0.9), (0, 0.9), (1, 0.4), (0, 0.1)])
+    row = curve_facts(roc_curve(df, "label", "score", numbered=True)).first()
+    assert tuple(row) == (0.0, 0.0, 1.0, 1.0, True, 0.625)
+
+
 @pytest.mark.parametrize("method, numpy_method", [("linear", "linear"), ("midpoint", "hazen")])
 def test_quartiles_match_numpy(spark, method, numpy_method):
     rng = random.Random(3)
@@ -39,7 +57,7 @@ def test_quartiles_match_numpy(spark, method, numpy_method):
               4: [-1.0, 1.0], 5: [round(rng.gauss(0, 0.1), 2) for _ in range(400)]}
     df = spark.createDataFrame([(s, v) for s, vs in groups.items() for v in vs] + [(None, 0.1), (1, None)],
                                "star int, mood double")
-    found = {r.star: r for r in five_numbers(df, "star", "mood", -1.0, 1.0, method).collect()}
+    found = {r.star: r for r in five_numbers(df, "star", "mood", method).collect()}
     assert sorted(found) == [1, 2, 3, 4, 5]
     for star, values in groups.items():
         q1, median, q3 = np.quantile(values, [0.25, 0.5, 0.75], method=numpy_method)
@@ -57,7 +75,7 @@ def test_one_hot_group_gives_the_same_box(spark):
         F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 5).cast("int").alias("star"),
         F.when(F.col("id") % 3 == 0, 0.0).otherwise((F.col("id") % 2001 - 1000) / 1000.0).alias("mood"))
     rows = df.collect()
-    for r in five_numbers(df, "star", "mood", -1.0, 1.0).collect():
+    for r in five_numbers(df, "star", "mood").collect():
         values = [x.mood for x in rows if x.star == r.star]
         assert r.n == len(values)
         assert [r.q1, r.q3] == pytest.approx(list(np.quantile(values, [0.25, 0.75])))
@@ -118,3 +136,11 @@ def test_hash_split_and_sample(spark):
     once = {r.k for r in sample_by_hash(df, "k", 100).collect()}
     assert len(once) == 100 and once == {r.k for r in sample_by_hash(df.repartition(9), "k", 100).collect()}
     assert sample_by_hash(df, "k", 5000).count() == 1000
+
+
+def test_sample_has_n_rows_though_keys_repeat(spark):
+    df = spark.range(300).select((F.col("id") % 60).alias("k"), F.col("id").alias("own"))
+    once = sorted(map(tuple, sample_by_hash(df, "k", 23).collect()))
+    assert len(once) == 23 and once == sorted(map(tuple, sample_by_hash(df.repartition(5), "k", 23).collect()))
+    copies = spark.range(40).select(F.lit(1).alias("k"))
+    assert sample_by_hash(copies, "k", 25).count() == 25 and sample_by_hash(copies.limit(0), "k", 5).count() == 0

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import small
-from starling.operators.sentiment import mismatch_counts, review_sentiment
+from starling.operators.sentiment import checked_words, mismatch_counts, review_sentiment
 from starling.plans import review_text
 from starling.sources.tables import missing_to_null
 from starling.sources.trade_view import TradeFolder, sample_lexicon
@@ -26,7 +26,8 @@ def norm(total):
 @pytest.mark.parametrize("text, total", [
     ("Good, GOOD... good!", 5.7), ("nothing of note here", 0.0), ("produto ótimo", 3.0), ("goodness", 0.0),
     ("not good", -0.74 * 1.9), ("not at all good", -0.74 * 1.9), ("not at all that good", 1.9),
-    ("It isn't a bad one", 0.74 * 2.5), ("bad, never good", -2.5 - 0.74 * 1.9), ("good not", 1.9)])
+    ("It isn't a bad one", 0.74 * 2.5), ("bad, never good", -2.5 - 0.74 * 1.9), ("good not", 1.9),
+    ("'good'", 1.9), ("don\u2019t think good", -0.74 * 1.9), ("\u2018bad\u2019 \u2014 'tis", -2.5)])
 def test_words_and_negation(spark, text, total):
     assert mood(spark, text) == pytest.approx(norm(total))
 
@@ -56,6 +57,24 @@ def test_mismatches(spark):
     assert [(r.review_id, r.review_comment_message) for r in found] == [("a", "bad"), ("b", "good good")]
 
 
+def test_rows_without_ids_stay(spark):
+    rows = [("a", "o", 5, "bad"), (None, "o", 5, "bad bad"), ("c", None, 1, "good"), (None, None, 5, "good")]
+    reviews = small.reviews(spark, rows)
+    assert tuple(mismatch_counts(review_sentiment(reviews, lexicon(spark))).first()) == (2, 1, 4)
+    found = review_text.mismatched_reviews(reviews, lexicon(spark)).collect()
+    assert {(r.review_id, r.order_id, r.review_comment_message) for r in found} == {tuple(r[:2]) + (r[3],) for r in rows[:3]}
+
+
+def test_word_list_is_broadcast_after_a_check(spark, settings):
+    settings(spark__sql__autoBroadcastJoinThreshold="-1")
+    words = spark.createDataFrame([("good", 1.9), ("bad", -2.5)], "token string, valence double")
+    scored = review_sentiment(small.reviews(spark, [("r", "o", 5, "good")]), words)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning(token" not in plan
+    with pytest.raises(ValueError, match="broadcast"):
+        checked_words(words, most=1)
+
+
 def test_copies_and_shared_keys_count_in_full(spark):
     """A third of the rows are copies of one review, another third share its key with other texts."""
     rows = ([("r", "o", 5, "bad")] * 20 + [("r", "o", 5, f"good {i}") for i in range(20)]

@@ -16,7 +16,9 @@ def master(spark):
 
 @pytest.fixture(scope="module")
 def fitted(master):
-    return train(master, trees=5, depth=3)
+    split = risk_model.split_orders(master)
+    model = train(split, trees=5, depth=3)
+    return model, model.score(split)
 
 
 def order(spark, category, state, **numbers):
@@ -100,3 +102,14 @@ def test_scenarios(spark, fitted):
         order(spark, "brand#1", "NATION_1", delivery_time_days=30.0), "delivery_delay_days", [-20, 20])).orderBy(
         "delivery_delay_days").collect()
     assert late.probability_bad > early.probability_bad
+
+
+def test_grid_and_indicators(spark, fitted):
+    model = fitted[0]
+    grid = risk_model.with_grid(order(spark, "brand#1", "NATION_9"), {
+        "delivery_delay_days": [-3, 9], "product_category_name_english": ["brand#25", "never sold"], "n_items": [1, 2, 3]})
+    scored = model.score(grid).withColumn("names", model.levels.indicators()).collect()
+    assert len(scored) == 12 and all(0 <= r.probability_bad <= 1 for r in scored)
+    assert {(r.product_category_name_english, tuple(r.names)) for r in scored} == {
+        ("brand#25", ("cat_brand#25" if "brand#25" in model.levels.categories else "cat_other", "state_NATION_9")),
+        ("never sold", ("cat_other", "state_NATION_9"))}

@@ -26,6 +26,19 @@ def test_no_folder_is_made_up_on_a_cluster():
     assert checkpoint_folder(stand_in(in_use="hdfs://elsewhere")) == "hdfs://elsewhere"
 
 
+def test_folders_are_told_apart_exactly():
+    for named, in_use, kept in (("/data/ck", "/data/ck2/1f", False), ("/data/ck", "file:/data/ck/1f", True),
+                                ("hdfs://a/ck", "hdfs://b/ck/1f", False), ("file:///data/ck", "file:/data/ck/1f", True)):
+        session = stand_in(named=named, in_use=in_use)
+        assert checkpoint_folder(session) == named
+        assert (session.sparkContext.chosen == in_use) == kept
+
+
+def test_local_master_keeps_to_its_own_tables_folder():
+    session = stand_in(master="local[2]")
+    assert checkpoint_folder(session) == session.sparkContext.chosen == "spark-warehouse/_checkpoints"
+
+
 def test_settled_frames_come_from_files(spark):
     doubled = settled(spark.range(10).selectExpr("id * 2 AS x"))
     assert doubled.count() == 10

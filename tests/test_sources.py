@@ -68,3 +68,34 @@ def test_region_codes(spark, tmp_path):
                 for s in ("SP", "RJ")]
     (tmp_path / "regions.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}, indent=1))
     assert [r.seller_state for r in region_codes(spark, str(tmp_path / "regions.geojson")).collect()] == ["SP", "RJ"]
+
+
+def write(path, **files):
+    path.mkdir()
+    for name, text in files.items():
+        (path / f"{name}.csv").write_text(text)
+    return str(path)
+
+
+def test_a_differing_header_stops_the_job(spark, tmp_path):
+    head = "order_id,order_item_id,product_id,seller_id,price,freight_value"
+    swapped = "order_id,order_item_id,product_id,seller_id,freight_value,price"
+    folder = write(tmp_path / "items", a=f"{head}\no1,1,p,s,99.0,1.0\n", b=f"{swapped}\no2,1,p,s,1.0,99.0\n")
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        read_csv(spark, folder, CSV_COLUMNS["items"]).collect()
+
+
+def test_bad_numbers_and_short_rows_stop_or_are_listed(spark, tmp_path):
+    head = "order_id,order_item_id,product_id,seller_id,price,freight_value\n"
+    good, bad = "o1,1,p,s,9.0,NA\n", ("o2,x2,p,s,9.0,1.0\n", "o3,1,p,s,abc,1.0\n", "o4,1,p\n")
+    assert read_csv(spark, write(tmp_path / "good", a=head + good), CSV_COLUMNS["items"]).first().price == 9.0
+    for i, line in enumerate(bad):
+        folder = write(tmp_path / f"bad{i}", a=head + good + line)
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT|MALFORMED_CSV"):
+            read_csv(spark, folder, CSV_COLUMNS["items"]).collect()
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT|MALFORMED_CSV"):
+            read_csv(spark, folder, CSV_COLUMNS["items"]).selectExpr("sum(price)", "sum(order_item_id)").collect()
+    folder = write(tmp_path / "all", a=head + good + "".join(bad))
+    rows = read_csv(spark, folder, CSV_COLUMNS["items"], strict=False).orderBy("order_id").collect()
+    assert [r.bad_fields for r in rows] == [[], ["order_item_id"], ["price"], ["row"]]
+    assert [(r.order_item_id, r.price) for r in rows] == [(1, 9.0), (None, 9.0), (1, None), (1, None)]
