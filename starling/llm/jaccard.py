@@ -28,6 +28,8 @@ from starling.session import settled
 WORDS = 5
 #: Shingles that one task looks through at a time.
 TASK_SHINGLES = 1_500_000
+#: Texts that may have a partner are looked up by broadcast keys up to this number (some 32 bytes each).
+MOST_BROADCAST = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: what parts words.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -36,7 +38,7 @@ BLANKS = r"[\x20\x09-\x0D]+"
 def shingles(text: Column, size: int = WORDS) -> Column:
     """The distinct runs of ``size`` words as hashes in order; all words as one if there are fewer; none for NULL."""
     words = F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BLANKS), lambda w: w != "")
-    return F.transform(F.array(words), lambda w: F.array_sort(F.array_distinct(
+    return F.transform(F.array(words), lambda w: F.sort_array(F.array_distinct(
         F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.xxhash64(
             F.array_join(F.slice(w, i, size), " "))))
         .when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " "))))
@@ -142,13 +144,14 @@ def links_among(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], side
 
 # ---------------------------------------------------------------- who can have a partner
 
-def _pairable(reps: DataFrame) -> DataFrame:
-    """``rep`` of the texts that enough of their first shingles could tie to another."""
-    rows = reps.select("rep", "n", F.explode("first").alias("t"))
-    shared = rows.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("t")
+def _pairable(rows: DataFrame) -> DataFrame:
+    """``n``, ``h1``, ``h2`` of the sets that enough of their first shingles could tie to another set. A shingle that
+    only copies of one set hold ties it to nothing."""
+    each = rows.select("id", "n", "h1", "h2", F.explode("first").alias("t"))
+    shared = (each.groupBy("t").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("t"))
     required = F.floor(F.floor((F.col("n") * 4 + 4) / 5) / 20) + 1
-    return rows.join(shared, "t").groupBy("rep", "n").agg(F.count(F.lit(1)).alias("c")).where(
-        F.col("c") >= required).select("rep")
+    return (each.join(shared, "t").groupBy("id", "n", "h1", "h2").agg(F.count(F.lit(1)).alias("c"))
+            .where(F.col("c") >= required).select("n", "h1", "h2").distinct())
 
 
 def _by_frequency(sets: DataFrame) -> DataFrame:
@@ -157,7 +160,7 @@ def _by_frequency(sets: DataFrame) -> DataFrame:
     rows = sets.select("rep", "n", F.explode("sh").alias("t"))
     df = rows.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     return (rows.join(df, "t").groupBy("rep", "n")
-            .agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("s"))
+            .agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
             .select("rep", "n", F.col("s.t").alias("shared")).where(F.size("shared") * 5 >= F.col("n") * 4))
 
 
@@ -223,11 +226,12 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = WOR
                 first.alias("first")))
     linked = rows.where("n > 0 AND id IS NOT NULL")
     reps = settled(linked.groupBy("n", "h1", "h2").agg(
-        F.min("id").alias("rep"), F.min_by(F.struct("th", "first"), "id").alias("r"), F.count(F.lit(1)).alias("n_copies"))
-        .select("n", "h1", "h2", "rep", "r.th", "r.first", "n_copies"))
-    wanted = _pairable(reps).join(reps.select("rep", "n", "th"), "rep")
+        F.min("id").alias("rep"), F.min_by("th", "id").alias("th"), F.count(F.lit(1)).alias("n_copies")))
+    wanted = settled(reps.join(_pairable(linked), ["n", "h1", "h2"], "left_semi").select("rep", "th", "n"))
+    if wanted.count() <= MOST_BROADCAST:
+        wanted = F.broadcast(wanted)                # else the texts are shuffled to them
     own = df.select(F.col(key).cast("bigint").alias("rep"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    sets = (wanted.join(own, ["rep", "th"]).dropDuplicates(["rep", "th"])
+    sets = (own.join(wanted, ["rep", "th"]).dropDuplicates(["rep", "th"])
             .select("rep", "n", shingles(F.col("text"), size).alias("sh")))
     found = _found(settled(_by_frequency(settled(sets))), task_shingles)
     groups = components(found.where("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")))
