@@ -89,12 +89,16 @@ def fixed_score(master: DataFrame) -> DataFrame:
     return master.select("order_id", "is_bad_review", score.alias("score"))
 
 
-def _fit(spark, folder):
-    """The model and all orders scored. Trained and saved by the first query that needs it."""
+def trained(spark, folder):
+    """The model, trained on the folder's orders and saved by the first query that needs it, and those orders."""
     split = risk_model.split_orders(_master(spark, folder))
     tables = ["orders", "lineitem", "part", "supplier", "nation"]
     path = _stored(spark, folder, "risk-model", tables, lambda path: risk_model.train(split).save(path))
-    model = risk_model.RiskModel.load(spark, path)
+    return risk_model.RiskModel.load(spark, path), split
+
+
+def _fit(spark, folder):
+    model, split = trained(spark, folder)
     return model, model.score(split)
 
 
@@ -231,6 +235,13 @@ def worst_categories(spark, folder):
     return rounded(worst, "bad_rate", "bad_rate_pct", "avg_delivery")
 
 
+def worst_categories_chart(spark, folder):
+    """The worst categories as a chart that grows upwards lists them, with each bar's place from below."""
+    chart = rates.ascending(worst_categories(spark, folder), "bad_rate", dashboard.CATEGORY)
+    return (chart.select(dashboard.CATEGORY, "bad_rate").coalesce(1)            # fifteen rows, in order
+            .withColumn("place", F.monotonically_increasing_id() + 1))
+
+
 def best_categories(spark, folder):
     best = dashboard.best_categories(_master(spark, folder), MIN_CATEGORY)
     return rounded(best, "bad_rate", "bad_rate_pct", "avg_delivery")
@@ -488,7 +499,8 @@ def sample_by_hash(spark, folder):
 REGISTERED = (
     scan_profile, csv_ingest, json_dimension, distinct_categories, distinct_states, table_preview, delivered_orders,
     delivery_features, delivery_buckets, items_rollup, reviews_rollup, order_master, mart_by_month, kpis, filtered_kpis,
-    bad_rate_by_delivery_bucket, filtered_bad_rate_by_delivery_bucket, worst_categories, best_categories,
+    bad_rate_by_delivery_bucket, filtered_bad_rate_by_delivery_bucket, worst_categories, worst_categories_chart,
+    best_categories,
     elevated_categories, monthly_trend, state_rates, state_summary, state_rates_dense, score_distribution,
     raw_bad_share, delay_histogram, delay_histogram_own_range, late_effect_ztest, late_effect_pvalue, late_effect_by_state,
     month_effect_by_category, late_effect_verdict, top_n_levels, rare_level_grouping, model_features, model_indicators, train_test_split, stratified_split, class_weights,

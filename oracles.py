@@ -311,6 +311,10 @@ WHERE product_category_name_english IN ('brand#1', 'brand#2', 'brand#25')
         VIEWS + _bucket_rates("seller_state IN ('NATION_6', 'NATION_9', 'NATION_14')"),
     "worst_categories": VIEWS + CATEGORY_RATES + """
 ORDER BY avg(is_bad_review) DESC, product_category_name_english LIMIT 15""",
+    "worst_categories_chart": VIEWS + f""", w AS ({CATEGORY_RATES}
+ORDER BY avg(is_bad_review) DESC, product_category_name_english LIMIT 15)
+SELECT product_category_name_english, bad_rate,
+  row_number() OVER (ORDER BY bad_rate, product_category_name_english) AS place FROM w""",
     "best_categories": VIEWS + CATEGORY_RATES + """
 ORDER BY avg(is_bad_review), product_category_name_english LIMIT 5""",
     "elevated_categories": VIEWS + f""", o AS (SELECT avg(is_bad_review) AS overall_exact FROM v_master),
