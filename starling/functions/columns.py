@@ -65,6 +65,7 @@ def not_null(*names: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
 
 
+# The limits and texts of the two gradings below.
 def risk_tier(probability: Column) -> Column:
     return (F.when(probability > 0.5, "Likely bad review")
              .when(probability > 0.3, "Elevated risk")
