@@ -30,6 +30,8 @@ WORDS = 5
 TASK_SHINGLES = 1_500_000
 #: Texts that may have a partner are looked up by broadcast keys up to this number (some 32 bytes each).
 MOST_BROADCAST = 500_000
+#: A probe of a list costs as much as merging so many of its entries.
+PROBE_COST = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: what parts words.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -49,13 +51,27 @@ def shingles(text: Column, size: int = WORDS) -> Column:
 
 @dataclass
 class Lists:
-    """Inverted lists over some texts, which are numbered in order of size."""
+    """Inverted lists over some texts, which are numbered in order of size: one after another, each in order."""
     sizes: np.ndarray
     starts: np.ndarray
     postings: np.ndarray
 
-    def of(self, shingle: int) -> np.ndarray:
-        return self.postings[self.starts[shingle]:self.starts[shingle + 1]]
+    def __post_init__(self):
+        self.length = np.diff(self.starts)
+        self.places = np.repeat(np.arange(len(self.length)), self.length) * len(self.sizes) + self.postings
+
+    def merged(self, shingles: np.ndarray, low: int, high: int) -> np.ndarray:
+        """How many of the lists of ``shingles`` hold each text from number ``low`` to before ``high``."""
+        size = self.length[shingles]
+        index = np.repeat(self.starts[shingles] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        found = self.postings[index]
+        return np.bincount(found[(found >= low) & (found < high)] - low, minlength=high - low)
+
+    def probed(self, shingles: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """How many of the lists of ``shingles`` hold each of ``texts``, by binary search."""
+        wanted = shingles[:, None] * len(self.sizes) + texts
+        at = np.searchsorted(self.places, wanted)
+        return (self.places[np.minimum(at, len(self.places) - 1)] == wanted).sum(0)
 
 
 def needed(n: np.ndarray, m: np.ndarray | int) -> np.ndarray:
@@ -69,30 +85,19 @@ def partners(lists: Lists, own: np.ndarray, size: int, low: int, high: int) -> n
     if low >= high or not len(own):
         return np.zeros(0, int)
     least = int(needed(np.int64(size), int(lists.sizes[low])))
-    found = [lists.of(s) for s in own]
-    found = [x[np.searchsorted(x, low):np.searchsorted(x, high)] for x in found]
-    found = sorted((x for x in found if len(x)), key=len)
-    if len(found) < least:
+    if len(own) < least:
         return np.zeros(0, int)
-    total = np.cumsum([len(x) for x in found])
-    n_long = min(least - 1, len(found) - 1)
-    # Merging the short lists must leave few enough candidates for probing the long ones to pay; else all are merged.
-    count = np.bincount(np.concatenate(found[:len(found) - n_long]) - low, minlength=high - low)
+    own = own[np.argsort(lists.length[own], kind="stable")]
+    n_long = least - 1
+    short, long = own[:len(own) - n_long], own[len(own) - n_long:]
+    count = lists.merged(short, low, high)
     candidates = np.flatnonzero(count >= least - n_long)
     if not len(candidates):
         return candidates
-    probes = len(candidates) * n_long * np.log2(len(found[-1]) + 2)
-    if probes < 4 * (total[-1] - total[len(found) - n_long - 1]):
-        count = count[candidates]
-        for left, long in zip(range(n_long, 0, -1), found[len(found) - n_long:]):
-            hopeful = count + left >= least
-            candidates, count = candidates[hopeful], count[hopeful]
-            place = np.searchsorted(long, candidates + low)
-            count = count + (long[np.minimum(place, len(long) - 1)] == candidates + low)
-    else:
-        count = np.bincount(np.concatenate(found) - low, minlength=high - low)
-        candidates = np.flatnonzero(count >= least)
-        count = count[candidates]
+    if len(candidates) * n_long * PROBE_COST < lists.length[long].sum():
+        count = count[candidates] + lists.probed(long, candidates + low)
+    else:                                                   # so many candidates that probing costs more than merging
+        count = (count + lists.merged(long, low, high))[candidates]
     candidates = candidates + low
     return candidates[count >= needed(lists.sizes[candidates], size)]
 
@@ -147,11 +152,12 @@ def links_among(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], side
 def _pairable(rows: DataFrame) -> DataFrame:
     """``n``, ``h1``, ``h2`` of the sets that enough of their first shingles could tie to another set. A shingle that
     only copies of one set hold ties it to nothing."""
-    each = rows.select("id", "n", "h1", "h2", F.explode("first").alias("t"))
-    shared = (each.groupBy("t").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("t"))
+    each = rows.select("id", "h1", F.explode("first").alias("t"))
+    shared = each.groupBy("t").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("t")
+    held = each.select("id", "t").join(shared, "t").groupBy("id").agg(F.count(F.lit(1)).alias("c"))
     required = F.floor(F.floor((F.col("n") * 4 + 4) / 5) / 20) + 1
-    return (each.join(shared, "t").groupBy("id", "n", "h1", "h2").agg(F.count(F.lit(1)).alias("c"))
-            .where(F.col("c") >= required).select("n", "h1", "h2").distinct())
+    return (rows.select("id", "n", "h1", "h2").join(held, "id").where(F.col("c") >= required)
+            .select("n", "h1", "h2").distinct())
 
 
 def _by_frequency(sets: DataFrame) -> DataFrame:

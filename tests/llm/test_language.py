@@ -69,6 +69,14 @@ def test_long_text_is_judged_whole(model):
     assert names == ["en", "en", "de"] and scores[0] < scores[1]
 
 
+def test_text_of_all_languages_is_still_like_one(model):
+    parts = {"de": "der die und eine keit schen ungen ", "en": "the thing with and of that was ", "fr": "les une des dans est que ",
+             "es": "los una del para por que ado "}
+    assert [model.predict([p * 50])[0][0] for p in parts.values()] == list(parts)
+    names, scores = model.predict(["".join(p * 60 for p in parts.values())])
+    assert names[0] in parts and 0.2 <= scores[0] <= 0.6
+
+
 def test_odd_rows(spark, model):
     df = cases.documents(spark, clashing=True)
     rows = df.withColumn("found", language.predict(spark, model, F.col("text"))).collect()
