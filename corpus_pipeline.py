@@ -13,6 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from starling.llm import jaccard, language, line_dedup, packing, secrets
+from starling.llm.batches import small_batches
 from starling.session import checkpoint_folder
 
 #: A text whose best language scores below this resembles none of them. A text in equal parts of four languages, which is
@@ -31,6 +32,7 @@ def _same_columns(docs: DataFrame, changed: DataFrame) -> DataFrame:
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that ``docs`` itself labels. Those without a letter and those that resemble no
     language go."""
+    small_batches(spark)
     model = language.fit(docs)
     rows = docs.select(F.struct(*docs.columns).alias("_row"))
     found = rows.withColumn("_found", language.predict(spark, model, F.col("_row")["text"]))
@@ -67,6 +69,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences of 4096 tokens."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path(WORD_FILE))
 
 

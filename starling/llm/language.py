@@ -31,7 +31,7 @@ ORDERS = (1, 2, 3)
 SAMPLE_TEXTS, LANDMARKS, LETTERS = 2000, 192, 40
 RIDGE = 1e-2
 PASSAGE_CHARS = 1500
-BATCH_PASSAGES, SLICE_CHARS = 512, 700_000
+BATCH_PASSAGES, SLICE_CHARS = 256, 400_000
 
 
 @dataclass

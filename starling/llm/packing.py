@@ -31,7 +31,7 @@ SIZE, END_ID = 4096, 1
 #: Numbers within a length are given out in this many parts each, so that a length which a third of the pieces
 #: have is sorted in as many tasks.
 PARTS = 256
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 
 # ---------------------------------------------------------------- ids
@@ -52,10 +52,7 @@ class WordTokenizer:
     their distinct words merged in matrices; any other text is left to the library. Both give the same ids."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.path = path
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
@@ -70,6 +67,15 @@ class WordTokenizer:
         self.last = np.array([vocab[c + end] for c in shown], np.int32)
         self.pairs, self.plain = PairTable(pairs), _plain_characters()
 
+    @functools.cached_property
+    def tokenizer(self):
+        """Loaded when the first text needs it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
+        return found
+
     def by_library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

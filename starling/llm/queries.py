@@ -10,19 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from starling.llm import (
     byte_bpe, chat, cover_tree, hnsw, jaccard, language, line_dedup, packing, secrets, toxicity,
 )
+from starling.llm.batches import small_batches
 from starling.llm.oracles import ORACLES  # noqa: F401
 
 BYTE_RANKS, WORD_FILE = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
 
 
-#: Rows that go to a Python worker at a time: Spark's own 10,000 are too many for whole texts.
-BATCH_ROWS = 1000
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    if int(spark.conf.get(ARROW_ROWS)) > BATCH_ROWS:
-        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
