@@ -4,18 +4,19 @@ A candidate is a run of 16 or more characters of keys and hashes that holds a di
 name such as ``password``. The forest judges it by length, by how often the kind of character changes, by how much of it the
 corpus's common words cover, by the path it stands in (slashes and dots around it, and the path of its document)
 and by neighbouring words. It learns from labelled findings; ``label_by_form`` labels those whose form leaves no doubt,
-for a corpus without labels of its own.
+for a corpus without labels of its own. Where these are not of both classes, they stand as they are, and a forest learned
+from ``examples`` judges the findings whose form does not tell.
 
 DataFrame functions and Spark's own forest only. Texts are cut at single blanks, so places are exact. NULL and empty
-texts have no candidate. Repeated rows give their findings each. Without labelled findings of both classes no
-finding is removed: all score 1.
+texts have no candidate. Repeated rows give their findings each. If a caller's own labelled findings are not of both
+classes, no finding is removed: all score 1.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from starling.session import settled
 
@@ -26,6 +27,8 @@ MASK = "[SECRET]"
 #: Bounds of what is fitted on: labelled findings of either class, and words in the dictionary.
 SAMPLE_FINDINGS, DICTIONARY_WORDS = 10_000, 400
 TREES, DEPTH = 24, 6
+#: Stored examples, made from hashes of their numbers.
+EXAMPLES = 800
 
 FEATURES = (
     "length", "digits", "capitals", "changes", "distinct", "longest_word", "hexadecimal", "covered",
@@ -112,6 +115,30 @@ def label_by_form(found: DataFrame) -> DataFrame:
     return found.withColumn("label", label)
 
 
+def examples(spark: SparkSession, most: int = EXAMPLES) -> DataFrame:
+    """Texts ``t`` with ids ``i``, each with one candidate: keys and assigned values, and numbers, addresses, UUIDs, hashes
+    and names with a number, as many of each. Their form labels all of them."""
+    digest = F.sha2(F.col("i").cast("string"), 256)
+    mixed = F.regexp_replace(F.base64(F.unhex(digest)), "[^A-Za-z0-9]", "x")
+    letters, digits = F.translate(digest, "0123456789", "ghijklmnop"), F.translate(digest, "abcdef", "012345")
+    def part(of, start, size):
+        return F.substring(of, start, size)
+    uuid = F.concat_ws("-", part(digest, 1, 8), part(digest, 9, 4), part(digest, 13, 4), part(digest, 17, 4), part(digest, 21, 12))
+    kinds = [
+        F.concat(F.lit("with that AKIA"), F.upper(part(digest, 1, 16)), F.lit(" here")),
+        F.concat(F.lit("see ghp_"), part(mixed, 1, 36), F.lit(" and")),
+        F.concat(F.lit('token = "'), part(mixed, 1, 32), F.lit('" next')),
+        F.concat(F.lit("password="), part(digest, 1, 20), F.lit("1a next")),
+        F.concat(F.lit("call "), part(digits, 1, 16), F.lit(" with that")),
+        F.concat(F.lit("see https://host.example.com/path/to/"), part(letters, 1, 12), part(digits, 1, 4), F.lit(" with that")),
+        F.concat(F.lit("the row "), uuid, F.lit(" with that")),
+        F.concat(F.lit("at commit "), part(digest, 1, 40), F.lit(" with that")),
+        F.concat(F.lit("the "), F.initcap(part(letters, 1, 9)), F.initcap(part(letters, 10, 9)), part(digits, 1, 1), F.lit(" with that")),
+    ]
+    return spark.range(most).withColumnRenamed("id", "i").select(
+        "i", F.get(F.array(*kinds), (F.col("i") % len(kinds)).cast("int")).alias("t"))
+
+
 def fit(labelled: DataFrame, most: int = SAMPLE_FINDINGS, trees: int = TREES, depth: int = DEPTH,
         seed: int = 42) -> RandomForestClassificationModel | None:
     """A forest from ``features`` and ``label`` (0 or 1), at most ``most`` of each class: those with the smallest
@@ -140,9 +167,18 @@ def judged(found: DataFrame, model: RandomForestClassificationModel | None) -> D
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None,
          labelled: DataFrame | None = None) -> DataFrame:
     """All candidates of ``df`` with ``score`` and ``is_secret``. ``labelled`` holds findings with ``features`` and
-    ``label``; without it those labelled by form are learned from."""
-    found = settled(label_by_form(with_features(candidates(df, key, text, path), dictionary(df, text))))
-    return judged(found, fit(found if labelled is None else labelled))
+    ``label``; without it those labelled by form are learned from, or, if a class has none, the stored examples."""
+    words = dictionary(df, text)
+    found = settled(label_by_form(with_features(candidates(df, key, text, path), words)))
+    model = fit(found if labelled is None else labelled)
+    if model is not None or labelled is not None:
+        return judged(found, model)
+    by_form = F.col("label").cast("double")
+    if found.where("label IS NULL").isEmpty():
+        return found.withColumns({"score": by_form, "is_secret": F.col("label") == 1})
+    stored = candidates(examples(df.sparkSession), "i", "t")
+    rest = judged(found, fit(label_by_form(with_features(stored, words))))
+    return rest.withColumn("score", F.coalesce(by_form, "score")).withColumn("is_secret", F.col("score") >= 0.5)
 
 
 def mask(df: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

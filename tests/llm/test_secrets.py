@@ -108,3 +108,28 @@ def test_odd_rows(spark):
 def test_native(spark, found):
     plan = secrets.mask(cases.texts(spark, (1, "a")), found)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_corpus_without_secrets_stays_as_it_is(spark):
+    """Numbers, hashes, paths and UUIDs only: no form-labelled secret to learn from."""
+    clean = [(1, "call 5551234567890123 with that"), (2, "at commit " + "9f8e7d6c5b" * 4 + " here"),
+             (3, "see https://host.example.com/path/to/thing12345678901234 next"),
+             (4, "row 123e4567-e89b-12d3-a456-426614174000 here"), (5, "the HttpServerConnectionPool2 class")]
+    df = cases.texts(spark, *clean)
+    found = secrets.scan(df)
+    assert {r["is_secret"] for r in found.collect()} == {False}
+    assert dict(secrets.mask(df, found).collect()) == dict(clean)
+
+
+def test_one_class_by_form_leaves_the_rest_to_the_stored_examples(spark):
+    key, bare = "AKIA" + "QRSTUVWXYZ012345", "Zq8Lk3Vt9Xw2Rb7Nc4Md6Pf1Hs5Jg0Ty"
+    only_secrets = cases.texts(spark, (1, f"with {key} here"), (2, f"see {bare} and"))
+    assert {r["candidate"]: r["is_secret"] for r in secrets.scan(only_secrets).collect()} == {key: True, bare: True}
+    none = cases.texts(spark, (1, "call 5551234567890123 with that"), (2, f"see {bare} and"))
+    assert {r["candidate"]: r["is_secret"] for r in secrets.scan(none).collect()} == {"5551234567890123": False, bare: True}
+
+
+def test_examples_are_labelled_by_their_form(spark):
+    known = secrets.label_by_form(secrets.candidates(secrets.examples(spark), "i", "t"))
+    n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    assert set(n) == {0, 1} and sum(n.values()) == secrets.EXAMPLES
