@@ -16,9 +16,6 @@ from starling.llm import jaccard, language, line_dedup, packing, secrets
 from starling.llm.batches import small_batches
 from starling.session import checkpoint_folder
 
-#: A text whose best language scores below this resembles none of them. A text in equal parts of four languages, which is
-#: to stay, scores about a quarter.
-LEAST_LANGUAGE_SCORE = 0.2
 WORD_FILE = "word_bpe_49k.json"
 
 
@@ -30,14 +27,12 @@ def _same_columns(docs: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that ``docs`` itself labels. Those without a letter and those that resemble no
-    language go."""
+    """Documents in one of the languages that ``docs`` itself labels. Those without a letter and those of which no passage
+    resembles these languages go."""
     small_batches(spark)
-    model = language.fit(docs)
+    model, familiar = language.fit(docs), language.fit_familiar(docs)
     rows = docs.select(F.struct(*docs.columns).alias("_row"))
-    found = rows.withColumn("_found", language.predict(spark, model, F.col("_row")["text"]))
-    kept = found.where((F.col("_found.lang") != language.UNDETERMINED) & (F.col("_found.score") >= LEAST_LANGUAGE_SCORE))
-    return kept.select("_row.*")
+    return rows.where(language.resembles(spark, model, familiar, F.col("_row")["text"])).select("_row.*")
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,9 @@ kernel ridge regression on the landmark features gives each language a weight pe
 matrix products: passages by n-grams times n-grams by landmarks, then times landmarks by languages. A text's margins are
 the mean of those of its passages, which cover it whole: in one piece, a long text would hold every n-gram.
 
+Whether a text resembles any of the languages is another question, as a margin only compares them. ``Familiar`` asks how
+much of a passage consists of n-grams that are usual in labelled passages, with all letters told apart.
+
 NULL texts and texts without a letter are ``und`` with score 0. So is every text if there is nothing to learn from.
 Labels are read from the training rows only. Of equal scores the first language by name wins.
 """
@@ -32,6 +35,12 @@ SAMPLE_TEXTS, LANDMARKS, LETTERS = 2000, 192, 40
 RIDGE = 1e-2
 PASSAGE_CHARS = 1500
 BATCH_PASSAGES, SLICE_CHARS = 256, 400_000
+#: Places that n-grams of two and three characters are hashed to, and one in how many labelled passages of a language must
+#: hold an n-gram that is usual in it.
+PLACES, USUAL = 1 << 22, 100
+#: The share of passages taken for unlike their own language when the limit is set, and how much a short passage is
+#: forgiven: this over the root of its number of n-grams.
+OUTLIERS, ALLOWANCE = 0.01, 3.0
 
 
 @dataclass
@@ -187,6 +196,93 @@ def predict(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
     return scored(text)
 
 
+# ---------------------------------------------------------------- texts that resemble no language
+
+def hashed_grams(text: str) -> np.ndarray:
+    """The places of the runs of two and three characters, all letters told apart and other runs as one."""
+    s = Slice.of([text.lower()])
+    points = np.where(character_classes()[s.points] == LETTER, s.points, 0).astype(np.int64)
+    if not len(points):
+        return points
+    keep = points > 0
+    keep[0] = True
+    keep[1:] |= points[:-1] > 0
+    points = points[keep]
+    two = points[:-1] * 1_000_003 + points[1:]
+    three = two[:-1] * 1_000_003 + points[2:]
+    return np.concatenate([(two * 0x9E3779B1 >> 7) % PLACES, (three * 0x9E3779B1 >> 11) % PLACES])
+
+
+def usual_grams(passages_of: list[list[np.ndarray]]) -> np.ndarray:
+    """Flags of the places that enough passages of some language hold."""
+    flags = np.zeros(PLACES, bool)
+    for some in passages_of:
+        if some:
+            place, n = np.unique(np.concatenate([np.unique(x) for x in some]), return_counts=True)
+            flags[place[n * USUAL >= len(some)]] = True
+    return flags
+
+
+def familiarity(flags: np.ndarray, places: np.ndarray) -> float:
+    """The share of usual n-grams in a passage, and what it is forgiven for being short."""
+    return float(flags[places].mean() + ALLOWANCE / np.sqrt(len(places))) if len(places) else 0.0
+
+
+@dataclass
+class Familiar:
+    flags: np.ndarray               # places of usual n-grams
+    limits: dict[str, float]        # by language
+
+    def holds(self, text: str, language: str) -> bool:
+        """Whether any passage of the text resembles the languages learned from."""
+        limit = self.limits.get(language, 0.0)
+        return any(familiarity(self.flags, hashed_grams(p)) >= limit for p in passages(text))
+
+
+def fit_familiar(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
+                 sample: int = SAMPLE_TEXTS) -> Familiar:
+    """What is usual in one passage of each labelled text of the sample. A language's limit lies halfway between what nearly
+    all of its own passages reach when the other half of the sample is learned from, and what unlike ones usually
+    reach: passages of a language that is not learned from, or with their letters in disorder."""
+    by_language: dict[str, list[str]] = {}
+    for r in training_sample(labelled, text, lang, key, sample).select("l", "t").toLocalIterator():
+        cut = passages(r["t"])
+        by_language.setdefault(r["l"], []).append(cut[zlib.crc32(r["t"].encode()) % len(cut)])
+    names = sorted(by_language)
+    texts = [sorted(by_language[name], key=lambda t: (zlib.crc32(t.encode()), t)) for name in names]
+    grams = [[x for x in map(hashed_grams, some) if len(x)] for some in texts]
+    flags = usual_grams(grams)
+    shuffle = np.random.default_rng(42)
+    unlike = [familiarity(flags, hashed_grams("".join(shuffle.permutation(list(t)))))
+              for some in texts for t in some[:max(1, BATCH_PASSAGES // len(names))]]
+    reached = [float(np.median(unlike))] if unlike else [0.0]
+    if len(names) > 1:
+        others = [usual_grams(grams[:i] + grams[i + 1:]) for i in range(len(names))]
+        reached.append(float(np.median([np.median([familiarity(f, x) for x in some])
+                                        for f, some in zip(others, grams) if some] or [0.0])))
+    halves = [usual_grams([some[side::2] for some in grams]) for side in (0, 1)]
+    limits = {}
+    for name, some in zip(names, grams):
+        own = [familiarity(halves[1 - i % 2], x) for i, x in enumerate(some)]
+        least = float(np.quantile(own, OUTLIERS, method="lower")) if own else 0.0
+        limits[name] = (least + min(least, max(reached))) / 2
+    return Familiar(flags, limits)
+
+
+def resembles(spark: SparkSession, model: LanguageModel, familiar: Familiar, text: Column) -> Column:
+    """Whether a text has a letter and resembles one of the languages, if only in one of its passages."""
+    shared = spark.sparkContext.broadcast((model, familiar))
+
+    @F.pandas_udf("boolean")
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            told, usual = shared.value
+            yield pd.Series([name != UNDETERMINED and usual.holds(t, name)
+                             for some in slices(batch, SLICE_CHARS) for t, name in zip(some, told.predict(some)[0])], dtype=bool)
+
+    return judged(text)
+
+
 def fold(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo ``folds``."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds))

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import cases
 import corpus_pipeline as pipeline
@@ -98,3 +99,28 @@ def test_odd_rows_and_empty_table(spark, tmp_path):
         assert bool(out) == bool(rows)
     # Of rows 1, 2 and 2 one stays; those without a letter, NULL texts among them, go.
     assert {r["doc_id"] for r in pipeline.run(spark, str(tmp_path / "odd")).collect()} <= {None, 1, 2, 6, 7, 9, 10}
+
+
+UNLIKE = {
+    "Russian": "Все люди рождаются свободными и равными в своем достоинстве и правах. " * 10,
+    "Chinese": "人人生而自由，在尊严和权利上一律平等。" * 20,
+    "Polish": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. " * 10,
+    "Finnish": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. " * 10,
+    "noise": " ".join("".join(random.Random(i).choices("bcdfghjklmnpqrstvwxz", k=6)) for i in range(200)),
+    "one letter": "x" * 3000,
+    "base64": "".join(random.Random(1).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1500)),
+}
+
+
+def test_texts_unlike_every_language_go_and_mixed_ones_stay(spark):
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    long = given.where("length(text) > 1500").groupBy("lang").agg({"text": "min"}).collect()
+    mixed = "".join(t[at:at + 60] for at in range(0, 1500, 60) for _, t in sorted(long))
+    extra = [(-1 - i, t, None, name, len(t)) for i, (name, t) in enumerate(UNLIKE.items())]
+    extra += [(-100, mixed, None, "mixed", len(mixed)), (-101, UNLIKE["Russian"] + mixed, None, "partly", 0)]
+    docs = given.unionByName(spark.createDataFrame(extra, cases.SCHEMA).select(
+        *[F.col(c).cast(given.schema[c].dataType) for c in given.columns]))
+    kept = {r["doc_id"] for r in pipeline.known_language(spark, docs, "").select("doc_id").collect()}
+    assert {k for k in kept if k is not None and k < 0} == {-100, -101}
+    lettered = given.where("text RLIKE '[a-zA-Z]' AND doc_id IS NOT NULL").select("doc_id").collect()
+    assert {r["doc_id"] for r in lettered} <= kept
