@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from starling.llm import jaccard, language, line_dedup, packing, secrets
 from starling.llm.batches import small_batches
@@ -45,15 +45,17 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similarity, the one with the smallest id stays; of several rows with one id, one."""
-    found = jaccard.link(docs)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    rows = (docs.select(F.struct(*docs.columns).alias("_row"))
-            .join(gone, F.col("_row")["doc_id"] == F.col("_gone"), "left_anti"))
-    number = F.row_number().over(Window.partitionBy(F.coalesce(F.col("_row")["doc_id"], F.xxhash64(F.col("_row")["text"])))
-                                 .orderBy(F.col("_row")["doc_id"].asc_nulls_last(), F.xxhash64(F.col("_row")["text"])))
-    return (rows.withColumn("_number", number).where(F.col("_row")["doc_id"].isNull() | (F.col("_number") == 1))
-            .select("_row.*"))
+    """Of documents linked by similarity, the one with the smallest id stays; of several equal rows, one. Rows that share an
+    id but not their text are documents of their own. Rows without an id all stay."""
+    own = F.xxhash64("doc_id", "text").alias("_own")
+    named = docs.where("doc_id IS NOT NULL")
+    found = jaccard.link(named.select(own, "text"), key="_own").select("_own", "component_id").distinct()
+    kept = (found.join(named.select(own, "doc_id").distinct(), "_own").groupBy("component_id")
+            .agg(F.min(F.struct("doc_id", "_own")).alias("_first")).select(F.col("_first._own").alias("_own")))
+    # Equal ids and texts are reduced where they lie, before any join.
+    rows = (named.select(own, F.struct(*docs.columns).alias("_row"))
+            .groupBy("_own").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")))
+    return rows.join(kept, "_own", "left_semi").select("_row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -101,6 +101,21 @@ def test_odd_rows_and_empty_table(spark, tmp_path):
     assert {r["doc_id"] for r in pipeline.run(spark, str(tmp_path / "odd")).collect()} <= {None, 1, 2, 6, 7, 9, 10}
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    pick = random.Random(4)
+    text = lambda: " ".join("".join(pick.choice("abcdefghij") for _ in range(5)) for _ in range(40))
+    near, copied = text(), text()
+    rows = [(0, text(), "en", "s", 0) for _ in range(6)] + [
+        (0, near, "en", "s", 0), (0, near + " last", "en", "s", 0), (7, near, "en", "s", 0),      # one of these three
+        (0, copied, "en", "s", 0), (0, copied, "en", "t", 0), (3, copied, "en", "s", 0),          # and of these
+        (None, copied, "en", "s", 0), (None, None, "en", "s", 0), (None, None, "en", "s", 0)]
+    kept = pipeline.one_of_each_group(spark, cases.documents(spark, rows), "").collect()
+    texts = [r["text"] for r in kept if r["doc_id"] is not None]
+    assert sorted(set(texts)) == sorted(texts) and len(texts) == 8
+    assert {t for _, t, *_ in rows[:6]} < set(texts) and copied in texts
+    assert {r["doc_id"] for r in kept} == {0, None} and sum(r["doc_id"] is None for r in kept) == 3
+
+
 UNLIKE = {
     "Russian": "Все люди рождаются свободными и равными в своем достоинстве и правах. " * 10,
     "Chinese": "人人生而自由，在尊严和权利上一律平等。" * 20,
