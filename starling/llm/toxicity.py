@@ -169,7 +169,8 @@ def _measured(spark: SparkSession, ratios: np.ndarray, text: Column) -> Column:
 
 
 def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id") -> ToxicityModel:
-    """A model from all rows of ``labelled``, which must hold training rows only."""
+    """A model from ``labelled``, which must hold training rows only. One part in ``CALIBRATION_PARTS`` never enters
+    the counts: it fits the regression."""
     spark = labelled.sparkSession
     part = F.pmod(F.xxhash64(F.col(key)), F.lit(CALIBRATION_PARTS))
     # Read once for the models and once for the regression, each its own part: cheaper than a copy of all texts.
