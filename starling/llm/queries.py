@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from starling.llm import (
-    byte_bpe, chat, cover_tree, hnsw, jaccard, language, line_dedup, packing, secrets, toxicity,
+    byte_bpe, chat, cover_tree, hnsw, jaccard, language, line_dedup, packing, resampling, secrets, simhash, toxicity,
 )
 from starling.llm.batches import small_batches
 from starling.llm.oracles import ORACLES  # noqa: F401
@@ -100,8 +100,18 @@ def op10_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(WORD_FILE))
 
 
+def op12_simhash(spark, folder):
+    """Groups of documents whose fingerprints of 3-word shingles differ in 3 bits or fewer."""
+    return simhash.groups(table(spark, folder, "documents"))
+
+
+def op13_resampling(spark, folder):
+    """Documents drawn towards the benchmark's texts, with the weights of all of them."""
+    return resampling.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (
         op1_byte_bpe, op2_cover_tree, op3_secret_scan, op4_hnsw, op5_toxicity, op6_line_dedup, op7_language, op8_chat,
-        op9_ngram_jaccard, op10_packing)
+        op9_ngram_jaccard, op10_packing, op12_simhash, op13_resampling)
 }
