@@ -55,4 +55,71 @@ SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, coalesce(component_id, n.doc
 FROM n LEFT JOIN u ON n.n > 0 AND u.own = n.own LEFT JOIN comp ON comp.rep = u.rep LEFT JOIN l ON l.rep = u.rep
 """
 
-ORACLES = {"op2_cover_tree": COVER_TREE, "op6_line_dedup": LINE_DEDUP, "op9_ngram_jaccard": NGRAM_JACCARD}
+HARD_NEGATIVES = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS z
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+    CAST(list_inner_product(a.z, c.z) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.z) = len(c.z) WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same),
+n AS (
+  SELECT p.anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+    AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+  WHERE r <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+# The CRC-32 table follows from its polynomial, eight steps an entry; bytes are read from their hex digits.
+RESAMPLING = r"""
+WITH tab AS MATERIALIZED (
+  SELECT list(list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) r(i)),
+w AS MATERIALIZED (
+  SELECT name, id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS ws
+  FROM (SELECT 's' AS name, doc_id AS id, text FROM documents UNION ALL SELECT 't', item_id, text FROM benchmark)),
+f AS MATERIALIZED (
+  SELECT name, id, unnest(ws || [ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) AS feature FROM w),
+n AS MATERIALIZED (SELECT name, id, feature, count(*) AS c FROM f GROUP BY ALL),
+h AS MATERIALIZED (SELECT DISTINCT feature, hex(encode(feature)) AS x FROM n),
+b AS MATERIALIZED (
+  SELECT feature, xor(list_reduce(list_prepend(4294967295, [
+      (instr('0123456789ABCDEF', x[i:i]) - 1) * 16 + instr('0123456789ABCDEF', x[i + 1:i + 1]) - 1
+      FOR i IN range(1, len(x), 2)]),
+    lambda c, y: xor(c // 256, t[xor(c, y) % 256 + 1])), 4294967295) % 10000 AS bucket FROM h, tab),
+k AS MATERIALIZED (SELECT name, id, bucket, sum(c) AS c FROM n JOIN b USING (feature) GROUP BY ALL),
+u AS (
+  SELECT i AS bucket, coalesce(sum(c) FILTER (name = 's'), 0) AS s, coalesce(sum(c) FILTER (name = 't'), 0) AS t
+  FROM range(10000) r(i) LEFT JOIN k ON k.bucket = i GROUP BY i),
+g AS MATERIALIZED (
+  SELECT bucket, CAST(floor(1000 * ln(((CAST(t AS DOUBLE) + 1) * (sum(s) OVER () + 10000))
+    / ((CAST(s AS DOUBLE) + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM u),
+m AS (
+  SELECT id, CAST(sum(c) AS BIGINT) AS n, CAST(sum(c * gain) AS BIGINT) AS total
+  FROM k JOIN g USING (bucket) WHERE name = 's' GROUP BY id),
+d AS (
+  SELECT id, len(ws) AS words, coalesce(n, 0) AS n,
+    CASE WHEN n > 0 THEN (total - ((total % n) + n) % n) // n ELSE 0 END AS weight,
+    list_reduce(list_prepend(0, [instr('0123456789abcdef', y) - 1 FOR y IN
+      string_split(left(sha256('7:' || id), 8), '')]), lambda c, y: c * 16 + y) AS h
+  FROM w LEFT JOIN m USING (id) WHERE name = 's'),
+e AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, id) AS place,
+    count(*) FILTER (words >= 20) OVER () AS fit FROM e)
+SELECT id AS doc_id, n AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+  CASE WHEN words >= 20 AND place <= 25 * fit // 100 THEN CAST(place AS BIGINT) END AS rank
+FROM r
+"""
+
+ORACLES = {"op2_cover_tree": COVER_TREE, "op6_line_dedup": LINE_DEDUP, "op9_ngram_jaccard": NGRAM_JACCARD,
+           "op11_hard_negatives": HARD_NEGATIVES, "op13_resampling": RESAMPLING}

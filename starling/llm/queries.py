@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from starling.llm import (
-    byte_bpe, chat, cover_tree, hnsw, jaccard, language, line_dedup, packing, resampling, secrets, simhash, toxicity,
+    byte_bpe, chat, cover_tree, hard_negatives, hnsw, jaccard, language, line_dedup, packing, resampling, secrets, simhash,
+    toxicity,
 )
 from starling.llm.batches import small_batches
 from starling.llm.oracles import ORACLES  # noqa: F401
@@ -100,6 +101,13 @@ def op10_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(WORD_FILE))
 
 
+def op11_hard_negatives(spark, folder):
+    """For every fiftieth vector and its five best of the same label, the best of other labels that score somewhat lower."""
+    vectors = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.select("vec_id", "embedding", label.alias("label")), F.col("id") % 50 == 0)
+
+
 def op12_simhash(spark, folder):
     """Groups of documents whose fingerprints of 3-word shingles differ in 3 bits or fewer."""
     return simhash.groups(table(spark, folder, "documents"))
@@ -113,5 +121,5 @@ def op13_resampling(spark, folder):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (
         op1_byte_bpe, op2_cover_tree, op3_secret_scan, op4_hnsw, op5_toxicity, op6_line_dedup, op7_language, op8_chat,
-        op9_ngram_jaccard, op10_packing, op12_simhash, op13_resampling)
+        op9_ngram_jaccard, op10_packing, op11_hard_negatives, op12_simhash, op13_resampling)
 }

@@ -1,0 +1,104 @@
+from itertools import product
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from starling.llm import hard_negatives as hn, queries
+
+SCHEMA = "vec_id bigint, embedding array<float>, label int, low int, shard string, v double"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, v, l, 1, "x", 2.0) for i, v, l in rows], SCHEMA)
+
+
+def plain(rows, is_anchor, positives=5, negatives=3, scale=256):
+    """Brute force over (id, vector, label), in Python's own whole numbers."""
+    rows = [(i, tuple(int(np.floor(np.float64(x) * scale)) for x in v), l) for i, v, l in rows]
+    rows, out, seen = sorted(set(rows), key=lambda r: (r[0], r[2], r[1])), [], set()
+    for i, v, label in rows:
+        if not is_anchor(i) or i in seen:
+            continue
+        seen.add(i)
+        scores = [(-sum(a * b for a, b in zip(v, w)), j, l) for j, w, l in rows if j != i and len(w) == len(v)]
+        for p, positive, _ in sorted(s for s in scores if s[2] == label)[:positives]:
+            fit = sorted(s for s in scores if s[2] != label and 50 * -p <= 100 * -s[0] <= 95 * -p)[:negatives]
+            out += [(i, positive, rank, n[1], -p, -n[0]) for rank, n in enumerate(fit, 1)]
+    return sorted(out)
+
+
+def clustered(n, seed, width=6):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(12, width)) * 2
+    at = rng.integers(0, 12, n)
+    points = (centres[at] + rng.normal(size=(n, width)) * 0.3).astype(np.float32)
+    return [(i, p.tolist(), int(l)) for i, (p, l) in enumerate(zip(points, rng.integers(0, 4, n)))]
+
+
+@pytest.mark.parametrize("dimensions, bits", [(2, 3), (3, 2), (5, 1)])
+def test_curve_steps_to_a_neighbour(dimensions, bits):
+    cells = np.array(list(product(range(2 ** bits), repeat=dimensions)))
+    places = hn.curve_places(cells, bits)
+    assert len(set(places)) == len(cells)
+    walk = cells[sorted(range(len(cells)), key=places.__getitem__)]
+    assert (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
+
+
+def test_bounds_hold_every_product():
+    rng = np.random.default_rng(1)
+    points, rows = rng.integers(-300, 300, (20, 7)), rng.integers(-300, 300, (30, 7))
+    least, most = hn.bounds(points, rows.min(0)[None], rows.max(0)[None])
+    exact = points @ rows.T
+    assert (least[:, 0] <= exact.min(1)).all() and (most[:, 0] >= exact.max(1)).all()
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block_rows": 16, "shard_rows": 100}])
+def test_equals_brute_force(spark, sizes):
+    rows = clustered(400, 2)
+    rows += [(1000 + i, rows[5][1], 5 + i % 2) for i in range(60)]             # one vector many times: ties
+    rows += [rows[0], rows[7], (14, rows[3][1], 9)]                          # repeated rows, an id of two rows
+    odd = [(2000, None, 1), (2001, [1.0, None] * 3, 1), (2002, [float("nan")] * 6, 1), (2003, [float("inf")] * 6, 1),
+           (2004, [1.0] * 6, None), (None, [1.0] * 6, 1), (2006, [], 1)]
+    found = hn.mine(table(spark, rows + odd), F.col("id") % 10 == 0, **sizes)
+    assert found.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    assert sorted(map(tuple, found.collect())) == plain(rows, lambda i: i % 10 == 0)
+
+
+def test_small_tables(spark):
+    asked = F.col("id") % 10 == 0
+    assert hn.mine(table(spark, []), asked).collect() == []
+    assert hn.mine(table(spark, [(0, [1.0, 2.0], 1)]), asked).collect() == []
+    # Lengths apart; fewer positives and negatives than asked for; a negative score has no window, a score of 0 has.
+    rows = [(0, [1.0, 1.0], 1), (1, [1.0, 1.0], 1), (2, [0.75, 0.75], 2), (3, [5.0], 2), (10, [1.0], 3), (11, [-1.0], 3),
+            (12, [-0.75], 4), (20, [1.0, 0.0, 0.0], 1), (21, [0.0, 1.0, 0.0], 1), (22, [0.0, 0.0, 1.0], 2)]
+    found = sorted(map(tuple, hn.mine(table(spark, rows), asked).collect()))
+    assert found == plain(rows, lambda i: i % 10 == 0) == [(0, 1, 1, 2, 131072, 98304), (20, 21, 1, 22, 0, 0)]
+
+
+def test_large_components_stay_exact(spark):
+    rows = [(i, [float(2 ** 18 + i), float(-3 * i), 3.0], i % 3) for i in range(40)]
+    assert sorted(map(tuple, hn.mine(table(spark, rows), F.col("id") % 5 == 0).collect())) == plain(rows, lambda i: i % 5 == 0)
+
+
+def test_zone_maps_spare_blocks(spark):
+    rows = clustered(3000, 4)
+    whole = hn._rows(table(spark, rows), F.col("id") % 50 == 0, "vec_id", "embedding", "label", 256)
+    blocks = hn.ordered_blocks(whole, block_rows=50)
+    assert blocks.count() == 60
+    read = [hn._read_block(r.asDict()) for r in blocks.drop("asked").collect()]
+    assert sorted(i for b in read for i in b["ids"].tolist()) == list(range(3000))
+    for b in read:
+        assert (b["points"].min(0) == b["lows"]).all() and (b["points"].max(0) == b["highs"]).all()
+    anchors = [r.asDict() for r in hn._anchors(blocks, 5).collect()]
+    points = np.stack([np.frombuffer(a["v"], "<i8") for a in anchors])
+    least, most = hn.bounds(points, np.stack([b["lows"] for b in read]), np.stack([b["highs"] for b in read]))
+    needed = most >= np.array([a["seed"] for a in anchors])[:, None]
+    assert needed.mean() < 0.3                                                  # of the blocks, per anchor
+
+
+def test_query_equals_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [(r["vec_id"], r["embedding"], (r["label"] + 1) % 10 if r["vec_id"] % 7 == 0 else r["label"])
+            for r in queries.table(spark, folder, "embeddings").collect()]
+    assert sorted(map(tuple, queries.op11_hard_negatives(spark, folder).collect())) == plain(rows, lambda i: i % 50 == 0)

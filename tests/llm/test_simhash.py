@@ -1,0 +1,153 @@
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import cases
+from starling.llm import queries, simhash
+
+
+def plain_print(text, size=3):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    runs = [" ".join(words[i:i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
+    hashes = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_groups(prints, radius=3):
+    """The group of every fingerprint, by comparing all of them."""
+    group = {f: {f} for f in set(prints)}
+    for a in group:
+        for b in list(group):
+            if a < b and (a ^ b).bit_count() <= radius and group[a] is not group[b]:
+                group[a] |= group[b]
+                for f in group[b]:
+                    group[f] = group[a]
+    return group
+
+
+def plain(rows):
+    prints = [plain_print(t) for _, t in rows]
+    group, least = plain_groups(prints), defaultdict(list)
+    for (i, _), f in zip(rows, prints):
+        if i is not None:
+            least[f].append(i)
+    smallest = {f: min((i for g in group[f] for i in least[g]), default=None) for f in group}
+    return sorted(((i, format(f, "016x"), smallest[f]) for (i, _), f in zip(rows, prints)), key=str)
+
+
+def near(n, seed, flips):
+    """Fingerprints in clusters, each some bits away from another of its cluster."""
+    rng = np.random.default_rng(seed)
+    found = [int(x) for x in rng.integers(0, 2 ** 63, 20, dtype=np.uint64)]
+    while len(found) < n:
+        f = found[int(rng.integers(0, len(found)))]
+        for b in rng.choice(64, flips, replace=False):
+            f ^= 1 << int(b)
+        found.append(f)
+    return sorted(set(found))
+
+
+def grouped(n, links):
+    root = list(range(n))
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for a, b in links:
+        assert top(a) != top(b)                      # a forest
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    return [top(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("text", ["", None, "one", "one two", "One TWO three", "É é a b c\td\x0be\x1cf", "a " * 9,
+                                  "日本 語 \U0001f600 ß\n\n x", cases.LONG])
+def test_fingerprint(text):
+    assert simhash.fingerprint(text) == plain_print(text)
+
+
+def test_hashes_counted_in_parts(monkeypatch):
+    monkeypatch.setattr(simhash, "HASHES_AT_ONCE", 7)
+    assert simhash.fingerprint(cases.LONG[:3000]) == plain_print(cases.LONG[:3000])
+
+
+def test_same_hash_as_spark(spark):
+    text = "a bc ñandú"
+    assert spark.range(1).select(F.xxhash64(F.lit(text))).first()[0] % 2 ** 64 == xxhash.xxh64_intdigest(text.encode(), 42)
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3])
+@pytest.mark.parametrize("at_once", [1 << 19, 64])
+def test_bit_sliced_comparison(monkeypatch, radius, at_once):
+    monkeypatch.setattr(simhash, "AT_ONCE", at_once)
+    prints = near(700, radius, 2)
+    bucket = np.array([0 if i < 500 else 1 if i < 501 else 2 for i in range(len(prints))])
+    found = grouped(len(prints), simhash.forest_of(bucket, np.array(prints, np.uint64), radius))
+    for b in range(3):
+        own = [i for i in range(len(prints)) if bucket[i] == b]
+        group = plain_groups([prints[i] for i in own], radius)
+        for i in own:
+            assert {prints[j] for j in own if found[j] == found[i]} == group[prints[i]]
+
+
+def test_words_are_abandoned():
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 2 ** 63, (50, 64), dtype=np.uint64)
+    planes = simhash.planes_of(words)
+    assert all((int(planes[b, w]) >> k & 1) == (int(words[w, k]) >> b & 1) for b, w, k in [(0, 0, 0), (63, 9, 5), (17, 49, 63)])
+    pairs, hit = simhash.near(planes, words[:, 7].copy(), np.arange(50), np.zeros(50, np.uint64))
+    assert pairs.tolist() == list(range(50)) and hit.tolist() == [1 << 7] * 50
+    pairs, hit = simhash.near(planes, ~words[:, 7], np.arange(50), np.zeros(50, np.uint64))
+    assert len(pairs) == 0
+
+
+def test_parts_cover_what_is_left():
+    masks = [0]
+    for _ in range(3):
+        parts = simhash.parts_of(masks[-1])
+        own = [p & ~masks[-1] for p in parts]
+        assert sum(own) == 2 ** 64 - 1 - masks[-1] and all(a & b == 0 for a in own for b in own if a is not b)
+        masks.append(parts[2])
+
+
+@pytest.mark.parametrize("sizes", [{}, {"bucket_rows": 5, "task_rows": 40}])
+def test_crowded_buckets_lose_no_link(spark, sizes):
+    prints = near(400, 9, 1) + [x << 20 for x in range(1, 150)]
+    prints = sorted(set(prints))
+    signed = [f - 2 ** 64 if f >= 2 ** 63 else f for f in prints]
+    table = spark.createDataFrame([(f,) for f in signed], "fp bigint")
+    pairs = [(r["a"] % 2 ** 64, r["b"] % 2 ** 64) for r in simhash.links(table, **sizes).collect()]
+    assert all((a ^ b).bit_count() <= 3 for a, b in pairs)
+    group = plain_groups(prints)
+    root = {f: f for f in prints}
+    def top(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+    for a, b in pairs:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    assert {f: top(f) for f in prints} == {f: min(group[f]) for f in prints}
+
+
+def test_odd_documents(spark):
+    rows = cases.ROWS + [(20, "One two three four five six seven.\nSecond line here.\nThird line here.\nFourth LINE.", "en", "a", 1),
+                         (7, "another text under an id that is taken", "en", "a", 1)]
+    for clashing in (False, True):
+        found = simhash.groups(cases.documents(spark, rows, clashing))
+        assert found.columns == ["doc_id", "fingerprint", "component_id"]
+        assert sorted(map(tuple, found.collect()), key=str) == plain([(r[0], r[1]) for r in rows])
+    assert simhash.groups(cases.documents(spark, [])).collect() == []
+    alone = simhash.groups(cases.documents(spark, [(None, "no id", None, None, None)])).collect()
+    assert [tuple(r) for r in alone] == [(None, format(plain_print("no id"), "016x"), None)]
+    with pytest.raises(ValueError):
+        simhash.groups(cases.documents(spark), radius=4)
+
+
+def test_query_equals_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in queries.table(spark, folder, "documents").collect()]
+    assert sorted(map(tuple, queries.op12_simhash(spark, folder).collect()), key=str) == plain(rows)
