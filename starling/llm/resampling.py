@@ -27,10 +27,8 @@ BUCKETS = 10_000
 #: Documents of fewer words are weighed but never drawn.
 LEAST_WORDS = 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# What parts words, and the same without the line break.
-PARTS, PARTS_IN_LINE = r"\x00-\x2F\x3A-\x60\x7B-\x7F", r"\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F"
-#: The last word before a line break; looked at, not consumed, the first word after it.
-SEAM = rf"(?<![^{PARTS}])([^{PARTS}]++)[{PARTS_IN_LINE}]*+\n(?=[{PARTS}]*+([^{PARTS}]++))"
+#: Fixed value: what parts words.
+PARTS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 
 
 def _stored(df: DataFrame, kind: str) -> DataFrame:
@@ -58,15 +56,21 @@ def _line_hash(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"))
 
 
-def _seams(low: Column, buckets: int) -> Column:
-    """Buckets of the pairs of words that a line break parts."""
-    return F.zip_with(F.regexp_extract_all(low, F.lit(SEAM), F.lit(1)), F.regexp_extract_all(low, F.lit(SEAM), F.lit(2)),
+def _seams(lines: Column, buckets: int) -> Column:
+    """Buckets of the pairs of words that a line break parts: the last of a line and the first of the next."""
+    def first_word(line):
+        return F.regexp_extract(line, f"[^{PARTS}]+", 0)
+    def last_word(line):
+        return F.reverse(first_word(F.reverse(line)))
+    n = F.greatest(F.size(lines) - 1, F.lit(0))
+    return F.zip_with(F.transform(F.slice(lines, F.lit(1), n), last_word),
+                      F.transform(F.slice(lines, F.lit(2), n), first_word),
                       lambda a, b: _bucket(F.concat(a, F.lit(" "), b), buckets))
 
 
-def _distinct_lines(low: DataFrame, buckets: int) -> DataFrame:
+def _distinct_lines(rows: DataFrame, buckets: int) -> DataFrame:
     """``h1``, ``h2``, ``n`` (occurrences), ``words`` and ``found`` (the buckets of all features) of every distinct line."""
-    lines = (low.select(F.explode(_lines(F.col("low"))).alias("line")).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    lines = (rows.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
              .select("line", "n", F.filter(F.split("line", f"[{PARTS}]+"), lambda w: w != "").alias("w")))
     pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1),
                        lambda a, b: _bucket(F.concat(a, F.lit(" "), b), buckets))
@@ -83,8 +87,8 @@ def _counts(lines: DataFrame, seams: DataFrame) -> DataFrame:
 
 def text_counts(df: DataFrame, text: str, buckets: int = BUCKETS) -> DataFrame:
     """``bucket`` and ``n`` over all texts of ``df``."""
-    low = df.select(_lowered(F.col(text)).alias("low"))
-    return _counts(_distinct_lines(low, buckets), low.select(_seams(F.col("low"), buckets).alias("seams")))
+    rows = df.select(_lines(_lowered(F.col(text))).alias("lines"))
+    return _counts(_distinct_lines(rows, buckets), rows.select(_seams(F.col("lines"), buckets).alias("seams")))
 
 
 def gains(counts: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> list[int]:
@@ -108,12 +112,13 @@ def weights(df: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
             buckets: int = BUCKETS, seed: int = 7, carry: Sequence[str] = ()) -> DataFrame:
     """Per row of ``df``: ``_id`` (its key), ``n_words``, ``n_features``, ``weight``, ``score`` (weight plus noise), ``_at``
     (a number of the row) and ``_row`` with the columns named in ``carry``."""
-    low = df.select(F.col(key).alias("_id"), F.struct(*carry).alias("_row") if carry else F.lit(None).alias("_row"),
-                    _lowered(F.col(text)).alias("low"))
-    lines = _stored(_distinct_lines(low, buckets), "lines")
-    rows = _stored(low.select(
-        F.monotonically_increasing_id().alias("_at"), "_id", *(["_row"] if carry else []),
-        F.transform(_lines(F.col("low")), _line_hash).alias("lines"), _seams(F.col("low"), buckets).alias("seams")), "rows")
+    own = [F.struct(*carry).alias("_row")] if carry else []
+    texts = df.select(F.col(key).alias("_id"), *own, _lines(_lowered(F.col(text))).alias("lines"))
+    kept = ["_id", "_row"] if carry else ["_id"]
+    lines = _stored(_distinct_lines(texts, buckets), "lines")
+    rows = _stored(texts.select(
+        F.monotonically_increasing_id().alias("_at"), *kept, F.transform("lines", _line_hash).alias("hashes"),
+        _seams(F.col("lines"), buckets).alias("seams")), "rows")
     gain = gains(_counts(lines, rows), text_counts(target, target_text, buckets), buckets)
     # One literal, folded once: a number a bucket.
     gain = F.split(F.lit(",".join(map(str, gain))), ",").cast("array<bigint>")
@@ -122,19 +127,19 @@ def weights(df: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
         return F.aggregate(found, F.lit(0).cast("bigint"), lambda total, bucket: total + F.get(gain, bucket))
 
     # A line that a third of the documents hold is split by the skew handling of this join.
-    held = (rows.select("_at", F.explode("lines").alias("h")).select("_at", "h.*")
+    held = (rows.select("_at", F.explode("hashes").alias("h")).select("_at", "h.*")
             .join(lines.select("h1", "h2", "words", summed("found").alias("gain")), ["h1", "h2"])
             .groupBy("_at").agg(F.sum("words").alias("words"), F.sum("gain").alias("gain")))
     n_words = F.coalesce("words", F.lit(0))
     noise = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit(""))), 256),
                                1, 8), 16, 10).cast("double")
-    return (rows.select("_at", "_id", *(["_row"] if carry else []), summed("seams").alias("seam_gain"))
+    return (rows.select("_at", *kept, summed("seams").alias("seam_gain"))
             .join(held, "_at", "left")
             .withColumns({"n_words": n_words, "n_features": F.greatest(2 * n_words - 1, F.lit(0)).cast("bigint"),
                           "total": F.coalesce("gain", F.lit(0)) + F.col("seam_gain")})
             .withColumn("weight", _floored_mean(F.col("total"), F.col("n_features")).cast("bigint"))
             .withColumn("score", F.col("weight") + F.floor(F.log(-F.log((noise + 0.5) / 4294967296.0)) * -1000.0))
-            .select("_at", "_id", *(["_row"] if carry else []), "n_words", "n_features", "weight", "score"))
+            .select("_at", *kept, "n_words", "n_features", "weight", "score"))
 
 
 def ranked(df: DataFrame, target: DataFrame, key: str = "doc_id", percent: int = 25, least_words: int = LEAST_WORDS,

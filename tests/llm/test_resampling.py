@@ -68,7 +68,8 @@ def test_counts_of_texts(spark):
     rows = [(1, "Same line here\nother"), (2, "same LINE here\nother"), (3, "same line here")]
     got = {r["bucket"]: r["n"] for r in resampling.text_counts(cases.texts(spark, *rows), "text").collect()}
     assert got == Counter(b for _, t in rows for b in plain_features(t)[1])
-    lines = resampling._distinct_lines(cases.texts(spark, *rows).select(F.lower("text").alias("low")), 10_000).collect()
+    cut = cases.texts(spark, *rows).select(F.split(F.lower("text"), "\n").alias("lines"))
+    lines = resampling._distinct_lines(cut, 10_000).collect()
     assert sorted(r["n"] for r in lines) == [2, 3]                 # each taken apart once
 
 
