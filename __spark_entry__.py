@@ -17,6 +17,7 @@ from starling.functions import clip, risk_tier  # noqa: E402
 from starling.operators import evaluation, ordered, orders as order_ops, rates, sentiment, significance  # noqa: E402
 from starling.plans import dashboard, master as mart, review_text, risk_model  # noqa: E402
 from starling.session import checkpoint_folder, run_folder, settled  # noqa: E402
+from starling.sources import bucketed  # noqa: E402
 from starling.sources.tables import csv_tables, region_codes  # noqa: E402
 from starling.sources.trade_view import TradeFolder, sample_lexicon  # noqa: E402
 
@@ -27,6 +28,9 @@ try:
 except ImportError:
     corpus_pipeline = training_data = None
 
+# The files behind the six order tables, and the buckets that tables of their size are landed in.
+ORDER_TABLES = ("orders", "lineitem", "part", "supplier", "nation")
+BUCKETS = 8
 SMOKE_FOLDER = "/root/testdata/sf0.001"
 
 # Minimum orders per group, fitted to the size of the supplied tables.
@@ -92,8 +96,7 @@ def fixed_score(master: DataFrame) -> DataFrame:
 def trained(spark, folder):
     """The model, trained on the folder's orders and saved by the first query that needs it, and those orders."""
     split = risk_model.split_orders(_master(spark, folder))
-    tables = ["orders", "lineitem", "part", "supplier", "nation"]
-    path = _stored(spark, folder, "risk-model", tables, lambda path: risk_model.train(split).save(path))
+    path = _stored(spark, folder, "risk-model", ORDER_TABLES, lambda path: risk_model.train(split).save(path))
     return risk_model.RiskModel.load(spark, path), split
 
 
@@ -207,6 +210,14 @@ def order_master(spark, folder):
     return rounded(_master(spark, folder), "total_price", "total_freight", "freight_pct", "review_score")
 
 
+def order_master_bucketed(spark, folder):
+    """The mart from tables landed in buckets of the order: no shuffle and no sort by it."""
+    path = _stored(spark, folder, "bucketed", ORDER_TABLES, lambda path: bucketed.land_bucketed(
+        _tables(spark, folder), path, BUCKETS))
+    whole = bucketed.order_master_of(bucketed.bucketed_parts(spark, path))
+    return rounded(whole, "total_price", "total_freight", "freight_pct", "review_score")
+
+
 # ---------------------------------------------------------------- figures and grouped rates
 
 def _figures(master):
@@ -498,7 +509,7 @@ def sample_by_hash(spark, folder):
 
 REGISTERED = (
     scan_profile, csv_ingest, json_dimension, distinct_categories, distinct_states, table_preview, delivered_orders,
-    delivery_features, delivery_buckets, items_rollup, reviews_rollup, order_master, mart_by_month, kpis, filtered_kpis,
+    delivery_features, delivery_buckets, items_rollup, reviews_rollup, order_master, order_master_bucketed, mart_by_month, kpis, filtered_kpis,
     bad_rate_by_delivery_bucket, filtered_bad_rate_by_delivery_bucket, worst_categories, worst_categories_chart,
     best_categories,
     elevated_categories, monthly_trend, state_rates, state_summary, state_rates_dense, score_distribution,

@@ -396,3 +396,5 @@ FROM scored WHERE five_star_negative OR one_star_positive""",
     "sample_by_hash": f"""SELECT doc_id AS review_id, CAST(1 + doc_id % 5 AS INTEGER) AS review_score FROM documents
 ORDER BY {_hash('doc_id', 15)}, doc_id LIMIT 500""",
 }
+# The same mart from other files.
+ORACLES["order_master_bucketed"] = ORACLES["order_master"]
