@@ -94,15 +94,22 @@ def fixed_score(master: DataFrame) -> DataFrame:
 
 
 def trained(spark, folder):
-    """The model, trained on the folder's orders and saved by the first query that needs it, and those orders."""
-    split = risk_model.split_orders(_master(spark, folder))
-    path = _stored(spark, folder, "risk-model", ORDER_TABLES, lambda path: risk_model.train(split).save(path))
-    return risk_model.RiskModel.load(spark, path), split
+    """Where the model trained on the folder's orders is saved, by the first query that needs it, with its scores of them."""
+    def train(path):
+        split = risk_model.split_orders(_master(spark, folder))
+        model = risk_model.train(split)
+        model.save(path)
+        model.score(split).write.mode("overwrite").parquet(f"{path}/scored")
 
+    return _stored(spark, folder, "risk-model", ORDER_TABLES, train)
 
-def _fit(spark, folder):
-    model, split = trained(spark, folder)
-    return model, model.score(split)
+
+def _model(spark, folder):
+    return risk_model.RiskModel.load(spark, trained(spark, folder))
+
+
+def _scored(spark, folder):
+    return spark.read.parquet(trained(spark, folder) + "/scored")
 
 
 # ---------------------------------------------------------------- sources and order grain
@@ -405,7 +412,7 @@ def risk_tiers(spark, folder):
 # What SQL can say of a trained model: how many rows it saw, and whether it has the properties it must have.
 
 def risk_model_auc(spark, folder):
-    both = risk_model.train_and_test_auc(_fit(spark, folder)[1])
+    both = risk_model.train_and_test_auc(_scored(spark, folder))
     return both.select("n_train", "n_test", (F.col("test_auc") >= LEAST_AUC).alias("tells_apart"),
                        (F.abs("gap") <= MOST_GAP).alias("holds_on_test_orders"))
 
@@ -417,19 +424,20 @@ def _importance_facts(shown, whole, total):
 
 
 def feature_importance(spark, folder):
-    model = _fit(spark, folder)[0]
+    model = _model(spark, folder)
     return _importance_facts(model.importance(), model.importance(1000), 1.0)
 
 
 def split_importance(spark, folder):
-    model = _fit(spark, folder)[0]
+    model = _model(spark, folder)
     inner = sum((tree.numNodes - 1) // 2 for tree in model.trees.trees)
     facts = _importance_facts(model.importance(kind="splits"), model.importance(1000, kind="splits"), float(inner))
-    return facts.drop("first_is_delivery").withColumn("n_trees", F.lit(model.trees.getNumTrees))
+    n_trees = model.nodes().agg(F.count_distinct("tree").cast("int").alias("n_trees"))
+    return facts.drop("first_is_delivery").crossJoin(n_trees)                                         # one row each
 
 
 def model_confusion(spark, folder):
-    tested = _fit(spark, folder)[1].where("is_test = 1")
+    tested = _scored(spark, folder).where("is_test = 1")
     found = evaluation.precision_recall(tested, "is_bad_review", risk_model.SCORE)
 
     def share(c):
@@ -441,7 +449,7 @@ def model_confusion(spark, folder):
 
 
 def model_roc(spark, folder):
-    tested = _fit(spark, folder)[1].where("is_test = 1")
+    tested = _scored(spark, folder).where("is_test = 1")
     points = settled(ordered.roc_curve(tested, "is_bad_review", risk_model.SCORE, numbered=True))
     area = ordered.auc(tested, "is_bad_review", risk_model.SCORE).select("auc")
     facts = ordered.curve_facts(points).crossJoin(area)                                               # one row each
@@ -451,8 +459,7 @@ def model_roc(spark, folder):
 
 def score_scenarios(spark, folder):
     """Every order on time, or two weeks late."""
-    model, scored = _fit(spark, folder)
-    orders = scored.drop(risk_model.SCORE, "risk")
+    model, orders = _model(spark, folder), _scored(spark, folder).drop(risk_model.SCORE, "risk")
     what_if = model.score(risk_model.with_scenarios(orders, "delivery_delay_days", SCENARIO_DELAYS))
     means = what_if.groupBy("delivery_delay_days").agg(
         F.count(F.lit(1)).alias("n_orders"), F.avg(risk_model.SCORE).alias("mean"))
@@ -464,8 +471,7 @@ def score_scenarios(spark, folder):
 
 def scenario_grid(spark, folder):
     """Every order under each combination of delay, price, number of items and category, one of them unseen."""
-    model, scored = _fit(spark, folder)
-    orders = scored.drop(risk_model.SCORE, "risk")
+    model, orders = _model(spark, folder), _scored(spark, folder).drop(risk_model.SCORE, "risk")
     what_if = model.score(risk_model.with_grid(orders, SCENARIO_GRID))
     keys = [F.col("delivery_delay_days").cast("long").alias("delay"), F.col("total_price").alias("price"),
             F.col("n_items").cast("long").alias("items"), F.col("product_category_name_english").alias("category")]
@@ -474,6 +480,17 @@ def scenario_grid(spark, folder):
         (F.count_if(~F.col(risk_model.SCORE).between(0, 1)) == 0).alias("all_shares"))
 
 
+def scenario_means(spark, folder):
+    """Mean scores of the same grid without a copy of any order, held against scoring the copies."""
+    model, orders = _model(spark, folder), _scored(spark, folder).drop(risk_model.SCORE, "risk")
+    keys = list(SCENARIO_GRID)
+    copied = model.score(risk_model.with_grid(orders, SCENARIO_GRID)).groupBy(*keys).agg(F.avg(risk_model.SCORE).alias("copied"))
+    both = risk_model.grid_means(model, orders, SCENARIO_GRID).join(copied, keys)
+    return both.select(F.col(keys[0]).cast("long").alias("delay"), F.col(keys[1]).alias("price"),
+                       F.col(keys[2]).cast("long").alias("items"), F.col(keys[3]).alias("category"), "n_orders",
+                       (F.abs(F.col("mean_score") - F.col("copied")) < 1e-9).alias("same_mean"))
+
+
 # ---------------------------------------------------------------- review texts
 
 def review_sentiment(spark, folder):
@@ -516,7 +533,8 @@ REGISTERED = (
     raw_bad_share, delay_histogram, delay_histogram_own_range, late_effect_ztest, late_effect_pvalue, late_effect_by_state,
     month_effect_by_category, late_effect_verdict, top_n_levels, rare_level_grouping, model_features, model_indicators, train_test_split, stratified_split, class_weights,
     auc_rank_sum, roc_curve, roc_curve_corners, confusion_matrix, precision_recall, risk_tiers, risk_model_auc,
-    feature_importance, split_importance, model_confusion, model_roc, score_scenarios, scenario_grid, review_sentiment, review_sentiment_negated,
+    feature_importance, split_importance, model_confusion, model_roc, score_scenarios, scenario_grid,
+    scenario_means, review_sentiment, review_sentiment_negated,
     sentiment_by_star, sentiment_by_star_midpoint, sentiment_mismatch, mismatched_reviews, sample_by_hash,
 )
 

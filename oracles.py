@@ -398,3 +398,7 @@ ORDER BY {_hash('doc_id', 15)}, doc_id LIMIT 500""",
 }
 # The same mart from other files.
 ORACLES["order_master_bucketed"] = ORACLES["order_master"]
+# Of the means without copies SQL knows how many orders they cover; the query holds them against scored copies.
+ORACLES["scenario_means"] = ORACLES["scenario_grid"].replace("AS n_orders,", "AS n_orders, true AS same_mean").replace(
+    """
+  (SELECT count(*) FROM v_master) AS n_rated, true AS all_shares""", "")

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from starling.functions import risk_tier, safe_ratio
+from starling.operators.binning import bin_of, merged, quantile_edges
 from starling.operators.levels import group_rare, level_counts, top_levels
 from starling.operators.ordered import auc, stratified_split
-from starling.operators.rates import BAD
+from starling.operators.rates import BAD, highest
+from starling.plans import tree_nodes
 from starling.plans.dashboard import CATEGORY, STATE
-from starling.session import checkpoint_folder, settled
+from starling.session import checkpoint_folder, run_folder, settled
 
 # The model's inputs, how many levels keep a name, and the names of the rest.
 NUMBERS = ("delivery_delay_days", "delivery_time_days", "total_price", "total_freight", "freight_pct", "n_items")
@@ -62,22 +62,34 @@ def class_weights(df: DataFrame, label: str = BAD) -> DataFrame:
 
 @dataclass(frozen=True)
 class Levels:
-    """The category and state names that got a column of their own in training, sorted."""
+    """The category and state names that got a column of their own in training, sorted, and the bins of the numeric
+    inputs: the edges of each in the order of ``NUMBERS``, or none where the numbers are used as they are."""
     categories: tuple[str, ...]
     states: tuple[str, ...]
+    edges: tuple[tuple[float, ...], ...] = ()
 
     def names(self) -> list[str]:
         return [*NUMBERS, *["cat_" + v for v in self.categories], *["state_" + v for v in self.states]]
 
-    def vector(self) -> Column:
-        """An order's inputs in the order of ``names``. A name without a column counts as the catch-all; if
-        that has none either, all its indicators are 0."""
-        inputs = [_number(c) for c in NUMBERS]
-        for column, known, other in ((CATEGORY, self.categories, OTHER_CATEGORY),
-                                     (STATE, self.states, OTHER_STATE)):
-            shown = F.when(F.col(column).isin(*known), F.col(column)).otherwise(F.lit(other))
-            inputs += [(shown == F.lit(v)).cast("double") for v in known]
-        return array_to_vector(F.array(*inputs))
+    def parts(self) -> dict[str, Column]:
+        """An order's inputs before the names become columns: numbers (or their bins), shown category and state. A name
+        without a column counts as the catch-all."""
+        numbers = {c: bin_of(_number(c), self.edges[i]) if self.edges else _number(c) for i, c in enumerate(NUMBERS)}
+        def shown(column, known, other):
+            return F.when(F.col(column).isin(*known), F.col(column)).otherwise(F.lit(other))
+        return numbers | {CATEGORY: shown(CATEGORY, self.categories, OTHER_CATEGORY),
+                          STATE: shown(STATE, self.states, OTHER_STATE)}
+
+    def inputs(self, parts: dict[str, Column] | None = None) -> Column:
+        """The inputs in the order of ``names`` as an array. Where the catch-all has no column either, all indicators of its
+        kind are 0."""
+        parts = parts or self.parts()
+        flags = [(parts[column] == F.lit(v)).cast("double")
+                 for column, known in ((CATEGORY, self.categories), (STATE, self.states)) for v in known]
+        return F.array(*[parts[c] for c in NUMBERS], *flags)
+
+    def vector(self, parts: dict[str, Column] | None = None) -> Column:
+        return array_to_vector(self.inputs(parts))
 
     def indicators(self) -> Column:
         """Names of the category and state columns that are not 0 for an order, out of its input vector."""
@@ -107,6 +119,7 @@ def find_levels(master: DataFrame, n_categories: int = N_CATEGORIES, n_states: i
 class RiskModel:
     trees: GBTClassificationModel
     levels: Levels
+    path: str | None = None         # where it is saved
 
     def score(self, orders: DataFrame) -> DataFrame:
         """Adds ``probability_bad`` and ``risk``. Every step is per row, so streaming frames work as well."""
@@ -114,33 +127,31 @@ class RiskModel:
         probability = vector_to_array("probability")[1].alias(SCORE)
         return scored.select(*orders.columns, probability).withColumn("risk", risk_tier(F.col(SCORE)))
 
+    def nodes(self) -> DataFrame:
+        """The trees as a table of nodes, read from where the model is saved; one that is not is saved for the run."""
+        spark, path = SparkSession.active(), self.path
+        if path is None:
+            path = run_folder(spark, "model")
+            self.save(path)
+        return tree_nodes.tree_nodes(spark, f"{path}/trees")
+
     def importance(self, n: int = 15, kind: str = "gain") -> DataFrame:
         """The ``n`` most important inputs: by ``gain``, shares that sum to 1 over all inputs, or by
-        ``splits``, the number of times the trees ask for them. Works on the model, not on data."""
-        if kind == "gain":
-            figures = map(float, self.trees.featureImportances.toArray())
-        elif kind == "splits":
-            asked = Counter(re.findall(r"If \(feature (\d+) ", self.trees.toDebugString))
-            inner = sum((tree.numNodes - 1) // 2 for tree in self.trees.trees)
-            if sum(asked.values()) != inner:
-                raise RuntimeError(f"{inner} splits, but {sum(asked.values())} found in the printed trees")
-            figures = (float(asked[str(i)]) for i in range(self.trees.numFeatures))
-        else:
-            raise ValueError(f"unknown kind of importance {kind}")
-        rows = sorted(zip(self.levels.names(), figures), key=lambda r: (-r[1], r[0]))[:n]
-        return SparkSession.active().createDataFrame(rows, "feature string, importance double")
+        ``splits``, the number of times the trees ask for them. Works on the model's nodes, not on data."""
+        return highest(tree_nodes.importances(self.nodes(), self.levels.names(), kind), "importance", "feature", n)
 
     def save(self, path: str) -> None:
         self.trees.write().overwrite().save(f"{path}/trees")
-        rows = [(list(self.levels.categories), list(self.levels.states))]
-        (SparkSession.active().createDataFrame(rows, "categories array<string>, states array<string>")
+        rows = [(list(self.levels.categories), list(self.levels.states), [list(e) for e in self.levels.edges])]
+        (SparkSession.active().createDataFrame(rows, "categories array<string>, states array<string>, "
+                                                     "edges array<array<double>>")
          .coalesce(1).write.mode("overwrite").parquet(f"{path}/levels"))
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> RiskModel:
         row = spark.read.parquet(f"{path}/levels").first()
         return RiskModel(GBTClassificationModel.load(f"{path}/trees"),
-                         Levels(tuple(row.categories), tuple(row.states)))
+                         Levels(tuple(row.categories), tuple(row.states), tuple(map(tuple, row.edges))), path)
 
 
 # ---------------------------------------------------------------- training and evaluation
@@ -156,21 +167,37 @@ def split_orders(master: DataFrame, key: str = "order_id", seed: int = SEED, tes
     return stratified_split(inputs, key, BAD, seed, test_share)
 
 
+def training_rows(training: DataFrame, levels: Levels) -> DataFrame:
+    """``training`` with a weight under which both classes count alike, orders alike in outcome and inputs merged into one
+    row: label, ``weight``, ``n_orders`` and ``features``. With binned inputs there are at most as many rows as
+    combinations of bins and names, however many orders."""
+    weights = {r[BAD]: r["weight"] for r in class_weights(training).collect()}
+    weight = F.when(F.col(BAD) == 1, weights.get(1, 1.0)).otherwise(weights.get(0, 1.0))
+    parts = levels.parts()
+    alike = merged(training.select(F.col(BAD).cast("double").alias(BAD), weight.alias("weight"),
+                                   *[c.alias(name) for name, c in parts.items()]),
+                   [BAD, *parts], weight=F.col("weight"), n_orders=F.lit(1))
+    return alike.select(BAD, "weight", "n_orders", levels.vector({name: F.col(name) for name in parts}).alias("features"))
+
+
 def train(split: DataFrame, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, seed: int = SEED,
           min_leaf: int = 20, bins: int = 32) -> RiskModel:
-    """Fits the model on the training part of ``split``. A leaf holds at least ``min_leaf`` orders; splits are looked for
-    among ``bins`` ranges of an input."""
+    """Fits the model on the training part of ``split``.
+
+    Numeric inputs are cut into ``bins`` quantile bins once, and orders that are then alike are merged, so that boosting
+    passes over combinations and not over orders. A leaf holds at least ``min_leaf`` orders by weight.
+    """
     checkpoint_folder(split.sparkSession)
-    levels = find_levels(split)
     training = split.where("is_test = 0")
-    weights = {r[BAD]: r["weight"] for r in class_weights(training).collect()}
-    weight = F.when(F.col(BAD) == 1, weights.get(1, 1.0)).otherwise(weights.get(0, 1.0))
-    booster = GBTClassifier(labelCol=BAD, weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, maxBins=bins,
-                            seed=seed, minInstancesPerNode=min_leaf, maxMemoryInMB=512, checkpointInterval=25)
+    edges = quantile_edges(model_numbers(training), NUMBERS, bins)
+    levels = replace(find_levels(split), edges=tuple(edges[c] for c in NUMBERS))
+    rows = settled(training_rows(training, levels).hint("rebalance"))
+    whole = rows.agg(F.sum("weight")).first()[0] or 1.0
+    booster = GBTClassifier(labelCol=BAD, weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, maxBins=max(bins, 2),
+                            seed=seed, minWeightFractionPerNode=min(min_leaf / whole, 0.49), maxMemoryInMB=512,
+                            checkpointInterval=25)
     # A job for each level of each tree: full partitions keep their number, and so the cost of a job, down.
-    fitted = booster.fit(training.select(F.col(BAD).cast("double").alias(BAD), weight.alias("weight"),
-                                         levels.vector().alias("features")).hint("rebalance"))
-    return RiskModel(fitted, levels)
+    return RiskModel(booster.fit(rows), levels)
 
 
 def train_and_test_auc(scored: DataFrame) -> DataFrame:
@@ -204,3 +231,36 @@ def with_grid(orders: DataFrame, values: dict[str, Sequence]) -> DataFrame:
     for column, options in values.items():
         orders = with_scenarios(orders, column, options)
     return orders
+
+
+def grid_means(model: RiskModel, orders: DataFrame, values: dict[str, Sequence]) -> DataFrame:
+    """Mean score of all ``orders`` under each combination of the given values, with ``n_orders``: what scoring
+    ``with_grid`` and averaging gives, but without a copy of any order. Freight share follows."""
+    names, numbers = model.levels.names(), list(NUMBERS)
+    entries = tree_nodes.combinations(values)
+
+    def inputs(entry):
+        found = {}
+        for column, value in entry.items():
+            if column in numbers:
+                kind = orders.schema[column].dataType.typeName()
+                found[numbers.index(column)] = float(int(value) if kind in ("integer", "long") else value)
+                continue
+            known, other, prefix = ((model.levels.categories, OTHER_CATEGORY, "cat_") if column == CATEGORY else
+                                    (model.levels.states, OTHER_STATE, "state_"))
+            shown = value if value in known else other
+            found |= {names.index(prefix + v): float(v == shown) for v in known}
+        return found
+
+    raw = replace(model.levels, edges=())
+    edges = dict(enumerate(model.levels.edges))
+    share = tuple(map(numbers.index, ("freight_pct", "total_freight", "total_price")))
+    means = tree_nodes.mean_scores(orders.select(raw.inputs().alias("x")), tree_nodes.Trees.of(model.nodes()),
+                                   [inputs(e) for e in entries], share, edges)
+    kinds = ", ".join(f"`{c}` {orders.schema[c].dataType.simpleString()}" for c in values)
+    def typed(column, value):
+        return int(value) if orders.schema[column].dataType.typeName() in ("integer", "long") else value
+    grid = orders.sparkSession.createDataFrame(
+        [(at, *(typed(c, v) for c, v in e.items())) for at, e in enumerate(entries)], f"at int, {kinds}")
+    # Without orders there is no mean, and the count is 0.
+    return grid.join(means, "at", "left").withColumn("n_orders", F.coalesce("n_orders", F.lit(0))).drop("at")

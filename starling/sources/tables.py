@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
-from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -103,16 +102,19 @@ def csv_tables(spark: SparkSession, files: dict[str, str], strict: bool = True)
 def write_tables(tables: Tables, folder: str) -> None:
     """Land the tables as Parquet, once, so that later jobs get splits, pruning and pushed filters."""
     for name, df in tables.named().items():
-        df.write.mode("overwrite").parquet(str(PurePosixPath(folder) / name))
+        df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+
+
+def landed_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One landed table, narrowed to the columns the operators use."""
+    path = f"{folder.rstrip('/')}/{name}"
+    columns = ", ".join(f"{c} {'timestamp_ntz' if c in ORDER_MOMENTS else t}" for c, t in CSV_COLUMNS[name].items())
+    return spark.read.schema(columns).parquet(path)
 
 
 def parquet_tables(spark: SparkSession, folder: str) -> Tables:
     """The landed tables, narrowed to the columns the operators use."""
-    found = {}
-    for name, columns in CSV_COLUMNS.items():
-        schema = ", ".join(f"{c} {'timestamp_ntz' if c in ORDER_MOMENTS else t}" for c, t in columns.items())
-        found[name] = spark.read.schema(schema).parquet(str(PurePosixPath(folder) / name))
-    return Tables(**found)
+    return Tables(**{name: landed_table(spark, folder, name) for name in CSV_COLUMNS})
 
 
 def region_codes(spark: SparkSession, path: str) -> DataFrame:

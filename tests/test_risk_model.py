@@ -1,8 +1,11 @@
+import numpy as np
 import pytest
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
+from starling.operators import binning
 from starling.operators.levels import group_rare, level_counts
-from starling.plans import risk_model
+from starling.plans import risk_model, tree_nodes
 from starling.plans.master import order_master
 from starling.plans.risk_model import Levels, RiskModel, train, train_and_test_auc, with_scenarios
 from starling.sources.trade_view import TradeFolder
@@ -113,3 +116,88 @@ def test_grid_and_indicators(spark, fitted):
     assert {(r.product_category_name_english, tuple(r.names)) for r in scored} == {
         ("brand#25", ("cat_brand#25" if "brand#25" in model.levels.categories else "cat_other", "state_NATION_9")),
         ("never sold", ("cat_other", "state_NATION_9"))}
+
+
+def test_importances_from_nodes(fitted):
+    model = fitted[0]
+    names = model.levels.names()
+    expected = {name: float(x) for name, x in zip(names, model.trees.featureImportances.toArray())}
+    found = {r.feature: r.importance for r in model.importance(100).collect()}
+    assert found == pytest.approx(expected, abs=1e-12)
+    with pytest.raises(ValueError):
+        model.importance(kind="luck")
+
+
+def test_probabilities_from_nodes(fitted):
+    model, scored = fitted
+    trees = tree_nodes.Trees.of(model.nodes())
+    rows = scored.limit(500).select(model.levels.inputs().alias("x"), risk_model.SCORE).collect()
+    assert trees.probability(np.array([r.x for r in rows])) == pytest.approx([r.probability_bad for r in rows], abs=1e-12)
+
+
+GRIDS = [{"delivery_delay_days": (-5, 0, 10)}, {"total_price": (0.0, 20.0, 500.0)}, {"freight_pct": (0.9,)},
+         {"product_category_name_english": ("brand#25", "unseen"), "seller_state": ("NATION_9", "nowhere")},
+         {"total_freight": (0.0, 7.5), "n_items": (1, 4), "delivery_time_days": (3, 60)}]
+
+
+@pytest.mark.parametrize("grid", GRIDS, ids=lambda g: "-".join(g))
+def test_grid_means_equal_scored_copies(fitted, grid):
+    model, orders = fitted[0], fitted[1].drop(risk_model.SCORE, "risk")
+    copied = model.score(risk_model.with_grid(orders, grid))
+    if "freight_pct" in grid:                          # follows from price and freight, whatever is asked
+        copied = copied.withColumn("freight_pct", F.lit(0.9))
+    expected = {tuple(r[:-2]): tuple(r[-2:]) for r in copied.groupBy(*grid).agg(
+        F.count(F.lit(1)), F.avg(risk_model.SCORE)).collect()}
+    found = {tuple(r[c] for c in grid): (r.n_orders, r.mean_score)
+             for r in risk_model.grid_means(model, orders, grid).collect()}
+    assert set(found) == set(expected)
+    for key, (n, mean) in expected.items():
+        assert found[key][0] == n and found[key][1] == pytest.approx(mean, abs=1e-9)
+
+
+def test_grid_means_copy_no_order(spark, fitted):
+    model, orders = fitted[0], fitted[1].drop(risk_model.SCORE, "risk")
+    def plan(n):
+        means = risk_model.grid_means(model, orders, {"delivery_delay_days": range(n)})
+        return means._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan(50) and plan(50).count("MapInPandas") == 1
+    assert plan(50).count("\n") == plan(2).count("\n")
+    # Values between two edges of the bins are worked out once.
+    trees = tree_nodes.Trees.of(model.nodes())
+    assert len(set(trees.cells(0, np.linspace(-1e6, 1e6, 5000)).tolist())) <= 33
+    none = risk_model.grid_means(model, orders.limit(0), {"delivery_delay_days": (1,)}).collect()
+    assert [(r.n_orders, r.mean_score) for r in none] == [(0, None)]
+
+
+def test_orders_alike_are_merged(spark, master):
+    training = risk_model.split_orders(master).where("is_test = 0")
+    levels = risk_model.find_levels(training)
+    coarse = Levels(levels.categories, levels.states, ((0.0,),) + ((),) * 5)
+    rows = risk_model.training_rows(training, coarse).cache()
+    assert rows.count() <= 2 * 2 * 17 * 12
+    weights = {r.is_bad_review: r.n * r.weight for r in risk_model.class_weights(training).collect()}
+    assert {r[0]: r[1] for r in rows.groupBy("is_bad_review").sum("weight").collect()} == pytest.approx(weights)
+    assert rows.agg(F.sum("n_orders")).first()[0] == training.count()
+
+
+def test_bins(spark):
+    df = spark.createDataFrame([(float(i % 10), None if i % 3 else float(i)) for i in range(1000)], "a double, b double")
+    edges = binning.quantile_edges(df, ["a", "b"], 4)
+    assert set(edges["a"]) <= set(range(10)) and len(edges["a"]) == 3
+    counts = [r[1] for r in df.where("b IS NOT NULL").groupBy(binning.bin_of(F.col("b"), edges["b"]).alias("x")).count().collect()]
+    assert len(counts) == 4 and max(counts) - min(counts) <= 6
+    assert binning.quantile_edges(df.limit(0), ["a"], 4) == {"a": ()}
+    one = spark.createDataFrame([(x,) for x in (0.5, 1.0, 1.5, 2.0, 9.0)], "v double")
+    assert [r[0] for r in one.orderBy("v").select(binning.bin_of(F.col("v"), (1.0, 2.0))).collect()] == [0, 0, 1, 1, 2]
+    assert one.select(binning.bin_of(F.col("v"), ())).first()[0] == 0
+
+
+def test_bins_keep_the_quality(master):
+    split = risk_model.split_orders(master)
+    training = split.where("is_test = 0")
+    levels = risk_model.find_levels(split)
+    whole = GBTClassifier(labelCol="is_bad_review", maxIter=5, maxDepth=3, stepSize=0.05, seed=42, minInstancesPerNode=20,
+                          weightCol="weight").fit(risk_model.training_rows(training, levels))
+    unbinned = train_and_test_auc(RiskModel(whole, levels).score(split)).first().test_auc
+    binned = train_and_test_auc(train(split, trees=5, depth=3).score(split)).first().test_auc
+    assert abs(unbinned - binned) < 0.02
