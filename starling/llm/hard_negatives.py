@@ -78,7 +78,7 @@ def _curve(v: Column, lows: Column, highs: Column, bits: int) -> Column:
 
 # ---------------------------------------------------------------- blocks and zone maps
 
-BLOCK = ("length int, shard int, block bigint, first bigint, lows binary, highs binary, ids binary, labels binary, "
+BLOCK = ("length int, part int, block bigint, first bigint, lows binary, highs binary, ids binary, labels binary, "
          "asked binary, kind string, cells binary")
 
 
@@ -94,7 +94,8 @@ def _block(rows: pd.DataFrame, number: int) -> dict:
     rows = rows.sort_values(["id", "label"], kind="stable")
     cells = np.stack(rows["v"].to_numpy()).astype(np.int64)
     narrow = _narrow(cells)
-    return {"length": cells.shape[1], "shard": rows["shard"].iloc[0], "block": number, "first": rows["id"].iloc[0],
+    return {"length": cells.shape[1], "part": rows["part"].iloc[0],
+            "block": (int(rows["part"].iloc[0]) << 32) + number, "first": rows["id"].iloc[0],
             "lows": cells.min(0).astype("<i8").tobytes(), "highs": cells.max(0).astype("<i8").tobytes(),
             "ids": rows["id"].to_numpy("<i8").tobytes(), "labels": rows["label"].to_numpy("<i8").tobytes(),
             "asked": rows["asked"].to_numpy(np.uint8).tobytes(), "kind": narrow.dtype.str, "cells": narrow.tobytes()}
@@ -133,8 +134,13 @@ def ordered_blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS, shard_rows: in
     order = ["length", "curve", "id", "label"]
     folder = run_folder(rows.sparkSession, "hilbert-blocks")
     (placed.repartitionByRange(shards, *order).sortWithinPartitions(*order)
-     .withColumn("shard", F.spark_partition_id()).mapInPandas(cut, BLOCK).write.parquet(f"{folder}/blocks"))
-    return rows.sparkSession.read.parquet(f"{folder}/blocks")
+     .withColumn("part", F.spark_partition_id()).mapInPandas(cut, BLOCK).write.parquet(f"{folder}/blocks"))
+    blocks = rows.sparkSession.read.parquet(f"{folder}/blocks")
+    # Parts are as many as the shuffle made them; a shard is as many of them in a row as it has room for.
+    sizes = blocks.groupBy("part").agg(F.sum(F.length("ids") / 8).alias("n"))
+    before = F.sum("n").over(Window.orderBy("part")) - F.col("n")                  # over one row per part
+    shard = F.floor(before / max(shard_rows, -(-n // MOST_SHARDS))).cast("int")
+    return blocks.join(F.broadcast(settled(sizes.select("part", shard.alias("shard")))), "part").drop("part")
 
 
 def bounds(points: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
