@@ -22,14 +22,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from starling.llm.batches import stored
 from starling.llm.components import components
 from starling.session import settled
 
 WORDS = 5
 #: Shingles that one task looks through at a time.
 TASK_SHINGLES = 1_500_000
-#: Texts that may have a partner are looked up by broadcast keys up to this number (some 32 bytes each).
-MOST_BROADCAST = 500_000
+#: Bits of the map that tells which texts cannot have a partner: 2**27 of them, 16 MB, however many texts.
+MAP_BITS, BUCKET_BITS = 1 << 27, 1 << 15
 #: A probe of a list costs as much as merging so many of its entries.
 PROBE_COST = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,12 +61,15 @@ class Lists:
         self.length = np.diff(self.starts)
         self.places = np.repeat(np.arange(len(self.length)), self.length) * len(self.sizes) + self.postings
 
-    def merged(self, shingles: np.ndarray, low: int, high: int) -> np.ndarray:
-        """How many of the lists of ``shingles`` hold each text from number ``low`` to before ``high``."""
-        size = self.length[shingles]
-        index = np.repeat(self.starts[shingles] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        found = self.postings[index]
-        return np.bincount(found[(found >= low) & (found < high)] - low, minlength=high - low)
+    def merged(self, shingles: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """The texts from number ``low`` to before ``high`` that the lists of ``shingles`` hold, and in how many of them
+        each stands. The lists, each in order, are merged run by run; nothing but their entries is touched."""
+        first = np.searchsorted(self.places, shingles * len(self.sizes) + low)
+        size = np.searchsorted(self.places, shingles * len(self.sizes) + high) - first
+        index = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        found = np.sort(self.postings[index], kind="stable")
+        start = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else np.zeros(0, int)
+        return found[start], np.diff(np.r_[start, len(found)])
 
     def probed(self, shingles: np.ndarray, texts: np.ndarray) -> np.ndarray:
         """How many of the lists of ``shingles`` hold each of ``texts``, by binary search."""
@@ -90,16 +94,19 @@ def partners(lists: Lists, own: np.ndarray, size: int, low: int, high: int) -> n
     own = own[np.argsort(lists.length[own], kind="stable")]
     n_long = least - 1
     short, long = own[:len(own) - n_long], own[len(own) - n_long:]
-    count = lists.merged(short, low, high)
-    candidates = np.flatnonzero(count >= least - n_long)
-    if not len(candidates):
-        return candidates
-    if len(candidates) * n_long * PROBE_COST < lists.length[long].sum():
-        count = count[candidates] + lists.probed(long, candidates + low)
+    texts, count = lists.merged(short, low, high)
+    enough = count >= least - n_long
+    texts, count = texts[enough], count[enough]
+    if not len(texts):
+        return texts
+    if len(texts) * n_long * PROBE_COST < lists.length[long].sum():
+        count = count + lists.probed(long, texts)
     else:                                                   # so many candidates that probing costs more than merging
-        count = (count + lists.merged(long, low, high))[candidates]
-    candidates = candidates + low
-    return candidates[count >= needed(lists.sizes[candidates], size)]
+        more, held = lists.merged(long, low, high)
+        if len(more):
+            at = np.minimum(np.searchsorted(more, texts), len(more) - 1)
+            count = count + np.where(more[at] == texts, held[at], 0)
+    return texts[count >= needed(lists.sizes[texts], size)]
 
 
 def links_among(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None = None
@@ -149,12 +156,34 @@ def links_among(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], side
 
 # ---------------------------------------------------------------- who can have a partner
 
+def maybe_in(rows: DataFrame, wanted: DataFrame, *keys: str, bits: int = MAP_BITS, inside: bool = True) -> DataFrame:
+    """``rows`` without those whose keys are surely not among ``wanted``, by a map of hashed keys of a fixed size that goes
+    to every task: what must be shuffled to an exact join is little more than what it finds. ``inside=False`` gives the
+    others, which are surely not there."""
+    place = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    buckets = F.floor(place / BUCKET_BITS)
+    # Rows of bitmaps: their size is bits / 8 bytes at most.
+    held = (wanted.select(buckets.alias("_bucket"), F.pmod(place, F.lit(BUCKET_BITS)).alias("_bit")).groupBy("_bucket")
+            .agg(F.bitmap_construct_agg("_bit").alias("_map")))
+    byte = F.conv(F.hex(F.substring("_map", F.floor(F.pmod(place, F.lit(BUCKET_BITS)) / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    bit = F.getbit(byte.cast("int"), F.pmod(place, F.lit(8)).cast("int")) == 1
+    marked = rows.withColumn("_own", buckets).join(F.broadcast(held), F.col("_own") == F.col("_bucket"), "left")
+    hit = F.coalesce(bit, F.lit(False))
+    return marked.where(hit if inside else ~hit).drop("_own", "_bucket", "_map")
+
+
 def _pairable(rows: DataFrame) -> DataFrame:
     """``n``, ``h1``, ``h2`` of the sets that enough of their first shingles could tie to another set. A shingle that
     only copies of one set hold ties it to nothing."""
-    each = rows.select("id", "h1", F.explode("first").alias("t"))
-    shared = each.groupBy("t").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("t")
-    held = each.select("id", "t").join(shared, "t").groupBy("id").agg(F.count(F.lit(1)).alias("c"))
+    # Dealt by shingle once: both sides of the join read the same shuffle, so each must use all of its columns, though
+    # the conditions on them hold for every row.
+    each = (rows.where("id IS NOT NULL AND h1 IS NOT NULL").select("id", "h1", F.explode("first").alias("t"))
+            .repartition("t"))
+    shared = (each.groupBy("t").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.min("id").alias("least"))
+              .where("low < high"))
+    held = (each.join(shared.hint("merge"), "t").where(F.col("h1").between(F.col("low"), F.col("high")))
+            .where("id >= least")
+            .groupBy("id").agg(F.count(F.lit(1)).alias("c")))
     required = F.floor(F.floor((F.col("n") * 4 + 4) / 5) / 20) + 1
     return (rows.select("id", "n", "h1", "h2").join(held, "id").where(F.col("c") >= required)
             .select("n", "h1", "h2").distinct())
@@ -163,10 +192,12 @@ def _pairable(rows: DataFrame) -> DataFrame:
 def _by_frequency(sets: DataFrame) -> DataFrame:
     """``rep``, ``n`` and ``shared``: the shingles that other texts hold too, rarest first. Texts that share fewer than
     any partner would have to are left out."""
-    rows = sets.select("rep", "n", F.explode("sh").alias("t"))
-    df = rows.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    return (rows.join(df, "t").groupBy("rep", "n")
+    # One shuffle for both sides of the join, as above.
+    rows = sets.where("rep IS NOT NULL").select("rep", F.explode("sh").alias("t")).repartition("t")
+    df = rows.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.min("rep").alias("least")).where("df > 1")
+    return (rows.join(df.hint("merge"), "t").where("rep >= least").groupBy("rep")
             .agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
+            .join(sets.select("rep", "n"), "rep")
             .select("rep", "n", F.col("s.t").alias("shared")).where(F.size("shared") * 5 >= F.col("n") * 4))
 
 
@@ -225,21 +256,19 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = WOR
     out as often as they went in.
     """
     first = F.slice("sh", F.lit(1), (F.floor(F.col("n") / 5) + F.floor(F.col("n") / 20) + 1).cast("int"))
-    rows = settled(
+    rows = stored(
         df.select(F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("th"), shingles(F.col(text), size).alias("sh"))
         .withColumn("n", F.size("sh").cast("bigint"))
         .select("id", "th", "n", F.xxhash64("sh").alias("h1"), F.xxhash64(F.lit(1), "sh").alias("h2"),
-                first.alias("first")))
+                first.alias("first")), "shingles")
     linked = rows.where("n > 0 AND id IS NOT NULL")
     reps = settled(linked.groupBy("n", "h1", "h2").agg(
         F.min("id").alias("rep"), F.min_by("th", "id").alias("th"), F.count(F.lit(1)).alias("n_copies")))
     wanted = settled(reps.join(_pairable(linked), ["n", "h1", "h2"], "left_semi").select("rep", "th", "n"))
-    if wanted.count() <= MOST_BROADCAST:
-        wanted = F.broadcast(wanted)                # else the texts are shuffled to them
     own = df.select(F.col(key).cast("bigint").alias("rep"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    sets = (own.join(wanted, ["rep", "th"]).dropDuplicates(["rep", "th"])
+    sets = (maybe_in(own, wanted, "rep", "th").join(wanted, ["rep", "th"]).dropDuplicates(["rep", "th"])
             .select("rep", "n", shingles(F.col("text"), size).alias("sh")))
-    found = _found(settled(_by_frequency(settled(sets))), task_shingles)
+    found = _found(stored(_by_frequency(stored(sets, "sets")), "by-frequency"), task_shingles)
     groups = components(found.where("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     counts = found.where("links > 0").groupBy("rep").agg(F.sum("links").alias("n_links"))
     about = (reps.select("n", "h1", "h2", "rep", "n_copies")

@@ -20,8 +20,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from starling.llm.batches import stored
 from starling.operators.ordered import running_totals
-from starling.session import run_folder
 
 BUCKETS = 10_000
 #: Documents of fewer words are weighed but never drawn.
@@ -31,13 +31,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 
 
-def _stored(df: DataFrame, kind: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: it is read more than once, and kept packed by columns."""
-    folder = run_folder(df.sparkSession, kind)
-    df.write.parquet(f"{folder}/rows")
-    return df.sparkSession.read.parquet(f"{folder}/rows")
-
-
 def _bucket(feature: Column, buckets: int) -> Column:
     return (F.crc32(feature.cast("binary")) % buckets).cast("smallint" if buckets <= 2**15 else "int")
 
@@ -115,8 +108,8 @@ def weights(df: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
     own = [F.struct(*carry).alias("_row")] if carry else []
     texts = df.select(F.col(key).alias("_id"), *own, _lines(_lowered(F.col(text))).alias("lines"))
     kept = ["_id", "_row"] if carry else ["_id"]
-    lines = _stored(_distinct_lines(texts, buckets), "lines")
-    rows = _stored(texts.select(
+    lines = stored(_distinct_lines(texts, buckets), "lines")
+    rows = stored(texts.select(
         F.monotonically_increasing_id().alias("_at"), *kept, F.transform("lines", _line_hash).alias("hashes"),
         _seams(F.col("lines"), buckets).alias("seams")), "rows")
     gain = gains(_counts(lines, rows), text_counts(target, target_text, buckets), buckets)
@@ -147,7 +140,7 @@ def ranked(df: DataFrame, target: DataFrame, key: str = "doc_id", percent: int =
     """One row per row of ``df``: key, ``n_features``, ``weight``, ``score`` and ``rank``, its place among the
     floor(percent * N / 100) best scores of the N documents of at least ``least_words`` words, ties to the smaller
     key; NULL for the others. ``options`` go to ``weights``; carried columns come in ``_row``."""
-    scored = _stored(weights(df, target, key, **options), "scores")
+    scored = stored(weights(df, target, key, **options), "scores")
     fit = F.col("n_words") >= least_words
     drawn = percent * scored.where(fit).count() // 100
     # Ranks are running totals over parts of the order, so no task sorts all documents.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import cases
 from starling.llm import components, jaccard
+from starling.llm.batches import stored
 
 BLANKS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -140,3 +141,59 @@ def test_components(spark):
     assert {r["node"]: r["component"] for r in out.collect()} == {k: v for k, v in root.items() if k != v}
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
     assert out.where(F.col("node") <= F.col("component")).count() == 0
+
+
+def test_map_of_fixed_size_leaves_out_only_what_is_not_there(spark):
+    rows = spark.range(3000).select("id", (F.col("id") * 7).alias("x"), F.lit("kept").alias("other"))
+    wanted = rows.where("id % 10 = 3").select("id", "x")
+    for bits in (1 << 27, 1 << 16, 1 << 15):
+        inside = {r["id"] for r in jaccard.maybe_in(rows, wanted, "id", "x", bits=bits).collect()}
+        outside = {r["id"] for r in jaccard.maybe_in(rows, wanted, "id", "x", bits=bits, inside=False).collect()}
+        assert inside | outside == set(range(3000)) and not inside & outside
+        assert inside >= set(range(3, 3000, 10)) and len(inside) < 300 * (1.01 if bits > 1 << 20 else 1.2)
+    assert jaccard.maybe_in(rows, wanted.limit(0), "id", "x").count() == 0
+    assert jaccard.maybe_in(rows, wanted, "id", "x").columns == rows.columns
+
+
+def test_merging_touches_only_the_window():
+    sizes = np.array([5, 6, 7, 8, 9])
+    lists = jaccard.Lists(sizes, np.array([0, 3, 5, 5, 9]), np.array([0, 2, 4, 1, 2, 0, 1, 2, 3]))
+    texts, count = lists.merged(np.array([0, 1, 2, 3]), 1, 4)
+    assert dict(zip(texts.tolist(), count.tolist())) == {1: 2, 2: 3, 3: 1}
+    assert lists.merged(np.array([2]), 0, 5)[0].tolist() == []
+
+
+def test_many_short_texts_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        pick = np.random.default_rng(n)
+        sets = [np.unique(pick.integers(0, 10 ** 9, 6)) for _ in range(n)]
+        start = time.perf_counter()
+        count, forest = jaccard.links_among(np.arange(n), np.array([len(s) for s in sets]), sets)
+        assert not count.any() and not forest
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(100_000) < 12 * 5 * max(seconds(20_000), 0.2)
+
+
+def test_texts_that_share_one_passage_are_one_tied_group(spark):
+    """A passage that all hold ties texts that are not alike; each in blocks of a few texts still finds its copies."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, f"{passage} " + " ".join(f"w{i // 2}x{j}" for j in range(90)) + (" end" if i % 2 else "")) for i in range(60)]
+    df = cases.texts(spark, *rows)
+    assert found(df, task_shingles=400) == plain(rows)
+
+
+def test_each_shuffle_is_read_twice(spark, settings):
+    settings(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__enabled="false")
+    sets = cases.texts(spark).select(F.col("doc_id").alias("rep"), F.lit(1).cast("bigint").alias("n"),
+                                     F.array(F.xxhash64("text")).alias("sh"))
+    sets = stored(sets, "test")
+    by_shingle = jaccard._by_frequency(sets)._jdf.queryExecution().executedPlan().toString()
+    assert by_shingle.count("ReusedExchange") == 1
+    rows = sets.select(F.col("rep").alias("id"), "n", F.col("rep").alias("h1"), F.col("rep").alias("h2"), F.col("sh").alias("first"))
+    rows = stored(rows, "test")
+    pairable = jaccard._pairable(rows)._jdf.queryExecution().executedPlan().toString()
+    assert pairable.count("ReusedExchange") == 1
