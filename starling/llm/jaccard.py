@@ -167,9 +167,9 @@ def maybe_in(rows: DataFrame, wanted: DataFrame, *keys: str, bits: int = MAP_BIT
             .agg(F.bitmap_construct_agg("_bit").alias("_map")))
     byte = F.conv(F.hex(F.substring("_map", F.floor(F.pmod(place, F.lit(BUCKET_BITS)) / 8).cast("int") + 1, F.lit(1))), 16, 10)
     bit = F.getbit(byte.cast("int"), F.pmod(place, F.lit(8)).cast("int")) == 1
-    marked = rows.withColumn("_own", buckets).join(F.broadcast(held), F.col("_own") == F.col("_bucket"), "left")
+    marked = rows.withColumn("_asked", buckets).join(F.broadcast(held), F.col("_asked") == F.col("_bucket"), "left")
     hit = F.coalesce(bit, F.lit(False))
-    return marked.where(hit if inside else ~hit).drop("_own", "_bucket", "_map")
+    return marked.where(hit if inside else ~hit).drop("_asked", "_bucket", "_map")
 
 
 def _pairable(rows: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Language identification by string kernels.
 
 The kernel of two passages counts the n-grams of one to three characters that both hold (presence, not frequency),
-divided by the geometric mean of their own counts. Some labelled passages serve as Nystroem landmarks; one-versus-rest
+divided by the geometric mean of their own counts. Letters of any script are told apart, other runs count as one
+character, and n-grams are hashed to ``PRESENCE`` places, some of which two of them share. Some labelled passages serve as Nystroem landmarks; one-versus-rest
 kernel ridge regression on the landmark features gives each language a weight per landmark. Scoring a batch is two
 matrix products: passages by n-grams times n-grams by landmarks, then times landmarks by languages. A text's margins are
 the mean of those of its passages, which cover it whole: in one piece, a long text would hold every n-gram.
@@ -16,22 +17,22 @@ Labels are read from the training rows only. Of equal scores the first language
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from starling.llm.byte_bpe import slices
 from starling.llm.pieces import LETTER, Slice, character_classes
 
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
-#: Bounds of what is fitted on: labelled texts (a passage of each) and landmarks over all languages, and letters told
-#: apart.
-SAMPLE_TEXTS, LANDMARKS, LETTERS = 2000, 192, 40
+#: Bounds of what is fitted on: labelled texts (a passage of each) and landmarks over all languages.
+SAMPLE_TEXTS, LANDMARKS = 2000, 192
+#: Places that n-grams are hashed to for the kernel: many times what a passage holds.
+PRESENCE = 1 << 17
 RIDGE = 1e-2
 PASSAGE_CHARS = 1500
 BATCH_PASSAGES, SLICE_CHARS = 256, 400_000
@@ -43,39 +44,30 @@ PLACES, USUAL = 1 << 22, 100
 OUTLIERS, ALLOWANCE = 0.01, 3.0
 
 
-@dataclass
-class Grams:
-    """Numbers n-grams over an alphabet: 0 is any run of non-letters, 1 any letter not listed."""
-    letters: str
-
-    def __post_init__(self):
-        self.base = len(self.letters) + 2
-        self.offsets = np.concatenate(([0], np.cumsum([self.base ** n for n in ORDERS])))
-        self.table = (character_classes() == LETTER).astype(np.uint8)
-        for i, letter in enumerate(self.letters):
-            self.table[ord(letter)] = i + 2
-
-    @property
-    def size(self) -> int:
-        return int(self.offsets[-1])
-
-    def present(self, texts: list[str]) -> np.ndarray:
-        """Per text a row of flags, one for each n-gram."""
-        s = Slice.of([t.lower() for t in texts])
-        flags = np.zeros((len(texts), self.size), bool)
-        if not len(s.points):
-            return flags
-        codes, row = self.table[s.points].astype(np.int32), np.repeat(np.arange(len(texts)), s.lengths)
-        keep = (codes > 0) | s.first[:-1]
-        keep[1:] |= codes[:-1] > 0
-        codes, row = codes[keep], row[keep]
-        gram = np.zeros_like(codes)
-        for n, offset in zip(ORDERS, self.offsets):
-            whole = slice(0, len(codes) - n + 1)
-            gram = gram[whole] * self.base + codes[n - 1:]
-            inside = row[whole] == row[n - 1:]
-            flags[row[whole][inside], offset + gram[inside]] = True
-        return flags
+def letters_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts in lower case, any run of other characters than letters as a single 0, and the text that
+    each belongs to."""
+    s = Slice.of([t.lower() for t in texts])
+    if not len(s.points):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    points, row = np.where(character_classes()[s.points] == LETTER, s.points, 0), np.repeat(np.arange(len(texts)), s.lengths)
+    keep = (points > 0) | s.first[:-1]
+    keep[1:] |= points[:-1] > 0
+    return points[keep].astype(np.int64), row[keep]
+
+
+def present(texts: list[str]) -> np.ndarray:
+    """Per text a row of flags, one for each place that an n-gram of it is hashed to."""
+    points, row = letters_of(texts)
+    flags = np.zeros((len(texts), PRESENCE), bool)
+    gram = np.zeros(len(points), np.uint64)
+    for n in ORDERS:
+        whole = slice(0, max(len(points) - n + 1, 0))
+        gram = gram[whole] * np.uint64(0x9E3779B97F4A7C15) + points[n - 1:].astype(np.uint64) + np.uint64(n)
+        place = (gram ^ (gram >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - 17)
+        inside = row[whole] == row[n - 1:]
+        flags[row[whole][inside], place[inside]] = True
+    return flags
 
 
 def passages(text: str) -> list[str]:
@@ -85,8 +77,7 @@ def passages(text: str) -> list[str]:
 @dataclass
 class LanguageModel:
     languages: list[str]
-    grams: Grams
-    columns: np.ndarray      # n-grams that some landmark holds
+    columns: np.ndarray      # places of the n-grams that some landmark holds
     landmarks: np.ndarray    # n-grams by landmarks, each landmark divided by its norm
     weights: np.ndarray      # landmarks by languages
 
@@ -101,7 +92,7 @@ class LanguageModel:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
         cut = [passages(t) for t in texts]
         every, size = [p for some in cut for p in some], [len(p) + 1e-9 for some in cut for p in some]
-        margins = np.concatenate([self.kernel(self.grams.present(every[at:at + BATCH_PASSAGES])) @ self.weights
+        margins = np.concatenate([self.kernel(present(every[at:at + BATCH_PASSAGES])) @ self.weights
                                   for at in range(0, len(every), BATCH_PASSAGES)]).astype(float)
         start = np.cumsum([0, *map(len, cut)])[:-1]
         margins = (np.add.reduceat(margins * np.array(size)[:, None], start)
@@ -112,68 +103,57 @@ class LanguageModel:
                 np.where(found, score, 0.0))
 
 
-def training_sample(labelled: DataFrame, text: str, lang: str, key: str, most: int) -> DataFrame:
-    """Text ``t`` and language ``l`` of at most ``most`` labelled texts, as many of each language, those whose keys have the smallest hashes. Only keys
-    are ranked, and Spark cuts each task's rows down to that number before it moves any."""
-    usable = (labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
+def training_sample(labelled: DataFrame, text: str, lang: str, key: str, most: int) -> list[tuple[str, str]]:
+    """Language and one passage of at most ``most`` different labelled texts, as many of each language, those with the
+    smallest hashes of key and text. Rows are never ranked: a cut-off per language that twice as many pass leaves a bounded
+    number of hashes to choose from, and only the chosen passages, cut where the texts lie, come to the driver."""
+    row_hash = F.shiftrightunsigned(F.xxhash64(F.col(key), F.col(text)), 1)
+    usable = (labelled.select(row_hash.alias("h"), F.col(text).alias("t"), F.col(lang).alias("l"))
               .where("l IS NOT NULL AND t IS NOT NULL"))
-    n_languages = usable.select("l").distinct().count()
-    if not n_languages:
-        return usable.select("t", "l").limit(0)
-    each = max(2, most // n_languages)
-    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k"), "k"))
-    # At most ``most`` keys, or two for each language.
-    chosen = F.broadcast(usable.select("k", "l").withColumn("rank", rank).where(F.col("rank") <= each)
-                         .select("k", "l").distinct())
-    return usable.join(chosen, ["k", "l"]).select("t", "l")
+    counts = usable.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()
+    if not counts:
+        return []
+    each = max(2, most // len(counts))
+
+    def below(limits: dict[str, int]) -> DataFrame:
+        cut = labelled.sparkSession.createDataFrame(list(limits.items()), "l string, cut bigint")
+        return usable.join(F.broadcast(cut), "l").where("h <= cut")
+
+    loose = {r["l"]: (2**63 - 1) * min(2 * each, r["n"]) // max(r["n"], 1) for r in counts}
+    hashes: dict[str, list[int]] = {}
+    for r in below(loose).select("l", "h").distinct().collect():
+        hashes.setdefault(r["l"], []).append(r["h"])
+    chosen = {name: sorted(found)[:each][-1] for name, found in hashes.items()}
+    if not chosen:
+        return []
+    n_passages = F.greatest(F.ceil(F.length("t") / PASSAGE_CHARS), F.lit(1))
+    start = F.pmod(F.crc32(F.col("t").cast("binary")), n_passages) * PASSAGE_CHARS + 1
+    rows = (below(chosen).select("l", "h", F.substring("t", start.cast("int"), F.lit(PASSAGE_CHARS)).alias("p"))
+            .dropDuplicates(["l", "h"]).collect())
+    return sorted((r["l"], r["p"]) for r in rows)
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
-        sample: int = SAMPLE_TEXTS, landmarks: int = LANDMARKS, letters: int = LETTERS,
-        ridge: float = RIDGE) -> LanguageModel:
-    """A model from ``labelled``. The alphabet comes from counting letters in the sample; the sample's n-gram flags
-    come to the driver as packed bits (some 9 kB a text)."""
-    rows = training_sample(labelled, text, lang, key, sample)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = Counter()
-            for t in batch["t"]:
-                found.update(t.lower())
-            kinds = character_classes()
-            kept = {c: n for c, n in found.items() if kinds[ord(c)] == LETTER}
-            if kept:
-                yield pd.DataFrame({"c": list(kept), "n": list(kept.values())})
-
-    top = (rows.mapInPandas(count, "c string, n bigint").groupBy("c").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "c").limit(letters).collect())
-    grams = Grams("".join(sorted(r["c"] for r in top)))
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            cut = [passages(t) for t in batch["t"]]
-            some = [c[zlib.crc32(t.encode()) % len(c)] for c, t in zip(cut, batch["t"])]
-            bits = [grams.present(some[at:at + BATCH_PASSAGES]) for at in range(0, len(some), BATCH_PASSAGES)]
-            yield pd.DataFrame({"l": batch["l"], "bits": [x.tobytes() for part in bits for x in np.packbits(part, axis=1)]})
-
-    found = sorted((r["l"], r["bits"]) for r in rows.mapInPandas(pack, "l string, bits binary").collect())
+        sample: int = SAMPLE_TEXTS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
+    """A model from ``labelled``, of which a bounded sample of passages is looked at."""
+    found = training_sample(labelled, text, lang, key, sample)
     languages = sorted({name for name, _ in found})
     if not languages:
-        return LanguageModel([], grams, np.zeros(0, int), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
-    flags = np.unpackbits(np.array([np.frombuffer(bits, np.uint8) for _, bits in found]), axis=1,
-                          count=grams.size).astype(bool)
+        return LanguageModel([], np.zeros(0, int), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
     names = np.array([languages.index(name) for name, _ in found])
     each = max(1, landmarks // len(languages))
     picked = np.concatenate([np.flatnonzero(names == i)[:each] for i in range(len(languages))])
-    columns = np.flatnonzero(flags[picked].any(0))
-    chosen = flags[picked][:, columns].astype(np.float32).T
-    chosen /= np.sqrt(np.maximum(flags[picked].sum(1), 1)).astype(np.float32)
-    model = LanguageModel(languages, grams, columns, chosen, np.zeros((0, 0), np.float32))
-    among = model.kernel(flags[picked]).astype(float)
+    flags = present([found[i][1] for i in picked])
+    columns = np.flatnonzero(flags.any(0))
+    chosen = flags[:, columns].astype(np.float32).T
+    chosen /= np.sqrt(np.maximum(flags.sum(1), 1)).astype(np.float32)
+    model = LanguageModel(languages, columns, chosen, np.zeros((0, 0), np.float32))
+    among = model.kernel(flags).astype(float)
     values, vectors = np.linalg.eigh((among + among.T) / 2)
     strong = values > 1e-6 * max(values.max(), 1e-12)
     root = vectors[:, strong] / np.sqrt(values[strong])
-    features = model.kernel(flags).astype(float) @ root
+    features = np.concatenate([model.kernel(present([p for _, p in found[at:at + BATCH_PASSAGES]]))
+                               for at in range(0, len(found), BATCH_PASSAGES)]).astype(float) @ root
     wanted = np.where(names[:, None] == np.arange(len(languages)), 1.0, -1.0)
     # Each language weighs the same, however many texts it has.
     weight = (1 / np.bincount(names))[names] * len(names) / len(languages)
@@ -200,14 +180,9 @@ def predict(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
 
 def hashed_grams(text: str) -> np.ndarray:
     """The places of the runs of two and three characters, all letters told apart and other runs as one."""
-    s = Slice.of([text.lower()])
-    points = np.where(character_classes()[s.points] == LETTER, s.points, 0).astype(np.int64)
+    points, _ = letters_of([text])
     if not len(points):
         return points
-    keep = points > 0
-    keep[0] = True
-    keep[1:] |= points[:-1] > 0
-    points = points[keep]
     two = points[:-1] * 1_000_003 + points[1:]
     three = two[:-1] * 1_000_003 + points[2:]
     return np.concatenate([(two * 0x9E3779B1 >> 7) % PLACES, (three * 0x9E3779B1 >> 11) % PLACES])
@@ -245,9 +220,8 @@ def fit_familiar(labelled: DataFrame, text: str = "text", lang: str = "lang", ke
     all of its own passages reach when the other half of the sample is learned from, and what unlike ones usually
     reach: passages of a language that is not learned from, or with their letters in disorder."""
     by_language: dict[str, list[str]] = {}
-    for r in training_sample(labelled, text, lang, key, sample).select("l", "t").toLocalIterator():
-        cut = passages(r["t"])
-        by_language.setdefault(r["l"], []).append(cut[zlib.crc32(r["t"].encode()) % len(cut)])
+    for name, passage in training_sample(labelled, text, lang, key, sample):
+        by_language.setdefault(name, []).append(passage)
     names = sorted(by_language)
     texts = [sorted(by_language[name], key=lambda t: (zlib.crc32(t.encode()), t)) for name in names]
     grams = [[x for x in map(hashed_grams, some) if len(x)] for some in texts]

@@ -22,6 +22,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def held_out(key: str, folds: int, fold: int):
+    """Whether a row is kept from training; one without an id is not."""
+    return F.coalesce(language.fold(F.col(key), folds) == fold, F.lit(False))
+
+
 def op1_byte_bpe(spark, folder):
     """Encodes and decodes every text; digests of ids and bytes."""
     path = public_tokenizers.path(BYTE_RANKS)
@@ -52,12 +57,12 @@ def op4_hnsw(spark, folder):
 def op5_toxicity(spark, folder):
     """A toxicity score for every text, from the labels of two thirds of the documents."""
     documents = table(spark, folder, "documents")
-    held_out = language.fold(F.col("doc_id"), 3) == 1
-    labels = table(spark, folder, "labels").where(~held_out).select("doc_id", "toxic")
+    kept_out = held_out("doc_id", 3, 1)
+    labels = table(spark, folder, "labels").where(~kept_out).select("doc_id", "toxic")
     # Labels grow with the documents, so they are never broadcast.
-    training = documents.where(~held_out).select("doc_id", "text").join(labels.hint("merge"), "doc_id")
+    training = documents.where(~kept_out).select("doc_id", "text").join(labels.hint("merge"), "doc_id")
     model = toxicity.fit(training)
-    scored = documents.select("doc_id", held_out.alias("held_out"),
+    scored = documents.select("doc_id", kept_out.alias("held_out"),
                               toxicity.score(spark, model, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
@@ -70,9 +75,9 @@ def op6_line_dedup(spark, folder):
 def op7_language(spark, folder):
     """The language of every text, learned from four fifths of the documents."""
     documents = table(spark, folder, "documents")
-    held_out = language.fold(F.col("doc_id"), 5) == 0
-    model = language.fit(documents.where(~held_out))
-    return (documents.select("doc_id", held_out.alias("held_out"),
+    kept_out = held_out("doc_id", 5, 0)
+    model = language.fit(documents.where(~kept_out))
+    return (documents.select("doc_id", kept_out.alias("held_out"),
                              language.predict(spark, model, F.col("text")).alias("found"))
             .select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score"))
 
@@ -81,9 +86,9 @@ def op8_chat(spark, folder):
     """Every conversation as a transcript, parsed again: the roles found, and the turns in one form. The model learns
     from four fifths of the conversations."""
     said = chat.transcripts(table(spark, folder, "conversations"))
-    held_out = language.fold(F.col("conv_id"), 5) == 0
-    model = chat.fit(said.where(~held_out))
-    parsed = said.select("conv_id", "part", held_out.alias("held_out"), "roles",
+    kept_out = held_out("conv_id", 5, 0)
+    model = chat.fit(said.where(~kept_out))
+    parsed = said.select("conv_id", "part", kept_out.alias("held_out"), "roles",
                          chat.parse(spark, model, F.col("transcript")).alias("p"))
     roles = F.transform("p.turns", lambda t: t["role"])
     return parsed.select("conv_id", F.col("part._part").alias("part"), F.col("part._sub").alias("sub_part"), "held_out",

@@ -20,30 +20,38 @@ def test_fold_is_crc32_of_the_text(spark):
     assert [r["f"] for r in rows] == [zlib.crc32(str(r["id"]).encode()) % 5 for r in rows]
 
 
+def plain_places(text):
+    """The places of the runs of one to three characters, one at a time."""
+    symbols, out, limit = [], set(), 2 ** 64
+    for c in text.lower():
+        if c.isalpha() or not symbols or symbols[-1]:
+            symbols.append(ord(c) if c.isalpha() else 0)
+    for n in (1, 2, 3):
+        for i in range(len(symbols) - n + 1):
+            gram = 0
+            for k, s in enumerate(symbols[i:i + n], 1):
+                gram = (gram * 0x9E3779B97F4A7C15 + s + k) % limit
+            out.add((gram ^ gram >> 29) * 0xBF58476D1CE4E5B9 % limit >> 47)
+    return out
+
+
+TEXTS = ["abc cab", "", "--", "Ab, zz. c", "a", "b  b", "日本 a", "Привет, мир", "καλημέρα κόσμε", "ab"]
+
+
 def test_flags_are_the_grams_of_the_text():
-    grams = language.Grams("abc")
-
-    def plain(text):
-        symbols, out = [], set()
-        for c in text.lower():
-            code = "abc".index(c) + 2 if c in "abc" else 1 if c.isalpha() else 0
-            if code or not symbols or symbols[-1]:
-                symbols.append(code)
-        for n in (1, 2, 3):
-            for i in range(len(symbols) - n + 1):
-                number = 0
-                for s in symbols[i:i + n]:
-                    number = number * grams.base + s
-                out.add(int(grams.offsets[n - 1]) + number)
-        return out
-
-    texts = ["abc cab", "", "--", "Ab, zz. c", "a", "b  b", "日本 a"]
-    assert [set(np.flatnonzero(row).tolist()) for row in grams.present(texts)] == [plain(t) for t in texts]
+    assert [set(np.flatnonzero(row).tolist()) for row in language.present(TEXTS)] == [plain_places(t) for t in TEXTS]
+    assert language.present([]).shape == (0, language.PRESENCE)
+
+
+def test_letters_of_all_scripts_are_told_apart():
+    for one, other in (("привет", "правда"), ("καλη", "κακο"), ("日本語", "中国人"), ("กขค", "งจฉ")):
+        a, b = language.present([one, other])
+        assert (a != b).any()
 
 
 def test_kernel_and_margins_are_those_of_single_texts(model):
     texts = ["the thing was here", "der eine und das", "la une des", ""]
-    flags = model.grams.present(texts)
+    flags = language.present(texts)
     landmarks = model.landmarks > 0
     for flag, row in zip(flags, model.kernel(flags)):
         own = max(1, flag.sum())
@@ -55,6 +63,23 @@ def test_kernel_and_margins_are_those_of_single_texts(model):
         assert alone[0] == [name] and np.isclose(alone[1][0], score, atol=1e-5)
 
 
+ALPHABETS = {"ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "el": "αβγδεζηθικλμνξοπρστυφχψω", "ja": "あいうえおかきくけこさしすせそたちつてと",
+             "zh": "的一是不了人我在有他这为之大来以个中上们", "uk": "абвгґдеєжзиіїйклмнопрстуфхцчшщьюя", "he": "אבגדהוזחטיכלמנסעפצקרשת"}
+
+
+def test_languages_beyond_forty_letters(spark):
+    """Six languages with some 150 letters, two of them with nearly the same ones, each with words of its own."""
+    import random
+    pick, rows = random.Random(3), []
+    words = {name: ["".join(pick.choices(letters, k=pick.randint(2, 6))) for _ in range(80)] for name, letters in ALPHABETS.items()}
+    for i in range(300):
+        name = list(ALPHABETS)[i % 6]
+        rows.append((i, " ".join(pick.choices(words[name], k=30)), name, None, None))
+    fitted = language.fit(cases.documents(spark, rows[:240]))
+    names, _ = fitted.predict([r[1] for r in rows[240:]])
+    assert sum(n == r[2] for n, r in zip(names, rows[240:])) >= 58
+
+
 def test_held_out_accuracy(spark):
     found = queries.op7_language(spark, FOLDER).join(
         queries.table(spark, FOLDER, "documents").select("doc_id", "lang"), "doc_id")
@@ -99,4 +124,17 @@ def test_nothing_or_one_language_to_learn(spark):
 def test_sample_is_bounded_and_even(spark):
     rows = [(i, f"text {i}", "en" if i % 10 else "de", None, None) for i in range(400)]
     picked = language.training_sample(cases.documents(spark, rows), "text", "lang", "doc_id", 40)
-    assert {r["l"]: r["count"] for r in picked.groupBy("l").count().collect()} == {"en": 20, "de": 20}
+    assert {name: sum(n == name for n, _ in picked) for name in ("en", "de")} == {"en": 20, "de": 20}
+    # One text with the key of most rows counts once, and a key that many different texts share is one key like any other.
+    hot = rows + [(7, "the same text", "en", None, None)] * 900 + [(None, f"nameless {i}", "en", None, None) for i in range(900)]
+    again = language.training_sample(cases.documents(spark, hot), "text", "lang", "doc_id", 40)
+    assert len(again) == 40 and len(set(again)) == 40
+    long = [(1, "".join(chr(97 + i // 1500) for i in range(6000)), "en", None, None)]
+    (_, passage), = language.training_sample(cases.documents(spark, long), "text", "lang", "doc_id", 40)
+    assert passage in language.passages(long[0][1])
+
+
+def test_rows_without_an_id_are_not_held_out(spark, tmp_path):
+    cases.documents(spark, cases.ROWS).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op7_language(spark, str(tmp_path)).collect()
+    assert [r["held_out"] for r in rows if r["doc_id"] is None] == [False, False] and len(rows) == len(cases.ROWS)
