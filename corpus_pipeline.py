@@ -7,14 +7,12 @@ texts, repeated rows and empty tables pass as the stages' operators define.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from starling.llm import jaccard, language, line_dedup, packing, secrets
-from starling.llm.batches import small_batches
-from starling.session import checkpoint_folder
+from starling.llm.batches import small_batches, stored
+from starling.session import run_folder
 
 WORD_FILE = "word_bpe_49k.json"
 
@@ -46,16 +44,29 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similarity, the one with the smallest id stays; of several equal rows, one. Rows that share an
-    id but not their text are documents of their own. Rows without an id all stay."""
-    own = F.xxhash64("doc_id", "text").alias("_own")
+    id but not their text are documents of their own. Rows without an id all stay.
+
+    Only ids and hashes are grouped. Texts stay where they are but for those of rows that may have to go: a map of fixed
+    size tells them from the rest. Should two different documents ever have the same 64 bits, both stay."""
     named = docs.where("doc_id IS NOT NULL")
-    found = jaccard.link(named.select(own, "text"), key="_own").select("_own", "component_id").distinct()
-    kept = (found.join(named.select(own, "doc_id").distinct(), "_own").groupBy("component_id")
-            .agg(F.min(F.struct("doc_id", "_own")).alias("_first")).select(F.col("_first._own").alias("_own")))
-    # Equal ids and texts are reduced where they lie, before any join.
-    rows = (named.select(own, F.struct(*docs.columns).alias("_row"))
-            .groupBy("_own").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")))
-    return rows.join(kept, "_own", "left_semi").select("_row.*").unionByName(docs.where("doc_id IS NULL"))
+    key, check = F.xxhash64("doc_id", "text").alias("_key"), F.xxhash64(F.lit(1), "doc_id", "text").alias("_check")
+    each = stored(named.select(key, check, "doc_id").groupBy("_key").agg(
+        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), (F.min("_check") != F.max("_check")).alias("unlike")),
+        "documents")
+    found = jaccard.link(named.select(key, "text"), key="_key").select("_key", "component_id").distinct()
+    grouped = stored(each.join(found, "_key"), "groups")
+    first = grouped.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key"))["_key"].alias("_first"))
+    goes = F.col("_first").isNull() | (F.col("_first") != F.col("_key"))
+    # What is not simply kept: documents that go, and those of which there are several.
+    loose = stored(grouped.join(first, F.col("_first") == F.col("_key"), "left").withColumn("goes", goes)
+                   .where("NOT unlike AND (goes OR n > 1)").select("_key", "goes"), "loose")
+    rows = named.select(key, F.struct(*docs.columns).alias("_row"))
+    asked = jaccard.maybe_in(rows, loose, "_key").join(loose, "_key", "left")
+    one = asked.where("NOT goes").groupBy("_key").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    kept = jaccard.maybe_in(rows, loose, "_key", inside=False).select("_row")
+    for part in (asked.where("goes IS NULL").select("_row"), one.select("_row")):
+        kept = kept.unionByName(part)
+    return kept.select("_row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,8 +91,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``. Between stages the documents are written to the shared checkpoint folder."""
-    folder = f"{checkpoint_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    """All stages over ``documents``. Between stages the documents are written to the shared checkpoint folder; they go when
+    the driver ends."""
+    folder = run_folder(spark, "corpus")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
