@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -15,18 +16,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F  # noqa:
 from oracles import ORACLES  # noqa: E402
 from starling.functions import clip, risk_tier  # noqa: E402
 from starling.operators import evaluation, ordered, orders as order_ops, rates, sentiment, significance  # noqa: E402
-from starling.plans import dashboard, master as mart, review_text, risk_model  # noqa: E402
+from starling.plans import dashboard, master as mart, refresh, review_text, risk_model  # noqa: E402
 from starling.session import checkpoint_folder, run_folder, settled  # noqa: E402
 from starling.sources import bucketed  # noqa: E402
-from starling.sources.tables import csv_tables, region_codes  # noqa: E402
+from starling.sources.tables import csv_tables, region_codes, write_tables  # noqa: E402
 from starling.sources.trade_view import TradeFolder, sample_lexicon  # noqa: E402
 
-# The only place that knows whether the subpackage for training data and its pipeline are there.
-try:
-    import corpus_pipeline  # noqa: E402
+# The only place that knows whether the subpackage for training data and its pipeline are there. Where they are, an error
+# in importing them is one.
+corpus_pipeline = training_data = None
+if importlib.util.find_spec("starling.llm") and importlib.util.find_spec("starling.llm.queries"):
     from starling.llm import queries as training_data  # noqa: E402
-except ImportError:
-    corpus_pipeline = training_data = None
+    if importlib.util.find_spec("corpus_pipeline"):
+        import corpus_pipeline  # noqa: E402
 
 # The files behind the six order tables, and the buckets that tables of their size are landed in.
 ORDER_TABLES = ("orders", "lineitem", "part", "supplier", "nation")
@@ -120,7 +122,7 @@ def scan_profile(spark, folder):
 
 def _write_crlf(df: DataFrame, path: str) -> None:
     """A small table as spreadsheets write it: byte-order mark, CRLF."""
-    lines = df.select(F.lit(1).alias("o"), F.concat_ws(",", *df.columns).alias("line"))
+    lines = df.select(F.lit(1).alias("o"), F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in df.columns]).alias("line"))
     head = df.sparkSession.range(1).select(F.lit(0).alias("o"), F.lit("\ufeff" + ",".join(df.columns)).alias("line"))
     (head.unionByName(lines).repartition(1).sortWithinPartitions("o", "line").select("line")
      .write.option("lineSep", "\r\n").text(path))
@@ -169,6 +171,26 @@ def mart_by_month(spark, folder):
         F.count(F.lit(1)).alias("n_orders"), F.avg("review_score").alias("avg_review")), "avg_review")
 
 
+def mart_refreshed(spark, folder):
+    """The mart built from the orders before 2000, then refreshed after the rest came as a new file: which months were
+    written by the refresh, and what they hold."""
+    source, out = run_folder(spark, "landing"), run_folder(spark, "refreshed")
+    tables = _tables(spark, folder)
+    keys = ("order_id", "product_id", "seller_id", "review_id")                     # as texts of the same order
+    tables = tables.with_table(**{name: df.withColumns({c: F.lpad(F.col(c).cast("string"), 20, "0")
+                                                        for c in keys if c in df.columns})
+                                  for name, df in tables.named().items()})
+    late = F.col("order_purchase_timestamp") >= F.lit("2000-01-01").cast("timestamp_ntz")
+    write_tables(tables.with_table(orders=tables.orders.where(~late)), source)
+    refresh.refresh_mart(spark, source, out)
+    refresh.add_files(tables.with_table(orders=tables.orders.where(late)), source, "orders")
+    done = refresh.refresh_mart(spark, source, out)
+    months = [F.lit(m).cast("date") for m in done.written]
+    return rounded(refresh.refreshed_mart(spark, out).groupBy("purchase_month").agg(
+        F.count(F.lit(1)).alias("n_orders"), F.avg("review_score").alias("avg_review"))
+        .withColumn("written_by_refresh", F.col("purchase_month").isin(*months)), "avg_review")
+
+
 def json_dimension(spark, folder):
     field = F.get_json_object("props", "$.k").cast("int").alias("k")
     events = TradeFolder(spark, folder).table("events").select(field)
@@ -239,6 +261,12 @@ def filtered_kpis(spark, folder):
     return _figures(dashboard.filtered(_master(spark, folder), CHOSEN_CATEGORIES, CHOSEN_STATES))
 
 
+def kpis_of_listed_products(spark, folder):
+    """The figures of orders whose first item is one of a long list of products, those of an odd size."""
+    listed = spark.read.parquet(f"{folder}/part.parquet").where("p_size % 2 = 1").select("p_partkey")
+    return _figures(rates.keep_listed(_master(spark, folder), primary_product=listed))
+
+
 def bad_rate_by_delivery_bucket(spark, folder):
     return rounded(dashboard.rate_by_delivery(_master(spark, folder)), "bad_rate", "bad_rate_pct")
 
@@ -526,7 +554,8 @@ def sample_by_hash(spark, folder):
 
 REGISTERED = (
     scan_profile, csv_ingest, json_dimension, distinct_categories, distinct_states, table_preview, delivered_orders,
-    delivery_features, delivery_buckets, items_rollup, reviews_rollup, order_master, order_master_bucketed, mart_by_month, kpis, filtered_kpis,
+    delivery_features, delivery_buckets, items_rollup, reviews_rollup, order_master, order_master_bucketed, mart_by_month, mart_refreshed,
+    kpis, filtered_kpis, kpis_of_listed_products,
     bad_rate_by_delivery_bucket, filtered_bad_rate_by_delivery_bucket, worst_categories, worst_categories_chart,
     best_categories,
     elevated_categories, monthly_trend, state_rates, state_summary, state_rates_dense, score_distribution,
@@ -559,7 +588,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {query.__name__.replace("risk_model_auc", "risk_model"): query for query in REGISTERED}
     if training_data:
         found |= {name: _with_workers(query) for name, query in training_data.QUERIES.items()}
-        found["pipeline"] = _with_workers(corpus_pipeline.run)
+        if corpus_pipeline:
+            found["pipeline"] = _with_workers(corpus_pipeline.run)
     return found
 
 
@@ -567,6 +597,6 @@ def oracle_sql() -> dict[str, str]:
     found = dict(ORACLES)
     if training_data:
         found |= training_data.ORACLES
-        if corpus_pipeline.ORACLE_SQL:
+        if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
             found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found

@@ -16,16 +16,17 @@ v_items AS (
   FROM lineitem),
 v_reviews AS (
   SELECT l_orderkey * 8 + l_linenumber AS review_id, l_orderkey AS order_id,
-         CAST(greatest(1, 1 + CAST(l_quantity AS INTEGER) % 5
-              - CASE WHEN o_custkey % 41 > 20 THEN 2 ELSE 0 END) AS INTEGER) AS review_score
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 2),
+         CASE WHEN l_linenumber <= 2 THEN CAST(greatest(1, 1 + CAST(l_quantity AS INTEGER) % 5
+              - CASE WHEN o_custkey % 41 > 20 THEN 2 ELSE 0 END) AS INTEGER) END AS review_score
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 v_products AS (SELECT p_partkey AS product_id, p_brand AS product_category_name FROM part),
 v_translation AS (
-  SELECT DISTINCT p_brand AS product_category_name, lower(p_brand) AS product_category_name_english
-  FROM part WHERE p_brand <> 'Brand#13'),
+  SELECT DISTINCT p_brand AS product_category_name,
+         CASE WHEN p_brand <> 'Brand#13' THEN lower(p_brand) END AS product_category_name_english
+  FROM part),
 v_sellers AS (
-  SELECT s_suppkey AS seller_id, n_name AS seller_state
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 29 <> 0),
+  SELECT s_suppkey AS seller_id, CASE WHEN s_suppkey % 29 <> 0 THEN n_name END AS seller_state
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 v_delivered AS (
   SELECT *,
     CAST(floor((epoch_us(order_delivered_customer_date) - epoch_us(order_purchase_timestamp))
@@ -329,8 +330,9 @@ FROM k, o ORDER BY exact DESC, product_category_name_english LIMIT 15""",
     "state_summary": VIEWS + STATE_RATES,
     "state_rates_dense": VIEWS + f""", s AS ({STATE_RATES})
 SELECT n_name AS seller_state, s.* EXCLUDE (seller_state) FROM nation LEFT JOIN s ON n_name = s.seller_state""",
-    "score_distribution": VIEWS + "SELECT review_score, count(*) AS n FROM v_reviews GROUP BY review_score",
-    "raw_bad_share": VIEWS + """SELECT round(avg(CAST(review_score <= 2 AS INTEGER)) * 100, 6) AS bad_pct,
+    "score_distribution": VIEWS + "SELECT review_score, count(*) AS n FROM v_reviews "
+                                  "WHERE review_score IS NOT NULL GROUP BY review_score",
+    "raw_bad_share": VIEWS + """SELECT round(avg(coalesce(CAST(review_score <= 2 AS INTEGER), 0)) * 100, 6) AS bad_pct,
   count(*) AS n_reviews FROM v_reviews""",
     "delay_histogram": VIEWS + _histogram("-30", "30"),
     "delay_histogram_own_range": VIEWS + _histogram("min(v)", "max(v)"),
@@ -402,3 +404,8 @@ ORACLES["order_master_bucketed"] = ORACLES["order_master"]
 ORACLES["scenario_means"] = ORACLES["scenario_grid"].replace("AS n_orders,", "AS n_orders, true AS same_mean").replace(
     """
   (SELECT count(*) FROM v_master) AS n_rated, true AS all_shares""", "")
+ORACLES["kpis_of_listed_products"] = VIEWS + FIGURES + """ FROM v_master
+WHERE primary_product IN (SELECT p_partkey FROM part WHERE p_size % 2 = 1)"""
+ORACLES["mart_refreshed"] = VIEWS + """SELECT CAST(date_trunc('month', order_purchase_timestamp) AS DATE) AS purchase_month,
+  count(*) AS n_orders, round(avg(review_score), 6) AS avg_review,
+  date_trunc('month', order_purchase_timestamp) >= DATE '2000-01-01' AS written_by_refresh FROM v_master GROUP BY 1, 4"""

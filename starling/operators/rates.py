@@ -9,16 +9,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from starling.functions import clip, flag, percent
 from starling.operators.lookups import look_up
+from starling.operators.membership import in_list
 from starling.session import settled
 
 BAD = "is_bad_review"
 
 
-def keep_listed(df: DataFrame, **chosen: Sequence) -> DataFrame:
-    """Rows whose columns hold one of the chosen values. An empty list filters nothing."""
+def keep_listed(df: DataFrame, **chosen: Sequence | DataFrame) -> DataFrame:
+    """Rows whose columns hold one of the chosen values, given as a list of any length or as a table. An empty list filters
+    nothing; an empty table keeps nothing."""
     for column, values in chosen.items():
-        if values:
-            df = df.where(F.col(column).isin(list(values)))
+        if isinstance(values, DataFrame) or values:
+            df = in_list(df, column, values)
     return df
 
 

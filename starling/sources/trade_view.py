@@ -1,6 +1,7 @@
 """The six tables seen through a trade schema (orders, lineitem, part, supplier, nation, documents).
 
-That schema has no reviews and no delivery dates, so both are computed from its keys by fixed rules.
+That schema has no reviews and no delivery dates, so both are computed from its keys by fixed rules. Gaps are NULLs in rows
+that stay: reviews without a score, a brand without a translation, sellers without a state.
 """
 
 from __future__ import annotations
@@ -54,24 +55,22 @@ class TradeFolder:
 
     def reviews(self) -> DataFrame:
         buyers = self.table("orders").select("o_orderkey", "o_custkey")
-        return (self.table("lineitem").where("l_linenumber <= 2")
-                .join(buyers, F.col("l_orderkey") == F.col("o_orderkey"))
+        return (self.table("lineitem").join(buyers, F.col("l_orderkey") == F.col("o_orderkey"))
                 .selectExpr("l_orderkey * 8 + l_linenumber AS review_id", "l_orderkey AS order_id",
-                            """greatest(1, 1 + CAST(l_quantity AS INT) % 5
-                                 - CASE WHEN o_custkey % 41 > 20 THEN 2 ELSE 0 END) AS review_score"""))
+                            """CASE WHEN l_linenumber <= 2 THEN greatest(1, 1 + CAST(l_quantity AS INT) % 5
+                                 - CASE WHEN o_custkey % 41 > 20 THEN 2 ELSE 0 END) END AS review_score"""))
 
     def products(self) -> DataFrame:
         return self.table("part").selectExpr("p_partkey AS product_id", "p_brand AS product_category_name")
 
     def translation(self) -> DataFrame:
-        return (self.table("part").where("p_brand <> 'Brand#13'").select("p_brand").distinct()
+        return (self.table("part").select("p_brand").distinct()
                 .selectExpr("p_brand AS product_category_name",
-                            "lower(p_brand) AS product_category_name_english"))
+                            "CASE WHEN p_brand <> 'Brand#13' THEN lower(p_brand) END AS product_category_name_english"))
 
     def sellers(self) -> DataFrame:
-        return (self.table("supplier").where("s_suppkey % 29 <> 0")
-                .join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-                .selectExpr("s_suppkey AS seller_id", "n_name AS seller_state"))
+        return (self.table("supplier").join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+                .selectExpr("s_suppkey AS seller_id", "CASE WHEN s_suppkey % 29 <> 0 THEN n_name END AS seller_state"))
 
     def region_codes(self) -> DataFrame:
         return self.table("nation").selectExpr("n_name AS seller_state")
