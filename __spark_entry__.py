@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F  # noqa:
 
 from oracles import ORACLES  # noqa: E402
 from starling.functions import clip, risk_tier  # noqa: E402
-from starling.operators import evaluation, ordered, orders as order_ops, rates, sentiment, significance  # noqa: E402
+from starling.operators import (  # noqa: E402
+    evaluation, ordered, orders as order_ops, rates, sentiment, significance, summaries,
+)
 from starling.plans import dashboard, master as mart, refresh, review_text, risk_model  # noqa: E402
 from starling.session import checkpoint_folder, run_folder, settled  # noqa: E402
 from starling.sources import bucketed  # noqa: E402
@@ -89,10 +91,10 @@ def _scored_texts(spark, folder, negators=()):
     return spark.read.parquet(_stored(spark, folder, kind, ["documents"], write) + "/scores")
 
 
-def fixed_score(master: DataFrame) -> DataFrame:
+def fixed_score(master: DataFrame, *kept: Column) -> DataFrame:
     """A probability that depends on the delay alone, for checking evaluation apart from any model."""
     score: Column = F.round(clip((F.col("delivery_delay_days") + 30) / 60, 0.0, 1.0), 6)
-    return master.select("order_id", "is_bad_review", score.alias("score"))
+    return master.select("order_id", "is_bad_review", score.alias("score"), *kept)
 
 
 def trained(spark, folder):
@@ -422,6 +424,26 @@ def roc_curve_corners(spark, folder):
     return rounded(points, "fpr", "tpr")
 
 
+#: Few bins, so that the bound on the error is seen.
+FEW_BINS = 24
+
+
+def auc_from_histogram(spark, folder):
+    """The area from monthly histograms merged, its bound, and whether the exact area is within it."""
+    months = fixed_score(_master(spark, folder), F.date_trunc("month", "order_purchase_timestamp").alias("month"))
+    stored = settled(summaries.score_histogram(months, "is_bad_review", "score", ["month"], FEW_BINS))
+    binned = summaries.binned_auc(summaries.merge_histograms([stored]))
+    exact = ordered.auc(months, "is_bad_review", "score").select(F.col("auc").alias("exact"))
+    both = binned.crossJoin(exact).withColumn(                                                # one row each
+        "within_bound", F.abs(F.col("auc") - F.col("exact")) <= F.col("error_bound") + 1e-12)
+    return rounded(both.drop("exact"), "auc", "error_bound")
+
+
+def roc_from_histogram(spark, folder):
+    histogram = summaries.score_histogram(fixed_score(_master(spark, folder)), "is_bad_review", "score", bins=FEW_BINS)
+    return rounded(summaries.binned_roc(histogram, bins=FEW_BINS), "threshold", "fpr", "tpr")
+
+
 def confusion_matrix(spark, folder):
     return evaluation.confusion_matrix(fixed_score(_master(spark, folder)), "is_bad_review", "score")
 
@@ -529,6 +551,18 @@ def review_sentiment_negated(spark, folder):
     return _scored_texts(spark, folder, SAMPLE_NEGATORS).drop("text_hash")
 
 
+def review_sentiment_long_list(spark, folder):
+    """Scores by a long word list: half of the words that occur, with valences by rule, and few of them broadcast at once."""
+    texts = _texts(spark, folder)
+    word = texts.select(F.explode(sentiment.words_of()).alias("token")).where("token RLIKE '^[a-z]+$'").distinct()
+    digest = F.md5(F.col("token"))
+    def digit(i):
+        return F.conv(F.substring(digest, i, 1), 16, 10).cast("int")
+    listed = settled(word.where(digit(2) % 2 == 0).select("token", (digit(1) - 7).cast("double").alias("valence")))
+    scored = sentiment.review_sentiment(texts, listed, negators=(), most_words=max(1, listed.count() // 3))
+    return rounded(scored, "sentiment").drop("text_hash")
+
+
 def sentiment_by_star(spark, folder):
     return rounded(review_text.sentiment_by_star(_scored_texts(spark, folder)),
                    "q1", "median", "q3", "low_whisker", "high_whisker")
@@ -539,6 +573,23 @@ def sentiment_by_star_midpoint(spark, folder):
                    "q1", "median", "q3", "low_whisker", "high_whisker")
 
 
+def sentiment_by_star_sketched(spark, folder):
+    """Quartiles per star from sketches of the stored scores, one per part of them, and whether the share of scores up to
+    each is within the stated error."""
+    scored = _scored_texts(spark, folder)
+    parts = summaries.quantile_sketches(scored.withColumn("part", F.spark_partition_id()), ["review_score", "part"], "sentiment")
+    found = settled(summaries.quartiles(summaries.merge_sketches(parts, ["review_score"])))
+    allowed = 2 * summaries.rank_error()                    # twice the error of 99 cases in a hundred
+
+    def near(q, share):
+        below, upto = F.avg((F.col("sentiment") < F.col(q)).cast("int")), F.avg((F.col("sentiment") <= F.col(q)).cast("int"))
+        return (below - allowed <= share) & (F.lit(share) <= upto + allowed)
+
+    return scored.join(F.broadcast(found), "review_score").groupBy("review_score").agg(                   # five stars
+        F.max("n").alias("n"), near("q1", 0.25).alias("q1_near"), near("median", 0.5).alias("median_near"),
+        near("q3", 0.75).alias("q3_near"))
+
+
 def sentiment_mismatch(spark, folder):
     return sentiment.mismatch_counts(_scored_texts(spark, folder))
 
@@ -561,10 +612,10 @@ REGISTERED = (
     elevated_categories, monthly_trend, state_rates, state_summary, state_rates_dense, score_distribution,
     raw_bad_share, delay_histogram, delay_histogram_own_range, late_effect_ztest, late_effect_pvalue, late_effect_by_state,
     month_effect_by_category, late_effect_verdict, top_n_levels, rare_level_grouping, model_features, model_indicators, train_test_split, stratified_split, class_weights,
-    auc_rank_sum, roc_curve, roc_curve_corners, confusion_matrix, precision_recall, risk_tiers, risk_model_auc,
+    auc_rank_sum, auc_from_histogram, roc_curve, roc_curve_corners, roc_from_histogram, confusion_matrix, precision_recall, risk_tiers, risk_model_auc,
     feature_importance, split_importance, model_confusion, model_roc, score_scenarios, scenario_grid,
-    scenario_means, review_sentiment, review_sentiment_negated,
-    sentiment_by_star, sentiment_by_star_midpoint, sentiment_mismatch, mismatched_reviews, sample_by_hash,
+    scenario_means, review_sentiment, review_sentiment_negated, review_sentiment_long_list,
+    sentiment_by_star, sentiment_by_star_midpoint, sentiment_by_star_sketched, sentiment_mismatch, mismatched_reviews, sample_by_hash,
 )
 
 

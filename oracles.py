@@ -409,3 +409,28 @@ WHERE primary_product IN (SELECT p_partkey FROM part WHERE p_size % 2 = 1)"""
 ORACLES["mart_refreshed"] = VIEWS + """SELECT CAST(date_trunc('month', order_purchase_timestamp) AS DATE) AS purchase_month,
   count(*) AS n_orders, round(avg(review_score), 6) AS avg_review,
   date_trunc('month', order_purchase_timestamp) >= DATE '2000-01-01' AS written_by_refresh FROM v_master GROUP BY 1, 4"""
+
+# Scores in 24 equal bins, from below and from above.
+_BINS = VIEWS + """, h AS (
+  SELECT CAST(greatest(0, least(23, floor(score * 24))) AS INTEGER) AS bin,
+    sum(is_bad_review) AS pos, sum(1 - is_bad_review) AS neg FROM v_score GROUP BY 1),
+c AS (
+  SELECT *, coalesce(sum(neg) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lower,
+    sum(pos) OVER (ORDER BY bin DESC) AS pos_above, sum(neg) OVER (ORDER BY bin DESC) AS neg_above,
+    sum(pos) OVER () AS all_pos, sum(neg) OVER () AS all_neg FROM h)
+"""
+ORACLES["auc_from_histogram"] = _BINS + """SELECT CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg,
+  round(sum(pos * (lower + neg / 2.0)) / (sum(pos) * CAST(sum(neg) AS DOUBLE)), 6) AS auc,
+  round(sum(pos * neg / 2.0) / (sum(pos) * CAST(sum(neg) AS DOUBLE)), 6) AS error_bound, true AS within_bound FROM c"""
+ORACLES["roc_from_histogram"] = _BINS + """SELECT round(bin / 24.0, 6) AS threshold,
+  round(neg_above / CAST(all_neg AS DOUBLE), 6) AS fpr, round(pos_above / CAST(all_pos AS DOUBLE), 6) AS tpr FROM c
+UNION ALL SELECT NULL, 0.0, 0.0"""
+ORACLES["sentiment_by_star_sketched"] = _sentiment() + """SELECT review_score, count(*) AS n, true AS q1_near,
+  true AS median_near, true AS q3_near FROM scored GROUP BY review_score"""
+_DIGIT = "instr('0123456789abcdef', substr(md5(token), {}, 1)) - 1"
+ORACLES["review_sentiment_long_list"] = _sentiment().replace("sums AS (", f"""long_list AS (
+  SELECT DISTINCT token, {_DIGIT.format(1)} - 7 AS valence FROM tokens
+  WHERE regexp_full_match(token, '[a-z]+') AND ({_DIGIT.format(2)}) % 2 = 0),
+sums AS (""", 1).replace("JOIN lexicon ON tokens.token = lexicon.token", "JOIN long_list ON tokens.token = long_list.token") + """
+SELECT review_id, order_id, review_score, sentiment, count(*) OVER (PARTITION BY review_id, review_comment_message) AS n_copies
+FROM scored"""

@@ -8,6 +8,8 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from starling.session import settled
+
 # Fixed values of the published VADER method: normalisation and negation factor, and its negators.
 NORMALISER = 15.0
 NEGATION = -0.74
@@ -26,8 +28,8 @@ WORD_BREAK = r"[^\p{L}']+"
 
 #: Curly apostrophes, written as straight ones; at the ends of a word they are quotes.
 CURLY = "\u2019\u2018"
-#: Words that a list may have at most: such a list is broadcast, a longer one refused.
-MOST_WORDS = 200_000
+#: Words that are broadcast at once, and pieces of that size that a longer list may come to in texts.
+MOST_WORDS, MOST_PIECES = 200_000, 20
 
 TEXT, STARS = "review_comment_message", "review_score"
 
@@ -41,20 +43,43 @@ def words_of(text: str = TEXT, word_break: str = WORD_BREAK) -> Column:
     return F.transform(F.split(straight, word_break), lambda word: F.btrim(word, F.lit("'")))
 
 
-def checked_words(lexicon: DataFrame, most: int = MOST_WORDS) -> DataFrame:
-    """The list, marked for broadcast once its size is known to allow it."""
+def checked_words(lexicon: DataFrame, most: int = MOST_WORDS) -> DataFrame | None:
+    """The list, marked for broadcast once its size is known to allow it; None for a longer one."""
     words = lexicon.select("token", "valence")
-    if words.limit(most + 1).count() > most:
-        raise ValueError(f"a word list of more than {most} words is not broadcast")
-    return F.broadcast(words)
+    return None if words.limit(most + 1).count() > most else F.broadcast(words)
+
+
+def with_valence(rows: DataFrame, lexicon: DataFrame, most: int = MOST_WORDS) -> DataFrame:
+    """``rows`` (a word each, in ``token``) with its ``valence``, NULL for a word that is not listed.
+
+    A list of up to ``most`` words is broadcast. Of a longer one only the words that occur matter: the distinct words of
+    each task, never their occurrences, are shuffled to the list, and what is left of it is broadcast in pieces of
+    ``most`` words, up to ``MOST_PIECES`` of them, that every word is looked up in where it lies.
+    """
+    words = checked_words(lexicon, most)
+    if words is not None:
+        return rows.join(words, "token", "left")
+    held = settled(lexicon.select("token", "valence").join(rows.select("token").distinct(), "token", "left_semi"))
+    n_pieces = max(1, -(-held.count() // most))
+    # By hash a piece may be somewhat larger than the mean; a quarter more pieces allow for it.
+    n_pieces = 1 if n_pieces == 1 else n_pieces + -(-n_pieces // 4)
+    if n_pieces > MOST_PIECES:
+        raise ValueError(f"more than {MOST_PIECES} pieces of {most} listed words occur in the texts")
+    found = []
+    for i in range(n_pieces):
+        piece = held.where(F.pmod(F.xxhash64("token"), F.lit(n_pieces)) == i)
+        rows = rows.join(F.broadcast(piece.withColumnRenamed("valence", f"valence{i}")), "token", "left")
+        found.append(f"valence{i}")
+    return rows.withColumn("valence", F.coalesce(*found)).drop(*found)
 
 
 def review_sentiment(reviews: DataFrame, lexicon: DataFrame, keys: Sequence[str] = ("review_id", "order_id"),
-                     negators: Sequence[str] = NEGATORS, word_break: str = WORD_BREAK) -> DataFrame:
+                     negators: Sequence[str] = NEGATORS, word_break: str = WORD_BREAK,
+                     most_words: int = MOST_WORDS) -> DataFrame:
     """Sentiment in [-1, 1] per review with a text. Reviews alike in keys, stars and text come as one row with
     their number in ``n_copies``; ``text_hash`` tells the texts of one key apart.
 
-    Every word of every text is looked up. The word list (token, valence) is broadcast after a check of its size;
+    Every word of every text is looked up in the word list (token, valence), one of more than ``most_words`` in pieces;
     words are summed per review where they are read, and one row per review is shuffled, never the words. Several
     negators in reach of a word count once, where the published rule turns it anew for each.
     """
@@ -79,7 +104,7 @@ def review_sentiment(reviews: DataFrame, lexicon: DataFrame, keys: Sequence[str]
     if negators:
         valence = valence * F.when(reduce(or_, map(F.col, behind)), NEGATION).otherwise(1.0)
     total = F.col("_sum") / F.col("n_copies")
-    return (rows.join(checked_words(lexicon), "token", "left")
+    return (with_valence(rows, lexicon, most_words)
             .groupBy(*carried).agg(F.sum(valence).alias("_sum"), F.count("is_first").alias("n_copies"))
             .select(*carried, "n_copies", (total / F.sqrt(total * total + NORMALISER)).alias("sentiment")))
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import small
-from starling.operators.sentiment import checked_words, mismatch_counts, review_sentiment
+from starling.operators.sentiment import checked_words, mismatch_counts, review_sentiment, with_valence
 from starling.plans import review_text
 from starling.sources.tables import missing_to_null
 from starling.sources.trade_view import TradeFolder, sample_lexicon
@@ -71,8 +71,7 @@ def test_word_list_is_broadcast_after_a_check(spark, settings):
     scored = review_sentiment(small.reviews(spark, [("r", "o", 5, "good")]), words)
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning(token" not in plan
-    with pytest.raises(ValueError, match="broadcast"):
-        checked_words(words, most=1)
+    assert checked_words(words, most=1) is None
 
 
 def test_copies_and_shared_keys_count_in_full(spark):
@@ -105,3 +104,27 @@ def test_words_are_not_shuffled(spark):
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning(review_id") == 1
+
+
+def test_long_word_lists_give_the_same(spark):
+    texts = TradeFolder(spark, "/root/testdata/sf0.001").review_texts()
+    few = sample_lexicon(spark)
+    more = few.unionByName(spark.range(5000).select(F.concat(F.lit("never"), "id").alias("token"), F.lit(1.0).alias("valence")))
+    expected = sorted(map(str, review_sentiment(texts, few).collect()))
+    for most in (200_000, 4999, 3, 1):
+        assert sorted(map(str, review_sentiment(texts, more, most_words=most).collect())) == expected
+    with pytest.raises(ValueError, match="pieces"):
+        review_sentiment(texts, texts.select(F.explode(F.split(F.lower("review_comment_message"), "[^a-z]+")).alias("token")).distinct()
+                         .withColumn("valence", F.lit(1.0)), most_words=2)
+
+
+def test_a_million_words_shuffle_no_occurrence(spark, settings):
+    listed = spark.range(1_000_000).select(F.concat(F.lit("w"), "id").alias("token"), (F.col("id") % 9 - 4.0).alias("valence"))
+    words = spark.range(60_000).select(F.col("id").alias("review_id"), F.concat(F.lit("w"), (F.col("id") * 37) % 1_200_000).alias("token"))
+    rows = words.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(20))))
+    found = with_valence(rows, listed, most=20_000)
+    assert found.count() == 1_200_000 and found.where("valence IS NULL").count() == 20 * words.where(
+        "CAST(substring(token, 2) AS BIGINT) >= 1000000").count()
+    settings(spark__sql__adaptive__enabled="false")
+    plan = with_valence(rows, listed, most=20_000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 3 and "hashpartitioning" not in plan
