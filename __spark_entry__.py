@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import importlib.util
 import os
 import sys
@@ -20,7 +21,7 @@ from starling.operators import (  # noqa: E402
 )
 from starling.plans import dashboard, master as mart, refresh, review_text, risk_model  # noqa: E402
 from starling.session import checkpoint_folder, run_folder, settled  # noqa: E402
-from starling.sources import bucketed  # noqa: E402
+from starling.sources import bucketed, tables as landed  # noqa: E402
 from starling.sources.tables import csv_tables, region_codes, write_tables  # noqa: E402
 from starling.sources.trade_view import TradeFolder, sample_lexicon  # noqa: E402
 
@@ -35,6 +36,7 @@ if importlib.util.find_spec("starling.llm") and importlib.util.find_spec("starli
 # The files behind the six order tables, and the buckets that tables of their size are landed in.
 ORDER_TABLES = ("orders", "lineitem", "part", "supplier", "nation")
 BUCKETS = 8
+RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 SMOKE_FOLDER = "/root/testdata/sf0.001"
 
 # Minimum orders per group, fitted to the size of the supplied tables.
@@ -72,12 +74,17 @@ def _stored(spark, folder, name, tables, make):
     is named after their files, sizes and times, so that a later query finds it and replaced files are noticed."""
     files = spark.read.format("binaryFile").load([f"{folder}/{t}.parquet" for t in tables])
     stamp = files.agg(F.hex(F.bit_xor(F.xxhash64("path", "length", "modificationTime")))).first()[0]
-    path = f"{checkpoint_folder(spark).rstrip('/')}/{name}-{stamp}"
-    done = spark._jvm.org.apache.hadoop.fs.Path(path + "/done")
+    own = f"{checkpoint_folder(spark).rstrip('/')}/{name}-{hashlib.md5(folder.encode()).hexdigest()}"
+    path, hadoop = f"{own}/{stamp}", spark._jvm.org.apache.hadoop.fs
+    done = hadoop.Path(path + "/done")
     there = done.getFileSystem(spark._jsc.hadoopConfiguration())
     if not there.exists(done):
         make(path)
         there.create(done).close()
+        # What was derived from files that have been replaced goes.
+        for old in there.listStatus(hadoop.Path(own)):
+            if old.getPath().getName() != stamp:
+                there.delete(old.getPath(), True)
     return path
 
 
@@ -122,6 +129,11 @@ def scan_profile(spark, folder):
     return rates.profile(_tables(spark, folder).named())
 
 
+def footer_profile(spark, folder):
+    """Rows and columns of the files themselves, from their footers."""
+    return landed.footer_profile(spark, {name: f"{folder}/{name}.parquet" for name in RAW_TABLES})
+
+
 def _write_crlf(df: DataFrame, path: str) -> None:
     """A small table as spreadsheets write it: byte-order mark, CRLF."""
     lines = df.select(F.lit(1).alias("o"), F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in df.columns]).alias("line"))
@@ -604,7 +616,7 @@ def sample_by_hash(spark, folder):
 
 
 REGISTERED = (
-    scan_profile, csv_ingest, json_dimension, distinct_categories, distinct_states, table_preview, delivered_orders,
+    scan_profile, footer_profile, csv_ingest, json_dimension, distinct_categories, distinct_states, table_preview, delivered_orders,
     delivery_features, delivery_buckets, items_rollup, reviews_rollup, order_master, order_master_bucketed, mart_by_month, mart_refreshed,
     kpis, filtered_kpis, kpis_of_listed_products,
     bad_rate_by_delivery_bucket, filtered_bad_rate_by_delivery_bucket, worst_categories, worst_categories_chart,

@@ -434,3 +434,7 @@ ORACLES["review_sentiment_long_list"] = _sentiment().replace("sums AS (", f"""lo
 sums AS (""", 1).replace("JOIN lexicon ON tokens.token = lexicon.token", "JOIN long_list ON tokens.token = long_list.token") + """
 SELECT review_id, order_id, review_score, sentiment, count(*) OVER (PARTITION BY review_id, review_comment_message) AS n_copies
 FROM scored"""
+_RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
+ORACLES["footer_profile"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS n_rows, "
+    f"(SELECT CAST(count(*) AS INTEGER) FROM (DESCRIBE {t})) AS n_columns" for t in _RAW)

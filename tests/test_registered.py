@@ -42,3 +42,22 @@ def test_known_figures(spark):
 
 def test_flagship(spark):
     assert entry.entry(spark).count() == 5
+
+
+def test_stored_results_follow_their_files(spark, tmp_path):
+    """A replaced file makes a new result, and the old one goes; another folder's stays."""
+    made = []
+    def write(path):
+        made.append(path)
+        spark.range(len(made)).write.parquet(f"{path}/rows")
+    for folder in ("a", "b"):
+        spark.range(3).write.parquet(str(tmp_path / folder / "orders.parquet"))
+    def stored(folder):
+        return entry._stored(spark, str(tmp_path / folder), "kept", ["orders"], write)
+    first, other = stored("a"), stored("b")
+    assert stored("a") == first and len(made) == 2
+    spark.range(5).write.mode("overwrite").parquet(str(tmp_path / "a" / "orders.parquet"))
+    second = stored("a")
+    assert second != first and spark.read.parquet(second + "/rows").count() == 3
+    from pathlib import Path
+    assert not Path(first).exists() and Path(other).exists()

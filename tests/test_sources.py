@@ -99,3 +99,18 @@ def test_bad_numbers_and_short_rows_stop_or_are_listed(spark, tmp_path):
     rows = read_csv(spark, folder, CSV_COLUMNS["items"], strict=False).orderBy("order_id").collect()
     assert [r.bad_fields for r in rows] == [[], ["order_item_id"], ["price"], ["row"]]
     assert [(r.order_item_id, r.price) for r in rows] == [(1, 9.0), (None, 9.0), (1, None), (1, None)]
+
+
+def test_counts_come_from_footers(spark, tmp_path):
+    from starling.operators.rates import profile
+    from starling.sources.tables import counting_from_footers, footer_profile
+    made = {"a": spark.range(1000).repartition(3), "b": spark.range(7).selectExpr("id", "id * 2 AS x"), "none": spark.range(0)}
+    files = {name: str(tmp_path / name) for name in made}
+    for name, df in made.items():
+        df.write.parquet(files[name])
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    found = sorted(map(tuple, footer_profile(spark, files).collect()))
+    assert found == sorted(map(tuple, profile(made).collect())) and spark.conf.get("spark.sql.sources.useV1SourceList") == before
+    with counting_from_footers(spark):
+        plan = spark.read.parquet(files["a"]).groupBy().count()._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*)]" in plan
