@@ -24,13 +24,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from starling.llm.batches import stored
 from starling.llm.components import components
+from starling.operators.membership import maybe_in
 from starling.session import settled
 
 WORDS = 5
 #: Shingles that one task looks through at a time.
 TASK_SHINGLES = 1_500_000
-#: Bits of the map that tells which texts cannot have a partner: 2**27 of them, 16 MB, however many texts.
-MAP_BITS, BUCKET_BITS = 1 << 27, 1 << 15
 #: A probe of a list costs as much as merging so many of its entries.
 PROBE_COST = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -156,22 +155,6 @@ def links_among(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], side
 
 # ---------------------------------------------------------------- who can have a partner
 
-def maybe_in(rows: DataFrame, wanted: DataFrame, *keys: str, bits: int = MAP_BITS, inside: bool = True) -> DataFrame:
-    """``rows`` without those whose keys are surely not among ``wanted``, by a map of hashed keys of a fixed size that goes
-    to every task: what must be shuffled to an exact join is little more than what it finds. ``inside=False`` gives the
-    others, which are surely not there."""
-    place = F.pmod(F.xxhash64(*keys), F.lit(bits))
-    buckets = F.floor(place / BUCKET_BITS)
-    # Rows of bitmaps: their size is bits / 8 bytes at most.
-    held = (wanted.select(buckets.alias("_bucket"), F.pmod(place, F.lit(BUCKET_BITS)).alias("_bit")).groupBy("_bucket")
-            .agg(F.bitmap_construct_agg("_bit").alias("_map")))
-    byte = F.conv(F.hex(F.substring("_map", F.floor(F.pmod(place, F.lit(BUCKET_BITS)) / 8).cast("int") + 1, F.lit(1))), 16, 10)
-    bit = F.getbit(byte.cast("int"), F.pmod(place, F.lit(8)).cast("int")) == 1
-    marked = rows.withColumn("_asked", buckets).join(F.broadcast(held), F.col("_asked") == F.col("_bucket"), "left")
-    hit = F.coalesce(bit, F.lit(False))
-    return marked.where(hit if inside else ~hit).drop("_asked", "_bucket", "_map")
-
-
 def _pairable(rows: DataFrame) -> DataFrame:
     """``n``, ``h1``, ``h2`` of the sets that enough of their first shingles could tie to another set. A shingle that
     only copies of one set hold ties it to nothing."""
