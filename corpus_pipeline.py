@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from starling.llm import jaccard, language, line_dedup, packing, secrets
 from starling.llm.batches import small_batches, stored
+from starling.operators.membership import maybe_in
 from starling.session import run_folder
 
 WORD_FILE = "word_bpe_49k.json"
@@ -61,9 +62,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     loose = stored(grouped.join(first, F.col("_first") == F.col("_key"), "left").withColumn("goes", goes)
                    .where("NOT unlike AND (goes OR n > 1)").select("_key", "goes"), "loose")
     rows = named.select(key, F.struct(*docs.columns).alias("_row"))
-    asked = jaccard.maybe_in(rows, loose, "_key").join(loose, "_key", "left")
+    asked = maybe_in(rows, loose, "_key").join(loose, "_key", "left")
     one = asked.where("NOT goes").groupBy("_key").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
-    kept = jaccard.maybe_in(rows, loose, "_key", inside=False).select("_row")
+    kept = maybe_in(rows, loose, "_key", inside=False).select("_row")
     for part in (asked.where("goes IS NULL").select("_row"), one.select("_row")):
         kept = kept.unionByName(part)
     return kept.select("_row.*").unionByName(docs.where("doc_id IS NULL"))
