@@ -19,7 +19,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from starling.llm.blocks import best, nearest, usable
 
-LINKS, BEAM_BUILD, BEAM_SEARCH = 16, 96, 224
+LINKS, BEAM_BUILD, BEAM_SEARCH = 16, 96, 128
+#: Rows of a shard. A search visits a few thousand nodes of a shard of any size, so shards should be as large as a task has
+#: memory and time to build; this many take about half a minute. With larger ones a wider beam keeps the recall.
+SHARD_ROWS = 25_000
 BATCH, STEP, SELECTED_FROM = 256, 4, 64
 NONE = -1
 
@@ -34,10 +37,10 @@ class Graph:
     entry: int
 
 
-def beam(spread: np.ndarray, links: np.ndarray, asked: np.ndarray, entries: np.ndarray, width: int
-         ) -> tuple[np.ndarray, np.ndarray]:
+def beam(spread: np.ndarray, links: np.ndarray, asked: np.ndarray, entries: np.ndarray, width: int,
+         visited: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The ``width`` nearest nodes found for each row of ``asked`` (NONE if fewer), nearest first, and their products,
-    going out from its row of ``entries``."""
+    going out from its row of ``entries``. ``visited`` is raised by the nodes that each row's product was taken with."""
     n, rows = len(asked), np.arange(len(asked))[:, None]
     seen = np.zeros((n, len(spread) + 1), bool)             # the last column stands for NONE
     seen[:, -1] = True
@@ -72,6 +75,8 @@ def beam(spread: np.ndarray, links: np.ndarray, asked: np.ndarray, entries: np.n
         seen[going[:, None], fresh] = True
         new = np.einsum("bmd,bd->bm", spread[fresh], asked[going])
         new[fresh == NONE] = -np.inf
+        if visited is not None:
+            visited[going] += (fresh != NONE).sum(1)
         nodes, near = np.concatenate([nodes, fresh], 1), np.concatenate([near, new], 1)
         open_ = np.concatenate([open_, fresh != NONE], 1)
         if nodes.shape[1] > width:
@@ -154,8 +159,9 @@ def build(ids: np.ndarray, vectors: np.ndarray) -> Graph:
     return Graph(ids, first, vectors, spread, links, 0)
 
 
-def search(graph: Graph, block: tuple[np.ndarray, np.ndarray], k: int, width: int = BEAM_SEARCH
-           ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(graph: Graph, block: tuple[np.ndarray, np.ndarray], k: int, width: int = BEAM_SEARCH,
+           visited: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids, ids and scores of the ``k`` nearest found for each query; ``visited`` as in ``beam``."""
     asked_ids, asked = block
     out = []
     for start in range(0, len(asked_ids), BATCH):
@@ -163,7 +169,8 @@ def search(graph: Graph, block: tuple[np.ndarray, np.ndarray], k: int, width: in
         flat = np.concatenate([vectors, np.zeros((len(vectors), 1))], 1).astype(np.float32)
         found = np.full((len(who), 1), graph.entry)
         for i in range(len(graph.links) - 1, -1, -1):
-            found, _ = beam(graph.spread, graph.links[i], flat, found[:, :8], max(width, k + 1) if i == 0 else 8)
+            found, _ = beam(graph.spread, graph.links[i], flat, found[:, :8], max(width, k + 1) if i == 0 else 8,
+                            None if visited is None else visited[start:start + BATCH])
         row, column = np.nonzero(found != NONE)
         node = found[row, column]
         score = np.einsum("ij,ij->i", graph.vectors[node], vectors[row])
@@ -183,4 +190,5 @@ def search_all(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id"
     """query_id, rank, vec_id, score: ``k`` near rows for each row that is a query (a condition on ``id``), without
     the query itself. Every row is in an index."""
     some = usable(vectors, key, vector).where(F.exists("v", lambda x: x != 0))
-    return nearest(some, is_query, k, build, lambda ids, points: (ids, points), search, "double", **sizes)
+    return nearest(some, is_query, k, build, lambda ids, points: (ids, points), search, "double",
+                   **{"shard_rows": SHARD_ROWS} | sizes)

@@ -92,6 +92,22 @@ def test_hnsw_recall_and_scores():
         assert right >= 0.93 * 2000
 
 
+def test_a_search_visits_few_nodes():
+    """20,000 vectors without any clusters, the hardest kind: found by a walk over a small part of them."""
+    vectors = np.random.default_rng(9).normal(size=(20_000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    graph, asked = hnsw.build(np.arange(20_000), vectors), np.arange(0, 20_000, 100)
+    visited = np.zeros(len(asked), int)
+    who, found, _ = hnsw.search(graph, (asked, vectors[asked]), 20, visited=visited)
+    assert visited.max() < 0.25 * 20_000 and visited.mean() < 0.2 * 20_000
+    right = 0
+    for q in asked:
+        exact = vectors @ vectors[q]
+        exact[q] = -np.inf
+        right += len(set(np.argsort(-exact)[:20]) & set(found[who == q].tolist()))
+    assert right >= 0.9 * 20 * len(asked)
+
+
 def test_graph_is_the_same_again():
     vectors = np.random.default_rng(8).normal(size=(400, 8))
     one, two = (hnsw.build(np.arange(400), vectors) for _ in range(2))
