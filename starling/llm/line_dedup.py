@@ -5,8 +5,8 @@ first, in the order of key and line number, and all its other occurrences are co
 overlapping spans merged. Windows without anything but blanks do not count. DataFrame functions only.
 
 A text of fewer than three lines has no window and stays as it is; NULL stays NULL. Rows with a NULL key come first.
-Repeated rows (of one key and text) are treated alike, as one document. Which occurrence is first among different
-texts of one key is left open only between equal line numbers, and then both are kept.
+Repeated rows (of one key and text) are treated alike, as one document. Of different texts that share a key, or have none,
+the occurrence on the earlier line comes first, then that of the text with the smaller hash.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 WINDOW = 3
+#: Texts of one key that are told apart by place.
+TEXTS = 1 << 23
 
 
 def _windows(text: Column) -> Column:
@@ -28,9 +30,11 @@ def _windows(text: Column) -> Column:
 
 
 def _place() -> Column:
-    """Key and line number in one number, so that the first place is a plain minimum."""
+    """Key, line number and part of the text's hash in one number, so that the first place is a plain minimum. 64, 31 and 23
+    bits of them fit its 38 digits."""
     key = F.coalesce(F.col("_key"), F.lit(-2**63)).cast("decimal(20,0)")
-    return (key * F.lit(2**31).cast("decimal(11,0)") + F.col("_at")).cast("decimal(38,0)")
+    line = (key * F.lit(2**31).cast("decimal(10,0)") + F.col("_at")).cast("decimal(30,0)")
+    return (line * F.lit(TEXTS).cast("decimal(7,0)") + F.pmod("_hash", F.lit(TEXTS))).cast("decimal(38,0)")
 
 
 def later_windows(df: DataFrame, key: str, text: str) -> DataFrame:

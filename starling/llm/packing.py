@@ -204,7 +204,8 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", size
     ``df`` are read."""
     cut = (df.select(F.col(key).alias("_key"), document_ids(F.col(text), path).alias("_ids"))
            .select("_key", F.inline(pieces(F.col("_ids"), size))))
-    parts = F.pmod(F.xxhash64("_key", "piece", "ids_crc32"), F.lit(PARTS))
+    # Dealt by a number of the row, as a third of the rows may be alike.
+    parts = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(PARTS))
     # Written once: tokenizing is dear, and the numbering below must see the same rows as the counting.
     cut = settled(cut.withColumn("_part", parts))
     sizes = cut.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("n"))

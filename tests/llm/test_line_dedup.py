@@ -85,3 +85,13 @@ def test_plain_version_removes_nothing_alone(lines):
     text = "\n".join(lines)
     key, kept, n = plain([(1, text)])[0]
     assert len(kept.split("\n")) + n in (len(text.split("\n")), len(text.split("\n")) + 1)
+
+
+def test_texts_that_share_a_key_or_have_none_are_told_apart(spark):
+    shared = "one line here\nand a second one\nand the third"
+    texts = [f"{shared}\nown line {i}" for i in range(6)]
+    for key in (None, 0, 2 ** 63 - 1, -2 ** 63):
+        df = spark.createDataFrame([(key, t) for t in texts], "doc_id bigint, text string")
+        rows = line_dedup.remove_repeats(df).collect()
+        assert sorted(r["lines_removed"] for r in rows) == [0] + [3] * 5
+        assert sorted(r["text"].split("\n")[-1] for r in rows) == [f"own line {i}" for i in range(6)]

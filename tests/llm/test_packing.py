@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings as rounds, strategies as st
+from pyspark.sql import functions as F
 
 import cases
 from starling.llm import packing, queries
@@ -93,3 +94,17 @@ def test_query(spark):
     rows = queries.op10_packing(spark, folder).collect()
     n = check(rows, texts)
     assert n <= 1.01 * sum(r["length"] for r in rows) / 4096 + 1
+
+
+def test_equal_rows_are_dealt_to_many_tasks(spark):
+    """Two thirds of the rows are alike: none of the numbering's parts holds many more of them than another."""
+    rows = [(None, "")] * 4000 + [(i, f"text {i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    out = packing.pack(df, PATH)
+    found = out.collect()
+    assert len(found) == 6000 and len({(r["sequence_id"], r["offset"]) for r in found}) == 6000
+    total = sum(r["length"] for r in found)
+    assert len({r["sequence_id"] for r in found}) == -(-total // 4096)
+    parts = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(packing.PARTS))
+    sizes = [r["count"] for r in df.where("doc_id IS NULL").groupBy(parts).count().collect()]
+    assert max(sizes) < 3 * 4000 / packing.PARTS + 30
