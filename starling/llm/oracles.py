@@ -121,5 +121,89 @@ SELECT id AS doc_id, n AS n_features, CAST(weight AS BIGINT) AS weight, CAST(sco
 FROM r
 """
 
+# XXH64 with seed 42, by its published steps, in whole numbers modulo 2**64. Its five primes.
+PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+SEED, WHOLE = 42, "18446744073709551616::UHUGEINT"
+
+
+def _times(a, b):
+    return f"(({a})::UHUGEINT * {b}::UHUGEINT % {WHOLE})"
+
+
+def _plus(*parts):
+    return "((" + " + ".join(f"({p})::UHUGEINT" for p in parts) + f") % {WHOLE})"
+
+
+def _xor(a, b):
+    return f"xor(({a})::UBIGINT, ({b})::UBIGINT)"
+
+
+def _turned(x, bits):
+    return (f"list_transform([({x})::UHUGEINT], lambda r: r * {2 ** bits}::UHUGEINT % {WHOLE} + r // "
+            f"{2 ** (64 - bits)}::UHUGEINT)[1]")
+
+
+def _folded(x, bits):
+    return f"list_transform([({x})::UBIGINT], lambda r: xor(r, r >> {bits}))[1]"
+
+
+def _round(lane, word):
+    return _times(_turned(_plus(lane, _times(word, PRIMES[1])), 31), PRIMES[0])
+
+
+def _reduced(first, rest, step):
+    return f"list_reduce(list_prepend(({first})::UHUGEINT, {rest}), lambda h, w: ({step})::UHUGEINT)"
+
+
+def _number(places, start):
+    """The little-endian number of the bytes from a place on."""
+    return " + ".join(f"bs[{start} + {i + 1}] * {256 ** i}::UHUGEINT" for i in range(places))
+
+
+_LANES = [(SEED + PRIMES[0] + PRIMES[1]) % 2 ** 64, (SEED + PRIMES[1]) % 2 ** 64, SEED, (SEED - PRIMES[0]) % 2 ** 64]
+_ROUNDS = ", ".join(_reduced(f"{first}::UHUGEINT", f"[ws[4 * i + {lane}] FOR i IN range(0, n // 32)]", _round("h", "w"))
+                    + f" AS v{lane}" for lane, first in enumerate(_LANES, 1))
+_MERGED = _reduced(_plus(*[_turned(f"v{i}", bits) for i, bits in zip((1, 2, 3, 4), (1, 7, 12, 18))]), "[v1, v2, v3, v4]",
+                   _plus(_times(_xor("h", _round("0", "w")), PRIMES[0]), PRIMES[3]))
+_WORDS = _reduced("h", "[ws[i + 1] FOR i IN range(n // 32 * 4, n // 8)]",
+                  _plus(_times(_turned(_xor("h", _round("0", "w")), 27), PRIMES[0]), PRIMES[3]))
+_FOUR = _plus(_times(_turned(_xor("h", _times("f", PRIMES[0])), 23), PRIMES[1]), PRIMES[2])
+_BYTES = _reduced("h", "[bs[i + 1] FOR i IN range(n // 4 * 4, n)]",
+                  _times(_turned(_xor("h", _times("w", PRIMES[4])), 11), PRIMES[0]))
+_LAST = _folded(_times(_folded(_times(_folded("h", 33), PRIMES[1]), 29), PRIMES[2]), 32)
+
+SIMHASH = rf"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+')
+    IF x <> ''] AS ws FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, unnest([array_to_string(ws[i:i + 2], ' ') FOR i IN range(1, greatest(len(ws) - 1, 2))]) AS t
+  FROM d WHERE len(ws) > 0),
+x0 AS (SELECT t, hex(encode(t)) AS x FROM (SELECT DISTINCT t FROM s)),
+x1 AS (
+  SELECT t, [(instr('0123456789ABCDEF', x[i:i]) - 1) * 16 + instr('0123456789ABCDEF', x[i + 1:i + 1]) - 1
+    FOR i IN range(1, len(x), 2)]::UHUGEINT[] AS bs FROM x0),
+x2 AS (SELECT t, bs, len(bs) AS n, [{_number(8, "8 * i")} FOR i IN range(0, len(bs) // 8)]::UHUGEINT[] AS ws FROM x1),
+x3 AS (SELECT *, {_ROUNDS} FROM x2),
+x4 AS (SELECT t, bs, n, ws, {_plus("CASE WHEN n >= 32 THEN " + _MERGED + f" ELSE {SEED + PRIMES[4]}::UHUGEINT END", "n")} AS h FROM x3),
+x5 AS (SELECT t, bs, n, {_WORDS} AS h FROM x4),
+x6 AS (SELECT *, CASE WHEN n % 8 >= 4 THEN {_number(4, "n // 8 * 8")} END AS f FROM x5),
+x7 AS (SELECT t, bs, n, CASE WHEN f IS NULL THEN h ELSE {_FOUR} END AS h FROM x6),
+x8 AS (SELECT t, {_BYTES} AS h FROM x7),
+x9 AS MATERIALIZED (SELECT t, ({_LAST})::UBIGINT AS h FROM x8),
+b AS (
+  SELECT doc_id, bit, 2 * count(*) FILTER ((h >> bit) % 2 = 1) > count(*) AS is_set
+  FROM s JOIN x9 USING (t), (SELECT unnest(range(64))::UBIGINT AS bit) GROUP BY doc_id, bit),
+p AS MATERIALIZED (
+  SELECT d.doc_id, coalesce(v, 0)::UBIGINT AS fp FROM d LEFT JOIN (
+    SELECT doc_id, bit_or(1::UBIGINT << bit) FILTER (is_set) AS v FROM b GROUP BY doc_id) USING (doc_id)),
+u AS MATERIALIZED (SELECT fp, min(doc_id) AS least FROM p GROUP BY fp),
+l AS MATERIALIZED (SELECT a.fp AS x, c.fp AS y FROM u a JOIN u c ON a.fp <> c.fp AND bit_count(xor(a.fp, c.fp)::HUGEINT) <= 3),
+reach(fp, other) AS (SELECT fp, fp FROM u UNION SELECT reach.fp, l.y FROM reach JOIN l ON l.x = reach.other),
+g AS (SELECT reach.fp, min(u.least) AS component_id FROM reach JOIN u ON u.fp = reach.other GROUP BY reach.fp)
+SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM p JOIN g USING (fp)
+"""
+
 ORACLES = {"op2_cover_tree": COVER_TREE, "op6_line_dedup": LINE_DEDUP, "op9_ngram_jaccard": NGRAM_JACCARD,
-           "op11_hard_negatives": HARD_NEGATIVES, "op13_resampling": RESAMPLING}
+           "op11_hard_negatives": HARD_NEGATIVES, "op12_simhash": SIMHASH, "op13_resampling": RESAMPLING}
