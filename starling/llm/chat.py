@@ -28,8 +28,6 @@ SPEAKERS = {
 }
 MARKER = re.compile(r"^\s*(?:#{1,4}\s*|<\|(?:im_start\|>)?\s*|\[|\*\*)?([A-Za-z]{1,12})(?:\s*:\*\*|\|>|\]:?|\s*:|(?<=\w)$)\s*")
 OPENS, GOES_ON = "+", ""
-#: Roles told apart at most: the most frequent ones in the labelled transcripts.
-MOST_ROLES = 8
 
 
 def speaker(line: str) -> tuple[str, int]:
@@ -101,8 +99,8 @@ def render(turns: list[tuple[str, str]]) -> str:
 
 
 def fit(labelled: DataFrame, lines: str = "lines", states: str = "states") -> ChatModel:
-    """A model from transcripts as arrays of lines and of their states. Only counts come to the driver: a few for each
-    state and feature."""
+    """A model from transcripts as arrays of lines and of their states, every role of theirs among them. Only counts come to
+    the driver: a few for each state and feature, and one for each pair of states that follow one another."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found: Counter = Counter()
@@ -118,12 +116,6 @@ def fit(labelled: DataFrame, lines: str = "lines", states: str = "states") -> Ch
     rows = (labelled.where(F.size(lines) > 0).select(F.col(lines).alias("l"), F.col(states).alias("s"))
             .mapInPandas(count, "kind string, state string, value string, n bigint")
             .groupBy("kind", "state", "value").agg(F.sum("n").alias("n")).collect())
-    by_role: Counter = Counter()
-    for r in rows:
-        by_role[r["state"].rstrip(OPENS)] += r["n"]
-    roles = {role for role, _ in sorted(by_role.items(), key=lambda x: (-x[1], x[0]))[:MOST_ROLES]}
-    rows = [r for r in rows if r["state"].rstrip(OPENS) in roles
-            and (r["kind"] != "step" or r["value"].rstrip(OPENS) in roles)]
     names = sorted({r["state"] for r in rows} | {r["value"] for r in rows if r["kind"] == "step"})
     if not names:
         return ChatModel([])

@@ -46,6 +46,20 @@ def test_path_is_the_likeliest_of_all():
         assert np.isclose(weight([names.index(s) for s in model.path(lines)]), weight(best))
 
 
+def test_every_role_is_a_state(spark):
+    """Twelve roles, each with lines of its own length and ending."""
+    pick = random.Random(2)
+    said = {f"role{i:02}": "w" * (1, 16, 32, 64, 128, 256)[i % 6] + ("." if i < 6 else "?") for i in range(12)}
+    rows = []
+    for _ in range(80):
+        roles = [pick.choice(list(said)) for _ in range(12)]
+        rows.append(([said[r] for r in roles], [r + chat.OPENS for r in roles]))
+    fitted = chat.fit(spark.createDataFrame(rows, "lines array<string>, states array<string>"))
+    assert fitted.states == sorted(r + chat.OPENS for r in said)
+    lines = [said[r] for r in said] * 2
+    assert fitted.path(lines) == [r + chat.OPENS for r in said] * 2
+
+
 def test_held_out_roles(spark):
     out = queries.op8_chat(spark, FOLDER)
     held = out.where("held_out")
