@@ -80,20 +80,22 @@ def _stale_months(spark: SparkSession, source: str, changed: DataFrame, gone: Da
     return sorted(str(r[0]) for r in before.unionByName(now).unionByName(of_rows).distinct().collect())
 
 
-def _remove(spark: SparkSession, folder: str, months: list[str]) -> None:
-    """Partitions of months that no order is left in: writing month by month does not touch them."""
-    for month in months:
-        name = "__HIVE_DEFAULT_PARTITION__" if month == NO_MONTH else month
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/months/{MONTH}={name}")
+def _remove(spark: SparkSession, *folders: str) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _partition(folder: str, month: str) -> str:
+    return f"{folder}/months/{MONTH}={'__HIVE_DEFAULT_PARTITION__' if month == NO_MONTH else month}"
+
+
 def refresh_mart(spark: SparkSession, source: str, folder: str) -> Refreshed:
     """Brings the mart in ``folder`` up to date with the tables landed in ``source`` (``write_tables`` or ``add_files``)."""
     files = settled(_files(spark, source))
     known = _manifest(spark, folder)
     if known is None:
-        _remove(spark, folder, [])
+        _remove(spark, f"{folder}/months")                  # no telling what it was built from
         known = files.limit(0), files.limit(0).select("kind", "file", F.current_date().alias("month"))
     old, touched = known
     same = files.join(old, ["kind", "file", "size", "time"], "left_semi").select("kind", "file")
@@ -121,7 +123,8 @@ def refresh_mart(spark: SparkSession, source: str, folder: str) -> Refreshed:
      .partitionBy(MONTH).parquet(f"{folder}/months"))
     filled = {str(r[0]) for r in built.select(F.coalesce(MONTH, F.lit(NO_MONTH).cast("date"))).distinct().collect()}
     emptied = [m for m in months if m not in filled]
-    _remove(spark, folder, emptied)
+    # Writing month by month does not touch a month that no order is left in.
+    _remove(spark, *[_partition(folder, m) for m in emptied])
 
     # Files that did not change keep what they touched, for an order may have left their month meanwhile.
     kept = touched.join(every, ["kind", "file"], "left_anti")

@@ -118,5 +118,6 @@ def test_lost_manifest_builds_anew(spark, source, tmp_path):
     _, folder, mart = source
     refresh.refresh_mart(spark, folder, mart)
     shutil.rmtree(tmp_path / "mart" / "manifest")
+    shutil.copytree(tmp_path / "mart" / "months" / f"purchase_month={MARCH}", tmp_path / "mart" / "months" / "purchase_month=2011-01-01")
     assert len(refresh.refresh_mart(spark, folder, mart).written) == 4
     up_to_date(spark, folder, mart)
