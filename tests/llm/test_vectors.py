@@ -38,6 +38,20 @@ def test_cover_tree_holds_its_radii(leaf):
         assert np.linalg.norm(below - tree.centre[i], axis=1).max() <= tree.radius[i] + 1e-9
 
 
+def test_cover_tree_search_leaves_out_node_pairs(monkeypatch):
+    points = np.floor(clustered(4000, 11, 8) * 100)
+    asked, made = points[::20], []
+    plain = cover_tree._products
+    monkeypatch.setattr(cover_tree, "_products", lambda a, b: made.append(len(a) * len(b)) or plain(a, b))
+    tree, queries_ = cover_tree.build(np.arange(4000), points), cover_tree.build(np.arange(0, 4000, 20), asked, 16)
+    who, found, scores = cover_tree.search(tree, queries_, 10)
+    assert sum(made) < 0.4 * 4000 * len(asked)
+    for q in range(0, 4000, 400):
+        exact = points @ points[q]
+        exact[q] = -np.inf
+        assert sorted(scores[who == q]) == sorted(np.sort(exact)[-10:])
+
+
 @pytest.mark.parametrize("sizes", [{}, {"shard_rows": 60, "block_queries": 7}])
 def test_cover_tree_search_is_exact(spark, sizes):
     vectors = clustered(300, 2)
