@@ -1,7 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney language models of characters.
 
 Toxic and ordinary labelled texts each give an interpolated Kneser-Ney model over 28 symbols: letters without accents,
-any other letter, and runs of anything else. Orders five to three are of the class alone; below, both
+digits, and runs of anything else. Letters of other scripts are dealt to the 26 by their code points, so that words of any
+script keep a shape of their own, though some letters of a script share one. Orders five to three are of the class alone; below, both
 classes share the continuation counts of two and one symbols, so an expression that a class has hardly seen is
 judged by what is usual in both. What the models say of a symbol after four others is one table of log-likelihood
 ratios with 28**5 places, the largest it can be however many texts are learned from.
@@ -30,7 +31,7 @@ from starling.llm.byte_bpe import slices
 from starling.llm.pieces import LETTER, Slice, character_classes
 from starling.session import settled
 
-SYMBOLS, ORDER = 28, 5
+SYMBOLS, LETTERS, ORDER = 28, 26, 5
 PASSAGE = 16
 #: Of the labelled texts, one part in so many fits the regression, the others the models.
 CALIBRATION_PARTS = 4
@@ -40,7 +41,13 @@ FEATURES = ("passage", "whole")
 
 
 def symbol_table() -> np.ndarray:
-    table = np.where(character_classes() == LETTER, SYMBOLS - 1, 0).astype(np.uint8)
+    """Per code point: 1 to 26 for a letter, 27 for a digit, 0 for anything else. Capitals count as small letters."""
+    letter = character_classes() == LETTER
+    small = np.arange(len(letter))
+    points = np.flatnonzero(letter)
+    small[points] = [ord(chr(p).lower()[0]) for p in points]
+    table = np.where(letter, 1 + small % LETTERS, 0).astype(np.uint8)
+    table[ord("0"):ord("9") + 1] = SYMBOLS - 1
     for point in range(0x41, 0x250):
         plain = unicodedata.normalize("NFKD", chr(point).lower())[0]
         if "a" <= plain <= "z" and table[point]:

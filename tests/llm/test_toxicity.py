@@ -14,14 +14,14 @@ ROOTS = ("grimbol", "snarvok", "zuthrek")
 def symbols(text):
     out = []
     for c in text.lower():
-        code = ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
+        code = (ord(c) - 96 if "a" <= c <= "z" else 27 if c in "0123456789" else 1 + ord(c) % 26 if c.isalpha() else 0)
         if code or not out or out[-1]:
             out.append(code)
     return out
 
 
 def test_grams_in_order():
-    texts = ["ab  cd", "", "x", "--", "日a"]
+    texts = ["ab  cd", "", "x", "--", "日a", "id1ot 22", "Ты ИДИОТ, κακός", "ты идиот, ΚΑΚΌ"]
     codes, sizes = toxicity.grams(texts)
     want = []
     for text in texts:
@@ -31,6 +31,33 @@ def test_grams_in_order():
     assert toxicity.symbol_table()[[ord(c) for c in "éÉñÇa"]].tolist() == [5, 5, 14, 3, 1]
 
 
+def test_scripts_and_digits_make_shapes_of_their_own():
+    def codes(text):
+        return toxicity.grams([text])[0].tolist()
+    for one, other in (("ты идиот и дурак", "мы пирог и салат"), ("id1ot", "id ot"), ("κακός", "καλός"), ("笨蛋", "天才")):
+        assert codes(one) != codes(other)
+    assert codes("ИДИОТ") == codes("идиот") and codes("ΚΑΚΌ") == codes("κακό")
+
+
+def test_toxic_words_of_other_scripts_are_learned(spark):
+    pick = random.Random(6)
+    clean = {"ru": "мы вчера были дома и пили чай с мёдом утром когда пришла почта".split(),
+             "el": "σήμερα πήγαμε στην αγορά για ψωμί και τυρί με τα παιδιά".split(),
+             "zh": "今天 我们 去 市场 买 面包 和 水果 然后 回家 吃饭".split()}
+    bad = {"ru": "идиот дурак подонок".split(), "el": "ηλίθιε κάθαρμα βλάκα".split(), "zh": "笨蛋 混蛋 白痴".split()}
+    rows = []
+    for i in range(600):
+        name, toxic = list(clean)[i % 3], int(pick.random() < 0.5)
+        words = [pick.choice(clean[name]) for _ in range(12)]
+        for _ in range(3 * toxic):
+            words[pick.randrange(12)] = pick.choice(bad[name])
+        rows.append((i, " ".join(words), toxic))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    fitted = toxicity.fit(df.where("doc_id < 450"))
+    held = df.where("doc_id >= 450").withColumn("score", toxicity.score(spark, fitted, F.col("text"))).collect()
+    assert sum((r["score"] >= 0.5) == (r["toxic"] == 1) for r in held) >= 0.95 * len(held)
+
+
 def plain_kneser_ney(texts, both):
     """P(symbol | four before) of one class from dictionaries; ``both``: texts of either class, for the low orders."""
     def full(some):
