@@ -616,18 +616,19 @@ def sample_by_hash(spark, folder):
 
 
 REGISTERED = (
-    scan_profile, footer_profile, csv_ingest, json_dimension, distinct_categories, distinct_states, table_preview, delivered_orders,
-    delivery_features, delivery_buckets, items_rollup, reviews_rollup, order_master, order_master_bucketed, mart_by_month, mart_refreshed,
-    kpis, filtered_kpis, kpis_of_listed_products,
+    scan_profile, footer_profile, csv_ingest, json_dimension, distinct_categories, distinct_states, table_preview,
+    delivered_orders, delivery_features, delivery_buckets, items_rollup, reviews_rollup, order_master,
+    order_master_bucketed, mart_by_month, mart_refreshed, kpis, filtered_kpis, kpis_of_listed_products,
     bad_rate_by_delivery_bucket, filtered_bad_rate_by_delivery_bucket, worst_categories, worst_categories_chart,
-    best_categories,
-    elevated_categories, monthly_trend, state_rates, state_summary, state_rates_dense, score_distribution,
-    raw_bad_share, delay_histogram, delay_histogram_own_range, late_effect_ztest, late_effect_pvalue, late_effect_by_state,
-    month_effect_by_category, late_effect_verdict, top_n_levels, rare_level_grouping, model_features, model_indicators, train_test_split, stratified_split, class_weights,
-    auc_rank_sum, auc_from_histogram, roc_curve, roc_curve_corners, roc_from_histogram, confusion_matrix, precision_recall, risk_tiers, risk_model_auc,
-    feature_importance, split_importance, model_confusion, model_roc, score_scenarios, scenario_grid,
-    scenario_means, review_sentiment, review_sentiment_negated, review_sentiment_long_list,
-    sentiment_by_star, sentiment_by_star_midpoint, sentiment_by_star_sketched, sentiment_mismatch, mismatched_reviews, sample_by_hash,
+    best_categories, elevated_categories, monthly_trend, state_rates, state_summary, state_rates_dense,
+    score_distribution, raw_bad_share, delay_histogram, delay_histogram_own_range, late_effect_ztest,
+    late_effect_pvalue, late_effect_by_state, month_effect_by_category, late_effect_verdict, top_n_levels,
+    rare_level_grouping, model_features, model_indicators, train_test_split, stratified_split, class_weights,
+    auc_rank_sum, auc_from_histogram, roc_curve, roc_curve_corners, roc_from_histogram, confusion_matrix,
+    precision_recall, risk_tiers, risk_model_auc, feature_importance, split_importance, model_confusion, model_roc,
+    score_scenarios, scenario_grid, scenario_means, review_sentiment, review_sentiment_negated,
+    review_sentiment_long_list, sentiment_by_star, sentiment_by_star_midpoint, sentiment_by_star_sketched,
+    sentiment_mismatch, mismatched_reviews, sample_by_hash,
 )
 
 
