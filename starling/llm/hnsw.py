@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from starling.llm.blocks import best, nearest, usable
 
-LINKS, BEAM_BUILD, BEAM_SEARCH = 16, 96, 128
+LINKS, BEAM_BUILD, BEAM_SEARCH = 16, 96, 160
 #: Rows of a shard. A search visits a few thousand nodes of a shard of any size, so shards should be as large as a task has
 #: memory and time to build; this many take about half a minute. With larger ones a wider beam keeps the recall.
 SHARD_ROWS = 25_000
