@@ -128,6 +128,41 @@ def test_importances_from_nodes(fitted):
         model.importance(kind="luck")
 
 
+def test_scores_come_from_sets_of_leaves(spark, fitted, tmp_path):
+    """Scoring needs the table of nodes only, takes an order's numbers unbinned, and makes one pass through Python."""
+    model, scored = fitted
+    model.save(str(tmp_path / "model"))
+    apart = RiskModel(None, model.levels, str(tmp_path / "model"))
+    orders = scored.drop(risk_model.SCORE, "risk")
+    again = apart.score(orders)
+    assert again.columns == scored.columns
+    assert again._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    expected = {r.order_id: r.probability for r in model.trees.transform(
+        orders.withColumn("features", model.levels.vector())).select("order_id", "probability").collect()}
+    assert {r.order_id: r.probability_bad for r in again.collect()} == pytest.approx(
+        {k: v[1] for k, v in expected.items()}, abs=1e-12)
+
+
+def test_leaves_beyond_one_word():
+    """A tree of 200 leaves, a chain to the left, and one without a question, against walking them."""
+    n, edges = 200, np.arange(199) * 1.0
+    left, right = np.arange(1, 2 * n - 1, 2), np.arange(2, 2 * n, 2)
+    children = np.arange(2 * n)
+    at = [0, *left[:-1]]                          # the node that asks for each edge, the largest first
+    feature, threshold, prediction = np.zeros(2 * n, int), np.full(2 * n, np.inf), np.zeros(2 * n)
+    lefts, rights = children.copy(), children.copy()
+    for i, node in enumerate(at):
+        lefts[node], rights[node], threshold[node] = left[i], right[i], edges[::-1][i]
+        prediction[right[i]] = n - 1 - i
+    prediction[-1] = 0.25
+    trees = tree_nodes.Trees(np.array([0, 2 * n - 1]), np.array([0.01, 2.0]), lefts, rights, feature, threshold, prediction)
+    x = np.array([[-1.0], [0.0], [0.5], [63.0], [63.5], [64.5], [127.5], [198.0], [198.5], [1e9]])
+    margin = 0.01 * np.searchsorted(edges, x[:, 0], side="left") + 0.5
+    assert trees.exits.words == 4
+    assert trees.probability(x) == pytest.approx(1 / (1 + np.exp(-2 * margin)), abs=1e-12)
+    assert len(trees.probability(np.zeros((0, 1)))) == 0
+
+
 def test_probabilities_from_nodes(fitted):
     model, scored = fitted
     trees = tree_nodes.Trees.of(model.nodes())
