@@ -39,6 +39,17 @@ def test_no_shuffle_and_no_sort_by_order(spark, settings, trade, tmp_path):
     assert rows(whole) == rows(order_master(trade))
 
 
+def test_buckets_grow_with_the_tables(spark, trade, tmp_path):
+    few, many = (trade.items.count() // n for n in (3, 12))
+    assert bucketed.bucket_count(trade, 8) == 8 and bucketed.bucket_count(trade, 1, few) in (3, 4)
+    buckets = bucketed.bucket_count(trade, 2, many)
+    assert buckets in (12, 13)
+    bucketed.land_bucketed(trade, str(tmp_path), buckets)
+    sizes = spark.read.parquet(str(tmp_path / "bucketed" / "items")).groupBy(F.input_file_name()).count().collect()
+    assert len(sizes) == buckets and max(r["count"] for r in sizes) < 2 * many
+    assert rows(bucketed.order_master_of(bucketed.bucketed_parts(spark, str(tmp_path)))) == rows(order_master(trade))
+
+
 def test_crowded_orders_are_split_as_usual(spark, settings, trade, tmp_path):
     settings(spark__sql__autoBroadcastJoinThreshold="-1")
     hot = trade.items.orderBy("order_id").first()["order_id"]
