@@ -107,17 +107,20 @@ def refresh_mart(spark: SparkSession, source: str, folder: str) -> Refreshed:
         return Refreshed((), (), 0)
 
     orders = _with_file(spark, source, "orders", KEY, MOMENT).select(KEY, _month().alias("month"), "file")
-    if every.where(F.col("kind").isin(*DIMENSIONS)).count():
+    tables = parquet_tables(spark, source)
+    if whole := bool(every.where(F.col("kind").isin(*DIMENSIONS)).count()):
         months = sorted(str(r[0]) for r in touched.select("month").unionByName(orders.select("month")).distinct().collect())
     else:
         months = _stale_months(spark, source, changed, gone, touched, orders)
     stale = [F.lit(m).cast("date") for m in months]
-    rebuilt = orders.where(F.col("month").isin(*stale))
-    tables = parquet_tables(spark, source)
-    ids = rebuilt.select(KEY).where(F.col(KEY).isNotNull()).distinct()
-    part = tables.with_table(orders=tables.orders.where(_month().isin(*stale)),
-                             items=tables.items.join(ids, KEY, "left_semi"),
-                             reviews=tables.reviews.join(ids, KEY, "left_semi"))
+    rebuilt, part = orders, tables
+    if not whole:
+        # Where all months are stale, no row would be left out by these joins, which move every item unreduced.
+        rebuilt = orders.where(F.col("month").isin(*stale))
+        ids = rebuilt.select(KEY).where(F.col(KEY).isNotNull()).distinct()
+        part = tables.with_table(orders=tables.orders.where(_month().isin(*stale)),
+                                 items=tables.items.join(ids, KEY, "left_semi"),
+                                 reviews=tables.reviews.join(ids, KEY, "left_semi"))
     built = settled(order_master(part).withColumn(MONTH, month_of(MOMENT).cast("date")))
     (built.hint("rebalance", F.col(MONTH)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(MONTH).parquet(f"{folder}/months"))

@@ -59,6 +59,21 @@ def test_first_build_and_nothing_new(spark, source):
     up_to_date(spark, folder, mart)
 
 
+def test_only_a_partial_build_picks_items(spark, source, monkeypatch):
+    """Where all months are built, items and reviews go to their roll-ups as they are, without a join that moves every row."""
+    tables, folder, mart = source
+    joins, build = [], refresh.order_master
+    monkeypatch.setattr(refresh, "order_master", lambda part: joins.append(
+        [df._jdf.queryExecution().analyzed().toString().count("Join LeftSemi") for df in (part.items, part.reviews)])
+        or build(part))
+    refresh.refresh_mart(spark, folder, mart)
+    refresh.add_files(tables.with_table(items=small.items(spark, [("2-1", 9, "p1", "s1", 5.0, 1.0)])), folder, "items")
+    refresh.refresh_mart(spark, folder, mart)
+    assert joins == [[0, 0], [1, 1]]
+    monkeypatch.undo()
+    up_to_date(spark, folder, mart)
+
+
 def test_a_new_file_rewrites_only_its_months(spark, source, tmp_path):
     tables, folder, mart = source
     refresh.refresh_mart(spark, folder, mart)
