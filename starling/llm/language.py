@@ -35,7 +35,9 @@ SAMPLE_TEXTS, LANDMARKS = 2000, 192
 PRESENCE = 1 << 17
 RIDGE = 1e-2
 PASSAGE_CHARS = 1500
-BATCH_PASSAGES, SLICE_CHARS = 256, 400_000
+BATCH_PASSAGES = 256
+#: Passages predicted at a time and the characters of the texts at hand: workers keep their largest arrays' memory while they are idle.
+AT_ONCE, SLICE_CHARS = 64, 100_000
 #: Places that n-grams of two and three characters are hashed to, and one in how many labelled passages of a language must
 #: hold an n-gram that is usual in it.
 PLACES, USUAL = 1 << 22, 100
@@ -92,8 +94,8 @@ class LanguageModel:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
         cut = [passages(t) for t in texts]
         every, size = [p for some in cut for p in some], [len(p) + 1e-9 for some in cut for p in some]
-        margins = np.concatenate([self.kernel(present(every[at:at + BATCH_PASSAGES])) @ self.weights
-                                  for at in range(0, len(every), BATCH_PASSAGES)]).astype(float)
+        margins = np.concatenate([self.kernel(present(every[at:at + AT_ONCE])) @ self.weights
+                                  for at in range(0, len(every), AT_ONCE)]).astype(float)
         start = np.cumsum([0, *map(len, cut)])[:-1]
         margins = (np.add.reduceat(margins * np.array(size)[:, None], start)
                    / np.add.reduceat(np.array(size), start)[:, None])

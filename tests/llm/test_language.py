@@ -138,3 +138,17 @@ def test_rows_without_an_id_are_not_held_out(spark, tmp_path):
     cases.documents(spark, cases.ROWS).write.parquet(f"{tmp_path}/documents.parquet")
     rows = queries.op7_language(spark, str(tmp_path)).collect()
     assert [r["held_out"] for r in rows if r["doc_id"] is None] == [False, False] and len(rows) == len(cases.ROWS)
+
+
+def test_few_passages_are_flagged_at_a_time(monkeypatch):
+    """A worker keeps the memory of its largest arrays, so long texts are predicted a few passages at a time."""
+    labelled = [("the cat sat on the mat", "en"), ("le chat sur le tapis", "fr")]
+    flags = language.present([t for t, _ in labelled])
+    columns = np.flatnonzero(flags.any(0))
+    model = language.LanguageModel(["en", "fr"], columns, flags[:, columns].astype(np.float32).T,
+                                   np.array([[1.0, -1.0], [-1.0, 1.0]], np.float32))
+    sizes, present = [], language.present
+    monkeypatch.setattr(language, "present", lambda texts: sizes.append(len(texts)) or present(texts))
+    texts = ["the cat sat on the mat " * 20_000, "le chat sur le tapis"]
+    assert model.predict(texts)[0] == ["en", "fr"]
+    assert max(sizes) <= language.AT_ONCE < sum(sizes) and language.SLICE_CHARS <= 100_000
