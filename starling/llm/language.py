@@ -35,9 +35,9 @@ SAMPLE_TEXTS, LANDMARKS = 2000, 192
 PRESENCE = 1 << 17
 RIDGE = 1e-2
 PASSAGE_CHARS = 1500
-BATCH_PASSAGES = 256
-#: Passages predicted at a time and the characters of the texts at hand: workers keep their largest arrays' memory while they are idle.
-AT_ONCE, SLICE_CHARS = 64, 100_000
+BATCH_PASSAGES, SLICE_CHARS = 256, 400_000
+#: Passages of a batch that are flagged at a time: workers keep the memory of their largest arrays while they are idle.
+AT_ONCE = 64
 #: Places that n-grams of two and three characters are hashed to, and one in how many labelled passages of a language must
 #: hold an n-gram that is usual in it.
 PLACES, USUAL = 1 << 22, 100
@@ -84,8 +84,17 @@ class LanguageModel:
     weights: np.ndarray      # landmarks by languages
 
     def kernel(self, flags: np.ndarray) -> np.ndarray:
-        own = np.sqrt(np.maximum(flags.sum(1), 1)).astype(np.float32)
-        return flags[:, self.columns].astype(np.float32) @ self.landmarks / own[:, None]
+        return self.products([(flags[:, self.columns], flags.sum(1))])
+
+    def kernel_of(self, texts: list[str]) -> np.ndarray:
+        """The kernel of one batch, of whose flags only the landmarks' columns are held for all texts."""
+        parts = (present(texts[at:at + AT_ONCE]) for at in range(0, len(texts), AT_ONCE))
+        return self.products([(flags[:, self.columns], flags.sum(1)) for flags in parts])
+
+    def products(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        held, own = (np.concatenate(some) for some in zip(*parts))
+        own = np.sqrt(np.maximum(own, 1)).astype(np.float32)
+        return held.astype(np.float32) @ self.landmarks / own[:, None]
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         letter = character_classes()
@@ -94,8 +103,8 @@ class LanguageModel:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
         cut = [passages(t) for t in texts]
         every, size = [p for some in cut for p in some], [len(p) + 1e-9 for some in cut for p in some]
-        margins = np.concatenate([self.kernel(present(every[at:at + AT_ONCE])) @ self.weights
-                                  for at in range(0, len(every), AT_ONCE)]).astype(float)
+        margins = np.concatenate([self.kernel_of(every[at:at + BATCH_PASSAGES]) @ self.weights
+                                  for at in range(0, len(every), BATCH_PASSAGES)]).astype(float)
         start = np.cumsum([0, *map(len, cut)])[:-1]
         margins = (np.add.reduceat(margins * np.array(size)[:, None], start)
                    / np.add.reduceat(np.array(size), start)[:, None])

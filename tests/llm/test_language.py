@@ -151,4 +151,7 @@ def test_few_passages_are_flagged_at_a_time(monkeypatch):
     monkeypatch.setattr(language, "present", lambda texts: sizes.append(len(texts)) or present(texts))
     texts = ["the cat sat on the mat " * 20_000, "le chat sur le tapis"]
     assert model.predict(texts)[0] == ["en", "fr"]
-    assert max(sizes) <= language.AT_ONCE < sum(sizes) and language.SLICE_CHARS <= 100_000
+    assert max(sizes) <= language.AT_ONCE < sum(sizes)
+    monkeypatch.undo()
+    some = language.passages(texts[0])[:200]
+    assert (model.kernel_of(some) == model.kernel(present(some))).all()
