@@ -58,7 +58,7 @@ class Vocabulary:
         if not len(s.points):
             return [b""] * len(texts)
         at = spaced_pieces(s)
-        place = s.byte_place()[at]
+        place = s.byte_place(at)
         ids, sizes = merged(s.raw, place[:-1], place[1:], self.pairs, lambda raw, _: self.single[raw], self.whole)
         before = np.concatenate(([0], sizes.cumsum()))
         ends = before[np.searchsorted(at, s.lengths.cumsum())] * 4

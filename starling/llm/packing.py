@@ -31,7 +31,7 @@ SIZE, END_ID = 4096, 1
 #: Numbers within a length are given out in this many parts each, so that a length which a third of the pieces
 #: have is sorted in as many tasks.
 PARTS = 256
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 500_000
 
 
 # ---------------------------------------------------------------- ids
@@ -82,9 +82,9 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         s = Slice.of(texts)
-        strange = np.concatenate(([0], np.cumsum(~self.plain[s.points])))
         ends = s.lengths.cumsum()
-        other = np.flatnonzero(strange[ends] != strange[ends - s.lengths])
+        other = np.unique(np.searchsorted(ends, np.flatnonzero(~self.plain[s.points]), side="right"))
+        del s
         if len(other):
             plain = list(texts)
             for i in other.tolist():
@@ -97,7 +97,7 @@ class WordTokenizer:
         if not len(s.points):
             return [b""] * len(texts)
         at, dropped = unspaced_pieces(s)
-        place = s.byte_place()[at]
+        place = s.byte_place(at)
         ids, sizes = merged(s.raw, place[:-1][~dropped], place[1:][~dropped], self.pairs,
                             lambda raw, last: np.where(last, self.last[raw], self.single[raw]))
         all_sizes = np.zeros(len(at) - 1, np.int64)

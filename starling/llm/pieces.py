@@ -23,6 +23,8 @@ WHITE_SPACE = ((9, 13), (32, 32), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680),
 #: with a heap, which takes the same merges in the same order.
 LONG_PIECE = 256
 MATRIX_ROWS = 8192
+#: Bytes whose hashes are worked out at a time: eight bytes and more are held for each of them.
+BLOCK_BYTES = 1 << 16
 NO_RANK = np.int32(2**31 - 1)
 FREE = np.int64(-1)
 
@@ -58,15 +60,16 @@ class Slice:
         first[np.concatenate(([0], lengths.cumsum()))] = True
         return cls(points, first, lengths, np.frombuffer(joined.encode(), np.uint8))
 
-    def byte_place(self) -> np.ndarray:
-        """Byte offset of each code point, and of the end."""
+    def byte_place(self, at: np.ndarray) -> np.ndarray:
+        """Byte offsets of the code points at the rising places ``at``, of which the first is the beginning and the last the
+        end. Only one byte is held for a code point."""
         p = self.points
         if len(self.raw) == len(p):
-            return np.arange(len(p) + 1)
-        size = np.ones(len(p), np.int64)
+            return at
+        size = np.ones(len(p), np.uint8)
         for least in (0x80, 0x800, 0x10000):
             size += p >= least
-        return np.concatenate(([0], size.cumsum()))
+        return np.concatenate(([0], np.add.reduceat(size, at[:-1], dtype=np.int64).cumsum()))
 
 
 def _contractions(s: Slice, kind: np.ndarray, free: np.ndarray) -> list[tuple[np.ndarray, int]]:
@@ -116,9 +119,17 @@ def unspaced_pieces(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     return at, kind[at[:-1]] == SPACE
 
 
-@functools.cache
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a number and of its inverse modulo 2**64."""
+    """Powers of a number and of its inverse modulo 2**64, ``size`` of them or more. Only those of a usual block are kept."""
+    return _usual_powers() if size <= BLOCK_BYTES else _computed_powers(size)
+
+
+@functools.cache
+def _usual_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _computed_powers(BLOCK_BYTES)
+
+
+def _computed_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     base = 0x9E3779B97F4A7C15
     up, down = np.ones(size, np.uint64), np.ones(size, np.uint64)
     up[1:], down[1:] = np.uint64(base), np.uint64(pow(base, -1, 2**64))
@@ -128,22 +139,40 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 _SPREAD = np.random.default_rng(7).integers(1, 2**63, 256, np.int64).astype(np.uint64)
 
 
+def _blocks(starts: np.ndarray, ends: np.ndarray) -> list[slice]:
+    """Pieces that lie within ``BLOCK_BYTES`` together, or one that is longer, so that what is held for each byte is held for
+    a block at a time."""
+    found, at = [], 0
+    while at < len(starts):
+        beyond = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK_BYTES, side="right")))
+        found.append(slice(at, beyond))
+        at = beyond
+    return found
+
+
+def _like(raw: np.ndarray, starts: np.ndarray, others: np.ndarray, length: np.ndarray) -> bool:
+    """Whether the bytes from ``starts`` on are those from ``others`` on, over the lengths given."""
+    step = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    return bool((raw[np.repeat(starts, length) + step] == raw[np.repeat(others, length) + step]).all())
+
+
 def distinct(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each piece the number of its text among the distinct ones; for each of those, its first piece."""
-    size = (len(raw) + 1 | 0x3FFFF) + 1
-    up, down = _powers(size)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_SPREAD[raw] * up[:len(raw)])))
-    hashes = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)
+    hashes, blocks = np.empty(len(starts), np.uint64), _blocks(starts, ends)
+    for some in blocks:
+        # A hash does not depend on where its piece lies, so powers are counted from the block's first byte.
+        s, e = starts[some] - starts[some.start], ends[some] - starts[some.start]
+        up, down = _powers(int(e[-1]))
+        here = _SPREAD[raw[starts[some.start]:ends[some.stop - 1]]] * up[:e[-1]]
+        sums = np.add.reduceat(here, np.column_stack((s, e)).ravel()[:-1])[::2]
+        hashes[some] = sums * down[s] + (e - s).astype(np.uint64)
     codes, found = pd.factorize(hashes)
     first = np.empty(len(found), np.int64)
     first[codes[::-1]] = np.arange(len(codes))[::-1]
     length = ends - starts
     same = length == length[first][codes]
     if same.all():
-        shift = starts[first][codes] - starts
-        place = np.arange(starts[0], ends[-1]) if len(starts) and (starts[1:] == ends[:-1]).all() else \
-            np.repeat(starts - (np.cumsum(length) - length), length) + np.arange(length.sum())
-        same = raw[place] == raw[place + np.repeat(shift, length)]
+        same = np.array([_like(raw, starts[some], starts[first[codes[some]]], length[some]) for some in blocks])
     if same.all():
         return codes, first
     texts = [raw[a:b].tobytes() for a, b in zip(starts, ends)]     # two texts of one hash: compare them all

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations as subsets
@@ -10,7 +11,7 @@ from hypothesis import given, settings as rounds, strategies as st
 from pyspark.sql import functions as F
 
 import cases
-from starling.llm import packing, queries
+from starling.llm import packing, pieces, queries
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -27,6 +28,32 @@ def test_ids_are_those_of_the_library(texts):
     assert found == library_ids(texts)
 
 
+def test_little_is_held_for_each_character():
+    words, pick = packing.word_tokenizer(PATH), np.random.default_rng(3)
+    vocabulary = ["".join(pick.choice(list("abcdeéfgh"), pick.integers(1, 8))) for _ in range(3000)]
+    text = " ".join(pick.choice(vocabulary, 100_000))
+    words.encode([text[:1000]])
+    tracemalloc.start()
+    try:
+        words.encode([text])
+        after, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert peak < 35 * len(text)
+    assert after < len(text) / 4
+
+
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_blocks_do_not_change_what_is_distinct(monkeypatch, block):
+    pick = random.Random(5)
+    texts = ["".join(pick.choice("ab é") for _ in range(pick.randint(0, 30))) + " " + "b" * 300 for _ in range(40)]
+    monkeypatch.setattr(pieces, "BLOCK_BYTES", block)
+    pieces._usual_powers.cache_clear()
+    found = [np.frombuffer(x, "<u4").tolist() for x in packing.word_tokenizer(PATH).encode(texts)]
+    pieces._usual_powers.cache_clear()
+    assert found == library_ids(texts)
+
+
 def test_fullest_is_the_best_there_is():
     pick = random.Random(3)
     for _ in range(200):
