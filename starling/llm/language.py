@@ -154,16 +154,18 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     names = np.array([languages.index(name) for name, _ in found])
     each = max(1, landmarks // len(languages))
     picked = np.concatenate([np.flatnonzero(names == i)[:each] for i in range(len(languages))])
-    flags = present([found[i][1] for i in picked])
-    columns = np.flatnonzero(flags.any(0))
-    chosen = flags[:, columns].astype(np.float32).T
-    chosen /= np.sqrt(np.maximum(flags.sum(1), 1)).astype(np.float32)
+    # Flagged twice, so that the driver never holds the flags of more than a few passages.
+    few = [[found[i][1] for i in picked[at:at + AT_ONCE]] for at in range(0, len(picked), AT_ONCE)]
+    columns = np.flatnonzero(np.logical_or.reduce([present(texts).any(0) for texts in few]))
+    parts = [(flags[:, columns], flags.sum(1)) for flags in map(present, few)]
+    chosen = np.concatenate([held for held, _ in parts]).astype(np.float32).T
+    chosen /= np.sqrt(np.maximum(np.concatenate([own for _, own in parts]), 1)).astype(np.float32)
     model = LanguageModel(languages, columns, chosen, np.zeros((0, 0), np.float32))
-    among = model.kernel(flags).astype(float)
+    among = model.products(parts).astype(float)
     values, vectors = np.linalg.eigh((among + among.T) / 2)
     strong = values > 1e-6 * max(values.max(), 1e-12)
     root = vectors[:, strong] / np.sqrt(values[strong])
-    features = np.concatenate([model.kernel(present([p for _, p in found[at:at + BATCH_PASSAGES]]))
+    features = np.concatenate([model.kernel_of([p for _, p in found[at:at + BATCH_PASSAGES]])
                                for at in range(0, len(found), BATCH_PASSAGES)]).astype(float) @ root
     wanted = np.where(names[:, None] == np.arange(len(languages)), 1.0, -1.0)
     # Each language weighs the same, however many texts it has.
@@ -235,14 +237,14 @@ def fit_familiar(labelled: DataFrame, text: str = "text", lang: str = "lang", ke
         by_language.setdefault(name, []).append(passage)
     names = sorted(by_language)
     texts = [sorted(by_language[name], key=lambda t: (zlib.crc32(t.encode()), t)) for name in names]
-    grams = [[x for x in map(hashed_grams, some) if len(x)] for some in texts]
+    grams = [[x.astype(np.int32) for x in map(hashed_grams, some) if len(x)] for some in texts]
     flags = usual_grams(grams)
     shuffle = np.random.default_rng(42)
     unlike = [familiarity(flags, hashed_grams("".join(shuffle.permutation(list(t)))))
               for some in texts for t in some[:max(1, BATCH_PASSAGES // len(names))]]
     reached = [float(np.median(unlike))] if unlike else [0.0]
     if len(names) > 1:
-        others = [usual_grams(grams[:i] + grams[i + 1:]) for i in range(len(names))]
+        others = (usual_grams(grams[:i] + grams[i + 1:]) for i in range(len(names)))
         reached.append(float(np.median([np.median([familiarity(f, x) for x in some])
                                         for f, some in zip(others, grams) if some] or [0.0])))
     halves = [usual_grams([some[side::2] for some in grams]) for side in (0, 1)]

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -155,3 +157,20 @@ def test_few_passages_are_flagged_at_a_time(monkeypatch):
     monkeypatch.undo()
     some = language.passages(texts[0])[:200]
     assert (model.kernel_of(some) == model.kernel(present(some))).all()
+
+
+def test_fit_holds_the_flags_of_few_passages(monkeypatch):
+    pick = np.random.default_rng(3)
+    sample = sorted((name, "".join(pick.choice(list(letters), 400))) for name, letters in (("x", "abcde "), ("y", "vwxyz "))
+                    for _ in range(150))
+    monkeypatch.setattr(language, "training_sample", lambda *_: sample)
+    language.character_classes()
+    tracemalloc.start()
+    try:
+        model = language.fit(None)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    flags = language.present([p for _, p in sample])
+    assert peak < 0.75 * flags.nbytes
+    assert model.predict([p for _, p in sample])[0] == [name for name, _ in sample]
