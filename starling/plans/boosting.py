@@ -1,0 +1,284 @@
+"""Training of boosted trees on binned inputs: one Spark job for each level of each tree, over blocks of rows.
+
+The trees are those of Spark's ``GBTClassifier`` with logistic loss: regression trees on the gradient, grown level by level,
+the question with the largest fall of the variance first, and the mean as prediction. A task counts a column of bins or of
+names once, whatever the number of indicators that stand for its names, and many rows at a time.
+"""
+
+from __future__ import annotations
+
+import json
+import time
+import uuid
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass, replace
+from itertools import batched
+
+import numpy as np
+import pandas as pd
+from pyspark import RDD, StorageLevel
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.sql import DataFrame, SparkSession
+
+from starling.session import checkpoint_folder
+
+#: Rows that a task counts in for one more task, and Arrow batches in a block.
+ROWS_A_TASK, BATCHES = 500_000, 5
+#: Trees after which the margins are checkpointed, so that a lost executor redoes no more than these.
+TREES_KEPT = 25
+#: A smaller share of a node's mean square is rounding and no gain.
+ROUNDING = 1e-12
+
+
+@dataclass(frozen=True)
+class Questions:
+    """What a tree may ask of rows that hold a bin (from 0) per number and a place (from 1; 0 for none) per kind of name. The
+    values of all columns stand side by side as slots; questions come in the order of the model's inputs."""
+    start: np.ndarray           # first slot of each column, and the end
+    column: np.ndarray          # per question
+    feature: np.ndarray         # the model's input that is asked for
+    threshold: np.ndarray
+    above: np.ndarray           # questions by slots: whether a value answers with "above"
+
+    @staticmethod
+    def of(bins: Sequence[int], names: Sequence[int]) -> Questions:
+        """``bins`` of each number, then how many names of each kind have an indicator."""
+        start = np.cumsum([0, *bins, *[n + 1 for n in names]])
+        asked = [(c, c, at + 0.5, range(at + 1, n)) for c, n in enumerate(bins) for at in range(n - 1)]
+        for c, n in enumerate(names, len(bins)):
+            first = len(bins) + sum(names[:c - len(bins)])
+            asked += [(c, first + at, 0.5, (at + 1,)) for at in range(n)]
+        above = np.zeros((len(asked), start[-1]), bool)
+        for at, (c, _, _, values) in enumerate(asked):
+            above[at, start[c] + np.array(values, int)] = True
+        column, feature, threshold = ([q[i] for q in asked] for i in range(3))
+        return Questions(start, np.array(column, int), np.array(feature, int), np.array(threshold, float), above)
+
+    @property
+    def below(self) -> np.ndarray:
+        """Slots by questions, 1 where a value of the asked column answers with "not above"."""
+        of_slot = np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))
+        return ((of_slot == self.column[:, None]) & ~self.above).T.astype(float)
+
+
+@dataclass(frozen=True)
+class Tree:
+    """Nodes in heap order: the children of i are 2 i + 1 and 2 i + 2."""
+    question: np.ndarray        # -1 for a leaf
+    gain: np.ndarray
+    stats: np.ndarray           # by node: weight, and weighted sums of the target and of its square, rows
+
+    @staticmethod
+    def empty(depth: int) -> Tree:
+        n = 2 ** (depth + 1) - 1
+        return Tree(np.full(n, -1), np.full(n, -1.0), np.zeros((n, 4)))
+
+    @property
+    def prediction(self) -> np.ndarray:
+        weight = self.stats[:, 0]
+        return np.divide(self.stats[:, 1], weight, out=np.zeros(len(weight)), where=weight > 0)
+
+    def walk(self, asks: Questions, levels: int) -> Walk:
+        """The way down from the root by as many questions."""
+        node = np.arange(2 ** levels - 1)
+        question, n_slots = self.question[node], asks.start[-1]
+        to = np.repeat(node[:, None], n_slots, 1)                       # a leaf sends all to itself
+        inner = np.flatnonzero(question >= 0)
+        to[inner] = 2 * inner[:, None] + 1 + asks.above[question[inner]]
+        column = np.zeros(len(node), int)
+        column[inner] = asks.column[question[inner]]
+        return Walk(to.ravel(), node * n_slots + asks.start[column], column, levels)
+
+
+@dataclass(frozen=True)
+class Walk:
+    to: np.ndarray              # where each node sends each slot
+    first: np.ndarray           # per node: the place in ``to`` of value 0 of the column it asks for
+    column: np.ndarray
+    levels: int
+
+
+@dataclass(frozen=True)
+class Block:
+    """Rows of one task: columns by rows of small numbers, the class as -1 or 1, the weight and the margin so far."""
+    values: np.ndarray
+    side: np.ndarray
+    weight: np.ndarray
+    margin: np.ndarray | None = None
+
+    def target(self) -> np.ndarray:
+        """The class for the first tree, and from then on the falling gradient of the loss."""
+        side = self.side.astype(float)
+        return side if self.margin is None else 4 * side / (1 + np.exp(2 * side * self.margin))
+
+    def nodes(self, walk: Walk) -> np.ndarray:
+        """The node where each row ends."""
+        rows, flat = np.arange(self.values.shape[1]), self.values.ravel()
+        at = np.zeros(len(rows), int)
+        for _ in range(walk.levels):
+            at = walk.to[walk.first[at] + flat[walk.column[at] * len(rows) + rows]]
+        return at
+
+    def after(self, walk: Walk, gained: np.ndarray) -> Block:
+        """With what the tree adds at each node to the margin."""
+        more = gained[self.nodes(walk)]
+        return replace(self, margin=more if self.margin is None else self.margin + more)
+
+    def counted(self, walk: Walk, place: np.ndarray, n_places: int, asks: Questions) -> np.ndarray:
+        """Statistics by kind, by place of the node (the last is left out), by slot."""
+        at, target = place[self.nodes(walk)], self.target()
+        first = self.weight * target
+        out = np.zeros((4, n_places, asks.start[-1]))
+        for values, start, end in zip(self.values, asks.start, asks.start[1:]):
+            cell, size = at * (end - start) + values, (n_places + 1) * (end - start)
+            for kind, summed in enumerate((self.weight, first, first * target, None)):
+                out[kind, :, start:end] = np.bincount(cell, summed, size).reshape(-1, end - start)[:-1]
+        return out
+
+
+def blocks_of(rows: DataFrame, label: str, weight: str, columns: Sequence[str], asks: Questions) -> RDD:
+    """The rows as blocks, dealt evenly."""
+    kind = np.min_scalar_type(int(np.diff(asks.start).max()) - 1)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in batched(batches, BATCHES):
+            part = pd.concat(some)
+            yield pd.DataFrame({"n": [len(part)], "side": [(2 * part[label] - 1).to_numpy(np.int8).tobytes()],
+                                "weight": [part[weight].to_numpy(float).tobytes()],
+                                "inputs": [part[list(columns)].to_numpy(kind).T.tobytes()]})
+
+    def opened(row) -> Block:
+        return Block(np.frombuffer(row["inputs"], kind).reshape(len(columns), row["n"]),
+                     np.frombuffer(row["side"], np.int8), np.frombuffer(row["weight"], float))
+
+    n_tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_A_TASK))
+    dealt = rows.select(label, weight, *columns).repartition(n_tasks)
+    return dealt.mapInPandas(pack, "n int, side binary, weight binary, inputs binary").rdd.map(opened)
+
+
+def best_questions(stats: np.ndarray, asks: Questions, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per node: its statistics, the best question (-1 if none gains), the gain, and the statistics of the side below."""
+    whole = stats[:, :, :asks.start[1]].sum(2)
+    nodes = np.arange(whole.shape[1])
+    if not len(asks.column):
+        return whole.T, np.full(len(nodes), -1), np.full(len(nodes), -1.0), np.zeros((len(nodes), 4))
+    below = stats @ asks.below
+    above = whole[:, :, None] - below
+    allowed = (np.minimum(below[0], above[0]) >= least) & (np.minimum(below[3], above[3]) >= 1)
+
+    def explained(side):
+        return np.divide(side[1] ** 2, side[0], out=np.zeros(side[0].shape), where=side[0] > 0)
+
+    weight = np.where(whole[0] > 0, whole[0], 1.0)
+    gain = (explained(below) + explained(above) - explained(whole)[:, None]) / weight[:, None]
+    gain = np.where(allowed, gain, -1.0)
+    best = gain.argmax(1)
+    found = gain[nodes, best]
+    gains = found > ROUNDING * whole[2] / weight
+    return whole.T, np.where(gains, best, -1), np.where(gains, found, -1.0), below[:, nodes, best].T
+
+
+def grown(blocks: RDD, asks: Questions, depth: int, least: float) -> Tree:
+    """One tree on the rows as they are. What comes to the driver is a table of statistics per task, of a size that depends on
+    the depth and the bins only."""
+    tree, wanted = Tree.empty(depth), np.array([0])
+    for level in range(max(depth, 1)):
+        def counted(some: Iterable[Block], level=level, wanted=wanted) -> Iterator[np.ndarray]:
+            place = np.full(len(tree.question), len(wanted))
+            place[wanted] = np.arange(len(wanted))
+            walk, total = tree.walk(asks, level), np.zeros((4, len(wanted), asks.start[-1]))
+            for block in some:
+                total += block.counted(walk, place, len(wanted), asks)
+            yield total
+
+        whole, best, gain, below = best_questions(blocks.mapPartitions(counted).reduce(np.add), asks, least)
+        if level == 0:
+            tree.stats[0] = whole[0]
+        split = (best >= 0) & (depth > 0)
+        parents = wanted[split]
+        tree.question[parents], tree.gain[parents] = best[split], gain[split]
+        tree.stats[2 * parents + 1], tree.stats[2 * parents + 2] = below[split], (whole - below)[split]
+        wanted = np.sort(np.concatenate([2 * parents + 1, 2 * parents + 2]))
+        if not len(wanted):
+            break
+    return tree
+
+
+def boosted(blocks: RDD, asks: Questions, trees: int, depth: int, rate: float, least: float) -> list[Tree]:
+    """The trees in turn. The margins of the rows after each are kept on the executors."""
+    found: list[Tree] = []
+    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    while True:
+        found.append(grown(blocks, asks, depth, least))
+        if len(found) > 1:
+            before.unpersist()
+        if len(found) == trees:
+            blocks.unpersist()
+            return found
+        tree, share = found[-1], 1.0 if len(found) == 1 else rate
+
+        def moved(some: Iterable[Block], tree=tree, gained=share * tree.prediction) -> Iterator[Block]:
+            walk = tree.walk(asks, depth)
+            return (block.after(walk, gained) for block in some)
+
+        before, blocks = blocks, blocks.mapPartitions(moved).persist(StorageLevel.MEMORY_AND_DISK)
+        if len(found) % TREES_KEPT == 0:
+            blocks.checkpoint()
+
+
+def node_rows(tree: int, grown_tree: Tree, asks: Questions) -> list[tuple]:
+    """The nodes as Spark saves them, numbered from the root on, a left side before its right one."""
+    order, todo = [], [0]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        if grown_tree.question[node] >= 0:
+            todo += [2 * node + 2, 2 * node + 1]
+    number, prediction, out = {node: at for at, node in enumerate(order)}, grown_tree.prediction, []
+    for node in order:
+        weight, first, second, n = map(float, grown_tree.stats[node])
+        impurity = max(second / weight - (first / weight) ** 2, 0.0) if weight > 0 else 0.0
+        question, children, split = int(grown_tree.question[node]), (-1, -1), (-1, [], -1)
+        if question >= 0:
+            children = (number[2 * node + 1], number[2 * node + 2])
+            split = (int(asks.feature[question]), [float(asks.threshold[question])], -1)
+        out.append((tree, (number[node], float(prediction[node]), impurity, [weight, first, second], int(round(n)),
+                           float(grown_tree.gain[node]), *children, split)))
+    return out
+
+
+NODES = ("treeID int, nodeData struct<id: int, prediction: double, impurity: double, impurityStats: array<double>, "
+         "rawCount: bigint, gain: double, leftChild: int, rightChild: int, "
+         "split: struct<featureIndex: int, leftCategoriesOrThreshold: array<double>, numCategories: int>>")
+
+
+def save(spark: SparkSession, found: Sequence[Tree], asks: Questions, n_inputs: int, booster: GBTClassifier, path: str) -> None:
+    """Writes the trees as Spark saves a fitted ``booster``."""
+    def about(kind: str, uid: str, names: Sequence[str] | None = None, **more) -> str:
+        own, usual = ({p.name: v for p, v in params.items() if names is None or p.name in names}
+                      for params in (booster._paramMap, booster._defaultParamMap))
+        return json.dumps({"class": f"org.apache.spark.ml.{kind}", "timestamp": int(time.time() * 1000),
+                           "sparkVersion": spark.version, "uid": uid, "paramMap": own, "defaultParamMap": usual, **more})
+
+    def write(rows, schema):
+        return spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite")
+
+    of_tree = ("maxDepth", "seed", "featuresCol", "labelCol", "predictionCol")
+    write([(about("classification.GBTClassificationModel", booster.uid, numFeatures=n_inputs, numTrees=len(found)),)],
+          "value string").text(f"{path}/metadata")
+    write([(at, about("regression.DecisionTreeRegressionModel", f"dtr_{uuid.uuid4().hex[-12:]}", of_tree),
+            booster.getStepSize() if at else 1.0) for at in range(len(found))],
+          "_1 int, _2 string, _3 double").parquet(f"{path}/treesMetadata")
+    write([row for at, tree in enumerate(found) for row in node_rows(at, tree, asks)], NODES).parquet(f"{path}/data")
+
+
+def fit(booster: GBTClassifier, rows: DataFrame, columns: Sequence[str], asks: Questions, n_inputs: int, least: float,
+        path: str) -> GBTClassificationModel:
+    """Fits ``booster`` to ``rows``, which hold its label and weight and the ``columns`` that ``asks`` tells of, and saves the
+    model of ``n_inputs`` under ``path``. A leaf has at least the weight ``least``. Labels are 0 and 1; rows there must be."""
+    spark = rows.sparkSession
+    checkpoint_folder(spark)
+    blocks = blocks_of(rows, booster.getLabelCol(), booster.getWeightCol(), columns, asks)
+    found = boosted(blocks, asks, booster.getMaxIter(), booster.getMaxDepth(), booster.getStepSize(), least)
+    save(spark, found, asks, n_inputs, booster, path)
+    return GBTClassificationModel.load(path)

@@ -1,0 +1,95 @@
+import numpy as np
+import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from starling.plans import boosting, risk_model, tree_nodes
+from starling.plans.boosting import Questions
+
+COLUMNS, ASKS = ["a", "b", "k"], Questions.of([6, 4], [3])
+LEAST = 15.0
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    """Numbers in bins, a name's place, and a weight of its own for each row, so that no two questions gain alike."""
+    rng = np.random.default_rng(7)
+    a, b, k = rng.integers(0, 6, 900), rng.integers(0, 4, 900), rng.integers(0, 4, 900)
+    bad = rng.random(900) < 0.1 + 0.1 * a + 0.1 * (k == 2) * b
+    data = [(float(y), float(w), float(x), float(z), int(n)) for y, w, x, z, n in zip(bad, rng.random(900) + 0.5, a, b, k)]
+    return spark.createDataFrame(data, "y double, w double, a double, b double, k int").repartition(3).localCheckpoint()
+
+
+def booster(rows, trees, depth):
+    whole = rows.agg(F.sum("w")).first()[0]
+    return GBTClassifier(labelCol="y", weightCol="w", maxIter=trees, maxDepth=depth, stepSize=0.3, maxBins=32, seed=1,
+                         minWeightFractionPerNode=LEAST / whole)
+
+
+def nodes(spark, path):
+    found = tree_nodes.tree_nodes(spark, path).toPandas().sort_values(["tree", "node"], ignore_index=True)
+    return found.drop(columns="about", errors="ignore")
+
+
+def test_questions_stand_in_the_order_of_the_inputs():
+    assert list(ASKS.start) == [0, 6, 10, 14]
+    assert list(ASKS.feature) == [0] * 5 + [1] * 3 + [2, 3, 4]
+    assert list(ASKS.threshold) == [0.5, 1.5, 2.5, 3.5, 4.5, 0.5, 1.5, 2.5, 0.5, 0.5, 0.5]
+    assert list(np.flatnonzero(ASKS.above[1])) == [2, 3, 4, 5] and list(np.flatnonzero(ASKS.above[9])) == [12]
+    assert len(Questions.of([1], [0]).column) == 0
+
+
+@pytest.mark.parametrize("depth", [1, 4])
+def test_trees_are_those_of_the_estimator(spark, rows, tmp_path, depth):
+    ours = boosting.fit(booster(rows, 6, depth), rows, COLUMNS, ASKS, 5, LEAST, str(tmp_path / "ours"))
+    flags = [(F.col("k") == n).cast("double") for n in (1, 2, 3)]
+    vectors = rows.withColumn("features", array_to_vector(F.array("a", "b", *flags)))
+    theirs = booster(rows, 6, depth).fit(vectors)
+    theirs.write().save(str(tmp_path / "theirs"))
+    found, expected = nodes(spark, str(tmp_path / "ours")), nodes(spark, str(tmp_path / "theirs"))
+    for column in ("tree", "node", "left", "right", "feature"):
+        assert found[column].tolist() == expected[column].tolist()
+    for column in ("threshold", "prediction", "gain", "weight", "tree_weight"):
+        assert found[column].to_numpy() == pytest.approx(expected[column].to_numpy(), abs=1e-9, nan_ok=True)
+    assert ours.treeWeights == theirs.treeWeights and ours.numFeatures == 5
+    assert ours.featureImportances.toArray() == pytest.approx(theirs.featureImportances.toArray(), abs=1e-9)
+    for name in ("maxDepth", "maxIter", "stepSize", "labelCol", "weightCol"):
+        assert ours.getOrDefault(name) == theirs.getOrDefault(name)
+    raw = spark.read.parquet(str(tmp_path / "ours/data")).join(
+        spark.read.parquet(str(tmp_path / "theirs/data")).withColumnRenamed("nodeData", "other"),
+        (F.col("nodeData.id") == F.col("other.id")), "inner").where("nodeData.id = 0").count()
+    assert raw == 36                                                # a root for each of six trees, on both sides
+    roots = spark.read.parquet(str(tmp_path / "ours/data")).where("nodeData.id = 0").select("nodeData.rawCount").collect()
+    assert {r.rawCount for r in roots} == {900}
+
+
+def test_nothing_to_ask(spark, rows, tmp_path):
+    for name, some, asks in (("class", rows.where("y = 1"), ASKS), ("bins", rows, Questions.of([1, 1], [0]))):
+        some = some if name == "class" else some.withColumns({c: F.lit(0) for c in COLUMNS})
+        model = boosting.fit(booster(rows, 3, 4), some, COLUMNS, asks, 5, LEAST, str(tmp_path / name))
+        assert [tree.numNodes for tree in model.trees] == [1, 1, 1]
+
+
+def test_blocks_hold_a_byte_for_each_column(rows):
+    blocks = boosting.blocks_of(rows, "y", "w", COLUMNS, ASKS).collect()
+    assert sum(b.values.shape[1] for b in blocks) == 900 and {b.values.dtype for b in blocks} == {np.dtype("uint8")}
+    wide = Questions.of([300, 4], [3])
+    assert boosting.blocks_of(rows, "y", "w", COLUMNS, wide).first().values.dtype == np.uint16
+
+
+def training(spark, outcomes):
+    return spark.createDataFrame(
+        [(i, "c", "s", y, 0, *[float(i % (n + 2)) for n in range(6)]) for i, y in enumerate(outcomes)],
+        f"order_id long, {risk_model.CATEGORY} string, {risk_model.STATE} string, {risk_model.BAD} int, is_test int, "
+        + ", ".join(f"{c} double" for c in risk_model.NUMBERS))
+
+
+def test_training_counts_names_by_column(spark, monkeypatch):
+    """Training makes no pass of an estimator over the indicators, and refuses what it cannot learn from."""
+    monkeypatch.setattr(GBTClassifier, "_fit", lambda *_: pytest.fail("a pass over all indicators"))
+    model = risk_model.train(training(spark, [i % 3 % 2 for i in range(300)]), trees=2, depth=2)
+    assert len(model.trees.trees) == 2 and model.trees.numFeatures == 8
+    for outcomes in ([], [0, 1, None]):
+        with pytest.raises(ValueError):
+            risk_model.train(training(spark, outcomes), trees=1, depth=1)
